@@ -138,7 +138,7 @@ ns as (select distinct n from win),
 runs as (
   select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as phrase
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, ns where len(w) >= n)),
-hit as (select doc_id, i, n, item_id from at a join win using (n, phrase)),
+hit as (select doc_id, i, n, item_id from runs join win using (n, phrase)),
 per as (
   select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
 its as (

@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, jpeg_media, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc_convert.archived(_table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.features(jpeg_media.encode(_table(spark, sf_dir, "documents")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -22,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL}
+    return {"op1_warc_from_arc": warc_convert.ARCHIVED_SQL, "op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL}
