@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jpeg_media, pu_quality, warc_convert
+from . import decontaminate, jpeg_media, pu_quality, signature_join, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.components(_table(spark, sf_dir, "documents"))
+
+
 def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.features(jpeg_media.encode(_table(spark, sf_dir, "documents")))
 
@@ -35,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_from_arc": warc_convert.ARCHIVED_SQL, "op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL}
+    return {"op1_warc_from_arc": warc_convert.ARCHIVED_SQL, "op3_signature_trees": signature_join.COMPONENTS_SQL, "op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL}
