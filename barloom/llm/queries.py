@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jpeg_media, pu_quality, signature_join, warc_convert
+from . import decontaminate, jpeg_media, mixture, pu_quality, signature_join, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixture.mix(_table(spark, sf_dir, "documents"), mixture.WEIGHTS)
+    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_from_arc": warc_convert.ARCHIVED_SQL, "op3_signature_trees": signature_join.COMPONENTS_SQL, "op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL}
+    return {
+        "op1_warc_from_arc": warc_convert.ARCHIVED_SQL,
+        "op3_signature_trees": signature_join.COMPONENTS_SQL,
+        "op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
+        "op9_mixture": mixture.MIX_SQL,
+    }
