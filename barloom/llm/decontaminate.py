@@ -1,8 +1,8 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 Training tokens become postings ``(term, doc_id, pos)``. A test phrase starts from its rarest terms: their posting
-lists, moved back by each term's offset in the phrase, are intersected on ``(doc_id, start)``, and what survives is
-compared with the words around the rarest posting. Common terms are never joined. Built from DataFrame functions alone.
+lists, moved back by each term's offset, are intersected, and what survives is compared with the documents' words.
+Common terms are never joined. Built from DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -21,31 +21,19 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), ""), F.array().cast("array<string>"))
 
 
-def phrase_windows(items: DataFrame, size: int = 10) -> DataFrame:
-    """``(phrase, item_ids)``: each different run of ``size`` item words, or a shorter item as a whole."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
-    at = w.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {size}, 0)), i -> slice(w, i + 1, {size}))")).alias("phrase"))
-    return at.groupBy("phrase").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-
-
 def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", words(F.col("text")).alias("w"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None, context: int = 0) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Store postings ``(term, doc_id, pos)`` of all tokens, or of the tokens in ``terms(term)``.
 
-    With ``context``, each posting also keeps that many words on either side in ``around``, from word ``lo`` on.
     The table lies in the shared folder. Rows sharing a doc_id are one document's postings; null texts have none.
     """
-    at = _tokens(docs).select("*", F.posexplode("w").alias("pos", "term"))
+    at = _tokens(docs).select("doc_id", F.posexplode("w").alias("pos", "term"))
     if terms is not None:
         at = at.join(terms.select("term").distinct(), "term", "left_semi")
-    cols = ["term", "doc_id", "pos"]
-    if context:
-        at = at.withColumn("lo", F.greatest(F.col("pos") - context, F.lit(0))).withColumn("around", F.expr(f"slice(w, lo + 1, pos - lo + {context + 1})"))
-        cols += ["lo", "around"]
-    return staged(at.select(*cols), "postings")
+    return staged(at.select("term", "doc_id", "pos"), "postings")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -53,30 +41,41 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return _tokens(docs).select(F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Exact matches of ``phrases(phrase array<string>, item_ids)``: ``(doc_id, start, n, item_ids)``.
+def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 0) -> DataFrame:
+    """Exact matches of phrases of ``items(item_id, text)``: ``(doc_id, start, n, item_ids)``.
 
-    A phrase with a term that no document has is dropped at once. Phrases with no words match nothing.
+    The phrases are an item's windows of ``size`` words, or the whole item where that is 0 or more than it has. Each
+    phrase's two rarest terms lead: postings are moved back by the term's offset in the item, so that lists meet on
+    ``(doc_id, item, diagonal)``, and a phrase goes on where both are on one diagonal. What is left is compared word by
+    word with the texts of the documents found so. A phrase with a term that no document has is dropped at once; items
+    without words match nothing; items of the same words are one.
     """
-    phrases = staged(phrases.where("size(phrase) > 0"), "phrases")
-    width = phrases.agg(F.max(F.size("phrase"))).first()[0] or 1
-    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    counts = staged(term_counts(docs, terms), "counts")
-    spread = phrases.select("phrase", "item_ids", F.posexplode("phrase").alias("off", "term"))
-    ranked = (
-        spread.join(counts, "term")
-        .groupBy("phrase")
-        .agg(F.first("item_ids").alias("item_ids"), F.sort_array(F.collect_list(F.struct("n", "term", "off"))).alias("by"))
-        .where("size(by) = size(phrase)")
-        .select("phrase", "item_ids", F.xxhash64("phrase").alias("key"), F.expr("by[0].term").alias("t1"), F.expr("by[0].off").alias("o1"), F.expr("get(by, 1).term").alias("t2"), F.expr("get(by, 1).off").alias("o2"))
+    w = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    whole = staged(w.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).withColumn("item", F.xxhash64("w")), "items")
+    counts = staged(term_counts(docs, whole.select(F.explode("w").alias("term"))), "counts")
+    n = f"least(size(w), {size})" if size else "size(w)"
+    windows = whole.select("item", "item_ids", F.expr(n).alias("n"), F.explode(F.expr(f"sequence(0, size(w) - {n})")).alias("s"), "w")
+    windows = windows.select("item", "item_ids", "n", "s", F.expr("slice(w, s + 1, n)").alias("phrase"))
+    by = (
+        windows.select("item", "s", "n", F.posexplode("phrase").alias("i", "term"))
+        .join(counts.withColumnRenamed("n", "df"), "term")
+        .groupBy("item", "s", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term", (F.col("s") + F.col("i")).alias("off")))).alias("by"))
+        .where("size(by) = n")
+        .select("item", "s", F.expr("slice(by, 1, 2)").alias("by"))
     )
-    ranked = staged(ranked, "ranked")
-    rare = build_index(docs, ranked.select(F.col("t1").alias("term")).union(ranked.where("t2 is not null").select(F.col("t2").alias("term"))), width - 1)
-    first = rare.join(ranked.withColumnRenamed("t1", "term"), "term").select("doc_id", (F.col("pos") - F.col("o1")).alias("start"), "key", "phrase", "item_ids", "lo", "around", F.col("t2").isNotNull().alias("more"))
-    first = first.where("start >= 0")
-    second = rare.select("term", "doc_id", "pos").join(ranked.where("t2 is not null").select(F.col("t2").alias("term"), "o2", "key"), "term").select("doc_id", (F.col("pos") - F.col("o2")).alias("start"), "key").distinct()
-    both = first.where("more").join(second, ["doc_id", "start", "key"], "left_semi").unionByName(first.where("not more"))
-    return both.where("slice(around, greatest(start - lo + 1, 1), size(phrase)) = phrase").select("doc_id", "start", F.size("phrase").alias("n"), "item_ids")
+    lead = staged(windows.join(by, ["item", "s"]), "phrases")
+    anchors = staged(lead.select("item", F.explode("by").alias("x")).select("item", "x.term", "x.off").distinct(), "anchors")
+    index = build_index(docs, anchors)
+    lists = index.join(anchors, "term").select("doc_id", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off")
+    met = lists.groupBy("doc_id", "item", "diagonal").agg(F.collect_set("off").alias("offs"))
+    found = met.join(lead, "item").where("diagonal + s >= 0 and forall(by, x -> array_contains(offs, x.off))").select("doc_id", (F.col("diagonal") + F.col("s")).alias("start"), "phrase", "item_ids")
+    found = staged(found, "candidates")
+    ids = staged(found.select("doc_id").distinct(), "candidate_ids")
+    texts = docs.select(F.col("doc_id").alias("own"), "text")
+    texts = texts.join(ids, texts["own"].eqNullSafe(ids["doc_id"]), "left_semi").select("own", words(F.col("text")).alias("w"))
+    both = found.join(texts, found["doc_id"].eqNullSafe(texts["own"])).where("slice(w, start + 1, size(phrase)) = phrase")
+    return both.select("doc_id", "start", F.size("phrase").alias("n"), "item_ids")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
@@ -104,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     A word is hit if it stands inside an occurrence of a window of ``size`` item words. Null or empty texts have no
     words and no hits; null doc_ids count as one id; rows that share a doc_id share their hits, and each is returned.
     """
-    found = phrase_matches(docs, phrase_windows(items, size))
+    found = staged(phrase_matches(docs, items, size), "matches").distinct()
     hits = found.groupBy("doc_id").agg(
         F.expr("size(array_distinct(flatten(collect_set(sequence(start, start + n - 1)))))").cast("long").alias("n_hit"),
         F.expr("array_distinct(flatten(collect_set(item_ids)))").alias("items"),
