@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CACHED = 1 << 19
+_hashes: dict[bytes, int] = {}
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, A-Z lowered."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(_hashes) > _CACHED:
+        _hashes.clear()
+    get, put = _hashes.get, _hashes.setdefault
+    return np.array([get(x) or put(x, xxhash.xxh3_64_intdigest(x) | 1) for x in w], np.uint64)
+
+
+def rolling(a: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words; none if there are fewer."""
+    h = np.full(max(len(a) - k + 1, 0), k, np.uint64)
+    for i in range(k):
+        h = (h ^ a[i : len(a) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15) if len(h) else h
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Smallest id reachable from each node: ``(id, component)`` for every node named in ``edges(a, b)``.
 

@@ -122,6 +122,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The documents without a hit word, columns unchanged; rows that share a doc_id go or stay together."""
+    bad = staged(phrase_matches(docs, items, size).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+
+
 #: The same result in DuckDB's SQL.
 DECONTAMINATE_SQL = r"""
 with dw as (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jpeg_media, mixture, pu_quality, signature_join, warc_convert
+from . import chain_dedup, decontaminate, jpeg_media, mixture, pu_quality, signature_join, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.components(_table(spark, sf_dir, "documents"))
 
 
+def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.features(jpeg_media.encode(_table(spark, sf_dir, "documents")))
 

@@ -16,36 +16,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, rolling, staged, word_hashes
 
 WORDS = 5
 PERCENT = 80
 BLOCK = 2048
 FANOUT = 8
-_CACHE = 1 << 19
-_cached: dict[bytes, int] = {}
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of five lower-cased words; of all words if there are fewer."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    if len(_cached) > _CACHE:
-        _cached.clear()
-    get = _cached.get
-    a = np.array([get(x) or _cached.setdefault(x, xxhash.xxh3_64_intdigest(x) | 1) for x in w], np.uint64)
-    k = min(WORDS, len(a))
-    h = np.full(len(a) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h ^ a[i : len(a) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    a = word_hashes(text)
+    if not len(a):
+        return a
+    h = rolling(a, min(WORDS, len(a)))
     return np.unique(h)
 
 
