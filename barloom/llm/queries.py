@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chain_dedup, decontaminate, jpeg_media, mixture, pu_quality, signature_join, warc_convert
+from . import chain_dedup, decontaminate, jpeg_media, license_scan, main_text, mixture, pu_quality, signature_join, unigram_count, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.components(_table(spark, sf_dir, "documents"))
 
 
+def op4_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_count.count_tokens(_table(spark, sf_dir, "documents"), unigram_count.load_pieces())
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_dedup.passages(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,10 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
