@@ -70,15 +70,16 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], fracti
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float = 0.8, epochs: int = 3, seed: int = 7) -> DataFrame:
-    """The chosen documents, their columns with ``domain, n_tokens, epoch``; a row for each epoch that takes it.
+    """The chosen documents, their columns with ``domain, n_tokens, epoch`` (in place of any so named); a row for each epoch that takes it.
 
     ``docs`` needs doc_id, text, lang, source; a ``domain`` column is taken as it is, else it comes from the source's
     MD5 modulo 3. Null names are the empty name. The order of epoch e is that of md5(seed|e|doc_id), ties by
     doc_id, then text. Texts without tokens cost nothing and go with their place in the order. No rows give no rows.
     """
-    given = docs if "domain" in docs.columns else docs.withColumn("domain", F.expr("concat('d', (instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) % 3)"))
+    rule = F.col("domain") if "domain" in docs.columns else F.expr("concat('d', (instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) % 3)")
     inner = ["_domain", "_lang", "_source"]
-    rows = given.withColumns({f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("domain", "lang", "source")}).withColumn("n_tokens", n_tokens(F.col("text")))
+    names = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip((rule, F.col("lang"), F.col("source")), inner, strict=True)]
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", *names, rule.alias("domain"), n_tokens(F.col("text")).alias("n_tokens"))
     leaves = rows.groupBy(*inner).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("many"))
     leaves = staged(leaves, "leaves")
     most = leaves.agg(F.max("many")).first()[0] or 1
@@ -97,8 +98,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float =
     known = staged(budgets.join(ends, inner, "left").join(last, inner, "left"), "known")
     taken = F.col("_end").isNull() | (F.substring("_at.key", 1, digits) < F.col("_end._slice")) | F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False))
     rounds = F.concat(F.expr("if(_full > 0, sequence(0, _full - 1), cast(array() as array<int>))"), F.when(taken & (F.col("_full") < epochs), F.array("_full")).otherwise(F.expr("cast(array() as array<int>)")))
-    kept = [*given.columns, "n_tokens"]
-    return placed.join(known.select(*inner, "_end", "_last"), inner).withColumn("epoch", F.explode(rounds)).select(*kept, "epoch")
+    kept = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
+    return placed.join(known.select(*inner, "_end", "_last"), inner).withColumn("epoch", F.explode(rounds)).select(*kept, "domain", "n_tokens", "epoch")
 
 
 #: The target weights of the registered query and of the pipeline.

@@ -39,6 +39,7 @@ class Counting:
         self.machine = ahocorasick.Automaton()
         for p, s in pieces:
             self.machine.add_word(p, (len(p), s))
+        self.machine.add_word("\0" * 64, (64, -math.inf))  # an automaton needs a word
         self.machine.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_BELOW
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)

@@ -1,0 +1,309 @@
+"""Each operator on odd rows and empty tables, against brute force, round trips or held-out labels."""
+
+import hashlib
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from barloom.llm import chain_dedup, common, decontaminate, jpeg_media, license_scan, main_text, mixture, pu_quality, signature_join, unigram_count, warc_convert
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_components_of_edges(spark):
+    e = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7), (None, 1), (100, 9), (3, 100), (20, 21)], "a long, b long")
+    assert {(r.id, r.component) for r in common.connected_components(e).collect()} == {(5, 3), (4, 3), (3, 3), (9, 3), (8, 3), (100, 3), (20, 20), (21, 20)}
+    assert common.connected_components(e.limit(0)).count() == 0
+
+
+def test_archives_round_trip(spark):
+    pages = [(3, "u", "é" * 50), (1, "http://a b/", "é" * 50), (2, None, "WARC/1.1\r\n\r\nHTTP/1.1 x"), (4, "u", None), (5, "u", "z" * 99), (6, "u", "z" * 99), (None, "q", "é" * 50), (7, "u", "\r\n\r\n" * 40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc_convert.archived(df).collect()}
+    assert len(got) == len(pages)
+    for i, _, h in pages:
+        b = (h or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(b), hashlib.sha256(b).hexdigest())
+    assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {3: 1, None: 1}
+    assert warc_convert.archived(df.limit(0)).count() == 0
+
+
+def test_arc_headers_of_both_versions_and_broken_lines():
+    one = b"filedesc://a 0.0.0.0 20200101 text/plain 8\n1 0 x\nF\n\nhttp://a/b c 1.2.3.4 20200102030405 text/html 5\nhello\njunk line\n"
+    two = b"filedesc://b 0.0.0.0 20200101 text/plain 200 - - 0 b 8\n2 0 x\nF\n\nhttp://c/ 1.2.3.4 20200102030405 text/html 404 abc - 99 f 5\nhello\nhttp://d/ 1.2.3.4 20200102030405 text/html 200 abc - 99 f 50\ncut"
+    got = list(warc_convert.parse_arc(one + two))
+    assert [(r[1], r[2], r[6], r[8]) for r in got] == [(1, "filedesc://a", None, b"1 0 x\nF\n"), (1, "http://a/b c", None, b"hello"), (2, "filedesc://b", 200, b"2 0 x\nF\n"), (2, "http://c/", 404, b"hello"), (2, "http://d/", 200, b"cut")]
+
+
+def test_jpeg_round_trip(docs, none):
+    got = jpeg_media.features(jpeg_media.encode(docs)).collect()
+    assert len(got) == docs.count() and jpeg_media.features(jpeg_media.encode(none)).count() == 0
+    want = {}
+    for r in docs.collect():
+        p = jpeg_media.padded(r.text)
+        want.setdefault(r.doc_id, []).append((len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest()))
+    for r in got:
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) in want[r.doc_id]
+    rng = np.random.default_rng(0)
+    payloads = [rng.integers(0, 256, 64 * n, dtype=np.uint8).tobytes() for n in (1, 2, 700, jpeg_media.MAX_ROWS + 5)]
+    for p, m in zip(payloads, jpeg_media.write_media(payloads), strict=True):
+        assert b"".join(x.tobytes() for x in jpeg_media.thumbnails(jpeg_media.read_markers(m))) == p
+
+
+def test_jpeg_colour_scan_with_ac_terms():
+    """A hand-made 16x16 image, luminance 2x2, two chroma parts, AC terms and an escape of 16 zeros."""
+    bits = ""
+    dc = {0: "00", 3: "100"}  # usual luminance DC code
+    ac = {0x00: "0", 0x01: "10", 0xF0: "110"}
+
+    def block(diff, tail):
+        nonlocal bits
+        n = abs(diff).bit_length()
+        bits += dc[n] + (format(diff if diff > 0 else diff + (1 << n) - 1, f"0{n}b") if n else "") + tail
+
+    for d, tail in ((5, "0"), (-5, ac[0xF0] + "10" + "1" + "0"), (0, "10" + "0" + "0"), (4, "0"), (0, "0"), (0, "0")):
+        block(d, tail)
+    bits += "1" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    seg = jpeg_media._segment
+    image = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([16]) + bytes(63)) + seg(0xC0, bytes([8, 0, 16, 0, 16, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    image += seg(0xC4, b"\0" + jpeg_media.DC_COUNTS + jpeg_media.DC_SYMBOLS) + seg(0xC4, b"\x10" + bytes([1, 1, 1] + [0] * 13) + bytes([0x00, 0x01, 0xF0])) + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + data + b"\xff\xd9"
+    (plane,) = jpeg_media.thumbnails(jpeg_media.read_markers(image))
+    assert plane.tolist() == [[138, 128], [128, 136]]
+
+
+def test_broken_media_are_told(spark):
+    df = spark.createDataFrame([(1, 3, bytearray(b"abc")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert [r.feature for r in jpeg_media.features(df).collect()] == ["broken", "broken"]
+
+
+def test_quality_on_held_out_labels(spark, docs, none):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = pu_quality.classify(d, lab).join(lab, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    odd = spark.createDataFrame([(0, 1), (1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    got = pu_quality.classify(docs, odd).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert pu_quality.classify(none, odd).count() == 0 and {r.score for r in pu_quality.classify(docs, odd.limit(0)).collect()} == {0.5}
+    assert pu_quality.keep_good(docs, odd).columns == docs.columns
+
+
+def test_risk_is_not_negative():
+    rng = np.random.default_rng(1)
+    x = np.c_[np.ones(400), rng.normal(size=(400, 20))]
+    good = x[:, 1] > -0.5
+    p = x[good][:8]
+    stat = lambda a: (len(a), a.mean(0), a.T @ a / len(a))
+    w = pu_quality.minimise(0.7, stat(x), stat(p), ridge=1e-6)
+    g_u, g_p = x @ w, p @ w
+    raw = np.linalg.solve(stat(x)[2] + 1e-6 * np.eye(21), 2 * 0.7 * p.mean(0) - x.mean(0))
+    minus = lambda v: ((1 + x @ v) ** 2).mean() - 0.7 * ((1 + p @ v) ** 2).mean()
+    risk = lambda v: 0.7 * ((1 - p @ v) ** 2).mean() + max(0, minus(v)) + 1e-6 * v @ v
+    assert risk(w) <= risk(raw) + 1e-9 and len(g_u) and len(g_p)
+
+
+def brute_components(rows):
+    sets = [(i, set(signature_join.shingles(t).tolist())) for i, t in rows if i is not None]
+    top = {i: i for i, _ in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            top[y] = x
+    return {i: find(i) for i in top}
+
+
+def test_components_against_all_pairs(spark, docs, none):
+    for d in (docs, spark.read.parquet(f"{SF}/documents.parquet")):
+        want = brute_components([(r.doc_id, r.text) for r in d.collect()])
+        got = signature_join.components(d).collect()
+        assert len(got) == d.count() and {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    kept = signature_join.keep_first(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 0, 3, 4, 5, 6, 7, 8, 10, 11, 12}
+    assert signature_join.components(none).count() == 0
+
+
+def test_tree_search_finds_all_links():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(1 << 62, rng.integers(3, 300), replace=False).astype(np.uint64)
+        for _ in range(int(rng.integers(1, 6))):
+            new = base.copy()
+            k = int(rng.integers(0, max(1, len(base) // 6) + 1))
+            new[:k] = rng.choice(1 << 62, k, replace=False).astype(np.uint64)
+            sets.append(np.unique(new))
+    n = np.array([len(s) for s in sets])
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - c)}
+    bits = [signature_join.bitmap(s) for s in sets]
+    for side in (None, np.arange(len(sets)) % 2):
+        i, j = signature_join.dual_search(n, np.arange(len(sets)), bits, side)
+        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert {p for p in want if side is None or side[p[0]] != side[p[1]]} <= got and len(got) < 4 * len(want) + 50
+    i, j = signature_join.dual_search(n, np.zeros(len(sets), int), bits)
+    assert not len(i)
+
+
+def test_large_groups_are_cut_and_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(signature_join, "BLOCK", 4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"q{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in signature_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_counts_are_the_tokenizers(spark, docs, none):
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    m = sentencepiece.SentencePieceProcessor(model_file=unigram_count.VOCABULARY)
+    theirs = Tokenizer(models.Unigram([(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())], unk_id=0, byte_fallback=True))
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ["☃☃x", "  a  b ", "\n\n", "日本 語", "é" * 300, " ", "▁▁x", "\U0001f600 \U00012345a"]
+    c = unigram_count.Counting(unigram_count.load_pieces())
+    for t in texts:
+        assert c.count(t)[0] == len(theirs.encode("▁" + t.replace(" ", "▁")).tokens), t
+    got = unigram_count.count_tokens(docs, unigram_count.load_pieces())
+    assert got.count() == docs.count() and {r.n_tokens for r in got.where("doc_id in (5, 6)").collect()} == {0}
+    assert unigram_count.count_tokens(none, [("a", 1.0)]).count() == 0
+
+
+def test_count_ties_and_pieces_across_spaces():
+    tied = unigram_count.Counting([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("c", -3.0), ("bc", -4.0), ("▁", -1.0)])
+    assert tied.count("ab") == (2, -3.0) and tied.count("abc") == (3, -6.0)  # the earliest start wins: ab, then c
+    across = unigram_count.Counting([("a", -1.0), ("▁", -1.0), ("a▁a", -1.5)])
+    assert across.count("a a") == (2, -2.5)
+    assert unigram_count.Counting([]).count("é")[0] == 5  # both characters as bytes
+
+
+def test_main_text_of_labelled_and_odd_pages(spark):
+    w = main_text.learn()
+    for p in main_text.labelled_pages():
+        t = main_text.main_text(p, w)
+        assert "drop" not in t and t.count("keep") == len(re.findall("keep", p))
+    page = "<nav>x y</nav><article><h1>A &amp; B</h1><p>one<b> two</b>three<br>four\n five &eacute;<div class=ad>buy this now</div><p>six &copy; seven<form>name</form></article><section id=comments><p>I think that this is nice</section><footer>(c)"
+    assert main_text.main_text(page, w) == "A & B\n\none twothree four five é\n\nsix © seven"
+    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, "<p"), (3, "u", page), (4, "u", "<<>><p>" * 2000), (None, "u", "<script>never closed")], "page_id long, url string, html string")
+    got = {(r.page_id, r.n_chars) for r in main_text.extract(df).collect()}
+    assert {(1, 0), (2, 0)} <= got and main_text.extract(df).count() == 6 and main_text.extract(df.limit(0)).count() == 0
+
+
+def test_region_is_the_best_one():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        s, c = rng.normal(size=n).tolist(), (-rng.random(n)).tolist()
+        value = lambda i, j: sum(s[i : j + 1]) + sum(c[i + 1 : j + 1])  # noqa: B023, E731
+        best = max(value(i, j) for i in range(n) for j in range(i, n))
+        lo, hi = main_text.best_region(s, c)
+        assert (hi < lo and best <= 0) or abs(value(lo, hi) - best) < 1e-12
+
+
+def test_passages_cover_every_repeat(spark, docs, none):
+    got = {r.doc_id: r for r in chain_dedup.passages(docs).collect()}
+    assert (got[4].start, got[4].stop, got[4].src_ids, got[4].n_same) == (30, 90, [3], 59) and got[1].n_words == 100 and 3 not in got and 0 not in got
+    out = {r.doc_id: r.text for r in chain_dedup.remove_repeats(docs).collect()}
+    assert "p10 " not in out[4] and "u29" in out[4] and "v0" in out[4] and 1 not in out and out[3].count("p10 ") == 1
+    assert chain_dedup.remove_repeats(docs).columns == docs.columns and chain_dedup.passages(none).count() == 0
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    cover, first = {}, {}
+    for r in chain_dedup.passages(d).collect():
+        cover.setdefault(r.doc_id, []).append((r.start, r.stop))
+    for r in d.orderBy("doc_id").collect():
+        w = (r.text or "").lower().split()
+        for i in range(len(w) - 49):
+            g = tuple(w[i : i + 50])
+            if first.setdefault(g, r.doc_id) != r.doc_id:
+                assert any(a <= i and i + 50 <= b for a, b in cover.get(r.doc_id, [])), (r.doc_id, i)
+
+
+def test_chain_scores_against_all_predecessors():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = int(rng.integers(1, 25))
+        x, y = rng.integers(0, 60, n), rng.integers(0, 60, n)
+        order = sorted(range(n), key=lambda i: (x[i], y[i]))
+        f = {}
+        for i in order:
+            f[i] = 8 + max([0.0, *(f[j] - 0.1 * (x[i] - x[j] + y[i] - y[j]) for j in f if x[j] < x[i] and y[j] < y[i])])
+        got = chain_dedup.chains(x, y)
+        top = got[0]
+        score = 8 * len(top) - 0.1 * (x[top[-1]] - x[top[0]] + y[top[-1]] - y[top[0]])
+        assert abs(score - max(f.values())) < 1e-9 and sorted(i for c in got for i in c) == list(range(n))
+
+
+def brute_hits(docs, items, size=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: word.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+    wins = {}
+    for i, t in items:
+        w = low(t)
+        for s in range(max(1, len(w) - size + 1) if w else 0):
+            wins.setdefault(tuple(w[s : s + size]), set()).add(i)
+    out = []
+    for d, t in docs:
+        w, hit, ids = low(t), set(), set()
+        for n in {len(k) for k in wins}:
+            for s in range(len(w) - n + 1):
+                if (k := tuple(w[s : s + n])) in wins:
+                    hit |= set(range(s, s + n))
+                    ids |= wins[k]
+        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_decontamination_against_brute_force(spark, docs, none):
+    items = [(1, " ".join(f"w{i}" for i in range(5, 18))), (2, "TWO words"), (3, None), (4, "!!"), (5, "rep rep rep"), (5, "two words"), (16, "z0 z1 z2-z3,z4 Z5 z6 z7 z8 z9 z10 absent")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()), key=key)
+    assert got == sorted(brute_hits(rows, items), key=key)
+    assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == {r[0] for r in got if not r[5]}
+
+
+def test_proximity(spark):
+    d = spark.createDataFrame([(1, "a x x b x c"), (2, "c b a"), (3, "a " + "x " * 50 + "b c"), (4, None)], "doc_id long, text string")
+    p = spark.createDataFrame([(7, ["a", "b", "c"])], "item_id long, phrase array<string>")
+    assert {(r.doc_id, r.start) for r in decontaminate.proximity_matches(d, p, 6).collect()} == {(1, 0), (2, 0)}
+    assert {r.doc_id for r in decontaminate.proximity_matches(d, p, 3).collect()} == {2}
+
+
+def test_budgets_fall_to_siblings_first(spark):
+    leaves = spark.createDataFrame([("a", "en", "s1", 100), ("a", "en", "s2", 1000), ("a", "de", "s1", 1000), ("b", "en", "s1", 50)], "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixture.leaf_budgets(leaves, {}, 0.5, 1).collect()}
+    # all: 1075; b gives its 50, a gets 1025, halved by language, and s2 what s1 lacks
+    assert got == {("a", "en", "s1"): 100, ("a", "en", "s2"): 412, ("a", "de", "s1"): 512, ("b", "en", "s1"): 50}
+
+
+def test_mixture_prefixes_and_odd_rows(docs, none):
+    out = mixture.mix(docs.withColumn("epoch", docs["key"]), mixture.WEIGHTS)
+    assert len(set(out.columns)) == len(out.columns) and {"domain", "n_tokens", "epoch", "bits"} <= set(out.columns)
+    assert mixture.mix(none, mixture.WEIGHTS).count() == 0
+    total = docs.select(mixture.n_tokens(docs["text"]).alias("n")).agg({"n": "sum"}).first()[0]
+    assert sum(r.n_tokens for r in out.collect()) <= 0.8 * total
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_templates_find_themselves_only(name):
+    for t in license_scan.TEMPLATES[name]:
+        for block in (t, f"Foo bar, baz. {t} And then some more."):
+            assert [h[0] for h in license_scan.scan_block(block)] == [name]
+
+
+def test_license_wording_and_odd_rows(spark, docs, none):
+    scan = license_scan.scan_block
+    assert scan("Licensed under CC BY-XX 4.0.") == [] and scan("Licensed under the Apache License, Version 1.1.") == [] and scan("a license to drive") == []
+    df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\n\nlicensed under THE apache License version 2.0"), (1, None)], "doc_id long, text string")
+    assert [(r.line, r.license) for r in license_scan.scan(df).orderBy("line").collect()] == [(1, "MIT"), (3, "Apache-2.0")]
+    assert license_scan.scan(docs).count() == 0 and license_scan.scan(none).count() == 0
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sum(1 for r in d.collect() for x in (r.text or "").split("\n") if re.search("Licensed under CC BY-NC 4.0|Released under the MIT L|the Apache License, Version 2.0|licensed under the GNU General Public License, version 3", x))
+    assert license_scan.scan(d).count() == want > 0
