@@ -187,3 +187,25 @@ def directional_ratings(runs: DataFrame, least: int = 5) -> DataFrame:
     side = F.expr("stack(2, 'long', long_avg_r, long_closed_trades, 'short', short_avg_r, short_closed_trades) as (direction, d_avg, d_n)")
     r = runs.select("strategy", "timeframe", side).groupBy("strategy", "timeframe", "direction").agg(pooled("d_avg", "d_n").alias("avg_r"), F.sum("d_n").alias("trades"))
     return r.withColumn("stars", stars(F.col("avg_r"), F.col("trades"), least))
+
+
+def weekly_flip_risk(bars: DataFrame) -> DataFrame:
+    """For each weekday and side of the week's first extreme: share of weeks whose second one is still ahead."""
+    w = weeks(bars)
+    low_first = F.col("low_ts") < F.col("high_ts")
+    w = w.select(*SERIES, F.when(low_first, "low").otherwise("high").alias("first"), F.when(low_first, F.col("high_dow")).otherwise(F.col("low_dow")).alias("second"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow"))
+    return w.groupBy(*SERIES, "first", "dow").agg(F.avg((F.col("second") > F.col("dow")).cast("double")).alias("ahead"), F.count("*").alias("n"))
+
+
+def edge_slices(trades: DataFrame) -> DataFrame:
+    """Standalone cells by strategy, timeframe and UTC session third: count, mean R, win rate, share of the strategy."""
+    third = F.element_at(F.array(F.lit("asia"), F.lit("europe"), F.lit("us")), (F.hour(F.timestamp_millis("entry_time")) / 8).cast("int") + 1)
+    g = trades.groupBy("strategy", "timeframe", third.alias("session")).agg(F.count("*").alias("n"), F.avg("pnl_r").alias("avg_r"), F.avg((F.col("pnl_r") > 0).cast("double")).alias("win_rate"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("strategy")))
+
+
+def verdicts(slices: DataFrame, least: int = 30) -> DataFrame:
+    """KILL, DEMOTE or KEEP for each strategy and timeframe by pooled R of its slices."""
+    m = slices.groupBy("strategy", "timeframe").agg((F.sum(F.col("avg_r") * F.col("n")) / F.sum("n")).alias("avg_r"), F.sum("n").alias("n"), F.count_if(F.col("avg_r") > 0).alias("good"), F.count("*").alias("slices"))
+    v = F.when(F.col("n") < least, "INSUFFICIENT").when((F.col("avg_r") < 0) & (F.col("good") == 0), "KILL").when(F.col("avg_r") < 0, "DEMOTE").otherwise("KEEP")
+    return m.withColumn("verdict", v)

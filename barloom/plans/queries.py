@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators, statistics
-from ..operators import books, confluence, detectors, quality, reports, simulate
+from ..operators import books, confluence, detectors, outcomes, quality, reports, simulate, structure
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, POOLED_SQL, TRADES_SQL
 from ..streaming import bars as streams
@@ -284,6 +284,30 @@ STAR = "prng <> 0 and pbody <= 0.3 * prng and "
 _detector("star", _shapes([(STAR + "ac < ao and close > open and close > (ao + ac) / 2", "'long'", _at("morning_star"), BELOW), (STAR + "ac > ao and close < open and close < (ao + ac) / 2", "'short'", _at("evening_star"), ABOVE)]))
 
 
+@query("detect_market_structure", BARS_SQL + """
+, x as (select *, count(*) over w as k, max(high) over w as hi, min(low) over w as lo, lead(open_time, 5) over (partition by symbol order by i) as conf from b window w as (partition by symbol order by i rows between 5 preceding and 5 following)),
+sw as (select symbol, timeframe, i, 'H' as side, high as price, conf from x where k = 11 and high = hi union all select symbol, timeframe, i, 'L', low, conf from x where k = 11 and low = lo),
+st as (select *, last_value(case when side = 'H' then price end ignore nulls) over w as sh, last_value(case when side = 'L' then price end ignore nulls) over w as sl from sw window w as (partition by symbol order by i, side rows between unbounded preceding and 1 preceding)),
+ev as (select *, case when side = 'H' and price > sh then 'up' when side = 'L' and price < sl then 'down' end as event from st),
+tr as (select *, last_value(event ignore nulls) over (partition by symbol order by i, side rows between unbounded preceding and 1 preceding) as trend from ev),
+o as (select *, coalesce(case when event = 'up' then sl else sh end, 0) as other from tr where event is not null),
+z as (select * from o where case when price > 0 then case when event = 'up' then price - other else other - price end / price else 0 end >= 0.005 qualify row_number() over (partition by symbol, i order by side) = 1)
+final select symbol, timeframe, conf as open_time, case event when 'up' then 'long' else 'short' end as direction,
+  printf('%s_%s@%.2f', case when coalesce(trend <> event, false) then 'choch' else 'bos' end, case event when 'up' then 'long' else 'short' end, price) as reason, other as sl_price, false as low_volume, cast(null as double) as tp_price from z""", "sl_price")
+def _(s, d):
+    return structure.market_structure(hourly(s, d))
+
+
+@query("gap_zones", BARS_SQL + """
+, x as (select *, lag(high) over w as ph, lag(low) over w as pl, lead(low) over w as nl, lead(high) over w as nh from b window w as (partition by symbol order by i)),
+y as (select *, case when ph < nl then 'bull' else 'bear' end as side, case when ph < nl then ph else nh end as bottom, case when ph < nl then nl else pl end as top from x where ph < nl or pl > nh),
+z as (select * from y where top - bottom >= 0.001 * (top + bottom) / 2)
+final select z.symbol, z.timeframe, z.open_time, side, bottom, top, min(j.open_time) as crossed_at, min(j.open_time) is null as active
+from z left join b j on j.symbol = z.symbol and j.i between z.i + 2 and z.i + 101 and case when side = 'bull' then j.low <= (top + bottom) / 2 else j.high >= (top + bottom) / 2 end group by all""", "bottom top")
+def _(s, d):
+    return structure.gap_zones(hourly(s, d))
+
+
 # simulation, gates, confluence
 
 PINS = """
@@ -490,6 +514,58 @@ def _(s, d):
     return reports.path_cone(hourly(s, d, True))
 
 
+@query("weekly_flip_risk", BARS_SQL + WEEKS.format(0) + """
+, f as (select symbol, timeframe, case when lt < ht then 'low' else 'high' end as first, case when lt < ht then hd else ld end as second from wd)
+final select symbol, timeframe, first, cast(g.dow as integer) as dow, avg(cast(second > g.dow as integer)) as ahead, count(*) as n from f cross join (select unnest(range(1, 8)) as dow) g group by all""", "ahead")
+def _(s, d):
+    return reports.weekly_flip_risk(hourly(s, d))
+
+
+# the outcome ledger
+
+ALERTS = PINS + """
+, al as (select g.symbol, g.timeframe, g.open_time, g.i, direction, x.close as entry, g.sl_price as sl, case when direction = 'long' then x.close + 2 * (x.close - g.sl_price) else x.close - 2 * (g.sl_price - x.close) end as tp from sig g join b x using (symbol, i)),
+ah as (select al.symbol, al.i, min(j.i) as hit from al join b j on j.symbol = al.symbol and j.i between al.i + 1 and al.i + 24 where case when direction = 'long' then j.low <= sl or j.high >= tp else j.high >= sl or j.low <= tp end group by all),
+an as (select al.symbol, al.i, count(*) as n, max(j.i) as last from al join b j on j.symbol = al.symbol and j.i between al.i + 1 and al.i + 24 group by all),
+ao as (select al.*, j.open_time as hit_at, case when j.i is null then case when an.n >= 24 then 'expired' end when case when direction = 'long' then j.low <= sl else j.high >= sl end then 'loss' else 'win' end as outcome, e.close as last_close, e.open_time as last_at
+  from al left join ah using (symbol, i) left join b j on j.symbol = al.symbol and j.i = ah.hit left join an on an.symbol = al.symbol and an.i = al.i left join b e on e.symbol = al.symbol and e.i = an.last),
+ol as (select symbol, timeframe, open_time, direction, entry, sl, tp, outcome, (case outcome when 'loss' then sl when 'win' then tp when 'expired' then last_close end - entry) * case when direction = 'long' then 1 else -1 end / nullif(abs(entry - sl), 0) as outcome_r,
+  case when outcome = 'expired' then last_at else hit_at end as resolved_at from ao)
+"""
+
+
+def _ledger(s, d):
+    b = hourly(s, d)
+    a = detectors.pin_bar(b).join(b.select("symbol", "timeframe", "open_time", F.col("close").alias("entry")), ["symbol", "timeframe", "open_time"])
+    a = a.select("symbol", "timeframe", "open_time", "direction", "entry", F.col("sl_price").alias("sl"), (F.col("entry") + 2 * (F.col("entry") - F.col("sl_price"))).alias("tp"))
+    return outcomes.resolve(b, a, 24)
+
+
+@query("resolve_outcomes", BARS_SQL + ALERTS + "\nfinal select * from ol", "entry sl tp outcome_r")
+def _(s, d):
+    return _ledger(s, d)
+
+
+@query("outcome_totals", BARS_SQL + ALERTS + "\nfinal select count(*) as total_rows, count(outcome) as resolved, count(*) filter (outcome is null) as open_rows, count(*) filter (outcome = 'win') as wins, count(*) filter (outcome = 'loss') as losses, count(*) filter (outcome = 'expired') as expired from ol")
+def _(s, d):
+    return outcomes.totals(_ledger(s, d))
+
+
+@query("outcome_cells", BARS_SQL + ALERTS + """
+final select symbol, timeframe, direction, count(*) as n, count(*) filter (outcome = 'win') as wins, count(*) filter (outcome = 'loss') as losses, count(*) filter (outcome = 'expired') as expired,
+  avg(case outcome when 'win' then 1.0 when 'loss' then 0.0 end) as win_rate, avg(outcome_r) as avg_r from ol where outcome is not null group by symbol, timeframe, direction having count(*) >= 5""", "win_rate avg_r")
+def _(s, d):
+    return outcomes.cells(_ledger(s, d), ["symbol", "timeframe", "direction"], 5)
+
+
+@query("open_positions", BARS_SQL + ALERTS + """
+, mk as (select symbol, last(close order by open_time) as mark from bars group by symbol),
+sg as (select ol.*, mark, case when direction = 'long' then 1 else -1 end as g, abs(entry - sl) as risk from ol left join mk using (symbol) where outcome is null)
+final select symbol, timeframe, open_time, direction, entry, sl, tp, mark, (mark - entry) * g / nullif(risk, 0) as open_r, (mark - sl) * g / nullif(risk, 0) as to_stop, (tp - mark) * g / nullif(risk, 0) as to_target from sg""", "entry sl tp mark open_r to_stop to_target")
+def _(s, d):
+    return outcomes.marked(_ledger(s, d), hourly(s, d))
+
+
 # digests of the run ledger
 
 POOLED = "sum({0} * {1}) / nullif(sum({1}) filter ({0} is not null), 0)"
@@ -581,6 +657,23 @@ def _(s, d):
     return reports.directional_ratings(_runs(s, d))
 
 
+SLICES = """
+, g as (select strategy, timeframe, ['asia', 'europe', 'us'][hour(make_timestamp(entry_time * 1000)) // 8 + 1] as session, count(*) as n, avg(pnl_r) as avg_r, avg(cast(pnl_r > 0 as integer)) as win_rate from t group by all)
+"""
+
+
+@query("edge_slices", TRADES_SQL + SLICES + "\nfinal select *, n / sum(n) over (partition by strategy) as share from g", "avg_r win_rate share")
+def _(s, d):
+    return reports.edge_slices(tables.trades(s, d))
+
+
+@query("edge_verdicts", TRADES_SQL + SLICES + """
+, m as (select strategy, timeframe, sum(avg_r * n) / sum(n) as avg_r, cast(sum(n) as bigint) as n, count(*) filter (avg_r > 0) as good, count(*) as slices from g group by all)
+final select *, case when n < 30 then 'INSUFFICIENT' when avg_r < 0 and good = 0 then 'KILL' when avg_r < 0 then 'DEMOTE' else 'KEEP' end as verdict from m""", "avg_r")
+def _(s, d):
+    return reports.verdicts(reports.edge_slices(tables.trades(s, d)))
+
+
 # daily books
 
 PANEL = DAILY_SQL + ", p as (select cast(make_timestamp(open_time * 1000) as date) as date, symbol, close, close / lag(close) over (partition by symbol order by open_time) - 1 as ret from bars)\n"
