@@ -80,11 +80,37 @@ def _open(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.
 
 
 def dual_search(sizes: np.ndarray, comps: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that may be linked, of different components; with ``side``, only pairs of side 0 with side 1."""
-    words = max(len(b) for b in bitmaps)
-    if min(len(b) for b in bitmaps) < words:
-        words = min(len(b) for b in bitmaps)
-    bits = np.stack([fold(b, words) for b in bitmaps])
+    """Index pairs that may be linked, of different components; with ``side``, only pairs of side 0 with side 1.
+
+    Bitmaps of one width make a tree; each tree is searched against itself and those of other widths that sizes allow,
+    the wider bitmaps folded.
+    """
+    width = np.array([len(b) for b in bitmaps])
+    out = []
+    for w in np.unique(width):
+        narrow = np.flatnonzero(width == w)
+        near = 100 * sizes[narrow].max() >= percent * sizes
+        wide = np.flatnonzero((width > w) & near)
+        own = np.stack([bitmaps[i] for i in narrow])
+        sets = [(narrow, own, None if side is None else side[narrow])]
+        if len(wide):
+            both = np.concatenate([narrow, wide])
+            bits = np.concatenate([own, np.stack([fold(bitmaps[i], int(w)) for i in wide])])
+            which = (width[both] > w).astype(int)
+            if side is None:
+                sets.append((both, bits, which))
+            else:
+                for s in (0, 1):
+                    keep = np.where(which == 1, side[both] == 1 - s, side[both] == s)
+                    sets.append((both[keep], bits[keep], which[keep]))
+        for at, bits, apart in sets:
+            i, j = _dual(sizes[at], comps[at], bits, apart, percent)
+            out.append((at[i], at[j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _dual(sizes: np.ndarray, comps: np.ndarray, bits: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``dual_search`` over bitmaps of one width."""
     order = np.lexsort((bits[:, 0], comps, sizes))
     parts = [order] if side is None else [order[side[order] == 0], order[side[order] == 1]]
     if not all(len(p) for p in parts):
@@ -252,8 +278,11 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = placed.join(mixed, "key").join(sets.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc").select("key", "c", "doc", "comp", "n", "bits")
     found = _searched(open_, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.union(_confirmed(found, docs, percent))
-    tops = staged(connected_components(links), "components").select(F.col("id").alias("rep"), "component")
+    more = _confirmed(found, docs, percent)
+    tops = first.select(F.col("doc").alias("rep"), "component")
+    if not more.isEmpty():  # components so far stand for the links that made them
+        both = tops.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)
+        tops = staged(connected_components(both), "components").select(F.col("id").alias("rep"), "component")
     known = own.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").join(tops, "rep", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
