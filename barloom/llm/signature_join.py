@@ -1,10 +1,11 @@
 """Exact Jaccard join of word shingles by signature trees.
 
 A document's set is its distinct 5-word shingles, hashed to 64 bits. Equal sets are joined to one representative first.
-Two sets at or above the threshold share a token among the first ``n - ceil(t * n) + 1`` of either, in the order of the
-hashes, so representatives meet in groups by such a token; groups of the same members are one. Each member is compared
+Two sets at or above the threshold share a token among the first ``n - ceil(t * n) + 1`` of either, in any one order of
+all tokens, so representatives meet in groups by such a token; groups of the same members are one. The order is that of
+the hashes, with frequent tokens last: a passage that many documents share makes no group of them. Each member is compared
 with its group's smallest one, which ties near copies together at one pair each. Groups that still hold several
-components are searched with signature trees: leaves hold a set's token bitmap and size, inner nodes the OR of the
+components are parted by size and searched with signature trees: leaves hold a set's token bitmap and size, inner nodes the OR of the
 bitmaps and the range of sizes, and a dual traversal leaves out pairs of nodes whose largest possible overlap is too
 small or that lie in one component. Large groups are cut in blocks, and each pair of blocks is a task's work. Pairs
 that are left are confirmed on the shingles of the whole texts.
@@ -12,6 +13,7 @@ that are left are confirmed on the shingles of the whole texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ WORDS = 5
 PERCENT = 80
 BLOCK = 2048
 FANOUT = 8
+FREQUENT = 8  # texts that have a token in front, from which it is frequent
+MOST_FREQUENT = 1 << 20  # tokens called frequent at most, the most frequent ones: 8 MB
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -36,6 +40,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
+def front(h: np.ndarray, percent: int = PERCENT, last: np.ndarray | None = None) -> np.ndarray:
+    """The tokens of which linked sets share one: the first by hash, those in ``last`` (sorted) after all others."""
+    n = len(h) - -(-percent * len(h) // 100) + 1
+    if last is None or not len(last) or not len(h):
+        return h[:n]
+    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+    return np.concatenate([h[~late], h[late]])[:n]
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """Token bitmap of at least four bits a token, as 64-bit words; a power of two, so that wider ones fold."""
     wide = 1 << max(9, int(4 * max(len(h), 1) - 1).bit_length())
@@ -144,8 +157,36 @@ def _dual(sizes: np.ndarray, comps: np.ndarray, bits: np.ndarray, side: np.ndarr
     return parts[0][i], parts[-1][j]
 
 
+def frequent_tokens(docs: DataFrame, percent: int = PERCENT, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Sorted tokens that ``least`` or more texts have in front. Of more than ``most``, ``least`` is doubled until they fit.
+
+    Any set gives right links, as it only orders tokens. Counted over all texts; the driver gets at most ``most`` hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, len(b), 512):
+                got = [front(shingles(t.as_py()), percent) for t in b.column("text")[s : s + 512]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["key"])
+
+    counts = staged(docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= least), "frequent")
+    step = F.floor(F.log2(F.col("c") / least) + 1e-9).cast("int")
+    steps = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, lowest = 0, None
+    for k, n in steps:
+        total += n
+        if total > most:
+            break
+        lowest = k
+    if lowest is None:
+        return np.zeros(0, np.uint64)
+    keys = counts.where(step >= lowest).select("key").toArrow().column("key").to_numpy()
+    return np.sort(keys.view(np.uint64))
+
+
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n, f1, f2, prefix, bits`` of each row's whole text: size, fingerprint, prefix tokens, token bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +199,7 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                     f1.append(int(h.sum(dtype=np.uint64)) - (1 << 63))
                     f2.append(int(np.bitwise_xor.reduce(mixed)) - (1 << 63) if len(h) else 0)
-                    prefix.append(h[: len(h) - -(-percent * len(h) // 100) + 1].view(np.int64))
+                    prefix.append(front(h, percent, sent.value).view(np.int64))
                     bits.append(bitmap(h).tobytes() if len(h) else b"")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "f1", "f2", "prefix", "bits"])
 
@@ -178,16 +219,29 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
+def _by_size(placed: DataFrame, percent: int) -> DataFrame:
+    """``placed(key, doc, comp, n)`` in the groups ``(key, g)`` that may hold links of two components, with size ``c``.
+
+    Size classes are as wide as sizes of linked sets lie apart, so those are in one class or in neighbours; a set is in
+    the group of its class and in the next one's, and groups in which none has that class are left out.
+    """
+    wide = max(math.log(100 / percent), 0.01) * 1.000001
+    own = placed.withColumn("own", F.floor(F.log("n") / wide).cast("int"))
+    own = own.withColumn("g", F.explode(F.array("own", F.col("own") + 1)))
+    open_ = own.groupBy("key", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("top"), F.count("*").alias("c"))
+    return own.join(open_.where("lo < hi and top = g").select("key", "g", "c"), ["key", "g"]).select("key", "g", "c", "doc", "comp")
+
+
 def _searched(members: DataFrame, percent: int) -> DataFrame:
-    """Tree search in ``members(key, c, doc, comp, n, bits)``: candidate pairs ``(a, b)``, a > b."""
+    """Tree search in ``members(key, g, c, doc, comp, n, bits)``: candidate pairs ``(a, b)``, a > b."""
     cut = members.withColumn("k", F.ceil(F.col("c") / BLOCK).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    cut = cut.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp", "n", "bits")
+    cut = cut.select("key", "g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp", "n", "bits")
 
     def run(batches):
         a, b = [], []
-        for rows in _groups(batches, 3):
-            _, lo, hi, side, doc, comp, n, bits = zip(*rows, strict=True)
+        for rows in _groups(batches, 4):
+            _, _, lo, hi, side, doc, comp, n, bits = zip(*rows, strict=True)
             comp = np.array(comp, np.int64)
             if len(rows) > 1 and comp.min() < comp.max():
                 i, j = dual_search(np.array(n, np.int64), comp, [np.frombuffer(x, np.uint64) for x in bits], None if lo[0] == hi[0] else np.array(side), percent)
@@ -200,13 +254,14 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return cut.repartition("key", "g", "lo", "hi").sortWithinPartitions("key", "g", "lo", "hi").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose sizes and bitmaps allow a link."""
-    s = sets.select("doc_id", "n", "bits")
-    both = pairs.join(s.toDF("a", "na", "x"), "a").join(s.toDF("b", "nb", "y"), "b").where(f"na * 100 >= {percent} * nb and nb * 100 >= {percent} * na")
+    """Pairs ``(a, b)`` whose sizes, then bitmaps allow a link."""
+    n, bits = sets.select("doc_id", "n"), sets.select("doc_id", "bits")
+    sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(f"na * 100 >= {percent} * nb and nb * 100 >= {percent} * na")
+    both = sized.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
 
     def run(batches):
         for t in batches:
@@ -270,14 +325,14 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posts = sets.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"))
     lists = posts.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("hub")).where("c > 1")
     lists = staged(lists.groupBy("c", "x", "hub").agg(F.min("key").alias("key")).drop("x"), "lists")
-    members = staged(posts.join(lists, "key"), "members")
+    members = staged(posts.join(lists.drop("c"), "key"), "members")
     tried = staged(members.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
     links = _confirmed(_possible(tried, sets, percent), docs, percent)
     first = staged(connected_components(links), "first").select(F.col("id").alias("doc"), "component")
-    placed = staged(members.join(first, "doc", "left").select("key", "c", "doc", F.coalesce("component", "doc").alias("comp")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key").join(sets.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc").select("key", "c", "doc", "comp", "n", "bits")
-    found = _searched(open_, percent).join(tried, ["a", "b"], "left_anti")
+    one = sets.select(F.col("doc_id").alias("doc"), "n", "bits")
+    placed = members.join(first, "doc", "left").join(one.select("doc", "n"), "doc").select("key", "doc", F.coalesce("component", "doc").alias("comp"), "n")
+    open_ = staged(_by_size(staged(placed, "placed"), percent), "open")
+    found = _searched(open_.join(one, "doc"), percent).join(tried, ["a", "b"], "left_anti")
     more = _confirmed(found, docs, percent)
     tops = first.select(F.col("doc").alias("rep"), "component")
     if not more.isEmpty():  # components so far stand for the links that made them

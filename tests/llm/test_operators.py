@@ -159,6 +159,23 @@ def test_large_groups_are_cut_and_searched_whole(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_frequent_tokens_go_last_and_lose_no_link(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"q{i // 2}x{j}" for j in range(60 + i % 2))) for i in range(40)]
+    rows += [(100 + i, passage + f" end{i}") for i in range(6)]  # nearly nothing but frequent tokens
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = signature_join.frequent_tokens(docs, least=8)
+    assert set(found.tolist()) <= set(signature_join.shingles(passage).tolist()) and len(found) > 5
+    assert not len(signature_join.frequent_tokens(docs, least=8, most=1))
+    monkeypatch.setattr(signature_join, "frequent_tokens", lambda *_: found)
+    got = {r.doc_id: r.component_id for r in signature_join.components(docs).collect()}
+    assert got == brute_components(rows)
+    sets = [signature_join.shingles(t) for _, t in rows]
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * (c := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - c):
+            assert len(np.intersect1d(signature_join.front(a, 80, found), signature_join.front(b, 80, found)))
+
+
 def test_counts_are_the_tokenizers(spark, docs, none):
     import sentencepiece
     from tokenizers import Tokenizer, models
