@@ -240,6 +240,42 @@ def test_passages_cover_every_repeat(spark, docs, none):
                 assert any(a <= i and i + 50 <= b for a, b in cover.get(r.doc_id, [])), (r.doc_id, i)
 
 
+def some_words(tag, n):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+def spans(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {(r.doc_id, r.start, r.stop) for r in chain_dedup.passages(df).collect()}
+
+
+def test_passages_with_edits_near_both_ends_and_second_copies(spark):
+    p = some_words("p", 60)
+    swap, cut = list(p), [w for w in p if w not in ("p6", "p52")]
+    swap[10], swap[50] = "other", "words"
+    texts = [some_words("a", 40) + p + some_words("b", 40), some_words("c", 40) + swap + some_words("d", 40), some_words("e", 40) + cut + some_words("f", 40)]
+    texts.append(some_words("g", 40) + p + some_words("h", 40) + p + some_words("i", 40))
+    assert spans(spark, texts) == {(1, 40, 100), (2, 40, 98), (3, 40, 100), (3, 140, 200)}
+    # the source holds parts of the passage before it, and a document with very many equal seeds the passage twice
+    texts = [p[:30] + some_words("a", 200) + p[30:] + some_words("b", 200) + p, some_words("c", 40) + p + some_words("d", 40), ["rep"] * 600 + p, ["rep"] * 700 + p + some_words("e", 30) + p]
+    got = spans(spark, texts)
+    assert (1, 40, 100) in got and (2, 600, 660) in {(d, max(a, 600), b) for d, a, b in got} and {(3, 0, 760), (3, 790, 850)} <= got
+
+
+def test_anchors_of_many_equal_seeds():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 3, 80).tolist(), rng.integers(0, 3, 90).tolist()
+    seeds = [([i for i, v in enumerate(x) if v == s], [i for i, v in enumerate(y) if v == s]) for s in range(3)]
+    to = dict(zip(*(a.tolist() for a in chain_dedup.anchors(seeds)), strict=True))
+    assert len(to) == 80 and all(x[i] == y[j] for i, j in to.items())
+
+    def run(i, j):
+        a = next(k for k in itertools.count() if i - k < 0 or j - k < 0 or x[i - k] != y[j - k])
+        return a + next(k for k in itertools.count(1) if i + k >= 80 or j + k >= 90 or x[i + k] != y[j + k])
+
+    assert all(run(i, to[i]) == max(run(i, j) for j in range(90) if x[i] == y[j]) for i in range(80))
+
+
 def test_chain_scores_against_all_predecessors():
     rng = np.random.default_rng(2)
     for _ in range(30):
