@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -363,6 +364,25 @@ def test_templates_find_themselves_only(name):
             assert [h[0] for h in license_scan.scan_block(block)] == [name]
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_templates_wrapped_twice_and_in_long_lines(name):
+    ids = lambda text: [h[0] for h in license_scan.scan_block(text)]
+    for t in license_scan.TEMPLATES[name]:
+        for mark in ("", "# ", " * ", "// "):
+            assert ids("\n".join(mark + x for x in textwrap.wrap(f"Foo bar. {t} And so on.", 40))) == [name]
+        assert ids(f"{t} {t}") == [name] * 2 and ids(f"Foo. {t} Then more of it. {t} End.") == [name] * 2
+        far = " ".join(f"w{i}" for i in range(10_000))
+        assert ids(f"{far} {t} {far}") == [name]
+
+
+def test_wrapped_license_is_one_row(spark):
+    mit = license_scan.TEMPLATES["MIT"][2]
+    text = "x\n" + "\n".join("# " + x for x in textwrap.wrap(mit, 70)) + "\n\n# See. Released under the MIT License."
+    got = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("line").collect()
+    n = len(textwrap.wrap(mit, 70))
+    assert [(r.line, r.license, r.start, r.n_differing) for r in got] == [(1, "MIT", 0, 0), (n + 2, "MIT", 1, 0)] and got[0].wording.count("\n") == n - 1
+
+
 def test_license_wording_and_odd_rows(spark, docs, none):
     scan = license_scan.scan_block
     assert scan("Licensed under CC BY-XX 4.0.") == [] and scan("Licensed under the Apache License, Version 1.1.") == [] and scan("a license to drive") == []
