@@ -131,6 +131,13 @@ def test_components_against_all_pairs(spark, docs, none):
     assert signature_join.components(none).count() == 0
 
 
+def test_repeated_rows_of_one_id_and_text_stay_once(docs):
+    rows = signature_join.keep_first(docs.union(docs.where("doc_id is null"))).collect()
+    ids = [r.doc_id for r in rows]
+    assert ids.count(11) == 1 and ids.count(None) == 2 and len(ids) == 12
+    assert {r for r in rows if r.doc_id == 11} == set(docs.where("doc_id = 11").collect())
+
+
 def test_tree_search_finds_all_links():
     rng = np.random.default_rng(3)
     sets = []
