@@ -270,6 +270,47 @@ def test_passages_with_edits_near_both_ends_and_second_copies(spark):
     assert (1, 40, 100) in got and (2, 600, 660) in {(d, max(a, 600), b) for d, a, b in got} and {(3, 0, 760), (3, 790, 850)} <= got
 
 
+def test_own_words_between_repeats_stay(spark):
+    gaps = (5, 16, 17, 100, 200, 300, 600)
+    texts, want = [], set()
+    for k, g in enumerate(gaps):
+        a, b = some_words(f"a{k}_", 300), some_words(f"b{k}_", 400)
+        texts += [a + some_words(f"g{k}_", g) + b, some_words(f"s{k}_", 9) + a + some_words(f"h{k}_", g) + b, a + b + some_words(f"e{k}_", 9)]
+        want |= {(3 * k + 1, 9, 709 + g)} if g <= 16 else {(3 * k + 1, 9, 309), (3 * k + 1, 309 + g, 709 + g)}
+        want |= {(3 * k + 2, 0, 700)}  # words that only the first has lie between
+    assert spans(spark, texts) == want
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r.doc_id: r.text.split() for r in chain_dedup.remove_repeats(df).collect()}
+    assert all(left[3 * k + 1] == some_words(f"s{k}_", 9) + (some_words(f"h{k}_", g) if g > 16 else []) and left[3 * k + 2] == some_words(f"e{k}_", 9) for k, g in enumerate(gaps))
+
+
+def test_fuzzy_passages_are_found_and_nothing_else(spark):
+    """Passages of 60 to 300 words with one word in twelve changed, dropped or added, among words of nobody else."""
+    rng = np.random.default_rng(11)
+    texts, held = [], []
+    for k in range(40):
+        p = some_words(f"p{k}_", int(rng.integers(60, 300)))
+        q = []
+        for i, w in enumerate(p):
+            r = rng.random()
+            q += [] if r < 0.03 else [f"c{k}_{i}"] if r < 0.06 else [w, f"i{k}_{i}"] if r < 0.08 else [w]
+        before = int(rng.integers(0, 80))
+        texts += [some_words(f"x{k}_", 30) + p + some_words(f"y{k}_", 30), some_words(f"u{k}_", before) + q + some_words(f"v{k}_", 50)]
+        held.append((2 * k + 1, before, before + len(q)))
+    got = spans(spark, texts)
+    words = {(d, i) for d, a, b in got for i in range(a, b)}
+    true = {(d, i) for d, a, b in held for i in range(a, b)}
+    assert len(words & true) / len(true) > 0.93 and len(words & true) / len(words) > 0.99
+
+
+def test_self_repeating_texts_need_few_chains():
+    x, y = chain_dedup.anchors([(list(range(900)), list(range(200)))])
+    kept = list(chain_dedup.needed(x, y, chain_dedup.chains(x, y)))
+    assert len(kept) < 12 and {int(i) for c in kept for i in x[c]} == set(range(900))
+    x, y = chain_dedup.anchors([(list(range(0, 300, 10)), list(range(0, 300, 10)))])
+    assert len(list(chain_dedup.needed(x, y, chain_dedup.chains(x, y)))) == 1
+
+
 def test_frequent_lines_in_new_order_are_no_passage(spark):
     lines = [some_words(f"line{i}_", 30) for i in range(4)]
     texts = [some_words(f"a{i}", 40) + line + some_words(f"b{i}", 40) for i, line in enumerate(lines)]
