@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # fixed values: elements by their part in a page, and name parts that mark unwanted ones
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "head", "title", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")  # hold text only, up to their end tag
+SKIPPED = ("noscript", "template", "svg", "math", "object", "select", "canvas", "audio", "video", "datalist", "rp")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
@@ -41,8 +43,9 @@ _NAME = {w: k for k, ws in NAMES.items() for w in ws}
 FEATURES = [*(f"in {p}" for p in PARTS), *(f"named {k}" for k in NAMES), "header in article", "hidden", "word"]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 FLOOR = -3.0
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# as the HTML tokeniser reads attributes: a quote opens a value only right after "=", and ">" ends all else
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))?+)?+")
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]++(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{re.sub(r'[(](?=[^?])', '(?:', _ATTR.pattern)})*+)(?:>|\Z)", re.S)
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,7 @@ def _marks(tag: str, attrs: str, inside_article: bool) -> frozenset[int]:
         found = {_AT["header in article"]}
     if attrs:
         for k, a, b, c in _ATTR.findall(attrs):
-            k, v = k.lower(), (a or b or c).lower()
+            k, v = k.lower(), html.unescape(a or b or c).lower()
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
                 found.add(_AT["hidden"])
             elif k in ("class", "id", "role"):
@@ -69,63 +72,85 @@ def _marks(tag: str, attrs: str, inside_article: bool) -> frozenset[int]:
     return frozenset(found)
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element with what holds for all that stands in it."""
+
+    tag: str
+    marks: frozenset[int]
+    place: int  # number of the innermost marked element
+    inside: bool  # of an article or the main part
+    skipped: bool
+    block: int  # index on the stack of the innermost block, -1 without
+
+
 def read(page: str) -> list[tuple]:
     """A page as ``("tag",)``, ``("block",)`` and ``("text", string, marks, element)`` in order; raw elements are passed over.
 
-    ``marks`` are the features of the open elements, ``element`` numbers the innermost one that has a mark.
+    ``marks`` are the features of the open elements, ``element`` numbers the innermost one that has a mark. Each tag
+    takes the same time, however deep it stands.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, frozenset[int], int]] = []
-    marks, place, counter, at = frozenset([_AT["word"]]), 0, 0, 0
-    n = len(page)
+    root = _Open("", frozenset([_AT["word"]]), 0, False, False, -1)
+    stack: list[_Open] = []
+    many: Counter = Counter()  # open elements by name
+    last: dict[str, int] = {}  # raw elements without a further end tag
+    counter, at, n = 0, 0, len(page)
+
+    def drop(to: int) -> None:
+        for o in stack[to:]:
+            many[o.tag] -= 1
+        del stack[to:]
 
-    def text(lo, hi):
-        if hi > lo:
-            out.append(("text", html.unescape(page[lo:hi]), marks, place))
+    def text(s: str) -> None:
+        top = stack[-1] if stack else root
+        if s and not top.skipped:
+            out.append(("text", s, top.marks, top.place))
 
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            cut = re.search(r"<[/!?a-zA-Z][^<]*\Z", page[at:])
-            text(at, at + cut.start() if cut else n)
+            text(html.unescape(page[at:]))
             break
-        text(at, m.start())
+        text(html.unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
         tag, close = m[2].lower(), bool(m[1])
         if tag in RAW and not close:
-            if m[3].rstrip().endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = None if tag in last else re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             if end:
                 at = end.end()
-            elif tag not in ("head", "title"):
+            elif tag in ("script", "style"):
                 at = n
+            else:
+                last[tag] = at
             continue
         if tag == "br":
-            out.append(("text", " ", marks, place))
+            text(" ")
             continue
         out.append(("block",) if tag in BLOCKS else ("tag",))
         if close:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-        else:
-            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            if tag in BLOCKS:  # a paragraph ends at the next block, whatever stands open inside it
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in BLOCKS:
-                        if stack[i][0] == "p":
-                            del stack[i:]
-                        break
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
-                counter += 1
-                inside = any(s[0] in ("article", "main") for s in stack)
-                stack.append((tag, _marks(tag, m[3], inside), counter))
-        marks = frozenset([_AT["word"]]).union(*(s[1] for s in stack))
-        place = next((s[2] for s in reversed(stack) if s[1] and s[0] not in ("p", "a", "li", "h1", "h2", "h3")), 0)
+            if many[tag]:
+                to = len(stack) - 1
+                while stack[to].tag != tag:
+                    to -= 1
+                drop(to)
+            continue
+        while stack and tag in CLOSED_BY.get(stack[-1].tag, ()):
+            drop(len(stack) - 1)
+        if tag in BLOCKS and stack and stack[-1].block >= 0 and stack[stack[-1].block].tag == "p":
+            drop(stack[-1].block)  # a paragraph ends at the next block, whatever stands open inside it
+        if tag in VOID:
+            continue
+        top = stack[-1] if stack else root
+        if m[3].endswith("/") and (top.skipped or tag in SKIPPED):
+            continue  # elements of pictures and formulas may end in themselves
+        counter += 1
+        own = _marks(tag, m[3], top.inside)
+        place = counter if own and tag not in ("p", "a", "li", "h1", "h2", "h3") else top.place
+        stack.append(_Open(tag, top.marks | own if own else top.marks, place, top.inside or tag in ("article", "main"), top.skipped or tag in SKIPPED, len(stack) if tag in BLOCKS else top.block))
+        many[tag] += 1
     return out
 
 
@@ -196,7 +221,8 @@ def labelled_pages() -> list[str]:
         f"<header><h1>{k(7)}</h1></header><p>{k(45)}</p><blockquote><p>{k(20)}</p></blockquote><aside>{d(25)}</aside><pre>{k(15)}</pre><p>{k(10)}</p>",
         f"<h2>{k(4)}</h2><p>{k(80)}</p><div class='share-buttons'><a>{d(1)}</a><a>{d(1)}</a></div><table><tr><td>{k(4)}</td><td>{k(3)}</td></tr></table><figure>{k(6)}</figure><form><label>{d(3)}</label><button>{d(1)}</button></form><p>{k(12)}</p>",
     ]
-    holders = ["<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<div id='content'><div class='entry'>{}</div></div>", "<div>{}</div>", "<section>{}</section>"]
+    inner.append(f"{k(50)}<br><br>{k(60)} <b>{k(3)}</b> {k(20)}<div>{k(30)}</div>")  # old pages have bare text
+    holders = ["{}", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<div id='content'><div class='entry'>{}</div></div>", "<div>{}</div>", "<section>{}</section>", "<main id='content'><article class='post story'><div class='body'>{}</div></article></main>"]
     before = [
         f"<nav><ul><li><a>{d(1)}</a></li><li><a>{d(2)}</a></li></ul></nav><div class='ad'>{d(9)}</div>",
         f"<header><div class='logo'>{d(2)}</div><p>{d(6)}</p></header><div id='cookie-notice'><p>{d(25)}</p></div>",
@@ -209,7 +235,8 @@ def labelled_pages() -> list[str]:
         f"<section id='comments'><h2>{d(2)}</h2><article class='comment'><p>{d(40)}</p></article><div class='comment'><p>{d(30)}</p></div></section><div class='footer'>{d(8)}</div>",
         f"<div class='related'><h3>{d(2)}</h3><p>{d(15)}</p></div><div class='newsletter'><form>{d(5)}</form></div><div class='sidebar'><p>{d(20)}</p></div><address>{d(7)}</address>",
     ]
-    return [f"<html><body>{b}{h.format(x)}{a}</body></html>" for x, h, b, a in itertools.product(inner, holders, before, after)]
+    wraps = ["{}", "<div class='main content'>{}</div>"]  # names that say nothing, as they stand around all
+    return [f"<html><body>{f.format(b + h.format(x) + a)}</body></html>" for x, h, b, a, f in itertools.product(inner, holders, before, after, wraps)]
 
 
 def learn(pages: list[str] | None = None, ridge: float = 2e-3, steps: int = 1500) -> Weights:
