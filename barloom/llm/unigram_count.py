@@ -3,8 +3,8 @@
 An Aho-Corasick automaton names every vocabulary piece that ends at each character; dynamic programming carries the best
 score and its piece count and no path. Ties are the tokenizer's: of equal scores for one end, the piece that starts
 first stays. A character without a piece of its own scores ten below the worst piece and counts its UTF-8 bytes.
-Scores are whole numbers in double precision, so sums are exact, and as no piece has a space after other characters,
-each run between spaces is counted for itself and remembered.
+Where scores are whole numbers, sums are exact; if then no piece has a space after other characters, each run between
+spaces is counted for itself and remembered. Otherwise a text is counted in one go, adding in the tokenizer's order.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ class Counting:
         self.machine.add_word("\0" * 64, (64, -math.inf))  # an automaton needs a word
         self.machine.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_BELOW
-        self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
+        self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) or s != int(s) for p, s in pieces)
         self.single = frozenset(p for p, _ in pieces if len(p) == 1)
         self.known: dict[str, tuple[int, float]] = {}
 
