@@ -20,6 +20,7 @@ from .common import new_path, staged
 
 PER_FILE = 1000
 BATCH_BYTES = 4 << 20
+PIECE = 1 << 14
 REVISIT_FROM = 100
 # fixed values of the formats
 ARC_FIELDS = {
@@ -33,14 +34,19 @@ WARC_SCHEMA = "file string, offset long, type string, record_id string, fields m
 
 
 def inflate(data: bytes) -> bytes:
-    """A gzip file of one or many members, or plain bytes as they are."""
+    """A gzip file of one or many members, or plain bytes as they are. A member that breaks off ends the file."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
+    out, at, view = [], 0, memoryview(data)
+    while data[at : at + 2] == b"\x1f\x8b":
+        d, piece = zlib.decompressobj(31), PIECE
+        try:
+            while at < len(data) and not d.eof:  # what comes before a fault is kept
+                out.append(d.decompress(view[at : at + piece]))
+                at, piece = at + piece, min(piece * 2, PIECE << 6)
+        except zlib.error:
+            break
+        at = min(at, len(data)) - len(d.unused_data)
     return b"".join(out)
 
 
@@ -85,7 +91,10 @@ def parse_arc(data: bytes) -> Iterator[tuple]:
 
 
 def parse_warc(data: bytes) -> Iterator[tuple]:
-    """``(offset, type, record_id, fields, head, payload)`` of each record; field names in lower case."""
+    """``(offset, type, record_id, fields, head, payload)`` of each record; field names in lower case.
+
+    A record without a readable length goes to the next record, or to the end.
+    """
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         stop = data.find(b"\r\n\r\n", at)
@@ -95,7 +104,12 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
         for line in data[at:stop].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             fields[k.strip().decode("utf-8", "replace").lower()] = v.strip().decode("utf-8", "replace")
-        n = int(fields.get("content-length", "0"))
+        size = fields.get("content-length", "0")
+        if size.isdecimal():
+            n = int(size)
+        else:
+            end = data.find(b"\r\n\r\nWARC/1.", stop + 4)
+            n = (end if end >= 0 else len(data.removesuffix(b"\r\n\r\n"))) - stop - 4
         block = data[stop + 4 : stop + 4 + n]
         head, payload = _http(block) if "msgtype=response" in fields.get("content-type", "") else (b"", block)
         yield at, fields.get("warc-type", ""), fields.get("warc-record-id", ""), fields, head, payload
