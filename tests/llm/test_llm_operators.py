@@ -1,11 +1,14 @@
 """Each operator on odd rows and empty tables, against brute force, round trips or held-out labels."""
 
+import gzip
 import hashlib
 import itertools
 import re
 import textwrap
+import time
 
 import numpy as np
+import pages
 import pytest
 
 from barloom.llm import chain_dedup, common, decontaminate, jpeg_media, license_scan, main_text, mixture, pu_quality, signature_join, unigram_count, warc_convert
@@ -38,6 +41,23 @@ def test_arc_headers_of_both_versions_and_broken_lines():
     assert [(r[1], r[2], r[6], r[8]) for r in got] == [(1, "filedesc://a", None, b"1 0 x\nF\n"), (1, "http://a/b c", None, b"hello"), (2, "filedesc://b", 200, b"2 0 x\nF\n"), (2, "http://c/", 404, b"hello"), (2, "http://d/", 200, b"cut")]
 
 
+def test_broken_archives_give_what_is_there(spark, tmp_path):
+    member = gzip.compress(b"http://a/ 1.2.3.4 20200102030405 text/html 5\nhello\n")
+    assert warc_convert.inflate(member + member[:-9]).startswith(warc_convert.inflate(member))
+    assert warc_convert.inflate(member + b"\x1f\x8bjunk") == warc_convert.inflate(member)
+    (tmp_path / "x.arc.gz").write_bytes(member + b"\x1f\x8bjunk")
+    assert [r.payload for r in warc_convert.read_arc(spark, str(tmp_path)).collect()] == [b"hello"]
+    one = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: many\r\n\r\nabc\r\n\r\n"
+    two = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
+    assert [r[5] for r in warc_convert.parse_warc(one + two + one)] == [b"abc", b"xyz", b"abc"]
+
+
+def test_repeated_pages_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "u", "é" * 60, "response", 1), (1, "u", "é" * 60, "x", 2), (2, "u", "é" * 60, "y", 3)], "page_id long, url string, html string, record_type string, id int")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc_convert.archived(df).collect())
+    assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
 def test_jpeg_round_trip(docs, none):
     got = jpeg_media.features(jpeg_media.encode(docs)).collect()
     assert len(got) == docs.count() and jpeg_media.features(jpeg_media.encode(none)).count() == 0
@@ -199,6 +219,22 @@ def test_counts_are_the_tokenizers(spark, docs, none):
     assert unigram_count.count_tokens(none, [("a", 1.0)]).count() == 0
 
 
+def test_counts_with_real_scores_follow_the_tokenizers_order_of_sums():
+    from tokenizers import Tokenizer, models
+
+    rng = np.random.default_rng(8)
+    letters = list("abcd▁")
+    words = sorted({"".join(rng.choice(letters[:4], n)) for n in rng.integers(2, 5, 60)} | {"▁" + "".join(rng.choice(letters[:4], n)) for n in rng.integers(1, 4, 30)})
+    pieces = [(w, float(-rng.random() * 3)) for w in letters + words]
+    pieces += [("x", 0.1 - 0.2), ("xx", 0.2 - 0.4)]  # tied but for rounding
+    theirs = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+    c = unigram_count.Counting(pieces)
+    assert not c.apart
+    for _ in range(200):
+        t = "".join(rng.choice(list("abcdx "), int(rng.integers(1, 60))))
+        assert c.count(t)[0] == len(theirs.encode("▁" + t.replace(" ", "▁")).tokens), t
+
+
 def test_count_ties_and_pieces_across_spaces():
     tied = unigram_count.Counting([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("c", -3.0), ("bc", -4.0), ("▁", -1.0)])
     assert tied.count("ab") == (2, -3.0) and tied.count("abc") == (3, -6.0)  # the earliest start wins: ab, then c
@@ -214,11 +250,36 @@ def test_main_text_of_labelled_and_odd_pages(spark):
         assert "drop" not in t and t.count("keep") == len(re.findall("keep", p))
     page = "<nav>x y</nav><article><h1>A &amp; B</h1><p>one<b> two</b>three<br>four\n five &eacute;<div class=ad>buy this now</div><p>six &copy; seven<form>name</form></article><section id=comments><p>I think that this is nice</section><footer>(c)"
     assert main_text.main_text(page, w) == "A & B\n\none twothree four five é\n\nsix © seven"
-    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, "<p"), (3, "u", page), (4, "u", "<<>><p>" * 2000), (None, "u", "<script>never closed")], "page_id long, url string, html string")
+    rows = [(1, "u", None), (2, None, ""), (2, None, "<p"), (3, "u", page), (4, "u", "<<>><p>" * 2000), (None, "u", "<script>never closed")]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    assert main_text.extract(df).columns == ["page_id", "url", "text", "n_chars"]
     got = {(r.page_id, r.n_chars) for r in main_text.extract(df).collect()}
     assert {(1, 0), (2, 0)} <= got and main_text.extract(df).count() == 6 and main_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", sorted(pages.KINDS))
+def test_main_text_by_kind_of_page(kind):
+    page, want = pages.KINDS[kind]
+    assert main_text.main_text(page, main_text.learn()).split("\n\n") == want
+
+
+@pytest.mark.parametrize("page", ['<p class="a"">Hello world', "<p title=it's>Hello world", '<p =">Hello world', "<p a='x'b=\"y\">Hello world", "</><!-->Hello world<!-- ", "<svg><title>t</title><path d='M'/></svg><p>Hello world", "<object><object>x</object>y</object>Hello world", "<p>Hello <textarea>world", "<p hidden=''>no</p><p>Hello world</p x"])
+def test_markup_of_odd_tags_is_no_text(page):
+    assert main_text.main_text(page, main_text.learn()) == "Hello world"
+
+
+def test_pages_take_linear_time():
+    w = main_text.learn()
+
+    def took(page):
+        began = time.process_time()
+        main_text.main_text(page, w)
+        return time.process_time() - began
+
+    for part in ("<div>", "<b><p>x</p>", "<i></u>", "<svg>", "<title>", '<a ="', "<p class='", "</", "<!", "<table><tr><td>", "<textarea>"):
+        assert took(part * 100_000) < 40, part
+
+
 def test_region_is_the_best_one():
     rng = np.random.default_rng(5)
     for _ in range(200):
