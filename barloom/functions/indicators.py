@@ -66,6 +66,12 @@ def regime(bars: DataFrame, slope_threshold: float = 0.005, window: int = 630, l
     return x.withColumn("regime", label)
 
 
+def ema_slope(bars: DataFrame, period: int = 50, lookback: int = 10) -> DataFrame:
+    """Adds ``slope``: the relative change of an exponential mean over some bars, null before they are there."""
+    before = F.lag("_ema", lookback).over(series())
+    return ema(bars, {"_ema": period}).withColumn("slope", F.try_divide(F.col("_ema") - before, before)).drop("_ema")
+
+
 def day_of(open_time: str = "open_time", zone: str = "UTC", shift_hours: int = 0) -> Column:
     ts = F.timestamp_millis(F.col(open_time) + shift_hours * 3_600_000)
     return F.to_date(F.from_utc_timestamp(ts, zone) if zone != "UTC" else ts)

@@ -105,24 +105,6 @@ def weekly_timing(bars: DataFrame) -> DataFrame:
     return w.groupBy(*SERIES, "dow").agg(F.avg((F.col("high_dow") > F.col("dow")).cast("double")).alias("high_ahead"), F.avg((F.col("low_dow") > F.col("dow")).cast("double")).alias("low_ahead"), F.count("*").alias("n"))
 
 
-def path_cone(bars: DataFrame) -> DataFrame:
-    """Per weekday ('all' too) and direction of the day ('all' too): quantiles of the close's path, in open and ADR14 units.
-
-    Only days of seven hourly bars count; the ADR is the mean range of the 14 such days before.
-    """
-    d = F.to_date(_ts())
-    b = bars.withColumn("day", d)
-    w = Window.partitionBy(*SERIES, "day")
-    b = b.withColumns({"bars": F.count("*").over(w), "step": F.row_number().over(w.orderBy("open_time"))}).where("bars = 7")
-    s = b.groupBy(*SERIES, "day").agg(F.min_by("open", "open_time").alias("o"), F.max_by("close", "open_time").alias("c"), ((F.max("high") - F.min("low")) / F.min_by("open", "open_time")).alias("r"))
-    past = Window.partitionBy(*SERIES).orderBy("day").rowsBetween(-14, -1)
-    s = s.withColumns({"adr": F.avg("r").over(past), "k": F.count("r").over(past)}).where("k = 14 and adr > 0")
-    x = b.join(s, [*SERIES, "day"]).withColumn("v", (F.col("close") / F.col("o") - 1) / F.col("adr"))
-    x = x.withColumn("dow", F.explode(F.array(F.lit("all"), F.date_format("day", "EEEE")))).withColumn("direction", F.explode(F.array(F.lit("all"), F.when(F.col("c") > F.col("o"), "up").otherwise("down"))))
-    q = [F.expr(f"percentile(v, {p})").alias(f"p{int(p * 100)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
-    return x.groupBy(*SERIES, "direction", "dow", "step").agg(F.count("*").alias("n"), *q)
-
-
 def pooled(avg: str, n: str = "closed_trades") -> Column:
     """Trade-weighted mean of a per-run average; both sums over the rows that have one."""
     return F.sum(F.col(avg) * F.col(n)) / F.nullif(F.sum(F.when(F.col(avg).isNotNull(), F.col(n))), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators, statistics
-from ..operators import books, confluence, detectors, outcomes, quality, reports, simulate, structure
+from ..operators import books, cones, confluence, detectors, outcomes, quality, reports, simulate, structure
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, POOLED_SQL, TRADES_SQL
 from ..streaming import bars as streams
@@ -75,23 +75,22 @@ def _(s, d):
 
 
 AS_OF = """
-, e as (select event_id, event_type as symbol, epoch_us(ts) // 1000 as t from events where event_id % 7 = 3)
-final select event_id, e.symbol, t, max(b.open_time) as matched_time, arg_max(b.close, b.open_time) as close
-from e left join bars b on b.symbol = e.symbol and b.open_time {} e.t group by all"""
+, e as (select event_id, event_type as symbol, epoch_us(ts) // 1000 as t from events)
+final select event_id, e.symbol, t, b.open_time as matched_time, b.close from e asof left join b on b.symbol = e.symbol and e.t {} b.open_time"""
 
 
-@query("asof_backward", BARS_SQL + AS_OF.format("<="), "close")
+@query("asof_backward", BARS_SQL + AS_OF.format(">="), "close")
 def _(s, d):
-    e = tables.table(s, d, "events").where("event_id % 7 = 3").select("event_id", F.col("event_type").alias("symbol"), tables.millis("ts").alias("t"))
+    e = tables.table(s, d, "events").select("event_id", F.col("event_type").alias("symbol"), tables.millis("ts").alias("t"))
     return tables.as_of(e, hourly(s, d), ["symbol"], "t", "open_time", ["close"])
 
 
 @query("asof_previous_bar", BARS_SQL + """
-, e as (select event_id, event_type as symbol, epoch_us(ts) // 1000 as t from events where event_id % 7 = 3),
-j as (select event_id, e.symbol, t, max(b.i) as i from e left join b on b.symbol = e.symbol and b.open_time <= e.t group by all)
+, e as (select event_id, event_type as symbol, epoch_us(ts) // 1000 as t from events),
+j as (select event_id, e.symbol, t, b.i from e asof left join b on b.symbol = e.symbol and e.t >= b.open_time)
 final select event_id, j.symbol, t, b.open_time as matched_time, b.close from j left join b on b.symbol = j.symbol and b.i = j.i - 1""", "close")
 def _(s, d):
-    e = tables.table(s, d, "events").where("event_id % 7 = 3").select("event_id", F.col("event_type").alias("symbol"), tables.millis("ts").alias("t"))
+    e = tables.table(s, d, "events").select("event_id", F.col("event_type").alias("symbol"), tables.millis("ts").alias("t"))
     return tables.as_of(e, hourly(s, d), ["symbol"], "t", "open_time", ["close"], lag=1)
 
 
@@ -196,7 +195,18 @@ def _(s, d):
     return indicators.atr_mean(hourly(s, d)).select("symbol", "timeframe", "open_time", "atr14")
 
 
-@query("regime_labels")
+# means with a seed as sums of powers: the first bar keeps what the weights of all others leave
+WEIGHED = "sum({1} * case when y.i = 1 then pow(1 - {0}, x.i - 1) else {0} * pow(1 - {0}, x.i - y.i) end)"
+REGIME = f"""
+, tr as (select *, greatest(high - low, coalesce(abs(high - lag(close) over w), 0), coalesce(abs(low - lag(close) over w), 0)) as tr from b window w as (partition by symbol order by i)),
+m as (select x.symbol, x.timeframe, x.open_time, x.i, x.close, {WEIGHED.format('2.0 / 51', 'y.close')} as ema50, {WEIGHED.format('1.0 / 14', 'y.tr')} as atr from tr x join tr y on x.symbol = y.symbol and y.i <= x.i group by all),
+sl as (select *, ema50 / lag(ema50, 10) over (partition by symbol order by i) - 1 as slope, atr / close as atr_pct from m),
+pc as (select *, case when count(*) over w >= 50 then quantile_cont(atr_pct, 0.8) over w end as p80 from sl window w as (partition by symbol order by i rows 629 preceding)),
+reg as (select *, case when slope is null or p80 is null then 'unknown' when atr_pct >= p80 then 'high_vol' when abs(slope) >= 0.005 then 'trend' else 'range' end as regime from pc)
+"""
+
+
+@query("regime_labels", BARS_SQL + REGIME + "\nfinal select symbol, timeframe, open_time, regime, slope, atr_pct, p80 from reg", "slope atr_pct p80")
 def _(s, d):
     return indicators.regime(hourly(s, d)).select("symbol", "timeframe", "open_time", "regime", "slope", "atr_pct", "p80")
 
@@ -316,13 +326,13 @@ sig as (select symbol, timeframe, i, open_time, case when dn >= 2 * body and up
   from x where body <> 0 and ((dn >= 2 * body and up <= body) or (up >= 2 * body and dn <= body)))
 """
 SIMULATED = PINS + """
-, e as (select g.*, n.open_time as entry_time, n.open as entry, case when direction = 'long' and sl_price < n.open or direction = 'short' and sl_price > n.open then sl_price when direction = 'long' then n.open * 0.98 else n.open * 1.02 end as sl
+, e as (select g.*, n.open_time as entry_time, n.open as entry, sl_price as sl, case direction when 'long' then 1.0::double else -1.0 end as sg
   from sig g join b n on n.symbol = g.symbol and n.i = g.i + 1),
 l as (select *, abs(entry - sl) as risk, case when direction = 'long' then entry + 2 * abs(entry - sl) else entry - 2 * abs(entry - sl) end as tp from e),
-h as (select l.symbol, l.i, min(j.i) as hit from l join b j on j.symbol = l.symbol and j.i between l.i + 1 and l.i + 200 where case when direction = 'long' then j.low <= sl or j.high >= tp else j.high >= sl or j.low <= tp end group by all),
+h as (select l.symbol, l.i, min(j.i) as hit from l join b j on j.symbol = l.symbol and j.i > l.i where case when direction = 'long' then j.low <= sl or j.high >= tp else j.high >= sl or j.low <= tp end group by all),
 o as (select l.*, j.open_time as exit_time, j.open as jo, case when direction = 'long' then j.low <= sl else j.high >= sl end as stopped, j.i as ji from l left join h using (symbol, i) left join b j on j.symbol = l.symbol and j.i = h.hit),
 tr as (select symbol, timeframe, 'pin_bar' as strategy, open_time as signal_time, direction, entry_time, entry, sl, tp, exit_time,
-  case when ji is null then null when stopped then case when direction = 'long' then least(sl, jo) else greatest(sl, jo) end else case when direction = 'long' then greatest(tp, jo) else least(tp, jo) end end as exit,
+  case when ji is null then null when stopped then case when (entry - sl) * sg <= 0 then sl when direction = 'long' then least(sl, jo) else greatest(sl, jo) end else case when direction = 'long' then greatest(tp, jo) else least(tp, jo) end end as exit,
   case when ji is null then 'open' when stopped then 'loss' else 'win' end as outcome, risk from o),
 trades as (select * exclude (risk), (exit - entry) * case when direction = 'long' then 1 else -1 end / nullif(risk, 0) as pnl_r from tr)
 """
@@ -347,11 +357,82 @@ def _(s, d):
     return simulate.metrics(simulate.simulate(hourly(s, d), _pins(s, d)))
 
 
-@query("sweep_grid")
+SWEEP = PINS + """
+, g as (select unnest([1.5, 2.0, 3.0]) as tp_r), q as (select unnest([0.05, 0.2]) as sl_pct),
+e as (select s.*, n.open_time as entry_time, n.open as entry, tp_r::double as tp_r, sl_pct::double as sl_pct, case direction when 'long' then 1.0::double else -1.0 end as sg from sig s join b n on n.symbol = s.symbol and n.i = s.i + 1 cross join g cross join q),
+l as (select *, entry * sl_pct as risk, entry * (1 - sg * sl_pct) as sl, entry + sg * tp_r * entry * sl_pct as tp from e),
+h as (select l.symbol, l.i, tp_r, sl_pct, min(j.i) as hit from l join b j on j.symbol = l.symbol and j.i > l.i where case when direction = 'long' then j.low <= sl or j.high >= tp else j.high >= sl or j.low <= tp end group by all),
+o as (select l.*, j.open as jo, case when direction = 'long' then j.low <= sl else j.high >= sl end as stopped from l join h using (symbol, i, tp_r, sl_pct) join b j on j.symbol = l.symbol and j.i = h.hit),
+tr as (select *, (case when stopped then case when direction = 'long' then least(sl, jo) else greatest(sl, jo) end else case when direction = 'long' then greatest(tp, jo) else least(tp, jo) end end - entry) * sg / risk as r from o),
+m as (select symbol, timeframe, 'pin_bar' as strategy, tp_r, sl_pct, count(*) as n, avg(r) as avg_r, avg(cast(r > 0 as integer)) as win_rate from tr group by all)
+final select symbol, timeframe, strategy, tp_r, sl_pct, n, avg_r, case when n >= 5 and avg_r > 0 then avg_r * win_rate * sqrt(n) else 0 end as score from m"""
+
+
+@query("sweep_grid", BARS_SQL + SWEEP, "tp_r sl_pct avg_r score")
 def _(s, d):
     return simulate.grid(hourly(s, d), _pins(s, d), [1.5, 2.0, 3.0], [0.05, 0.2])
 
 
+COSTS = """
+, dv as (select *, close / lag(close) over (partition by symbol order by i) - 1 as ret from b),
+cx as (select symbol, i, avg(close * volume) over w * 7 as adv, case when count(ret) over r >= 2 then stddev_pop(ret) over r * sqrt(7) end as sigma from dv window w as (partition by symbol order by i rows 139 preceding), r as (partition by symbol order by i rows 138 preceding)),
+ct as (select t.*, abs(t.entry - t.sl) as risk, adv, sigma from trades t join b on b.symbol = t.symbol and b.open_time = t.signal_time join cx on cx.symbol = b.symbol and cx.i = b.i),
+cc as (select *, 2 * (case when adv >= 5e8 then 1 when adv >= 5e7 then 3 when adv >= 5e6 then 8 else 20 end) / 10000.0 * entry / risk as spread_r, coalesce(case when adv > 0 and sigma > 0 then 2 * sigma * sqrt(10000 / adv) * entry / risk end, 0) as impact_r,
+  coalesce(case when direction = 'short' then 0.01 * greatest(0, (exit_time - entry_time) / 86400000) / 365 * entry / risk end, 0) as borrow_r from ct)
+"""
+
+
+@query("trade_costs", BARS_SQL + SIMULATED + COSTS + "\nfinal select symbol, timeframe, strategy, signal_time, direction, outcome, spread_r, impact_r, borrow_r, spread_r + impact_r + borrow_r as cost_r, pnl_r - (spread_r + impact_r + borrow_r) as pnl_r from cc", "spread_r impact_r borrow_r cost_r pnl_r")
+def _(s, d):
+    t = simulate.simulate(hourly(s, d), _pins(s, d), costs=simulate.Costs())
+    return t.select("symbol", "timeframe", "strategy", "signal_time", "direction", "outcome", "spread_r", "impact_r", "borrow_r", "cost_r", "pnl_r")
+
+
+RULED = SIMULATED.replace("sl_price as sl, case", """case direction when 'long' then least(sl_price, n.open * (1 - 0.03)) else greatest(sl_price, n.open * (1 + 0.03)) end as sl0, case""").replace("from sig g join b n", "from kept g join b n").replace("l as (select *,", """e1 as (select e.* exclude (sl0), case when 1.5 * a.atr > abs(entry - sl0) then entry - sg * 1.5 * a.atr else sl0 end as sl from e left join atr a using (symbol, i)),
+l as (select *,""").replace("as tp from e)", "as tp from e1)").replace("entry + 2 * abs", "entry + 3 * abs").replace("(exit - entry) * case when direction = 'long' then 1 else -1 end / nullif(risk, 0)", "((exit - entry) * case when direction = 'long' then 1 else -1 end - 2 * 0.0005 * entry) / nullif(risk, 0)")
+RULES = """
+, tr0 as (select *, lag(close) over (partition by symbol order by i) as pc0 from b),
+tr1 as (select symbol, i, case when pc0 is not null then greatest(high - low, abs(high - pc0), abs(low - pc0)) end as tr from tr0),
+atr as (select symbol, i, nullif(avg(tr) over (partition by symbol order by i rows 13 preceding), 0) as atr from tr1),
+vm as (select symbol, i, volume, avg(volume) over (partition by symbol order by i rows between 20 preceding and 1 preceding) as mv from b),
+kept as (select sig.* from sig join vm using (symbol, i) where not (direction = 'long' and coalesce(volume < 1.5 * mv, false) and not coalesce(volume > 3 * mv, false)))
+"""
+
+
+@query("trades_by_rules", BARS_SQL + RULED.replace(PINS, PINS + RULES) + "\nfinal select * from trades", "entry sl tp exit pnl_r")
+def _(s, d):
+    return simulate.simulate(hourly(s, d), _pins(s, d), tp_r_long=3.0, min_sl_pct=0.03, atr_multiple=1.5, atr_floor=True, suppress_long=True, boost=True, fee_pct=0.0005)
+
+
+# the latest higher bar at or before a signal is forming, the one before it counts
+H4 = RESAMPLED.format("first(open order by open_time) as open, max(high) as high, min(low) as low, last(close order by open_time) as close, sum(volume) as volume") + """
+, b4 as (select symbol, timeframe, t as open_time, open, high, low, close, row_number() over (partition by symbol order by t) as i from h)"""
+ASOF_4H = """
+, at4 as (select g.*, f.i as i4 from sig g asof left join b4 f on f.symbol = g.symbol and g.open_time >= f.open_time)"""
+
+
+@query("regime_gate", BARS_SQL + PINS + H4 + REGIME.replace(" from b window", " from b4 window") + ASOF_4H + """
+final select g.symbol, g.timeframe, g.open_time, g.direction, g.sl_price from at4 g left join reg on reg.symbol = g.symbol and reg.i = g.i4 - 1 where coalesce(regime in ('unknown', 'range', 'trend'), true)""", "sl_price")
+def _(s, d):
+    b = hourly(s, d)
+    return simulate.regime_gate(_pins(s, d), indicators.regime(quality.resample(b)), {"pin_bar": ["range", "trend"], "other": []}).select("symbol", "timeframe", "open_time", "direction", "sl_price")
+
+
+@query("trend_gate", BARS_SQL + PINS + H4 + f"""
+, m4 as (select x.symbol, x.i, {WEIGHED.format('2.0 / 21', 'y.close')} as e from b4 x join b4 y on x.symbol = y.symbol and y.i <= x.i group by all),
+s4 as (select *, e / lag(e, 5) over (partition by symbol order by i) - 1 as slope from m4)""" + ASOF_4H + """
+final select g.symbol, g.timeframe, g.open_time, g.direction, g.sl_price from at4 g left join s4 on s4.symbol = g.symbol and s4.i = g.i4 - 1
+where not coalesce(abs(slope) >= 0.01 and case when direction = 'long' then slope < 0 else slope > 0 end, false)""", "sl_price")
+def _(s, d):
+    b = hourly(s, d)
+    return simulate.trend_gate(_pins(s, d), indicators.ema_slope(quality.resample(b), 20, 5), 0.01).select("symbol", "timeframe", "open_time", "direction", "sl_price")
+
+
+@query("direction_and_day_gates", BARS_SQL + PINS + "\nfinal select symbol, timeframe, open_time, direction, sl_price from sig where direction <> 'short' and isodow(make_timestamp(open_time * 1000)) in (2, 3, 4)", "sl_price")
+def _(s, d):
+    return simulate.day_gate(simulate.direction_gate(_pins(s, d), {"pin_bar": ["short"]}), [1, 2, 3]).select("symbol", "timeframe", "open_time", "direction", "sl_price")
+
+
 @query("cooldown_gate")
 def _(s, d):
     return simulate.cooldown(_pins(s, d), 5, tables.HOUR_MS)
@@ -359,10 +440,10 @@ def _(s, d):
 
 @query("adr_gate", BARS_SQL + PINS + """
 , dd as (select *, cast(make_timestamp(open_time * 1000) as date) as day from b),
-run as (select symbol, open_time, close, day, max(high) over w as hi, min(low) over w as lo from dd window w as (partition by symbol, day order by open_time)),
-r14 as (select symbol, day, avg(max(high) - min(low)) over (partition by symbol order by day rows 13 preceding) as a from dd group by symbol, day)
+run as (select symbol, open_time, close, day, max(high) over w as hi, min(low) over w as lo, first_value(open) over w as o from dd window w as (partition by symbol, day order by open_time)),
+r14 as (select symbol, day, avg((max(high) - min(low)) / first(open order by open_time)) over (partition by symbol order by day rows 13 preceding) as a from dd group by symbol, day)
 final select g.symbol, g.timeframe, g.open_time, g.direction, sl_price from sig g join run using (symbol, open_time) join r14 using (symbol, day)
-where not (hi - lo >= 0.8 * a and case when g.direction = 'long' then close > (hi + lo) / 2 else not close > (hi + lo) / 2 end)""", "sl_price")
+where not ((hi - lo) / o >= 0.8 * a and case when g.direction = 'long' then close > (hi + lo) / 2 else not close > (hi + lo) / 2 end)""", "sl_price")
 def _(s, d):
     b = hourly(s, d)
     return simulate.adr_gate(b, detectors.pin_bar(b), 0.8).select("symbol", "timeframe", "open_time", "direction", "sl_price")
@@ -500,18 +581,76 @@ def _(s, d):
     return reports.weekly_timing(hourly(s, d))
 
 
-@query("path_cone", POOLED_SQL + """
-, dd as (select *, cast(make_timestamp(open_time * 1000) as date) as day from bars),
-x as (select *, count(*) over (partition by symbol, day) as bars_, row_number() over (partition by symbol, day order by open_time) as step from dd),
-y as (select * from x where bars_ = 7),
-s as (select symbol, day, first(open order by open_time) as o, last(close order by open_time) as c, (max(high) - min(low)) / first(open order by open_time) as r from y group by all),
-z as (select *, avg(r) over w as adr, count(r) over w as k from s window w as (partition by symbol order by day rows between 14 preceding and 1 preceding)),
-v as (select y.symbol, y.timeframe, cast(step as integer) as step, y.day, z.c > z.o as up, (y.close / z.o - 1) / adr as v from y join z using (symbol, day) where k = 14 and adr > 0),
-q as (select symbol, timeframe, step, v, unnest(['all', dayname(day)]) as dow, up from v),
-q2 as (select symbol, timeframe, step, v, dow, unnest(['all', case when up then 'up' else 'down' end]) as direction from q)
-final select symbol, timeframe, direction, dow, step, count(*) as n, quantile_cont(v, 0.1) as p10, quantile_cont(v, 0.25) as p25, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.75) as p75, quantile_cont(v, 0.9) as p90 from q2 group by all""", "p10 p25 p50 p75 p90")
-def _(s, d):
-    return reports.path_cone(hourly(s, d, True))
+CONE = """
+, sb as (select *, make_timestamp(open_time * 1000) as ts from bars where hour(make_timestamp(open_time * 1000)) between 13 and 19),
+x as (select *, cast(date_trunc('{0}', ts) as date) as period, count(*) over w as bars_, row_number() over (partition by symbol, date_trunc('{0}', ts) order by open_time) as step from sb window w as (partition by symbol, date_trunc('{0}', ts))),
+y as (select * from x where bars_ = {1}),
+s as (select symbol, timeframe, period, first(open order by open_time) as o, last(close order by open_time) as c, max(high) as hi, min(low) as lo, (max(high) - min(low)) / first(open order by open_time) as r from y group by all),
+z as (select *, avg(r) over w as scale, count(r) over w as k from s window w as (partition by symbol order by period rows between {2} preceding and 1 preceding)),
+g as (select *, case when c > o then 'bull' when c < o then 'bear' else 'doji' end as side, lower(dayname(period)[1:3]) as wd, (select min(step) from y where y.symbol = z.symbol and y.period = z.period and y.low = z.lo) as low_step, (select min(step) from y where y.symbol = z.symbol and y.period = z.period and y.high = z.hi) as high_step from z where k = {2} and scale > 0),
+v as (select g.*, step, (close / o - 1) / scale as v from g join y using (symbol, timeframe, period)),
+e as (select * exclude (step, v), min(v) as mae, max(v) as mfe, (hi - o) / (o * scale) as high_mag, (o - lo) / (o * scale) as low_mag from v group by all)
+"""
+SLICED = """
+, c1 as (select *, unnest(case when side = 'doji' then ['all'] else ['all', side] end) as direction from {0})
+, c2 as (select *, unnest(case when wd in ('sat', 'sun') then ['all'] else ['all', wd] end) as weekday from c1)
+"""
+BANDED = "count(*) as n, quantile_cont(v, 0.1) as p10, quantile_cont(v, 0.25) as p25, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.75) as p75, quantile_cont(v, 0.9) as p90"
+DAY_CONE, WEEK_CONE = CONE.format("day", 7, 14), CONE.format("week", 35, 2)
+
+
+def _records(s, d, kind="day"):
+    b = cones.session(hourly(s, d, True))
+    return cones.records(b) if kind == "day" else cones.records(b.where(F.weekday(F.timestamp_millis("open_time")) < 5), "week", 35, 2)
+
+
+@query("path_cone", POOLED_SQL + DAY_CONE + SLICED.format("v") + f"\nfinal select symbol, timeframe, direction, weekday, cast(step as integer) as step, {BANDED} from c2 group by all", "p10 p25 p50 p75 p90")
+def _(s, d):
+    return cones.bands(_records(s, d))
+
+
+@query("cone_timing", POOLED_SQL + DAY_CONE + SLICED.format("e") + """
+final select symbol, timeframe, direction, weekday, cast(h.step as integer) as step, count(*) as n, avg(cast(low_step <= h.step as integer)) as low_in_by, avg(cast(high_step <= h.step as integer)) as high_in_by from c2 cross join (select unnest(range(1, 8)) as step) h group by all""", "low_in_by high_in_by")
+def _(s, d):
+    return cones.timing(_records(s, d))
+
+
+EXCURSIONS = ", ".join([f"quantile_cont({c}, {p / 100}) as {c}_p{p}" for c in ("mae", "mfe") for p in (10, 50, 90)] + [f"quantile_cont({c}, {p / 100}) as {c}_p{p}" for c in ("high_mag", "low_mag") for p in (50, 80)])
+EXCURSION_NAMES = "mae_p10 mae_p50 mae_p90 mfe_p10 mfe_p50 mfe_p90 high_mag_p50 high_mag_p80 low_mag_p50 low_mag_p80"
+
+
+@query("cone_excursions", POOLED_SQL + DAY_CONE + SLICED.format("e") + f"\nfinal select symbol, timeframe, direction, weekday, count(*) as n, {EXCURSIONS} from c2 group by all", EXCURSION_NAMES)
+def _(s, d):
+    return cones.excursions(_records(s, d))
+
+
+WEEKLY = WEEK_CONE.replace("between 13 and 19", "between 13 and 19 and isodow(make_timestamp(open_time * 1000)) < 6")
+
+
+@query("weekly_cone", POOLED_SQL + WEEKLY + SLICED.format("v") + f"\nfinal select symbol, timeframe, direction, cast(step as integer) as step, {BANDED} from c1 group by all", "p10 p25 p50 p75 p90")
+def _(s, d):
+    return cones.bands(_records(s, d, "week"), False)
+
+
+@query("week_records", POOLED_SQL + WEEKLY + """
+final select symbol, timeframe, period, side as direction, cast(low_step as integer) as low_step, cast(high_step as integer) as high_step, mae, mfe, high_mag, low_mag from e""", "mae mfe high_mag low_mag")
+def _(s, d):
+    return _records(s, d, "week").drop("path", "weekday")
+
+
+NOW = 1706549400000  # 17:30 of a Monday
+
+
+@query("today_path", POOLED_SQL + f"""
+, sb as (select *, make_timestamp(open_time * 1000) as ts, cast(make_timestamp(open_time * 1000) as date) as day from bars where hour(make_timestamp(open_time * 1000)) between 13 and 19),
+s as (select symbol, day, (max(high) - min(low)) / first(open order by open_time) as r from sb where day < cast(make_timestamp({NOW} * 1000) as date) group by all having count(*) = 7),
+a as (select symbol, avg(r) as scale from (select * from s qualify row_number() over (partition by symbol order by day desc) <= 14) group by symbol having count(*) = 14),
+t as (select symbol, timeframe, first(open order by open_time) as period_open, count(*) filter (open_time + 3600000 <= {NOW}) as elapsed from sb where day = cast(make_timestamp({NOW} * 1000) as date) group by all)
+final select t.symbol, t.timeframe, cast(row_number() over (partition by t.symbol order by open_time) as integer) as step, (close - period_open) / (period_open * scale) as v, cast(elapsed as integer) as elapsed, scale, period_open
+from t join a using (symbol) join sb on sb.symbol = t.symbol and sb.day = cast(make_timestamp({NOW} * 1000) as date)""", "v scale period_open")
+def _(s, d):
+    p = cones.current_path(cones.session(hourly(s, d, True)), NOW)
+    return p.select("symbol", "timeframe", F.posexplode("points").alias("step", "v"), "elapsed", "scale", "period_open").withColumn("step", F.col("step") + 1)
 
 
 @query("weekly_flip_risk", BARS_SQL + WEEKS.format(0) + """
