@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import ema, volume_flags
-from ..sources.tables import SERIES, series
+from ..sources.tables import SERIES, as_of, series
 
 SIGNAL = ("open_time", "direction", "reason", "sl_price", "low_volume", "tp_price")
 
@@ -216,6 +216,129 @@ def star(bars: DataFrame, star_body_max: float = 0.3, sl_pct: float = 0.02) -> D
     )
 
 
+def equal_levels(bars: DataFrame, lookback: int = 50, tolerance_pct: float = 0.003, swing_n: int = 5) -> DataFrame:
+    """Two swings at one level with no bar beyond it between them; the bar that wicks through and closes back signals.
+
+    The outermost level counts, of equal ones the earliest pair. A swing is the extreme of the ``swing_n`` bars on either
+    side, as far as there are any. Per bar, the few swings of the last ``lookback`` bars are carried along, each with the
+    extreme of the bars since the swing before it.
+    """
+    parts = []
+    for high in (True, False):
+        v, top, beyond = ("high", F.max, ">") if high else ("low", F.min, "<")
+        inner = "greatest" if high else "least"
+        end, far = ("array_max", "-double('inf')") if high else ("array_min", "double('inf')")
+        b = bars.withColumns({"_i": F.row_number().over(series()), "_is": F.col(v) == top(v).over(series().rowsBetween(-swing_n, swing_n))})
+        b = b.withColumn("_c", F.count_if("_is").over(series()) - F.col("_is").cast("int"))
+        since = Window.partitionBy(*SERIES, "_c")
+        b = b.withColumns({"_m": top(F.when(~F.col("_is"), F.col(v))).over(since), "_now": top(v).over(since.orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0))})
+        swing = F.when(F.col("_is"), F.struct(F.col("_i").alias("i"), F.col(v).alias("p"), F.coalesce("_m", F.expr(far)).alias("m")))
+        b = b.withColumn("_sw", F.collect_list(swing).over(series().rowsBetween(-lookback, -1))).where((F.col("_i") > lookback) & (F.size("_sw") > 1))
+        level = f"{inner}(_sw[k].p, _sw[l].p)"
+        between = f"{end}(transform(slice(_sw, k + 2, l - k), (z, n) -> {inner}(z.m, if(n < l - k - 1, z.p, {far}))))"
+        swept = f"{v} {beyond} {level} and close {'<' if high else '>'} {level}"
+        ok = f"{level} <> 0 and abs(_sw[k].p - _sw[l].p) / {level} <= {tolerance_pct!r} and not ({between} {beyond} {level}) and {swept}"
+        after = f"{end}(transform(slice(_sw, l + 1, size(_sw)), (z, n) -> if(n = 0, z.p, {inner}(z.m, z.p))))"
+        pairs = f"""flatten(transform(sequence(0, size(_sw) - 2), k -> transform(filter(sequence(k + 1, size(_sw) - 1), l -> {ok}),
+          l -> named_struct('rank', {'' if high else '-'}{level}, 'a', -k, 'b', -l, 'p', _sw[k].p, 'q', _sw[l].p, 'stop', {inner}({after}, _now)))))"""
+        b = b.withColumn("x", F.array_max(F.expr(pairs))).where("x is not null")
+        name, side = ("eqh_short", "short") if high else ("eql_long", "long")
+        parts.append(b.select(*SERIES, "open_time", F.lit(side).alias("direction"), _price(name, F.col("x.p"), F.col("x.q")).alias("reason"), F.col("x.stop").alias("sl_price"), F.lit(False).alias("low_volume"), F.lit(None).cast("double").alias("tp_price")))
+    # of a bar that sweeps both sides the short stays
+    both = parts[0].unionByName(parts[1]).withColumn("_n", F.row_number().over(Window.partitionBy(*SERIES, "open_time").orderBy(F.desc("direction"))))
+    return both.where("_n = 1").drop("_n")
+
+
+def broken_swing(bars: DataFrame, swing_lookback: int = 20, bos_lookback: int = 5) -> DataFrame:
+    """Adds ``bos``: low and high of the swing that the bars before this one broke, its direction and its later pivot's time.
+
+    The swing lies in the ``swing_lookback`` bars before the last ``bos_lookback``; a break upwards is looked for first.
+    """
+    w, zone = series(), series().rowsBetween(-swing_lookback - bos_lookback, -bos_lookback - 1)
+    last = w.rowsBetween(-bos_lookback, -1)
+    b = bars.withColumns({"_z": F.collect_list(F.struct("low", "high", "open_time")).over(zone), "_up": F.max(F.greatest("high", "close")).over(last), "_dn": F.min(F.least("low", "close")).over(last)})
+    full = F.size("_z") == swing_lookback
+    b = b.withColumns({"_lo": F.expr("array_position(_z.low, array_min(_z.low))").cast("int"), "_hi": F.expr("array_position(_z.high, array_max(_z.high))").cast("int")})
+    b = b.withColumns({"_rise": F.expr("array_max(transform(slice(_z, _lo, size(_z)), (x, n) -> struct(x.high, -n as n, x.open_time)))"), "_fall": F.expr("array_min(transform(slice(_z, _hi, size(_z)), (x, n) -> struct(x.low, n as n, x.open_time)))")})
+    swing = lambda lo, hi, side, at: F.struct(lo.alias("low"), hi.alias("high"), F.lit(side).alias("direction"), at.alias("start_ms"))
+    lo, hi = F.array_min(F.col("_z.low")), F.array_max(F.col("_z.high"))
+    up = full & (F.col("_rise.high") > lo) & (F.col("_rise.n") < 0) & (F.col("_up") > F.col("_rise.high"))
+    down = full & (hi > F.col("_fall.low")) & (F.col("_fall.n") > 0) & (F.col("_dn") < F.col("_fall.low"))
+    bos = F.when(up, swing(lo, F.col("_rise.high"), "long", F.col("_rise.open_time"))).when(down, swing(F.col("_fall.low"), hi, "short", F.col("_fall.open_time")))
+    return b.withColumn("bos", bos).drop("_z", "_up", "_dn", "_lo", "_hi", "_rise", "_fall")
+
+
+def retracement(share: float) -> Column:
+    """The level a share of the broken swing back from its later pivot."""
+    size = F.col("bos.high") - F.col("bos.low")
+    return F.when(F.col("bos.direction") == "long", F.col("bos.high") - share * size).otherwise(F.col("bos.low") + share * size)
+
+
+def ote_entry(bars: DataFrame, swing_lookback: int = 20, bos_lookback: int = 5) -> DataFrame:
+    """A close between 61.8% and 78.6% back after a break of structure; target at 1.618 of the swing, stop at its start."""
+    b = broken_swing(bars, swing_lookback, bos_lookback).withColumn("_k", F.row_number().over(series())).where((F.col("_k") > swing_lookback + bos_lookback + 1) & F.col("bos").isNotNull())
+    near, far, long = retracement(0.618), retracement(0.786), F.col("bos.direction") == "long"
+    b = b.where(F.when(long, (near >= F.col("close")) & (F.col("close") >= far)).otherwise((far >= F.col("close")) & (F.col("close") >= near)))
+    size = F.col("bos.high") - F.col("bos.low")
+    reason = F.format_string("ote_%s@%.2f (0.786=%.2f)", "bos.direction", "close", far)
+    stop, target = F.when(long, F.col("bos.low")).otherwise(F.col("bos.high")), F.when(long, F.col("bos.high") + 0.618 * size).otherwise(F.col("bos.low") - 0.618 * size)
+    return b.select(*SERIES, "open_time", "bos.direction", reason.alias("reason"), stop.alias("sl_price"), F.lit(False).alias("low_volume"), target.alias("tp_price"))
+
+
+def ema_pullback(bars: DataFrame, fast: int = 20, slow: int = 50, slope_lookback: int = 10, regime_lookback: int = 20, max_crosses: int = 2, min_slope_pct: float = 0.003, pullback_lookback: int = 5, min_body_pct: float = 0.5, tp_r: float = 3.0) -> DataFrame:
+    """A bar that goes on with the trend after a touch of the fast mean, in a trend with few crosses and a steep slow mean."""
+    w, past = series(), series().rowsBetween(-pullback_lookback, -1)
+    b = volume_flags(ema(bars, {"_f": fast, "_s": slow})).withColumns({"_k": F.row_number().over(w), "_slope": F.try_divide(F.col("_s"), F.lag("_s", slope_lookback).over(w)) - 1})
+    side = F.nullif(F.signum(F.col("close") - F.col("_f")), F.lit(0.0))
+    b = b.withColumns({
+        "_sides": F.collect_list(side).over(w.rowsBetween(1 - regime_lookback, 0)),
+        "_low": F.min(F.when((F.col("low") <= F.col("_f")) & (F.col("close") > F.col("_f")), F.col("low"))).over(past),
+        "_high": F.max(F.when((F.col("high") >= F.col("_f")) & (F.col("close") < F.col("_f")), F.col("high"))).over(past),
+    })
+    crosses = F.expr("aggregate(_sides, named_struct('n', 0, 'l', 0D), (a, x) -> named_struct('n', a.n + if(a.l <> 0 and a.l <> x, 1, 0), 'l', x)).n")
+    c, o = F.col("close"), F.col("open")
+    b = b.where((F.col("_k") > max(slow, regime_lookback, slope_lookback, pullback_lookback)) & (F.abs("_slope") >= min_slope_pct) & (crosses <= max_crosses) & (_range() > 0) & (F.try_divide(_body(), _range()) >= min_body_pct))
+    up = (c > F.col("_s")) & (F.col("_slope") > 0) & (c > o) & (c > F.col("_f")) & (c > F.col("_low"))
+    down = (c < F.col("_s")) & (F.col("_slope") < 0) & (c < o) & (c < F.col("_f")) & (c < F.col("_high"))
+    stop = F.when(up, F.col("_low")).otherwise(F.col("_high"))
+    return _found(
+        b,
+        (up, F.lit("long"), _price("ema_pullback_long", c), F.col("_low")),
+        (down, F.lit("short"), _price("ema_pullback_short", c), F.col("_high")),
+        low_volume=True,
+        tp=c + (c - stop) * tp_r,
+    )
+
+
+def fibonacci_retracement(bars: DataFrame, swing_lookback: int = 20) -> DataFrame:
+    """A close between 50% and 61.8% back from the later of the latest three-bar pivots; stop at 78.6%."""
+    w, past = series(), series().rowsBetween(1 - swing_lookback, -2)
+    b = bars.withColumns({"_k": F.row_number().over(w), "_hi": (F.col("high") > F.lag("high").over(w)) & (F.col("high") > F.lead("high").over(w)), "_lo": (F.col("low") < F.lag("low").over(w)) & (F.col("low") < F.lead("low").over(w))})
+    b = b.withColumns({"_h": F.last(F.when(F.col("_hi"), F.struct("_k", "high")), True).over(past), "_l": F.last(F.when(F.col("_lo"), F.struct("_k", "low")), True).over(past)})
+    size, c = F.col("_h.high") - F.col("_l.low"), F.col("close")
+    b = b.where((F.col("_k") > swing_lookback + 1) & (size > 0))
+    rising = F.col("_l._k") < F.col("_h._k")
+    back = lambda x: F.when(rising, F.col("_h.high") - x * size).otherwise(F.col("_l.low") + x * size)
+    reason = F.format_string("fib_golden_zone@%.2f (0.618=%.2f)", c, back(0.618))
+    return _found(
+        b.where(F.col("_l._k") != F.col("_h._k")),
+        (rising & (back(0.5) >= c) & (c >= back(0.618)), F.lit("long"), reason, back(0.786)),
+        (~rising & (back(0.618) >= c) & (c >= back(0.5)), F.lit("short"), reason, back(0.786)),
+    )
+
+
+def funding_extreme(bars: DataFrame, funding: DataFrame, threshold: float = 0.0001) -> DataFrame:
+    """Extreme funding rates as signals against them, on the first bar at or after each.
+
+    ``funding(symbol, funding_time, rate)``; of several between two bars the latest counts.
+    """
+    b = as_of(bars.withColumn("_t", F.col("open_time")), funding, ["symbol"], "_t", "funding_time", ["rate"]).where("rate is not null")
+    w = Window.partitionBy(*SERIES, "matched_time").orderBy("open_time")
+    b = b.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    name = lambda n: F.format_string(f"funding_{n}_extreme@%.4f", "rate")
+    return _found(b, (F.col("rate") > threshold, F.lit("short"), name("long"), F.lit(0.0)), (F.col("rate") < -threshold, F.lit("long"), name("short"), F.lit(0.0)))
+
+
 #: Detectors by name; each takes bars and returns signals.
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
     "wick_fill": wick_fill,
@@ -230,6 +353,10 @@ REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
     "hammer": hammer,
     "doji": doji,
     "star": star,
+    "equal_levels": equal_levels,
+    "ote_entry": ote_entry,
+    "ema_pullback": ema_pullback,
+    "fibonacci_retracement": fibonacci_retracement,
 }
 
 

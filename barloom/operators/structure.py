@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import SERIES, series
+from .search import first_touch
 
 
 def swings(bars: DataFrame, n: int = 5) -> DataFrame:
@@ -34,12 +35,14 @@ def market_structure(bars: DataFrame, n: int = 5, min_swing_pct: float = 0.005)
     return s.select(*SERIES, F.col("confirmed").alias("open_time"), F.when(long, "long").otherwise("short").alias("direction"), reason.alias("reason"), other.alias("sl_price"), F.lit(False).alias("low_volume"), F.lit(None).cast("double").alias("tp_price"))
 
 
-def gap_zones(bars: DataFrame, lookback: int = 100, min_gap_pct: float = 0.001) -> DataFrame:
-    """Three-bar gaps as boxes, with the time their midpoint was crossed, if it was within ``lookback`` bars."""
+def gap_zones(bars: DataFrame, min_gap_pct: float = 0.001) -> DataFrame:
+    """All three-bar gaps of a series as boxes, with the time their midpoint was first crossed, to the end of the series."""
     w = series()
-    b = bars.withColumns({"_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w), "_nl": F.lead("low").over(w), "_nh": F.lead("high").over(w), "_ahead": F.collect_list(F.struct("open_time", "low", "high")).over(w.rowsBetween(2, lookback + 1))})
+    b = bars.withColumns({"_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w), "_nl": F.lead("low").over(w), "_nh": F.lead("high").over(w), "_next": F.lead("open_time").over(w)})
     b = b.withColumn("side", F.when(F.col("_ph") < F.col("_nl"), "bull").when(F.col("_pl") > F.col("_nh"), "bear")).where("side is not null")
     b = b.withColumns({"bottom": F.when(F.col("side") == "bull", F.col("_ph")).otherwise(F.col("_nh")), "top": F.when(F.col("side") == "bull", F.col("_nl")).otherwise(F.col("_pl"))})
     b = b.where((F.col("top") - F.col("bottom")) >= min_gap_pct * (F.col("top") + F.col("bottom")) / 2)
-    crossed = F.expr("try_element_at(filter(_ahead, x -> if(side = 'bull', x.low <= (top + bottom) / 2, x.high >= (top + bottom) / 2)), 1).open_time")
-    return b.select(*SERIES, "open_time", "side", "bottom", "top", crossed.alias("crossed_at")).withColumn("active", F.col("crossed_at").isNull())
+    mid = (F.col("top") + F.col("bottom")) / 2
+    asks = b.select(*SERIES, "open_time", "side", "bottom", "top", (F.col("_next") + 1).alias("_from"), F.when(F.col("side") == "bull", mid).alias("_below"), F.when(F.col("side") == "bear", mid).alias("_above"))
+    got = first_touch(bars, asks, "_from", "_below", "_above")
+    return got.select(*SERIES, "open_time", "side", "bottom", "top", F.col("x.open_time").alias("crossed_at")).withColumn("active", F.col("crossed_at").isNull())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators, statistics
-from ..operators import books, cones, confluence, detectors, outcomes, quality, reports, simulate, structure
+from ..operators import books, cones, confluence, detectors, outcomes, quality, reports, simulate, structure, zones
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, POOLED_SQL, TRADES_SQL
 from ..streaming import bars as streams
@@ -294,6 +294,62 @@ STAR = "prng <> 0 and pbody <= 0.3 * prng and "
 _detector("star", _shapes([(STAR + "ac < ao and close > open and close > (ao + ac) / 2", "'long'", _at("morning_star"), BELOW), (STAR + "ac > ao and close < open and close < (ao + ac) / 2", "'short'", _at("evening_star"), ABOVE)]))
 
 
+def _equal(side: str) -> str:
+    high = side == "high"
+    g, ext, cmp, back, name, direction = ("greatest", "max", ">", "<", "eqh_short", "short") if high else ("least", "min", "<", ">", "eql_long", "long")
+    return f"""select s.symbol, s.timeframe, s.open_time, '{direction}' as direction, printf('{name}@%.2f-%.2f', a.{side}, c.{side}) as reason, (select {ext}({side}) from b z where z.symbol = s.symbol and z.i between c.i and s.i) as sl_price,
+  row_number() over (partition by s.symbol, s.i order by {g}(a.{side}, c.{side}) {'desc' if high else 'asc'}, a.i, c.i) as n
+from {side}s a join {side}s c on c.symbol = a.symbol and c.i > a.i and abs(a.{side} - c.{side}) / {g}(a.{side}, c.{side}) <= 0.003 join b s on s.symbol = a.symbol and s.i > 50 and s.i - 50 <= a.i and s.i > c.i and s.{side} {cmp} {g}(a.{side}, c.{side}) and s.close {back} {g}(a.{side}, c.{side})
+where not exists (select 1 from b z where z.symbol = a.symbol and z.i > a.i and z.i < c.i and z.{side} {cmp} {g}(a.{side}, c.{side}))"""
+
+
+_detector("equal_levels", f"""
+, sw as (select *, max(high) over w as hi, min(low) over w as lo from b window w as (partition by symbol order by i rows between 5 preceding and 5 following)),
+highs as (select * from sw where high = hi), lows as (select * from sw where low = lo),
+k as (select * from ({_equal('high')}) where n = 1 union all select * from ({_equal('low')}) where n = 1)
+final select {SIGNALS.replace('low_volume', 'false as low_volume')} from k qualify row_number() over (partition by symbol, open_time order by direction desc) = 1""")
+
+BROKEN = """
+, z as (select x.symbol, x.timeframe, x.i, x.open_time, x.close, list(y.low order by y.i) as ls, list(y.high order by y.i) as hs, list(y.open_time order by y.i) as ts from b x join b y on y.symbol = x.symbol and y.i between x.i - 25 and x.i - 6 group by all having count(*) = 20),
+p as (select *, list_position(ls, list_min(ls)) as pl, list_position(hs, list_max(hs)) as ph, (select max(greatest(high, close)) from b y where y.symbol = z.symbol and y.i between z.i - 5 and z.i - 1) as up, (select min(least(low, close)) from b y where y.symbol = z.symbol and y.i between z.i - 5 and z.i - 1) as dn from z),
+q as (select *, list_max(hs[pl:]) as rise, list_position(hs[pl:], list_max(hs[pl:])) as rk, list_min(ls[ph:]) as fall, list_position(ls[ph:], list_min(ls[ph:])) as fk from p),
+bo as (select *, case when rise > list_min(ls) and rk > 1 and up > rise then 'long' when list_max(hs) > fall and fk > 1 and dn < fall then 'short' end as side from q),
+br as (select symbol, timeframe, i, open_time, close, side, case side when 'long' then list_min(ls) else fall end as lo, case side when 'long' then rise else list_max(hs) end as hi, case side when 'long' then ts[pl + rk - 1] else ts[ph + fk - 1] end as start_ms from bo where side is not null)
+"""
+BACK = "case side when 'long' then hi - {0} * (hi - lo) else lo + {0} * (hi - lo) end"
+
+query("detect_ote_entry", BARS_SQL + BROKEN + f"""
+, k as (select *, {BACK.format(0.618)} as near, {BACK.format(0.786)} as far from br where i > 26)
+final select symbol, timeframe, open_time, side as direction, case side when 'long' then lo else hi end as sl_price, false as low_volume, case side when 'long' then hi + 0.618 * (hi - lo) else lo - 0.618 * (hi - lo) end as tp_price
+from k where case side when 'long' then near >= close and close >= far else far >= close and close >= near end""", "sl_price tp_price")(lambda s, d: detectors.ote_entry(hourly(s, d)).drop("reason"))
+
+query("detect_ema_pullback", BARS_SQL + """
+, m as (select x.symbol, x.timeframe, x.i, x.open_time, x.open, x.high, x.low, x.close, x.volume, sum(y.close * case when y.i = 1 then pow(1 - 2.0 / 21, x.i - 1) else (2.0 / 21) * pow(1 - 2.0 / 21, x.i - y.i) end) as f, sum(y.close * case when y.i = 1 then pow(1 - 2.0 / 51, x.i - 1) else (2.0 / 51) * pow(1 - 2.0 / 51, x.i - y.i) end) as s from b x join b y on x.symbol = y.symbol and y.i <= x.i group by all),
+n as (select *, s / lag(s, 10) over w - 1 as slope, sign(close - f) as sd, lag(sign(close - f)) over w as psd, avg(volume) over (partition by symbol order by i rows between 20 preceding and 1 preceding) as mv,
+  min(case when low <= f and close > f then low end) over p as pl, max(case when high >= f and close < f then high end) over p as ph from m window w as (partition by symbol order by i), p as (partition by symbol order by i rows between 5 preceding and 1 preceding)),
+c as (select *, sum(cast(sd <> psd as integer)) over (partition by symbol order by i rows 18 preceding) as crosses from n),
+g as (select *, case when close > s and slope > 0 and close > open and close > f and close > pl then 'long' when close < s and slope < 0 and close < open and close < f and close < ph then 'short' end as direction from c where i > 50 and abs(slope) >= 0.003 and crosses <= 2 and high > low and abs(close - open) / (high - low) >= 0.5)
+final select symbol, timeframe, open_time, direction, printf('ema_pullback_%s@%.2f', direction, close) as reason, case direction when 'long' then pl else ph end as sl_price, coalesce(volume < 1.5 * mv, false) as low_volume, close + (close - case direction when 'long' then pl else ph end) * 3 as tp_price from g where direction is not null""", "sl_price tp_price")(lambda s, d: detectors.ema_pullback(hourly(s, d)))
+
+query("detect_fibonacci_retracement", BARS_SQL + """
+, v as (select *, case when high > lag(high) over w and high > lead(high) over w then i end as hi_, case when low < lag(low) over w and low < lead(low) over w then i end as lo_ from b window w as (partition by symbol order by i)),
+l as (select *, max(hi_) over p as ih, max(lo_) over p as il from v window p as (partition by symbol order by i rows between 19 preceding and 2 preceding)),
+k as (select l.symbol, l.timeframe, l.i, l.open_time, l.close, case when il < ih then 'long' else 'short' end as side, h.high as hi, o.low as lo from l join b h on h.symbol = l.symbol and h.i = ih join b o on o.symbol = l.symbol and o.i = il where ih <> il and h.high > o.low and l.i > 21)
+"""+f"""
+, z as (select *, {BACK.format(0.5)} as half, {BACK.format(0.618)} as deep, {BACK.format(0.786)} as stop from k)
+final select symbol, timeframe, open_time, side as direction, stop as sl_price, false as low_volume, cast(null as double) as tp_price from z where case side when 'long' then half >= close and close >= deep else deep >= close and close >= half end""", "sl_price")(lambda s, d: detectors.fibonacci_retracement(hourly(s, d)).drop("reason"))
+
+
+@query("detect_funding_extreme", BARS_SQL + """
+, fu as (select event_type as symbol, epoch_ms(time_bucket(interval '8 hours', ts)) as funding_time, (avg(value) - 50) / 200000 as rate from events group by all),
+j as (select b.symbol, b.timeframe, b.open_time, fu.funding_time, fu.rate from b asof join fu on fu.symbol = b.symbol and b.open_time >= fu.funding_time),
+k as (select * from j qualify row_number() over (partition by symbol, funding_time order by open_time) = 1)
+final select symbol, timeframe, open_time, case when rate > 0 then 'short' else 'long' end as direction, printf('funding_%s_extreme@%.4f', case when rate > 0 then 'long' else 'short' end, rate) as reason, 0.0::double as sl_price, false as low_volume, cast(null as double) as tp_price from k where abs(rate) > 0.0001""", "sl_price")
+def _(s, d):
+    f = tables.table(s, d, "events").groupBy(F.col("event_type").alias("symbol"), F.unix_millis(F.window(F.col("ts").cast("timestamp"), "8 hours")["start"]).alias("funding_time")).agg(((F.avg("value") - 50) / 200000).alias("rate"))
+    return detectors.funding_extreme(hourly(s, d), f)
+
+
 @query("detect_market_structure", BARS_SQL + """
 , x as (select *, count(*) over w as k, max(high) over w as hi, min(low) over w as lo, lead(open_time, 5) over (partition by symbol order by i) as conf from b window w as (partition by symbol order by i rows between 5 preceding and 5 following)),
 sw as (select symbol, timeframe, i, 'H' as side, high as price, conf from x where k = 11 and high = hi union all select symbol, timeframe, i, 'L', low, conf from x where k = 11 and low = lo),
@@ -313,11 +369,79 @@ def _(s, d):
 y as (select *, case when ph < nl then 'bull' else 'bear' end as side, case when ph < nl then ph else nh end as bottom, case when ph < nl then nl else pl end as top from x where ph < nl or pl > nh),
 z as (select * from y where top - bottom >= 0.001 * (top + bottom) / 2)
 final select z.symbol, z.timeframe, z.open_time, side, bottom, top, min(j.open_time) as crossed_at, min(j.open_time) is null as active
-from z left join b j on j.symbol = z.symbol and j.i between z.i + 2 and z.i + 101 and case when side = 'bull' then j.low <= (top + bottom) / 2 else j.high >= (top + bottom) / 2 end group by all""", "bottom top")
+from z left join b j on j.symbol = z.symbol and j.i >= z.i + 2 and case when side = 'bull' then j.low <= (top + bottom) / 2 else j.high >= (top + bottom) / 2 end group by all""", "bottom top")
 def _(s, d):
     return structure.gap_zones(hourly(s, d))
 
 
+# zones of the newest bars
+
+TAIL = """
+, nn as (select symbol, max(i) as n from b group by symbol),
+bt as (select b.*, n from b join nn using (symbol))
+"""
+ENDED = """
+, ze as (select z.symbol, z.timeframe, z.zone_type, z.direction, z.zone_low, z.zone_high, z.start_ms, z.i, min(j.open_time) as close_ms from z0 z left join b j on j.symbol = z.symbol and j.i >= z.rest and {0} group by all),
+zf as (select *, close_ms is null as active from ze),
+zr as (select *, row_number() over (partition by symbol, active order by i desc, direction desc) as f from zf)
+final select symbol, timeframe, zone_type, direction, zone_low, zone_high, start_ms, close_ms, active from zr where active or f <= {1} qualify row_number() over (partition by symbol order by active, i desc, direction desc) <= {2}"""
+
+
+def _zones(name: str, sql: str) -> None:
+    query(name, BARS_SQL + TAIL + sql, "zone_low zone_high")(lambda s, d: getattr(zones, name)(hourly(s, d)))
+
+
+_zones("gap_boxes", """
+, y as (select *, lag(high) over w as ph, lag(low) over w as pl, lead(low) over w as nl, lead(high) over w as nh, lag(open_time) over w as pt from bt window w as (partition by symbol order by i)),
+z0 as (select symbol, timeframe, 'fvg' as zone_type, case when ph < nl then 'bull' else 'bear' end as direction, case when ph < nl then ph else nh end as zone_low, case when ph < nl then nl else pl end as zone_high, pt as start_ms, i, i + 2 as rest from y
+  where i > 1 and i >= n - 100 and i < n and (ph < nl or pl > nh) and case when ph < nl then nl - ph else pl - nh end >= 0.001 * case when ph < nl then nl + ph else pl + nh end / 2)
+""" + ENDED.format("case when direction = 'bull' then j.low <= (zone_low + zone_high) / 2 else j.high >= (zone_low + zone_high) / 2 end", 5, 30))
+_zones("order_blocks", """
+, y as (select *, lead(close) over (partition by symbol order by i) as nc from bt),
+z0 as (select symbol, timeframe, 'ob' as zone_type, case when close > open then 'bear' else 'bull' end as direction, least(open, close) as zone_low, greatest(open, close) as zone_high, open_time as start_ms, i, i + 2 as rest from y
+  where i >= n - 101 and i <= n - 2 and (close > open and nc < low * (1 - 0.003) or open > close and nc > high * (1 + 0.003)))
+""" + ENDED.format("case when direction = 'bear' then j.high >= zone_low and j.close < zone_low else j.low <= zone_high and j.close > zone_high end", 3, 20))
+SWUNG = """
+, ar as (select *, max(high) over w as hi, min(low) over w as lo from bt window w as (partition by symbol order by i rows between 5 preceding and 5 following)),
+sg as (select *, 'H' as side, high as price from ar where high = hi union all select *, 'L', low from ar where low = lo),
+sw as (select * from sg where i > 5 and i >= n - 104 and i <= n - 5 and n >= 11)
+"""
+_zones("structure_levels", SWUNG + """
+, z0 as (select symbol, timeframe, 'bos' as zone_type, case side when 'H' then 'bear' else 'bull' end as direction, price as zone_low, price as zone_high, open_time as start_ms, i, i + 6 as rest from sw where n >= 15)
+""" + ENDED.format("case when direction = 'bear' then j.close > zone_high else j.close < zone_low end", 5, 8))
+
+
+@query("swing_points", BARS_SQL + TAIL + SWUNG + "\nfinal select symbol, timeframe, case side when 'H' then 'high' else 'low' end as swing_type, price, open_time as time_ms from sw qualify row_number() over (partition by symbol order by i desc, side desc) <= 30", "price")
+def _(s, d):
+    return zones.swing_points(hourly(s, d))
+
+
+@query("equal_pools", BARS_SQL + TAIL + SWUNG + """
+, o as (select *, row_number() over (partition by symbol, side order by i) as k, row_number() over () as r from sw),
+pr as (with recursive f as (
+  select symbol, side, 0 as k, cast([] as integer[]) as seen, cast([] as integer[]) as js, cast([] as integer[]) as ks from (select distinct symbol, side from o)
+  union all
+  select f.symbol, f.side, f.k + 1, case when mate is null then seen else seen || [f.k + 1, mate] end, case when mate is null then js else js || [f.k + 1] end, case when mate is null then ks else ks || [mate] end
+  from (select f.*, (select cast(min(c.k) as integer) from o a join o c on c.symbol = a.symbol and c.side = a.side where a.symbol = f.symbol and a.side = f.side and a.k = f.k + 1 and not list_contains(f.seen, a.k) and c.k > a.k and not list_contains(f.seen, c.k) and abs(a.price - c.price) / a.price < 0.003) as mate from f) f
+  where f.k < (select max(k) from o where o.symbol = f.symbol and o.side = f.side)) select * from f),
+pz as (select symbol, side, unnest(js) as j, unnest(ks) as k from pr where pr.k = (select max(k) from o where o.symbol = pr.symbol and o.side = pr.side)),
+z0 as (select a.symbol, a.timeframe, case a.side when 'H' then 'eqh' else 'eql' end as zone_type, case a.side when 'H' then 'bear' else 'bull' end as direction, (a.price + c.price) / 2 as price, a.open_time as start_ms, a.i, c.i + 1 as rest from pz join o a on a.symbol = pz.symbol and a.side = pz.side and a.k = pz.j join o c on c.symbol = pz.symbol and c.side = pz.side and c.k = pz.k),
+ze as (select z.symbol, z.timeframe, z.zone_type, z.direction, price as zone_low, price as zone_high, z.start_ms, z.i, min(b.open_time) as close_ms from z0 z left join b on b.symbol = z.symbol and b.i >= z.rest and case direction when 'bear' then b.high >= price else b.low <= price end group by all)
+final select symbol, timeframe, zone_type, direction, zone_low, zone_high, start_ms, close_ms, close_ms is null as active from ze qualify row_number() over (partition by symbol order by zone_type desc, i desc) <= 10""", "zone_low zone_high")
+def _(s, d):
+    return zones.equal_pools(hourly(s, d))
+
+
+def _box(name: str, kind: str, near: float, far: float) -> None:
+    ends = f"{BACK.format(near)}, {BACK.format(far)}"
+    sql = BROKEN + f"\nfinal select symbol, timeframe, '{kind}' as zone_type, case side when 'long' then 'bull' else 'bear' end as direction, least({ends}) as zone_low, greatest({ends}) as zone_high, start_ms, cast(null as bigint) as close_ms, true as active from br where i = (select max(i) from b where b.symbol = br.symbol)"
+    query(name, BARS_SQL + sql, "zone_low zone_high")(lambda s, d: getattr(zones, name)(hourly(s, d)))
+
+
+_box("golden_box", "fib_zone", 0.5, 0.618)
+_box("ote_box", "ote", 0.618, 0.786)
+
+
 # simulation, gates, confluence
 
 PINS = """
