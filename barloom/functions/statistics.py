@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def _cdf(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function: its series near 0, a continued fraction in the tails; NaN stays."""
+    a = np.minimum(np.abs(np.nan_to_num(x)), 40.0)
+    small = np.minimum(a, 4.0)
+    term = total = small.copy()
+    for k in range(1, 60):
+        term = term * small * small / (2 * k + 1)
+        total = total + term
+    tail = np.maximum(a, 4.0)
+    fraction = tail.copy()
+    for k in range(60, 0, -1):
+        fraction = tail + k / fraction
+    upper = np.where(a <= 4.0, 0.5 - total * np.exp(-small * small / 2) / np.sqrt(2 * np.pi), np.exp(-tail * tail / 2) / np.sqrt(2 * np.pi) / fraction)
+    return np.where(np.isnan(x), np.nan, np.where(x > 0, 1 - upper, upper))
+
+
+def _quantile(p: np.ndarray) -> np.ndarray:
+    """Its inverse by bisection; NaN outside of (0, 1)."""
+    lo, hi = np.full(len(p), -40.0), np.full(len(p), 40.0)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        below = _cdf(mid) < p
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return np.where((p > 0) & (p < 1), (lo + hi) / 2, np.nan)
+
+
 def normal_cdf(c):
     @F.pandas_udf(DoubleType())
     def cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else NormalDist().cdf(v))
+        return pd.Series(_cdf(x.to_numpy(float)))
 
     return cdf(c)
 
@@ -22,7 +49,7 @@ def normal_cdf(c):
 def normal_quantile(c):
     @F.pandas_udf(DoubleType())
     def inv(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else NormalDist().inv_cdf(v))
+        return pd.Series(_quantile(x.to_numpy(float)))
 
     return inv(c)
 
@@ -74,11 +101,12 @@ def correlations(panel: DataFrame) -> DataFrame:
 def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
     """Cluster bootstrap of the mean per key: mean, 2.5% and 97.5%.
 
-    Each draw weighs a cluster by a Poisson(1) count from a hash of seed, draw and cluster, so the work is sums over
+    Each draw weighs a cluster by a Poisson(1) count from a digest of seed, draw and cluster, so the work is sums over
     (key, cluster) aggregates and no resample is built.
     """
     g = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(cluster).cast("string")), F.lit(1_000_003)) + 0.5) / 1_000_003
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(cluster)).cast("binary")), 1, 8), 16, 10).cast("long")
+    u = (h + 0.5) / 2**32
     # fixed values: the distribution function of the Poisson law of mean 1
     steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
     count = sum((u > x).cast("int") for x in steps)
@@ -88,35 +116,46 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, d
     return g.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).join(ends, keys)
 
 
-def overfit_odds(matrix: np.ndarray, splits: int = 8) -> float:
-    """Share of symmetric splits of time in which the best trial of one half ranks under the median in the other."""
-    from itertools import combinations
-
-    parts = np.array_split(np.arange(len(matrix)), splits)
-    low = total = 0
-    for c in combinations(range(splits), splits // 2):
-        a = np.concatenate([parts[i] for i in c])
-        b = np.concatenate([parts[i] for i in range(splits) if i not in c])
-        best = matrix[a].mean(0).argmax()
-        out = matrix[b].mean(0)
-        rank = (out < out[best]).sum() + 0.5 * ((out == out[best]).sum() - 1) + 1
-        share = rank / (matrix.shape[1] + 1)
-        low += np.log(share / (1 - share)) < 0
-        total += 1
-    return low / total
-
-
 def backtest_overfitting(points: DataFrame, trial: str, time: str, value: str, bins: int = 32, splits: int = 8) -> DataFrame:
     """Probability of backtest overfitting of trials: R summed in equal time bins, then symmetric cross-validation.
 
-    What reaches one task is a matrix of bins by trials, whatever the trades.
+    Bins go to ``splits`` blocks in order. For every choice of half the blocks, the trial best there is ranked in the other
+    half; overfit are the choices in which it is at or under the median. Ties count half, and of equal best ones the first
+    by name is taken. Sums per block and trial are all that is ever held, so trials may be any number.
     """
     span = points.agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
     b = F.least(F.floor((F.col(time) - F.col("t0")) * bins / F.greatest(F.col("t1") - F.col("t0"), F.lit(1))), F.lit(bins - 1))
-    cells = points.crossJoin(F.broadcast(span)).groupBy(b.alias("bin"), F.col(trial).alias("trial")).agg(F.sum(value).alias("r"))
-
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        m = one.pivot_table(index="bin", columns="trial", values="r", aggfunc="sum").reindex(range(bins)).fillna(0.0).to_numpy()
-        return pd.DataFrame({"trials": [m.shape[1]], "pbo": [overfit_odds(m, splits)]})
-
-    return cells.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "trials long, pbo double")
+    cells = points.crossJoin(F.broadcast(span)).groupBy(F.floor(b * splits / bins).cast("int").alias("block"), F.col(trial).alias("trial")).agg(F.sum(value).alias("r"))
+    wide = cells.groupBy("trial").agg(F.sum("r").alias("all_"), *(F.coalesce(F.sum(F.when(F.col("block") == i, F.col("r"))), F.lit(0.0)).alias(f"b{i}") for i in range(splits)))
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.round(sum((F.col(f"b{j}") for j in c), F.lit(0.0)), 9).alias("inside")) for i, c in enumerate(combinations(range(splits), splits // 2))))
+    rows = wide.select("trial", "all_", F.explode(choices).alias("x")).select("trial", "x.choice", "x.inside", F.round(F.col("all_") - F.col("x.inside"), 9).alias("outside"))
+    best = rows.groupBy("choice").agg(F.max("inside").alias("top"))
+    first = rows.join(best, "choice").where("inside = top").groupBy("choice").agg(F.min_by("outside", "trial").alias("own"))
+    ranks = rows.join(first, "choice").groupBy("choice").agg(F.count("*").alias("n"), (F.count_if(F.col("outside") < F.col("own")) + 0.5 * (F.count_if(F.col("outside") == F.col("own")) - 1) + 1).alias("rank"))
+    return ranks.agg(F.max("n").alias("trials"), F.avg((F.col("rank") / (F.col("n") + 1) < 0.5).cast("double")).alias("pbo"))
+
+
+def adjusted_p(tests: DataFrame, p: str = "p", method: str = "holm") -> DataFrame:
+    """Adds ``p_adjusted`` for the number of tests: ``bonferroni``, ``holm`` or ``bhy`` (false discoveries under any dependence)."""
+    w = Window.orderBy(p)  # one row a trial: a table of tests, not of data
+    t = tests.withColumns({"_k": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy())})
+    if method == "bonferroni":
+        out = F.col(p) * F.col("_m")
+    elif method == "holm":
+        out = F.max(F.col(p) * (F.col("_m") - F.col("_k") + 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    elif method == "bhy":
+        c = F.expr("aggregate(sequence(1, cast(_m as int)), 0D, (a, i) -> a + 1D / i)")
+        out = F.min(F.col(p) * F.col("_m") * c / F.col("_k")).over(Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        raise ValueError(f"no method {method}")
+    return t.withColumn("p_adjusted", F.least(out, F.lit(1.0))).drop("_k", "_m")
+
+
+def drawdown_stats(rets: DataFrame, keys: list[str], order: str = "date", value: str = "ret") -> DataFrame:
+    """Per key: largest drawdown of compounded returns, ulcer index, longest run of bars under water and share of them."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = rets.where(F.col(value).isNotNull()).withColumns({"_wealth": F.exp(F.sum(F.log1p(value)).over(up)), "_k": F.row_number().over(w)})
+    r = r.withColumn("_dd", F.col("_wealth") / F.greatest(F.lit(1.0), F.max("_wealth").over(up)) - 1)
+    r = r.withColumn("_wet", F.col("_dd") < -1e-12).withColumn("_dry", F.coalesce(F.max(F.when(~F.col("_wet"), F.col("_k"))).over(up), F.lit(0)))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"), F.max(F.col("_k") - F.col("_dry")).alias("longest_under_water"), F.avg(F.col("_wet").cast("double")).alias("share_under_water"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +101,91 @@ def insider_classes(txns: DataFrame) -> DataFrame:
     return t.withColumn("class", F.when(same, "routine").when(each, "opportunistic").otherwise("unclassified")).select(*txns.columns, "class")
 
 
+#: Fast and slow spans of the crossovers with the scalars that bring each to a mean size of ten.
+SPEEDS = ((8, 32, 5.3), (16, 64, 3.75), (32, 128, 2.65), (64, 256, 1.91))
+
+
+def forecasts(p: DataFrame, speeds: tuple = SPEEDS, vol_span: int = 32, fdm: float = 1.25, cap: float = 20.0, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """Adds ``vol``, the deviation of returns with exponential weights up to the day before, and ``forecast``: crossovers in
+    units of price volatility, scaled and capped, their weighted mean times ``fdm``, capped. Null until the volatility is known.
+    """
+    spans = sorted({n for f, s, _ in speeds for n in (f, s)})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema) + "".join(f", _e{n} double" for n in spans) + ", vol double"
+
+    def run(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("date")
+        vol = (one["close"] / one["close"].shift() - 1).ewm(span=vol_span, min_periods=vol_span).std().shift()
+        return one.assign(**{f"_e{n}": one["close"].ewm(span=n, adjust=False).mean() for n in spans}, vol=vol)
+
+    x = p.groupBy("symbol").applyInPandas(run, schema)
+    clip = lambda c: F.greatest(F.least(c, F.lit(cap)), F.lit(-cap))
+    w = weights or (1.0,) * len(speeds)
+    parts = [clip(F.try_divide(F.col(f"_e{f}") - F.col(f"_e{s}"), F.col("vol") * F.col("close")) * k) * v for (f, s, k), v in zip(speeds, w, strict=True)]
+    return x.withColumn("forecast", F.when(F.col("vol").isNotNull(), clip(sum(parts[1:], parts[0]) / sum(w) * fdm))).drop(*(f"_e{n}" for n in spans))
+
+
+def sized(f: DataFrame, target: float = 0.2, cost: float = 0.0003, days: float = 252.0, long_only: bool = False) -> DataFrame:
+    """Adds ``leverage``, the day before's forecast at a yearly volatility target, and ``gross``, ``cost`` of its change, ``net``."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    held = F.lag(F.greatest("forecast", F.lit(0.0)) if long_only else "forecast").over(w)
+    f = f.withColumn("leverage", F.try_divide(held / 10 * target, F.col("vol") * F.sqrt(F.lit(days))))
+    f = f.withColumns({"gross": F.col("leverage") * F.col("ret"), "cost": F.abs(F.col("leverage") - F.coalesce(F.lag("leverage").over(w), F.lit(0.0))) * cost})
+    return f.withColumn("net", F.col("gross") - F.col("cost"))
+
+
+def governed(s: DataFrame, target: float = 0.2, window: int = 64, least: float = 0.5, most: float = 1.5, days: float = 252.0) -> DataFrame:
+    """Per date: mean net return of the symbols that have one, and the same scaled to the volatility target by the book's own
+    trailing volatility up to the day before; nothing is held until that is known."""
+    b = s.groupBy("date").agg(F.coalesce(F.avg("net"), F.lit(0.0)).alias("pre"), F.count("net").alias("active"))
+    w = Window.orderBy("date")  # a row a date: one book
+    vol = F.when(F.count("pre").over(w.rowsBetween(1 - window, 0)) == window, F.stddev_samp("pre").over(w.rowsBetween(1 - window, 0)))
+    b = b.withColumn("_vol", vol).withColumn("governor", F.greatest(F.least(F.try_divide(F.lit(target), F.lag("_vol").over(w) * F.sqrt(F.lit(days))), F.lit(most)), F.lit(least)))
+    b = b.withColumn("governor", F.when(F.lag("_vol").over(w).isNotNull(), F.col("governor")))
+    return b.withColumn("ret", F.coalesce(F.col("governor"), F.lit(0.0)) * F.col("pre")).drop("_vol")
+
+
+def demeaned(f: DataFrame, value: str = "forecast", by: tuple[str, ...] = ()) -> DataFrame:
+    """The value less its mean on the date, within groups such as sectors."""
+    w = Window.partitionBy("date", *by)
+    return f.withColumn(value, F.col(value) - F.avg(value).over(w))
+
+
+def residuals(p: DataFrame, window: int = 252) -> DataFrame:
+    """Adds ``market``, the mean return of the date, ``beta``, of the window up to the day before, and ``resid``, what the market
+    times beta doesn't explain."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    p = p.where("ret is not null").withColumn("market", F.avg("ret").over(Window.partitionBy("date")))
+    past = w.rowsBetween(-window, -1)
+    p = p.withColumn("beta", F.when(F.count("ret").over(past) >= window, F.try_divide(F.covar_samp("ret", "market").over(past), F.var_samp("market").over(past))))
+    return p.withColumn("resid", F.col("ret") - F.col("beta") * F.col("market"))
+
+
+def beta_neutral(p: DataFrame, score: str = "signal", gross: float = 1.0) -> DataFrame:
+    """Adds ``weight``: the score demeaned and then made free of beta on each date, scaled to a gross exposure."""
+    w = Window.partitionBy("date")
+    p = p.where(F.col(score).isNotNull() & F.col("beta").isNotNull())
+    p = p.withColumns({"_s": F.col(score) - F.avg(score).over(w), "_b": F.col("beta") - F.avg("beta").over(w)})
+    slope = F.try_divide(F.sum(F.col("_s") * F.col("_b")).over(w), F.sum(F.col("_b") * F.col("_b")).over(w))
+    p = p.withColumn("_raw", F.col("_s") - F.coalesce(slope, F.lit(0.0)) * F.col("_b"))
+    return p.withColumn("weight", F.coalesce(F.try_divide(F.col("_raw") * gross, F.sum(F.abs("_raw")).over(w)), F.lit(0.0))).drop("_s", "_b", "_raw")
+
+
+def subperiods(rets: DataFrame, n: int = 4, days: float = 252.0) -> DataFrame:
+    """Mean, deviation and yearly Sharpe ratio of a book's returns in equal parts of its dates."""
+    r = rets.withColumn("part", F.ntile(n).over(Window.orderBy("date")))
+    return r.groupBy("part").agg(F.min("date").alias("first"), F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd")).withColumn("sharpe", F.try_divide("mean", "sd") * F.sqrt(F.lit(days)))
+
+
+def vol_overlay(p: DataFrame, target: float = 0.1, window: int = 20, most: float = 1.0, n: int = 200, days: float = 252.0) -> DataFrame:
+    """Adds ``weight``: on where the close of the day before was above its mean of ``n``, at most ``most``, sized to a volatility
+    target by the window up to the day before; and ``arm``, the return that gives."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    p = trend_filter(p, n).withColumn("_vol", full("ret", window, F.stddev_samp))
+    size = F.least(F.try_divide(F.lit(target), F.lag("_vol").over(w) * F.sqrt(F.lit(days))), F.lit(most))
+    p = p.withColumn("weight", F.when(F.col("risk_on") & F.lag("_vol").over(w).isNotNull(), size).otherwise(0.0))
+    return p.withColumn("arm", F.col("weight") * F.coalesce("ret", F.lit(0.0))).drop("_vol")
+
+
 def drawdown(rets: DataFrame, order: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
     """Running wealth, its peak and drawdown of a return series."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

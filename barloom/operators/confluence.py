@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import SERIES
+from .simulate import Rules, metrics, simulate
 
 
 def cofire(bars: DataFrame, a: DataFrame, b: DataFrame, window: int = 5) -> DataFrame:
@@ -52,3 +53,21 @@ def best_pairs(combos: DataFrame) -> DataFrame:
     """Best mean R per (symbol, timeframe, unordered pair)."""
     pair = F.array_sort(F.array("strategy_a", "strategy_b"))
     return combos.groupBy("symbol", "timeframe", pair[0].alias("first"), pair[1].alias("second")).agg(F.max("avg_r").alias("best_avg_r"), F.count("*").alias("n"))
+
+
+def alive(signals: DataFrame, least: int = 3) -> DataFrame:
+    """Signals of the series that have enough of them."""
+    enough = signals.groupBy(*SERIES).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return signals.join(enough.select(*SERIES), list(SERIES), "left_semi")
+
+
+def backtest_pair(bars: DataFrame, a: DataFrame, b: DataFrame, name: str, window: int = 5, rules: Rules = Rules(), least: int = 3) -> DataFrame:
+    """Metrics of trades on signals of ``a`` and ``b`` that fire together; series where either has under ``least`` have none."""
+    x, y = alive(a, least), alive(b, least)
+    return metrics(simulate(bars, cofire(bars, x, y, window).withColumn("strategy", F.lit(name)), rules))
+
+
+def backtest_cross(low_bars: DataFrame, high: DataFrame, low: DataFrame, name: str, window_ms: int, rules: Rules = Rules(), least: int = 3) -> DataFrame:
+    """Metrics of trades on lower-timeframe signals that a higher one stands behind, on the lower one's bars."""
+    x, y = alive(high, least), alive(low, least)
+    return metrics(simulate(low_bars, cross_timeframe(x, y, window_ms).withColumn("strategy", F.lit(name)), rules))

@@ -148,6 +148,19 @@ def consistency(runs: DataFrame, least: int = 5) -> DataFrame:
     return runs.where(F.col("closed_trades") >= least).groupBy("strategy").agg(F.count("*").alias("cells"), good.alias("profitable"), (100.0 * good / F.count("*")).alias("pct_profitable"), pooled("avg_r").alias("avg_r"), F.sum("closed_trades").alias("trades"))
 
 
+def recovery(runs: DataFrame, least: int = 5) -> DataFrame:
+    """Per strategy: mean and best recovery factor of the runs that recovered, with their drawdowns."""
+    r = runs.where((F.col("closed_trades") >= least) & (F.col("recovery_factor") > 0))
+    return r.groupBy("strategy").agg(F.avg("recovery_factor").alias("avg_rf"), F.max("recovery_factor").alias("best_rf"), F.avg("max_drawdown_r").alias("avg_max_dd_r"), pooled("avg_r").alias("avg_r"), F.sum("closed_trades").alias("trades"), F.count("*").alias("run_count"))
+
+
+def leaderboard(runs: DataFrame, keys: list[str], least: int = 3, top_n: int = 30) -> DataFrame:
+    """The best of the newest run of each key by mean R; ties by the keys."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("run_at_ms"))
+    r = runs.where(F.col("closed_trades") >= least).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return r.orderBy(F.desc("avg_r"), *keys).limit(top_n)
+
+
 def latest(runs: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc("run_at_ms"), *ties)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators, statistics
-from ..operators import books, cones, confluence, detectors, outcomes, quality, reports, simulate, structure, zones
+from ..operators import books, cones, confluence, detectors, exits, outcomes, quality, reports, simulate, structure, zones
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, POOLED_SQL, TRADES_SQL
 from ..streaming import bars as streams
@@ -471,12 +471,16 @@ def _(s, d):
     return simulate.simulate(hourly(s, d), _pins(s, d))
 
 
-@query("trade_metrics", BARS_SQL + SIMULATED + """
+METRICS = """
 , c as (select *, sum(pnl_r) over (partition by symbol order by signal_time, direction rows unbounded preceding) as cum from trades where pnl_r is not null),
 m as (select *, greatest(0, max(cum) over (partition by symbol order by signal_time, direction rows unbounded preceding)) - cum as dd from c),
 g as (select symbol, timeframe, strategy, count(*) as n, avg(cast(pnl_r > 0 as integer)) as win_rate, avg(pnl_r) as avg_r, sum(pnl_r) as total_r, avg(pnl_r) filter (direction = 'long') as long_avg_r, avg(pnl_r) filter (direction = 'short') as short_avg_r,
   coalesce(avg(pnl_r) / nullif(stddev_samp(pnl_r), 0), 0) as sharpe, max(dd) as max_dd from m group by all)
-final select *, coalesce(total_r / nullif(max_dd, 0), 0) as recovery from g""", "win_rate avg_r total_r long_avg_r short_avg_r sharpe max_dd recovery")
+final select *, coalesce(total_r / nullif(max_dd, 0), 0) as recovery from g"""
+METRIC_NAMES = "win_rate avg_r total_r long_avg_r short_avg_r sharpe max_dd recovery"
+
+
+@query("trade_metrics", BARS_SQL + SIMULATED + METRICS, "win_rate avg_r total_r long_avg_r short_avg_r sharpe max_dd recovery")
 def _(s, d):
     return simulate.metrics(simulate.simulate(hourly(s, d), _pins(s, d)))
 
@@ -557,7 +561,15 @@ def _(s, d):
     return simulate.day_gate(simulate.direction_gate(_pins(s, d), {"pin_bar": ["short"]}), [1, 2, 3]).select("symbol", "timeframe", "open_time", "direction", "sl_price")
 
 
-@query("cooldown_gate")
+COOLED = """
+, o as (select *, row_number() over (partition by symbol, direction order by open_time) as k from sig),
+f as (with recursive f as (select symbol, direction, k, open_time from o where k = 1 union all
+  select f.symbol, f.direction, n.k, n.open_time from f join lateral (select o.k, o.open_time from o where o.symbol = f.symbol and o.direction = f.direction and o.k > f.k and o.open_time - f.open_time >= 18000000 order by o.k limit 1) n on true) select * from f)
+final select g.symbol, g.timeframe, g.open_time, g.direction, printf('pin_bar_%s@%.2f', case g.direction when 'long' then 'bull' else 'bear' end, b.close) as reason, g.sl_price, coalesce(b.volume < 1.5 * b.mv, false) as low_volume, cast(null as double) as tp_price, 'pin_bar' as strategy
+from f join o g using (symbol, direction, k) join (select *, avg(volume) over (partition by symbol order by i rows between 20 preceding and 1 preceding) as mv from b) b on b.symbol = g.symbol and b.i = g.i"""
+
+
+@query("cooldown_gate", BARS_SQL + PINS + COOLED, "sl_price")
 def _(s, d):
     return simulate.cooldown(_pins(s, d), 5, tables.HOUR_MS)
 
@@ -604,7 +616,22 @@ def _(s, d):
     return simulate.folds(hourly(s, d), 5, 5 * tables.HOUR_MS, 10 * tables.HOUR_MS)
 
 
-@query("cofire_pairs")
+COFIRED = """
+, pa as (select *, row_number() over (partition by symbol, direction order by i) as k from sig),
+cf as (with recursive f as (
+  select symbol, direction, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast([] as bigint[]) as ia, cast([] as bigint[]) as ib from (select distinct symbol, direction from pa)
+  union all
+  select symbol, direction, k, case when mate is null then used else list_append(used, mate) end, case when mate is null then ia else list_append(ia, i) end, case when mate is null then ib else list_append(ib, mate) end
+  from (select f.symbol, f.direction, a.k, a.i, f.used, f.ia, f.ib, (select arg_min(e.i, abs(e.i - a.i) * 1000000 + e.i) from eng e where e.symbol = a.symbol and e.direction = a.direction and abs(e.i - a.i) <= 5 and not list_contains(f.used, e.i)) as mate
+    from f join pa a on a.symbol = f.symbol and a.direction = f.direction and a.k = f.k + 1))
+  select * from f),
+cp as (select symbol, direction, unnest(ia) as ia, unnest(ib) as ib from cf where k = (select max(k) from pa where pa.symbol = cf.symbol and pa.direction = cf.direction)),
+co as (select c.symbol, '1h' as timeframe, c.direction, b.open_time, case when ia >= ib then a.sl_price else e.sl_price end as sl_price, cast(ia as integer) as idx_a, cast(ib as integer) as idx_b
+  from cp c join pa a on a.symbol = c.symbol and a.direction = c.direction and a.i = c.ia join eng e on e.symbol = c.symbol and e.direction = c.direction and e.i = c.ib join b on b.symbol = c.symbol and b.i = greatest(ia, ib))
+"""
+
+
+@query("cofire_pairs", BARS_SQL + PINS + ENGULFS + COFIRED + "\nfinal select * from co", "sl_price")
 def _(s, d):
     b = hourly(s, d)
     return confluence.cofire(b, detectors.pin_bar(b), detectors.engulfing(b))
@@ -619,6 +646,31 @@ def _(s, d):
     return confluence.cross_timeframe(detectors.pin_bar(quality.resample(b)), detectors.pin_bar(b), 4 * tables.HOUR_MS).select("symbol", "timeframe", "open_time", "direction", "sl_price")
 
 
+def _traded(name: str, signals: str) -> str:
+    """SQL of the trades of a table of signals, in place of the pin bars'."""
+    return SIMULATED.replace(PINS, "").replace("from sig g", f"from {signals} g").replace("'pin_bar' as strategy", f"'{name}' as strategy")
+
+
+ALIVE = ", few as (select symbol from sig group by symbol having count(*) < 3 union select symbol from {} group by symbol having count(*) < 3)\n, cs as (select * from {} where symbol not in (select symbol from few))\n"
+
+
+@query("combo_backtest", BARS_SQL + PINS + ENGULFS + COFIRED + ALIVE.format("eng", "(select symbol, timeframe, greatest(idx_a, idx_b) as i, open_time, direction, sl_price from co)") + _traded("pin_bar+engulfing", "cs") + METRICS, METRIC_NAMES)
+def _(s, d):
+    b = hourly(s, d)
+    return confluence.backtest_pair(b, detectors.pin_bar(b), detectors.engulfing(b), "pin_bar+engulfing")
+
+
+HIGHER = RESAMPLED.replace(", h as", ", hi4 as").format("first(open order by open_time) as open, max(high) as high, min(low) as low, last(close order by open_time) as close") + """
+, hs as (select symbol, t as open_time, case when least(open, close) - low >= 2 * abs(close - open) and high - greatest(open, close) <= abs(close - open) then 'long' else 'short' end as direction from hi4
+  where close <> open and ((least(open, close) - low >= 2 * abs(close - open) and high - greatest(open, close) <= abs(close - open)) or (high - greatest(open, close) >= 2 * abs(close - open) and least(open, close) - low <= abs(close - open))))"""
+
+
+@query("cross_timeframe_backtest", BARS_SQL + PINS + HIGHER + ALIVE.format("hs", "(select * from sig g where exists (select 1 from hs where hs.symbol = g.symbol and hs.direction = g.direction and hs.open_time between g.open_time - 14400000 and g.open_time))") + _traded("pin_bar@4h+pin_bar@1h", "cs") + METRICS, METRIC_NAMES)
+def _(s, d):
+    b = hourly(s, d)
+    return confluence.backtest_cross(b, detectors.pin_bar(quality.resample(b)), detectors.pin_bar(b), "pin_bar@4h+pin_bar@1h", 4 * tables.HOUR_MS)
+
+
 @query("combo_lookup", TRADES_SQL + """
 , c as (select a.symbol, a.timeframe, least(a.strategy, b.strategy) as first, greatest(a.strategy, b.strategy) as second, a.avg_r + b.avg_r as avg_r from r a join r b on a.symbol = b.symbol and a.timeframe = b.timeframe and a.day_filter = b.day_filter and a.volume_suppress = b.volume_suppress where a.strategy <> b.strategy)
 final select symbol, timeframe, first, second, max(avg_r) as best_avg_r, count(*) as n from c group by all""", "best_avg_r")
@@ -829,6 +881,58 @@ def _(s, d):
     return outcomes.marked(_ledger(s, d), hourly(s, d))
 
 
+# exits
+
+WALK = ALERTS + """
+, wk as (select al.*, j.i - al.i - 1 as k, j.open_time as t, case direction when 'long' then j.high - entry else entry - j.low end / abs(entry - sl) as fav, case direction when 'long' then j.low - entry else entry - j.high end / abs(entry - sl) as adv,
+  (j.close - entry) * case direction when 'long' then 1 else -1 end / abs(entry - sl) as c from al join b j on j.symbol = al.symbol and j.i between al.i + 1 and al.i + 24),
+ev as (select symbol, i, min(k) filter (fav >= 1 - 1e-12) as arm, min(k) filter (fav >= 2 - 1e-12) as tp_k, min(k) filter (adv <= -1 + 1e-12) as sl_k, max(k) as last, arg_max(c, k) as last_c from wk group by all),
+es as (select ev.*, least(sl_k, (select min(k) from wk where wk.symbol = ev.symbol and wk.i = ev.i and wk.k > ev.arm and wk.adv <= 1e-12)) as st from ev),
+eo as (select *, case when st is not null and st <= coalesce(tp_k, st) then case when coalesce(st > arm, false) then 'breakeven' else 'loss' end when tp_k is not null then 'win' else 'expired' end as outcome from es),
+ex as (select *, case when outcome in ('loss', 'breakeven') then st when outcome = 'win' then tp_k else last end as e from eo),
+ey as (select *, coalesce(arm < e or arm = e and outcome not in ('loss', 'breakeven'), false) as part from ex)
+"""
+
+
+@query("exit_replay", BARS_SQL + WALK + """
+final select al.symbol, al.timeframe, al.open_time, al.direction, al.entry, al.sl, 'composite' as policy, outcome, case when part then 0.5 else 0 end + case when part then 0.5 else 1 end * case outcome when 'loss' then -1 when 'breakeven' then 0 when 'win' then 2 else last_c end as realized_r, cast(e as integer) as exit_bar, part as partial_taken
+from ey join al using (symbol, i)""", "entry sl realized_r")
+def _(s, d):
+    a = _ledger(s, d).select("symbol", "timeframe", "open_time", "direction", "entry", "sl")
+    return exits.replay(hourly(s, d), a, exits.Policy("composite", 2.0, 24, 1.0, 0.5, 1.0))
+
+
+@query("exit_policies", BARS_SQL + WALK + """
+, cm as (select symbol, i, case when part then 0.5 else 0 end + case when part then 0.5 else 1 end * case outcome when 'loss' then -1 when 'breakeven' then 0 when 'win' then 2 else last_c end as r from ey),
+fx as (select symbol, i, case when sl_k is not null and sl_k <= coalesce(tp_k, sl_k) then -1 when tp_k is not null then 2 else last_c end as r from ev),
+u as (select 'fixed' as policy, al.direction, fx.r, 0.0 as gain from fx join al using (symbol, i) union all select 'composite', al.direction, cm.r, cm.r - fx.r from cm join fx using (symbol, i) join al using (symbol, i))
+final select policy, direction, count(*) as n, avg(r) as avg_r, stddev_samp(r) as sd_r, avg(cast(r > 0 as integer)) as win_rate, avg(gain) as gain from u group by all""", "avg_r sd_r win_rate gain")
+def _(s, d):
+    a = _ledger(s, d).select("symbol", "timeframe", "open_time", "direction", "entry", "sl")
+    return exits.compare(hourly(s, d), a, [exits.Policy("fixed", 2.0, 24), exits.Policy("composite", 2.0, 24, 1.0, 0.5, 1.0)], ["direction"])
+
+
+EXCURSED = ALERTS + """
+, wk as (select ol.*, j.i as ji, case ol.direction when 'long' then j.high - ol.entry else ol.entry - j.low end / abs(ol.entry - ol.sl) as fav, case ol.direction when 'long' then ol.entry - j.low else j.high - ol.entry end / abs(ol.entry - ol.sl) as adv
+  from ol join al on al.symbol = ol.symbol and al.open_time = ol.open_time and al.direction = ol.direction join b j on j.symbol = ol.symbol and j.i between al.i + 1 and al.i + 24 and j.open_time <= resolved_at where outcome is not null),
+wl as (select *, max(ji) over (partition by symbol, open_time, direction) as lj from wk),
+eg as (select symbol, timeframe, open_time, direction, entry, sl, tp, outcome, outcome_r, resolved_at, coalesce(max(fav) filter (ji < lj), 0) as bf, max(fav) as af, max(adv) as ad, count(*) as held, (tp - entry) * case direction when 'long' then 1 else -1 end / abs(entry - sl) as tp_r from wl group by all),
+exc as (select * exclude (bf, af, ad, held), greatest(case outcome when 'loss' then bf when 'win' then greatest(bf, tp_r) else af end, 0) as mfe_r, greatest(ad, 0) as mae_r, cast(held as integer) as bars_held from eg)
+"""
+
+
+@query("excursions", BARS_SQL + EXCURSED + "\nfinal select * from exc", "entry sl tp outcome_r tp_r mfe_r mae_r")
+def _(s, d):
+    return exits.excursions(hourly(s, d), _ledger(s, d), 24)
+
+
+@query("excursion_cohorts", BARS_SQL + EXCURSED + """
+final select outcome, direction, count(*) as n, avg(mfe_r) as mfe_mean, median(mfe_r) as mfe_p50, avg(mae_r) as mae_mean, median(mae_r) as mae_p50, avg(cast(mfe_r >= 0.5 as integer)) as reach_05, avg(cast(mfe_r >= 1 as integer)) as reach_10,
+  median(tp_r) as tp_r_p50, cast(median(bars_held) as double) as bars_held_p50, avg(outcome_r) as outcome_r_mean from exc group by all having count(*) >= 5""", "mfe_mean mfe_p50 mae_mean mae_p50 reach_05 reach_10 tp_r_p50 bars_held_p50 outcome_r_mean")
+def _(s, d):
+    return exits.cohorts(exits.excursions(hourly(s, d), _ledger(s, d), 24), ["direction"], 5)
+
+
 # digests of the run ledger
 
 POOLED = "sum({0} * {1}) / nullif(sum({1}) filter ({0} is not null), 0)"
@@ -896,6 +1000,53 @@ def _(s, d):
     return reports.consistency(_runs(s, d))
 
 
+DRAWN = """
+, tc as (select *, sum(pnl_r) over w as cum from t window w as (partition by symbol, timeframe, strategy, day_filter, adr_suppress_threshold, volume_suppress order by entry_time, trade_id rows unbounded preceding)),
+td as (select *, greatest(0, max(cum) over (partition by symbol, timeframe, strategy, day_filter, adr_suppress_threshold, volume_suppress order by entry_time, trade_id rows unbounded preceding)) - cum as dd from tc),
+dr as (select symbol, timeframe, strategy, day_filter, adr_suppress_threshold, volume_suppress, count(*) as closed_trades, avg(pnl_r) as avg_r, sum(pnl_r) as total_r, avg(cast(pnl_r > 0 as integer)) as win_rate, max(dd) as max_drawdown_r, max(entry_time) as run_at_ms, sum(pnl_r) / nullif(max(dd), 0) as recovery_factor from td group by all)
+"""
+
+
+@query("digest_recovery", TRADES_SQL + DRAWN + f"""
+final select strategy, avg(recovery_factor) as avg_rf, max(recovery_factor) as best_rf, avg(max_drawdown_r) as avg_max_dd_r, {POOLED.format('avg_r', 'closed_trades')} as avg_r, cast(sum(closed_trades) as bigint) as trades, count(*) as run_count from dr where closed_trades >= 5 and recovery_factor > 0 group by strategy""", "avg_rf best_rf avg_max_dd_r avg_r")
+def _(s, d):
+    return reports.recovery(tables.drawdown_runs(tables.trades(s, d)))
+
+
+def _pair_runs(s, d):
+    """A ledger of pairs of strategies on the cells of the run ledger."""
+    r = tables.drawdown_runs(tables.trades(s, d)).where("volume_suppress and adr_suppress_threshold is null").select("symbol", "timeframe", "day_filter", "strategy", "closed_trades", "avg_r", "total_r", "run_at_ms")
+    keys = ["symbol", "timeframe", "day_filter"]
+    a, b = (r.withColumnsRenamed({c: f"{p}_{c}" for c in r.columns if c not in keys}) for p in ("a", "b"))
+    x = a.join(b, keys).where("a_strategy < b_strategy")
+    return x.select(*keys, F.col("a_strategy").alias("strategy_a"), F.col("b_strategy").alias("strategy_b"), F.least("a_closed_trades", "b_closed_trades").alias("closed_trades"), ((F.col("a_avg_r") + F.col("b_avg_r")) / 2).alias("avg_r"), F.greatest("a_run_at_ms", "b_run_at_ms").alias("run_at_ms"))
+
+
+PAIRED = DRAWN + """
+, rr as (select * from dr where volume_suppress and adr_suppress_threshold is null),
+pr as (select a.symbol, a.timeframe, a.day_filter, a.strategy as strategy_a, b.strategy as strategy_b, least(a.closed_trades, b.closed_trades) as closed_trades, (a.avg_r + b.avg_r) / 2 as avg_r, greatest(a.run_at_ms, b.run_at_ms) as run_at_ms
+  from rr a join rr b on a.symbol = b.symbol and a.timeframe = b.timeframe and a.day_filter = b.day_filter and a.strategy < b.strategy)
+"""
+
+
+@query("digest_co_firing", TRADES_SQL + PAIRED + """
+final select * from pr where closed_trades >= 3 qualify row_number() over (partition by symbol, timeframe, strategy_a, strategy_b, day_filter order by run_at_ms desc) = 1 order by avg_r desc, symbol, timeframe, strategy_a, strategy_b, day_filter limit 30""", "avg_r")
+def _(s, d):
+    return reports.leaderboard(_pair_runs(s, d), ["symbol", "timeframe", "strategy_a", "strategy_b", "day_filter"])
+
+
+@query("digest_cross_timeframe", TRADES_SQL + DRAWN + """
+, rr as (select * from dr where volume_suppress and adr_suppress_threshold is null and day_filter = 'off'),
+pr as (select h.symbol, h.timeframe as tf_high, l.timeframe as tf_low, h.strategy as strategy_high, l.strategy as strategy_low, least(h.closed_trades, l.closed_trades) as closed_trades, l.avg_r, greatest(h.run_at_ms, l.run_at_ms) as run_at_ms
+  from rr h join rr l on h.symbol = l.symbol and h.timeframe = '1d' and l.timeframe in ('1h', '4h'))
+final select * from pr where closed_trades >= 3 order by avg_r desc, symbol, tf_high, tf_low, strategy_high, strategy_low limit 30""", "avg_r")
+def _(s, d):
+    r = tables.drawdown_runs(tables.trades(s, d)).where("volume_suppress and adr_suppress_threshold is null and day_filter = 'off'").select("symbol", "timeframe", "strategy", "closed_trades", "avg_r", "run_at_ms")
+    h, low = r.where("timeframe = '1d'").toDF("symbol", "tf_high", "strategy_high", "hn", "_", "ht"), r.where("timeframe <> '1d'").toDF("symbol", "tf_low", "strategy_low", "ln", "avg_r", "lt")
+    x = h.join(low, "symbol").select("symbol", "tf_high", "tf_low", "strategy_high", "strategy_low", F.least("hn", "ln").alias("closed_trades"), "avg_r", F.greatest("ht", "lt").alias("run_at_ms"))
+    return reports.leaderboard(x, ["symbol", "tf_high", "tf_low", "strategy_high", "strategy_low"])
+
+
 @query("latest_runs", TRADES_SQL + "\nfinal select * from r qualify row_number() over (partition by symbol, timeframe, strategy order by run_at_ms desc, day_filter, adr_suppress_threshold nulls first, volume_suppress) = 1", "avg_r total_r win_rate long_avg_r short_avg_r long_win_rate short_win_rate adr_suppress_threshold")
 def _(s, d):
     return reports.latest(_runs(s, d), CELL, ["day_filter", "adr_suppress_threshold", "volume_suppress"])
@@ -953,6 +1104,86 @@ def _(s, d):
     return books.book_returns(books.weights(books.zscore(books.momentum(books.panel(per_day(s, d)), 60, 5))))
 
 
+# exponential weights as powers of the distance; deviations with weights are unbiased
+FORECAST = PANEL + f"""
+, k as (select *, row_number() over (partition by symbol order by date) as i from p),
+em as (select x.symbol, x.date, x.i, x.close, x.ret, {', '.join(WEIGHED.format(f'2.0 / {n + 1}', 'y.close') + f' as e{n}' for n in (8, 32, 16, 64))} from k x join k y on x.symbol = y.symbol and y.i <= x.i group by all),
+vs as (select x.symbol, x.i, sum(w) as sw, sum(w * w) as sww, sum(w * y.ret) as swr, sum(w * y.ret * y.ret) as swrr, count(*) as n from (select *, 1 as one from k) x join k y on x.symbol = y.symbol and y.i <= x.i and y.ret is not null cross join lateral (select pow(1 - 2.0 / 33, x.i - y.i) as w) group by all),
+vo as (select symbol, i + 1 as i, case when n >= 32 then sqrt((swrr / sw - pow(swr / sw, 2)) * sw * sw / (sw * sw - sww)) end as vol from vs),
+ft as (select em.symbol, em.date, em.close, em.ret, vol, greatest(-20, least(20, (greatest(-20, least(20, (e8 - e32) / (vol * close) * 5.3)) + greatest(-20, least(20, (e16 - e64) / (vol * close) * 3.75))) / 2 * 1.25)) as f0 from em left join vo using (symbol, i)),
+fc as (select * exclude (f0), case when vol is not null then f0 end as forecast from ft),
+sz as (select *, lag(forecast) over (partition by symbol order by date) / 10 * 0.2 / (vol * sqrt(252)) as leverage from fc),
+nt as (select *, leverage * ret as gross, abs(leverage - coalesce(lag(leverage) over (partition by symbol order by date), 0)) * 0.0003 as cost from sz)
+"""
+
+
+def _forecasts(s, d):
+    return books.sized(books.forecasts(books.panel(per_day(s, d)), books.SPEEDS[:2]))
+
+
+@query("forecast_positions", FORECAST + "\nfinal select *, gross - cost as net from nt", "close ret vol forecast leverage gross cost net")
+def _(s, d):
+    return _forecasts(s, d)
+
+
+GOVERNED = """
+, g as (select date, coalesce(avg(gross - cost), 0) as pre, count(gross - cost) as active from nt group by date),
+v as (select *, case when count(pre) over w = 64 then stddev_samp(pre) over w end as vol from g window w as (order by date rows 63 preceding)),
+gv as (select date, pre, active, case when lag(vol) over (order by date) is not null then greatest(0.5, least(1.5, 0.2 / (lag(vol) over (order by date) * sqrt(252)))) end as governor from v),
+bk as (select *, coalesce(governor, 0) * pre as ret from gv)
+"""
+
+
+@query("forecast_book", FORECAST + GOVERNED + "\nfinal select * from bk", "pre governor ret")
+def _(s, d):
+    return books.governed(_forecasts(s, d))
+
+
+@query("book_subperiods", FORECAST + GOVERNED + """
+, n as (select *, ntile(4) over (order by date) as part from bk), m as (select cast(part as integer) as part, min(date) as first, count(*) as n, avg(ret) as mean, stddev_samp(ret) as sd from n group by part)
+final select *, mean / sd * sqrt(252) as sharpe from m""", "mean sd sharpe")
+def _(s, d):
+    return books.subperiods(books.governed(_forecasts(s, d)))
+
+
+@query("cross_sectional_forecasts", FORECAST + """
+final select date, symbol, substr(symbol, 2) as status, forecast - avg(forecast) over (partition by date) as forecast, forecast - avg(forecast) over (partition by date, substr(symbol, 2)) as neutral from fc""", "forecast neutral")
+def _(s, d):
+    f = books.forecasts(books.panel(per_day(s, d)), books.SPEEDS[:2]).withColumn("status", F.substring("symbol", 2, 1)).withColumn("neutral", F.col("forecast"))
+    return books.demeaned(books.demeaned(f), "neutral", ("status",)).select("date", "symbol", "status", "forecast", "neutral")
+
+
+RESIDUAL = PANEL + """
+, m as (select *, avg(ret) over (partition by date) as market from p where ret is not null),
+be as (select *, case when count(ret) over w >= 60 then covar_samp(ret, market) over w / var_samp(market) over w end as beta from m window w as (partition by symbol order by date rows between 60 preceding and 1 preceding)),
+rs as (select *, ret - beta * market as resid from be)
+"""
+
+
+@query("residual_returns", RESIDUAL + "\nfinal select * from rs", "close ret market beta resid")
+def _(s, d):
+    return books.residuals(books.panel(per_day(s, d)), 60)
+
+
+@query("beta_neutral_book", RESIDUAL + """
+, sg as (select *, lag(close, 1) over w / lag(close, 21) over w - 1 as signal from rs window w as (partition by symbol order by date)),
+c as (select *, signal - avg(signal) over (partition by date) as sd, beta - avg(beta) over (partition by date) as bd from sg where signal is not null and beta is not null),
+r as (select *, sd - coalesce(sum(sd * bd) over (partition by date) / nullif(sum(bd * bd) over (partition by date), 0), 0) * bd as raw from c),
+k as (select *, coalesce(raw / nullif(sum(abs(raw)) over (partition by date), 0), 0) as weight from r)
+final select date, symbol, signal, beta, weight from k""", "signal beta weight")
+def _(s, d):
+    return books.beta_neutral(books.momentum(books.residuals(books.panel(per_day(s, d)), 60), 21, 1)).select("date", "symbol", "signal", "beta", "weight")
+
+
+@query("vol_overlay", PANEL + """
+, m as (select *, case when count(close) over w >= 200 then avg(close) over w end as sma, case when count(ret) over v >= 20 then stddev_samp(ret) over v end as vol from p window w as (partition by symbol order by date rows 199 preceding), v as (partition by symbol order by date rows 19 preceding)),
+l as (select *, lag(close > sma) over w as risk_on, lag(vol) over w as pv from m window w as (partition by symbol order by date)),
+z as (select date, symbol, risk_on, case when risk_on and pv is not null then least(0.1 / (pv * sqrt(252)), 1) else 0 end as weight, ret from l)
+final select date, symbol, risk_on, weight, weight * coalesce(ret, 0) as arm from z""", "weight arm")
+def _(s, d):
+    return books.vol_overlay(books.panel(per_day(s, d))).select("date", "symbol", "risk_on", "weight", "arm")
+
+
 @query("trend_filter", PANEL + """
 , m as (select *, case when count(close) over w >= 200 then avg(close) over w end as sma from p window w as (partition by symbol order by date rows 199 preceding))
 final select date, symbol, close, ret, sma, lag(close > sma) over (partition by symbol order by date) as risk_on from m""", "close ret sma")
@@ -1021,12 +1252,35 @@ def _(s, d):
     return statistics.moments(tables.trades(s, d), ["strategy", "timeframe"], "pnl_r")
 
 
-@query("sharpe_odds")
+# the normal law as its series, with terms of few digits lost under |z| of 8
+CDF = "case when abs({0}) > 8 then case when {0} > 0 then 1 else 0 end else 0.5 + sign({0}) * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: case when {0} = 0 then 0 else exp((2 * k + 1) * ln(abs({0})) - (k + 1) * ln(2.0) - lgamma(k + 1.5) + 0.5 * ln(pi())) end)) end"
+MOMENTS = """
+, m0 as (select {0}, count(*) as n, avg(pnl_r) as mean, stddev_samp(pnl_r) as sd from t group by all),
+mo as (select m0.*, avg(pow((pnl_r - mean) / sd, 3)) as skew, avg(pow((pnl_r - mean) / sd, 4)) as kurt, mean / sd as sr from m0 join t using ({0}) group by all),
+mv as (select *, 1 - skew * sr + (kurt - 1) / 4 * sr * sr as v from mo)
+"""
+
+
+@query("sharpe_odds", TRADES_SQL + MOMENTS.format("strategy, timeframe") + f"""
+, z as (select *, sr * sqrt(n - 1) / sqrt(v) as z from mv)
+final select strategy, timeframe, n, mean, sd, skew, kurt, sr, {CDF.format('z')} as psr, case when sr > 0 then 1 + v * pow(1.6448536269514722 / sr, 2) end as min_n from z""", "mean sd skew kurt sr psr min_n")
 def _(s, d):
     return statistics.sharpe_odds(tables.trades(s, d), ["strategy", "timeframe"], "pnl_r")
 
 
-@query("deflated_sharpe")
+# the normal law's quantile by halving an interval
+QUANTILE = """
+, qq as (with recursive q as (select name, p, -10.0::double as lo, 10.0::double as hi, 0 as step from (select * from at_) union all
+  select name, p, case when {0} < p then (lo + hi) / 2 else lo end, case when {0} < p then hi else (lo + hi) / 2 end, step + 1 from q where step < 60) select name, (lo + hi) / 2 as z from q where step = 60)
+""".format(CDF.format("((lo + hi) / 2)"))
+
+
+@query("deflated_sharpe", TRADES_SQL + MOMENTS.format("symbol, strategy, timeframe") + """
+, tr as (select count(sr) as trials, var_samp(sr) as vs from mv),
+at_ as (select 'a' as name, 1 - 1.0::double / trials as p from tr union all select 'b', 1 - 1 / (trials * exp(1.0)) from tr)""" + QUANTILE + f"""
+, fl as (select trials, sqrt(vs) * ((1 - 0.5772156649015329) * (select z from qq where name = 'a') + 0.5772156649015329 * (select z from qq where name = 'b')) as floor from tr),
+z as (select mv.*, fl.floor, trials, (sr - fl.floor) * sqrt(n - 1) / sqrt(v) as z from mv cross join fl)
+final select symbol, strategy, timeframe, n, mean, sd, skew, kurt, sr, floor, trials, {CDF.format('z')} as dsr from z""", "mean sd skew kurt sr floor dsr")
 def _(s, d):
     return statistics.deflated_sharpe(tables.trades(s, d), ["symbol", "strategy", "timeframe"], "pnl_r")
 
@@ -1046,16 +1300,56 @@ def _(s, d):
     return statistics.correlations(books.panel(per_day(s, d)))
 
 
-@query("bootstrap_mean")
+@query("bootstrap_mean", TRADES_SQL + """
+, g as (select strategy, entry_time as c, sum(pnl_r) as s, count(*) as n from t group by all),
+d as (select g.*, draw, (cast('0x' || substr(md5('7|' || draw || '|' || c), 1, 8) as bigint) + 0.5) / 4294967296 as u from g cross join (select unnest(range(1, 201)) as draw)),
+w as (select *, list_sum(list_transform([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582], lambda x: cast(u > x as integer))) as w from d),
+e as (select strategy, draw, sum(w * s) / nullif(sum(w * n), 0) as m from w group by all),
+q as (select strategy, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from e group by all),
+o as (select strategy, sum(s) / sum(n) as mean, cast(sum(n) as bigint) as n from g group by all)
+final select * from o join q using (strategy)""", "mean lo hi")
 def _(s, d):
     return statistics.bootstrap_mean(tables.trades(s, d), ["strategy"], "entry_time", "pnl_r")
 
 
-@query("backtest_overfitting")
+@query("backtest_overfitting", TRADES_SQL + """
+, sp as (select min(entry_time) as t0, max(entry_time) as t1 from t),
+ce as (select symbol || '|' || strategy || '|' || timeframe as trial, cast(floor(least(floor((entry_time - t0) * 32.0::double / greatest(t1 - t0, 1)), 31) * 8 / 32) as integer) as block, sum(pnl_r) as r from t cross join sp group by all),
+ch as (select row_number() over (order by m) as choice, m from (select unnest(range(256)) as m) where bit_count(m) = 4),
+x as (select choice, trial, round(coalesce(sum(r) filter ((m >> block) & 1 = 1), 0), 9) as inside, round(coalesce(sum(r) filter ((m >> block) & 1 = 0), 0), 9) as outside from ch cross join ce group by all),
+ow as (select choice, outside as own from x qualify row_number() over (partition by choice order by inside desc, trial) = 1),
+rk as (select choice, count(*) as n, count(*) filter (outside < own) + 0.5 * (count(*) filter (outside = own) - 1) + 1 as rank from x join ow using (choice) group by choice)
+final select max(n) as trials, avg(case when rank / (n + 1) < 0.5 then 1.0 else 0.0 end) as pbo from rk""", "pbo")
 def _(s, d):
     return statistics.backtest_overfitting(tables.trades(s, d).withColumn("trial", F.concat_ws("|", "symbol", "strategy", "timeframe")), "trial", "entry_time", "pnl_r")
 
 
+@query("drawdown_stats", PANEL + """
+, w as (select *, exp(sum(ln(1 + ret)) over (partition by symbol order by date rows unbounded preceding)) as wealth, row_number() over (partition by symbol order by date) as k from p where ret is not null),
+x as (select *, wealth / greatest(1, max(wealth) over (partition by symbol order by date rows unbounded preceding)) - 1 as dd from w),
+y as (select *, coalesce(max(case when dd >= -1e-12 then k end) over (partition by symbol order by date rows unbounded preceding), 0) as dry from x)
+final select symbol, count(*) as n, min(dd) as max_drawdown, sqrt(avg(dd * dd)) as ulcer, cast(max(k - dry) as integer) as longest_under_water, avg(cast(dd < -1e-12 as integer)) as share_under_water from y group by symbol""", "max_drawdown ulcer share_under_water")
+def _(s, d):
+    return statistics.drawdown_stats(books.panel(per_day(s, d)), ["symbol"])
+
+
+def _adjusted(method: str, sql: str) -> None:
+    own = """
+, q as (select strategy, timeframe, symbol, exp(-abs(avg(pnl_r) / stddev_samp(pnl_r) * sqrt(count(*)))) as p from t group by all),
+o as (select *, row_number() over (order by p) as k, count(*) over () as m from q)
+"""
+
+    def run(s, d):
+        q = tables.trades(s, d).groupBy("strategy", "timeframe", "symbol").agg(F.exp(-F.abs(F.avg("pnl_r") / F.stddev_samp("pnl_r") * F.sqrt(F.count("*")))).alias("p"))
+        return statistics.adjusted_p(q, method=method)
+
+    query(f"adjusted_p_{method}", TRADES_SQL + own + f"\nfinal select strategy, timeframe, symbol, p, least({sql}, 1) as p_adjusted from o", "p p_adjusted")(run)
+
+
+_adjusted("holm", "max(p * (m - k + 1)) over (order by k)")
+_adjusted("bhy", "min(p * m / k * list_sum(list_transform(range(1, m + 1), lambda i: 1.0 / i))) over (order by k desc)")
+
+
 # streams
 
 

@@ -85,6 +85,15 @@ def runs(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(*RUN_KEYS).agg(*aggs, F.max("entry_time").alias("run_at_ms"))
 
 
+def drawdown_runs(ledger: DataFrame) -> DataFrame:
+    """The run ledger with ``max_drawdown_r``, of summed R in the order of entry, and ``recovery_factor``."""
+    w = Window.partitionBy(*RUN_KEYS).orderBy("entry_time", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    t = ledger.withColumn("_cum", F.sum("pnl_r").over(w))
+    t = t.withColumn("_dd", F.greatest(F.lit(0.0), F.max("_cum").over(w)) - F.col("_cum"))
+    g = t.groupBy(*RUN_KEYS).agg(F.count("*").alias("closed_trades"), F.avg("pnl_r").alias("avg_r"), F.sum("pnl_r").alias("total_r"), F.avg((F.col("pnl_r") > 0).cast("double")).alias("win_rate"), F.max("_dd").alias("max_drawdown_r"), F.max("entry_time").alias("run_at_ms"))
+    return g.withColumn("recovery_factor", F.try_divide("total_r", F.nullif(F.col("max_drawdown_r"), F.lit(0.0))))
+
+
 def scan(bars: DataFrame, symbol: str, timeframe: str, start: int, end: int) -> DataFrame:
     """Bars of one series with open_time from start to end, both included."""
     return bars.where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe) & F.col("open_time").between(start, end))

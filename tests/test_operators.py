@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 
 from barloom.functions import statistics
-from barloom.operators import confluence, detectors, quality, reports, simulate
+from barloom.operators import cones, confluence, detectors, exits, quality, reports, simulate, zones
 from barloom.streaming import bars as streams
 
 BAR = "symbol string, timeframe string, open_time long, open double, high double, low double, close double, volume double"
@@ -27,6 +27,59 @@ def test_exits(spark):
     assert got == {(0, "long"): ("loss", 95.0, -1.0), (3, "long"): ("loss", 80.0, -20 / 3), (5, "short"): ("open", None, None)}
 
 
+def test_exits_are_found_however_far_off(spark):
+    rows = [(100, 101, 99, 100, 1)] * 1500 + [(100, 140, 99, 120, 1)]
+    bars = frame(spark, rows)
+    asks = signals(spark, [(0, "long", 90.0), (900, "long", 90.0), (1490, "short", 130.0), (3, "short", 50.0)])
+    got = {(r.signal_time // HOUR, r.direction): (r.outcome, r.exit, (r.exit_time or 0) // HOUR) for r in simulate.simulate(bars, asks).collect()}
+    assert got == {(0, "long"): ("win", 120.0, 1500), (900, "long"): ("win", 120.0, 1500), (1490, "short"): ("loss", 130.0, 1500), (3, "short"): ("loss", 50.0, 4)}
+
+
+def test_rules_of_stops_and_costs(spark):
+    rows = [(100, 102, 98, 100, 1000)] * 30 + [(100, 103, 97, 100, 10)] * 10
+    bars = frame(spark, rows)
+    one = lambda **rules: {(r.signal_time // HOUR, r.direction): r for r in simulate.simulate(bars, signals(spark, [(25, "long", 99.5), (25, "short", None), (35, "long", 99.0)]), **rules).collect()}
+    plain = one()
+    assert plain[25, "long"].sl == 99.5 and plain[25, "long"].tp == 101.0 and plain[25, "short"].sl == 102.0 and plain[25, "short"].exit == 102.0
+    assert one(min_sl_pct=0.02)[25, "long"].sl == 98.0 and one(tp_r_long=4.0)[25, "long"].tp == 102.0 and one(tp_r_long=4.0)[25, "short"].tp == plain[25, "short"].tp
+    assert one(atr_multiple=2.0)[25, "short"].sl == 108.0 and one(atr_multiple=2.0)[25, "long"].sl == 99.5 and one(atr_multiple=2.0, atr_floor=True)[25, "long"].sl == 92.0
+    assert (35, "long") not in one(suppress=True) and (35, "long") in one(suppress=True, suppress_long=False) and (25, "long") not in one(suppress_long=True)
+    r = one(costs=simulate.Costs())[25, "long"]
+    assert abs(r.spread_r - 2 * 20 / 10_000 * 100 / 0.5) < 1e-12 and r.impact_r == 0 and r.borrow_r == 0 and abs(r.pnl_r - ((r.exit - r.entry) / 0.5 - r.cost_r)) < 1e-12
+
+
+def test_gates_of_higher_timeframes(spark):
+    s = signals(spark, [(t, side, None) for t in (5, 9, 13) for side in ("long", "short")])
+    high = spark.createDataFrame([("X", i * 4 * HOUR, r, v) for i, (r, v) in enumerate([("trend", 0.1), ("range", -0.1), ("unknown", None)])], "symbol string, open_time long, regime string, slope double")
+    kept = lambda df: {(r.open_time // HOUR, r.direction) for r in df.collect()}
+    assert kept(simulate.regime_gate(s, high, {"s": ["range"]})) == {(9, "long"), (9, "short"), (13, "long"), (13, "short")}
+    assert kept(simulate.trend_gate(s, high, 0.05)) == {(5, "long"), (9, "short"), (13, "short")}
+    assert kept(simulate.trend_gate(s, high, 0.5)) == kept(s) and kept(simulate.regime_gate(s, high.limit(0), {"s": []})) == kept(s)
+
+
+def test_replayed_exits(spark):
+    bars = frame(spark, [(100, 100, 100, 100, 1), (100, 106, 100, 105, 1), (105, 106, 99, 101, 1), (101, 125, 101, 120, 1)])
+    alerts = spark.createDataFrame([("X", "1h", 0, "long", 100.0, 95.0), ("X", "1h", 0, "short", 100.0, 95.0), ("X", "1h", 3 * HOUR, "long", 100.0, 95.0)], "symbol string, timeframe string, open_time long, direction string, entry double, sl double")
+    one = lambda **p: [(r.outcome, r.realized_r, r.exit_bar, r.partial_taken) for r in exits.replay(bars, alerts.where("direction = 'long'"), exits.Policy("p", **p)).collect()]
+    assert one(tp_r=3.0, hold=10) == [("win", 3.0, 2, False)]
+    assert one(tp_r=3.0, hold=10, breakeven_r=1.0) == [("breakeven", 0.0, 1, False)]
+    assert one(tp_r=3.0, hold=10, breakeven_r=1.0, partial=0.5, partial_r=1.0) == [("breakeven", 0.5, 1, True)]
+    assert one(tp_r=3.0, hold=2) == [("expired", 0.2, 1, False)] and one(tp_r=9.0, hold=10, partial=0.5, partial_r=1.0) == [("expired", 0.5 + 0.5 * 4.0, 2, True)]
+    assert exits.replay(bars, alerts.limit(0), exits.Policy("p", 1.0, 3)).count() == 0
+
+
+def test_cones_of_sessions(spark):
+    rng = np.random.default_rng(6)
+    rows = [("X", "1h", (d * 24 + 13 + h) * HOUR, *(100 + rng.random(4) * [0, 5, -5, 2]), 1.0) for d in range(40) for h in range(7) if (d, h) != (20, 3)]
+    bars = spark.createDataFrame([tuple(float(v) if i > 2 else v for i, v in enumerate(r)) for r in rows], BAR)
+    rec = cones.records(cones.session(bars)).collect()
+    assert len(rec) == 39 - 14 and all(len(r.path) == 7 and r.mae <= r.mfe and r.high_mag >= 0 for r in rec)
+    now = (39 * 24 + 15) * HOUR
+    cur = cones.current_path(bars.where(f"open_time <= {now}"), now).first()
+    assert cur.elapsed == 2 and len(cur.points) == 3 and cones.records(bars, now_ms=now).count() == 24 and cones.current_path(bars.limit(0), now).count() == 0
+    assert cones.records(bars.where("symbol = 'X'"), "week", 49, 2).count() > 0  # a session on every day of the week
+
+
 def test_cooldown_is_from_the_last_kept(spark):
     rows = signals(spark, [(t, "long", None) for t in (0, 3, 5, 9, 11)])
     assert sorted(r.open_time // HOUR for r in simulate.cooldown(rows, 5, HOUR).collect()) == [0, 5, 11]
@@ -48,12 +101,28 @@ def test_checks_and_empty_series(spark):
     assert detectors.detect_all(none).count() == 0 and reports.adr(none).count() == 0 and simulate.simulate(none, signals(spark, [(0, "long", 1.0)])).count() == 0
 
 
-def test_overfit_odds():
+def test_overfit_odds(spark):
     rng = np.random.default_rng(0)
-    noise = np.mean([statistics.overfit_odds(rng.normal(size=(64, 20))) for _ in range(20)])
-    skilled = rng.normal(size=(64, 20))
-    skilled[:, 3] += 2
-    assert 0.3 < noise < 0.8 and statistics.overfit_odds(skilled) == 0
+
+    def odds(matrix):
+        rows = [(f"t{k:02d}", i, float(v)) for (i, k), v in np.ndenumerate(matrix)]
+        return statistics.backtest_overfitting(spark.createDataFrame(rows, "t string, at long, r double"), "t", "at", "r").first()
+
+    def plain(matrix, parts):
+        low = []
+        for c in itertools.combinations(range(8), 4):
+            inside = sum(parts[i] for i in c)
+            outside = sum(parts[i] for i in range(8) if i not in c)
+            own = outside[inside.argmax()]
+            low.append(((outside < own).sum() + 0.5 * ((outside == own).sum() - 1) + 1) / (len(outside) + 1) < 0.5)
+        return np.mean(low)
+
+    noise = rng.normal(size=(64, 20))
+    got = odds(noise)
+    block = np.minimum(np.arange(64) * 32 // 63, 31) * 8 // 32
+    assert got.trials == 20 and abs(got.pbo - plain(noise, [noise[block == i].sum(0) for i in range(8)])) < 1e-12
+    noise[:, 3] += 2
+    assert odds(noise).pbo == 0
 
 
 def test_bootstrap_covers_the_mean(spark):
@@ -81,6 +150,12 @@ def test_stream_sends_each_alert_once(spark, tmp_path):
     assert len(got) == len(set(got)) and ("a", 3) in got and ("b", 5) in got
 
 
+def test_zones_of_empty_and_short_series(spark):
+    few = frame(spark, [(1, 2, 0.5, 1, 1)] * 5)
+    for f in (zones.gap_boxes, zones.order_blocks, zones.structure_levels, zones.swing_points, zones.equal_pools, zones.golden_box, zones.ote_box):
+        assert f(few).count() == 0 and f(few.limit(0)).count() == 0
+
+
 def test_structure_of_bars(spark):
     rng = np.random.default_rng(4)
     p = 100 + rng.normal(size=300).cumsum()
