@@ -104,8 +104,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     words and no hits; null doc_ids count as one id; rows that share a doc_id share their hits, and each is returned.
     """
     found = staged(phrase_matches(docs, items, size), "matches").distinct()
+    # the length of the union of occurrences, in order of their starts
+    covered = """aggregate(array_sort(collect_set(struct(start, start + n as stop))), named_struct('n', 0L, 'to', -1L),
+      (a, x) -> named_struct('n', a.n + greatest(0L, x.stop - greatest(a.to, x.start)), 'to', greatest(a.to, cast(x.stop as bigint)))).n"""
     hits = found.groupBy("doc_id").agg(
-        F.expr("size(array_distinct(flatten(collect_set(sequence(start, start + n - 1)))))").cast("long").alias("n_hit"),
+        F.expr(covered).cast("long").alias("n_hit"),
         F.expr("array_distinct(flatten(collect_set(item_ids)))").alias("items"),
     )
     hits = hits.withColumnRenamed("doc_id", "hit_id")
