@@ -389,7 +389,8 @@ def features(media: DataFrame) -> DataFrame:
     def read(blobs):
         try:
             frames = [read_markers(b) for b in blobs]
-            planes = iter(thumbnails([f for x in frames for f in x]))
+            each = [f for x in frames for f in x]  # a long text's images are not decoded all at once
+            planes = (p for part in _pieces([len(f.data) for f in each], 2 * CHUNK) for p in thumbnails(each[part]))
             return [row(b, [next(planes) for _ in x], x) if x else broken(b) for b, x in zip(blobs, frames, strict=True)]
         except (ValueError, IndexError, KeyError, TypeError):
             if len(blobs) == 1:
