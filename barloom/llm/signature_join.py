@@ -346,14 +346,14 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, columns unchanged; rows without an id stay.
 
-    Of rows that share id and text one stays, that with the least other columns.
+    Of rows that share id and text one stays, that with the least other columns, compared as JSON.
     """
     gone = staged(components(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     many = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many")), "many")
     if many.isEmpty():
         return kept
-    again = kept.join(many, kept["doc_id"] == many["many"], "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    again = kept.join(many, kept["doc_id"] == many["many"], "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_row"))
     return kept.join(many, kept["doc_id"] == many["many"], "left_anti").unionByName(again.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
 
 
