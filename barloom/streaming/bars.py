@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.quality import upsert
-
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder; a temporary one only where none is set."""
+    """A new place in the shared folder; where none is set, a temporary one on a local master, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -42,31 +42,35 @@ def files(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
 
 
 def all_bars(spark: SparkSession, path: str, name: str, schema, width: str = "1 hour") -> DataFrame:
-    """The stream of ``path`` as bars with the last windows too, each batch merged in the table that is returned."""
-    place = [folder(spark, "bars")]
+    """The stream of ``path`` as bars, the last windows too.
+
+    Each batch writes the bars it changed to a place of its own, by the batch's number, so that a batch that is tried again
+    writes the same place; of a bar in several places the one of the latest batch counts.
+    """
+    out = folder(spark, "bars")
     s = files(spark, path, name, schema)
-    # each batch's part of a bar is merged with what earlier batches gave
     parts = s.groupBy(F.window(F.col("ts").cast("timestamp"), width).alias("w"), F.col("event_type").alias("symbol")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").alias("volume"), F.sum("value").alias("total")).select("symbol", F.unix_millis("w.start").alias("open_time"), "high", "low", "volume", "total")
-    done = []
 
-    def merge(batch: DataFrame, _: int) -> None:
-        to = folder(spark, "bars")
-        (upsert(spark.read.parquet(place[0]), batch, ["symbol", "open_time"]) if done else batch).write.parquet(to)
-        place[0] = to
-        done.append(1)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    parts.writeStream.outputMode("update").option("checkpointLocation", folder(spark, "bars-state")).foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(place[0])
+    parts.writeStream.outputMode("update").option("checkpointLocation", folder(spark, "bars-state")).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{parts.schema.simpleString()[7:-1].replace(',', ', ').replace(':', ' ')}, batch long").parquet(out)
+    values = [c for c in parts.columns if c not in ("symbol", "open_time")]
+    return rows.groupBy("symbol", "open_time").agg(F.max_by(F.struct(*values), "batch").alias("b")).select("symbol", "open_time", "b.*")
 
 
 def fresh_alerts(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """Signals newer than the last one sent for their key: exactly one per key and bar, state kept by key."""
+    """Signals newer than the last one sent for their key: exactly one per key and bar, state kept by key.
+
+    Of a batch's rows only the distinct new ones of a key are held.
+    """
     names = [f.name for f in signals.schema]
     at = names.index("open_time")
 
     def run(key, frames, state):
         last = state.get[0] if state.exists else -1
-        rows = sorted((r for f in frames for r in f.itertuples(index=False, name=None)), key=lambda r: r[at])
+        rows = sorted({r for f in frames for r in f.itertuples(index=False, name=None) if r[at] > last}, key=lambda r: r[at])
         out = []
         for r in rows:
             if r[at] > last:
