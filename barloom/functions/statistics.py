@@ -159,3 +159,33 @@ def drawdown_stats(rets: DataFrame, keys: list[str], order: str = "date", value:
     r = r.withColumn("_dd", F.col("_wealth") / F.greatest(F.lit(1.0), F.max("_wealth").over(up)) - 1)
     r = r.withColumn("_wet", F.col("_dd") < -1e-12).withColumn("_dry", F.coalesce(F.max(F.when(~F.col("_wet"), F.col("_k"))).over(up), F.lit(0)))
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("_dd") * F.col("_dd"))).alias("ulcer"), F.max(F.col("_k") - F.col("_dry")).alias("longest_under_water"), F.avg(F.col("_wet").cast("double")).alias("share_under_water"))
+
+
+def ols(rows: DataFrame, keys: list[str], y: str, x: str, days: float = 252.0) -> DataFrame:
+    """Per key, y on x: yearly alpha and its t value, beta, R squared, and the yearly Sharpe ratio of y less beta times x.
+
+    Where x doesn't vary, beta, t and R squared are 0. Null values are left out in pairs.
+    """
+    r = rows.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("vx"), F.coalesce(F.var_pop(y), F.lit(0.0)).alias("vy"), F.covar_pop(y, x).alias("c"))
+    r = r.withColumn("beta", F.when((F.col("n") > 1) & (F.col("vx") > 1e-24), F.col("c") / F.col("vx")).otherwise(0.0))
+    r = r.withColumns({"alpha": F.col("my") - F.col("beta") * F.col("mx"), "rss": F.greatest(F.lit(0.0), F.col("n") * (F.col("vy") - F.col("beta") * F.col("c")))})
+    se = F.sqrt(F.col("rss") / (F.col("n") - 2) * (1 / F.col("n") + F.col("mx") * F.col("mx") / (F.col("n") * F.col("vx"))))
+    t = F.when((F.col("n") > 2) & (F.col("vx") > 1e-24) & (se > 1e-15), F.col("alpha") / se).otherwise(0.0)
+    hedged = F.try_divide(F.col("alpha"), F.sqrt(F.col("rss") / (F.col("n") - 1))) * F.sqrt(F.lit(days))
+    r2 = F.when(F.col("n") * F.col("vy") > 1e-15, 1 - F.col("rss") / (F.col("n") * F.col("vy"))).otherwise(0.0)
+    return r.select(*keys, "n", (F.col("alpha") * days).alias("alpha_a_year"), "beta", t.alias("t_alpha"), r2.alias("r2"), hedged.alias("hedged_sharpe"))
+
+
+def independent_series(panel: DataFrame) -> DataFrame:
+    """How many independent series the panel's are worth, by their mean correlation; one row ``k, mean_corr, k_eff``."""
+    c = correlations(panel).agg(F.avg("corr").alias("mean_corr"))
+    k = panel.where("ret is not null").agg(F.countDistinct("symbol").alias("k"))
+    x = k.crossJoin(F.broadcast(c))  # one row each
+    return x.withColumn("k_eff", F.greatest(F.lit(1.0), F.least(F.col("k").cast("double"), F.col("k") / (1 + (F.col("k") - 1) * F.greatest("mean_corr", F.lit(0.0))))))
+
+
+def passes(dsr, pbo, low, sharpe=None):
+    """The gate of a book: deflated odds of 0.95, overfitting in at most half, a bound above 0, and a Sharpe ratio of 0.7 if
+    given. What isn't known fails."""
+    ok = (dsr >= 0.95) & (pbo <= 0.5) & (low > 0)
+    return F.coalesce(ok if sharpe is None else ok & (sharpe >= 0.7), F.lit(False))

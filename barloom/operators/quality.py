@@ -63,6 +63,41 @@ def session_gaps(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return want.join(days, [*SERIES, "session_date"], "left_anti")
 
 
+def slots(sessions: DataFrame, hours: int = 4, origin_minutes: int = 810, least_minutes: int = 60) -> DataFrame:
+    """``sessions(session_date, open_ms, close_ms)`` to the bars of a grid that overlap each by an hour or more, as ``slot_ms``.
+
+    The grid has a bar at 13:30 UTC.
+    """
+    step, day = hours * 3_600_000, F.expr("open_ms div 86400000 * 86400000")
+    first = day + origin_minutes * 60_000 - step
+    x = sessions.withColumn("slot_ms", F.explode(F.sequence(first, F.greatest(first, F.col("close_ms") - 1), F.lit(step).cast("long"))))
+    return x.where(F.least(F.col("slot_ms") + step, F.col("close_ms")) - F.greatest("slot_ms", "open_ms") >= least_minutes * 60_000)
+
+
+def slot_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Slots without a bar, within each series' first and last bar, in sessions that have one."""
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_millis("open_time"), "America/New_York"))
+    seen = bars.select(*SERIES, day.alias("session_date")).distinct()
+    span = bars.groupBy(*SERIES).agg(F.min("open_time").alias("_lo"), F.max("open_time").alias("_hi"))
+    want = seen.join(slots(sessions), "session_date").join(span, list(SERIES)).where("slot_ms between _lo and _hi").select(*SERIES, "session_date", F.col("slot_ms").alias("open_time"))
+    return want.join(bars.select(*SERIES, "open_time"), [*SERIES, "open_time"], "left_anti")
+
+
+def disagrees(close: Column, quote: Column, factor: float = 1.25) -> Column:
+    """Whether a close and a quote differ by more than a factor."""
+    return F.abs(F.ln(close / quote)) > F.ln(F.lit(factor))
+
+
+def seams(stored: DataFrame, page: DataFrame, basis: float = 0.01) -> DataFrame:
+    """Where a page of bars meets what is stored: the newest stored bar before it and its first bar, and, where both have a
+    bar, whether the basis of the closes changed."""
+    first = page.groupBy(*SERIES).agg(F.min("open_time").alias("page_from"), F.min_by("close", "open_time").alias("page_close"))
+    before = stored.join(first, list(SERIES)).where("open_time < page_from").groupBy(*SERIES).agg(F.max("open_time").alias("stored_to"), F.max_by("close", "open_time").alias("stored_close"))
+    both = stored.select(*SERIES, "open_time", F.col("close").alias("_old")).join(page.select(*SERIES, "open_time", F.col("close").alias("_new")), [*SERIES, "open_time"])
+    moved = both.groupBy(*SERIES).agg(F.count("*").alias("n_both"), F.max((F.abs(F.col("_new") / F.col("_old") - 1) > basis)).alias("basis_changed"))
+    return first.join(before, list(SERIES), "left").join(moved, list(SERIES), "left").withColumns({"n_both": F.coalesce("n_both", F.lit(0)), "basis_changed": F.coalesce("basis_changed", F.lit(False))})
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows with the new ones in place of those of equal keys."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -18,8 +18,10 @@ _BAR = ("open_time", "open", "high", "low", "close")
 
 def block_of(open_time: str) -> Column:
     """The number of the block of a time; timeframes that have no known width are taken for a day's."""
-    width = F.coalesce(F.create_map(*(F.lit(v) for kv in TF_MS.items() for v in kv))[F.col("timeframe")], F.lit(DAY_MS))
-    return F.floor(F.col(open_time) / (width * BARS_A_BLOCK)).cast("long")
+    width = F.lit(DAY_MS * BARS_A_BLOCK)
+    for timeframe, ms in TF_MS.items():
+        width = F.when(F.col("timeframe") == timeframe, F.lit(ms * BARS_A_BLOCK)).otherwise(width)
+    return F.floor(F.col(open_time) / width).cast("long")
 
 
 def first_touch(bars: DataFrame, asks: DataFrame, start: str, below: str, above: str) -> DataFrame:

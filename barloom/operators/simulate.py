@@ -226,6 +226,34 @@ def resolve_conflicts(signals: DataFrame, confidence: DataFrame) -> DataFrame:
     return s.where(keep).select(*signals.columns, "confidence")
 
 
+def split(bars: DataFrame, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """The first share of each series' bars, and the rest."""
+    w = Window.partitionBy(*SERIES)
+    b = bars.withColumns({"_k": F.row_number().over(w.orderBy("open_time")), "_n": F.floor(F.count("*").over(w) * share)})
+    return b.where("_k <= _n").drop("_k", "_n"), b.where("_k > _n").drop("_k", "_n")
+
+
+def audit(bars: DataFrame, detect, tp_rs: list[float], sl_pcts: list[float], share: float = 0.7, min_trades: int = 5) -> DataFrame:
+    """The grid in and out of sample: scores, ``decay`` of the score, whether a row is overfit (no gain outside, or under 0.4 of
+    the score), and ``pick``, the best row by the score in sample that isn't.
+
+    ``detect`` makes signals of bars, with their strategy, on each part for itself.
+    """
+    inside, outside = (grid(b, detect(b), tp_rs, sl_pcts, least) for b, least in zip(split(bars, share), (min_trades, 1), strict=True))
+    keys = [*ORDER, "tp_r", "sl_pct"]
+    x = inside.withColumnsRenamed({c: f"in_{c}" for c in ("n", "avg_r", "score")}).join(outside.withColumnsRenamed({c: f"out_{c}" for c in ("n", "avg_r", "score")}), keys, "left")
+    x = x.withColumn("out_score", F.coalesce("out_score", F.lit(0.0))).withColumn("decay", F.when(F.col("in_score") > 0, F.col("out_score") / F.col("in_score")))
+    x = x.withColumn("overfit", F.coalesce(F.col("out_avg_r") <= 0, F.lit(True)) | F.coalesce(F.col("decay") < 0.4, F.lit(False)))
+    w = Window.partitionBy(*ORDER).orderBy("overfit", F.desc("in_score"), "tp_r", "sl_pct")
+    return x.withColumn("pick", (F.row_number().over(w) == 1) & ~F.col("overfit"))
+
+
+def one_of_each(trades: DataFrame, keys: tuple[str, ...] = ORDER) -> DataFrame:
+    """One trade per cell, signal time and direction: a closed one before an open one, then the earlier exit."""
+    w = Window.partitionBy(*keys, "signal_time", "direction").orderBy(F.col("exit_time").isNull(), "exit_time", "entry")
+    return trades.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 #: Timeframes with several bars a day, where a part of the day's range can be used up.
 INTRADAY = ("1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h")
 

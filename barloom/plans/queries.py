@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators, statistics
-from ..operators import books, cones, confluence, detectors, exits, outcomes, quality, reports, simulate, structure, zones
+from ..operators import books, cones, confluence, detectors, exits, magnets, outcomes, quality, reports, simulate, structure, zones
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, POOLED_SQL, TRADES_SQL
 from ..streaming import bars as streams
@@ -142,6 +142,8 @@ def _(s, d):
     return quality.check(hourly(s, d))
 
 
+
+
 RESAMPLED = ", h as (select symbol, '4h' as timeframe, ((open_time - 5400000) // 14400000) * 14400000 + 5400000 as t, {} from bars group by all)"
 
 
@@ -169,6 +171,39 @@ def _(s, d):
     return quality.session_gaps(b, cal)
 
 
+SESSIONS = """
+, ds as (select distinct cast(make_timestamp(open_time * 1000) as date) as session_date from bars),
+se as (select session_date, epoch_ms(session_date) + 52200000 as open_ms, epoch_ms(session_date) + case when day(session_date) % 7 = 0 then 64800000 else 75600000 end as close_ms from ds)
+"""
+
+
+@query("slot_gaps", BARS_SQL + SESSIONS + RESAMPLED.format("max(high) as high") + """
+, h1 as (select symbol, timeframe, t as open_time from h where (t // 14400000) % 5 <> 0),
+seen as (select distinct symbol, timeframe, cast(make_timestamp(open_time * 1000) at time zone 'UTC' at time zone 'America/New_York' as date) as session_date from h1),
+sl as (select se.*, open_ms // 86400000 * 86400000 + 48600000 + k * 14400000 as slot_ms from se cross join (select unnest(range(-1, 6)) as k)),
+sk as (select * from sl where slot_ms < close_ms and least(slot_ms + 14400000, close_ms) - greatest(slot_ms, open_ms) >= 3600000),
+sp as (select symbol, min(open_time) as lo, max(open_time) as hi from h1 group by symbol)
+final select symbol, timeframe, session_date, slot_ms as open_time from seen join sk using (session_date) join sp using (symbol) anti join h1 on h1.symbol = seen.symbol and h1.open_time = slot_ms where slot_ms between lo and hi""")
+def _(s, d):
+    b = hourly(s, d)
+    day = b.select(F.to_date(F.timestamp_millis("open_time")).alias("session_date")).distinct()
+    ms = F.unix_millis(F.col("session_date").cast("timestamp"))
+    cal = day.select("session_date", (ms + 52_200_000).alias("open_ms"), (ms + F.when(F.dayofmonth("session_date") % 7 == 0, 64_800_000).otherwise(75_600_000)).alias("close_ms"))
+    return quality.slot_gaps(quality.resample(b).where("(open_time div 14400000) % 5 <> 0"), cal)
+
+
+@query("page_seams", BARS_SQL + """
+, st as (select * from bars where open_time < 1705500000000), pg as (select symbol, timeframe, open_time, close * case symbol when 'click' then 1.05 else 1.0 end as close from bars where open_time >= 1705400000000),
+f as (select symbol, timeframe, min(open_time) as page_from, arg_min(close, open_time) as page_close from pg group by all),
+be as (select st.symbol, max(open_time) as stored_to, arg_max(close, open_time) as stored_close from st join f using (symbol) where open_time < page_from group by st.symbol),
+mv as (select symbol, count(*) as n_both, bool_or(abs(pg.close / st.close - 1) > 0.01) as basis_changed from st join pg using (symbol, open_time) group by symbol)
+final select f.symbol, f.timeframe, page_from, page_close, stored_to, stored_close, coalesce(n_both, 0) as n_both, coalesce(basis_changed, false) as basis_changed from f left join be using (symbol) left join mv using (symbol)""", "page_close stored_close")
+def _(s, d):
+    b = hourly(s, d)
+    page = b.where("open_time >= 1705400000000").withColumn("close", F.col("close") * F.when(F.col("symbol") == "click", 1.05).otherwise(1.0))
+    return quality.seams(b.where("open_time < 1705500000000"), page)
+
+
 # indicators
 
 
@@ -561,6 +596,23 @@ def _(s, d):
     return simulate.day_gate(simulate.direction_gate(_pins(s, d), {"pin_bar": ["short"]}), [1, 2, 3]).select("symbol", "timeframe", "open_time", "direction", "sl_price")
 
 
+# each half of a series stands as a series of its own
+HALVES = BARS_SQL.replace("\nb as (", "\nb0 as (") + """
+, b as (select symbol || case when i <= floor(n * 0.7::double) then '#in' else '#out' end as symbol, timeframe, open_time, open, high, low, close, volume, row_number() over (partition by symbol, i <= floor(n * 0.7::double) order by i) as i from b0 join (select symbol, count(*) as n from b0 group by symbol) using (symbol))
+"""
+
+
+@query("sweep_audit", HALVES + SWEEP.partition("\nfinal ")[0] + """
+, sc as (select split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2) as part, timeframe, strategy, tp_r, sl_pct, n, avg_r, case when n >= case split_part(symbol, '#', 2) when 'in' then 5 else 1 end and avg_r > 0 then avg_r * win_rate * sqrt(n) else 0 end as score from m),
+io as (select a.symbol, a.timeframe, a.strategy, a.tp_r, a.sl_pct, a.n as in_n, a.avg_r as in_avg_r, a.score as in_score, c.n as out_n, c.avg_r as out_avg_r, coalesce(c.score, 0) as out_score
+  from sc a left join sc c on c.symbol = a.symbol and c.part = 'out' and c.tp_r = a.tp_r and c.sl_pct = a.sl_pct where a.part = 'in'),
+dc as (select *, case when in_score > 0 then out_score / in_score end as decay from io),
+ov as (select *, coalesce(out_avg_r <= 0, true) or coalesce(decay < 0.4, false) as overfit from dc)
+final select *, row_number() over (partition by symbol order by overfit, in_score desc, tp_r, sl_pct) = 1 and not overfit as pick from ov""", "tp_r sl_pct in_avg_r in_score out_avg_r out_score decay")
+def _(s, d):
+    return simulate.audit(hourly(s, d), lambda b: detectors.pin_bar(b).withColumn("strategy", F.lit("pin_bar")), [1.5, 2.0, 3.0], [0.05, 0.2])
+
+
 COOLED = """
 , o as (select *, row_number() over (partition by symbol, direction order by open_time) as k from sig),
 f as (with recursive f as (select symbol, direction, k, open_time from o where k = 1 union all
@@ -1184,6 +1236,92 @@ def _(s, d):
     return books.vol_overlay(books.panel(per_day(s, d))).select("date", "symbol", "risk_on", "weight", "arm")
 
 
+SIGMA = """
+, k as (select *, close / lag(close) over (partition by symbol order by i) - 1 as ret from b),
+sd as (select *, case when count(ret) over w >= 20 then stddev_samp(ret) over w end as now from k window w as (partition by symbol order by i rows 19 preceding)),
+sv as (select *, lag(now) over (partition by symbol order by i) as sigma from sd)
+"""
+GAPS = SIGMA + """
+, gp as (select *, lag(close) over (partition by symbol order by i) as level from sv),
+gm as (select symbol, timeframe, i, level, open / level - 1 > 0 as up from gp where level > 0 and sigma > 0 and abs(open / level - 1) >= 0.5 * sigma),
+gf as (select g.symbol, g.timeframe, g.i, g.level, g.up, min(j.i) as filled from gm g left join b j on j.symbol = g.symbol and j.i >= g.i and case when up then j.low <= level else j.high >= level end group by all)
+"""
+
+
+def _with_sigma(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("open_time")
+    b = per_day(s, d).withColumn("_ret", F.col("close") / F.lag("close").over(w) - 1)
+    past = w.rowsBetween(-19, 0)
+    return b.withColumn("_sd", F.when(F.count("_ret").over(past) >= 20, F.stddev_samp("_ret").over(past))).withColumn("sigma", F.lag("_sd").over(w)).drop("_ret", "_sd")
+
+
+@query("gap_fill_shares", DAILY_SQL + GAPS + """
+final select symbol, timeframe, count(*) as n_gaps, avg(cast(up as integer)) as up_share, avg(coalesce(cast(filled - i + 1 <= 1 as integer), 0)) as fill_1, avg(coalesce(cast(filled - i + 1 <= 5 as integer), 0)) as fill_5, avg(coalesce(cast(filled - i + 1 <= 20 as integer), 0)) as fill_20, avg(coalesce(cast(filled - i + 1 <= 60 as integer), 0)) as fill_60 from gf group by all""", "up_share fill_1 fill_5 fill_20 fill_60")
+def _(s, d):
+    return magnets.fill_shares(magnets.gaps(_with_sigma(s, d)))
+
+
+@query("gap_magnets", DAILY_SQL + GAPS + """
+, al as (select sv.symbol, sv.i, arg_min(g.level, struct_pack(d := abs(g.level - sv.close), m := g.i)) as level from sv join gf g on g.symbol = sv.symbol and sv.i between g.i and g.i + 59 and (g.filled is null or g.filled > sv.i) group by all),
+ds as (select sv.symbol, sv.timeframe, sv.open_time, sv.close, sv.sigma, al.level, (al.level - sv.close) / (sv.close * sv.sigma) as dist from sv left join al using (symbol, i))
+final select symbol, timeframe, open_time, close, sigma, level, sign(dist) * greatest(0, 1 - abs(dist) / 2) as magnet from ds""", "close sigma level magnet")
+def _(s, d):
+    return magnets.magnets(_with_sigma(s, d)).select("symbol", "timeframe", "open_time", "close", "sigma", "level", "magnet")
+
+
+DECLINES = PANEL + """
+, dk as (select *, row_number() over (partition by symbol order by date) as k from p),
+dp as (select *, max(close) over w as peak, arg_max(k, struct_pack(c := close, n := -k)) over w as at_ from dk window w as (partition by symbol order by date rows 59 preceding)),
+de as (select *, (peak - close) / peak as d0, k - at_ as u0 from dp),
+dd as (select date, symbol, close, case when k >= 60 and d0 >= 0.1 and u0 >= 3 then d0 end as depth, case when k >= 60 and d0 >= 0.1 and u0 >= 3 then cast(u0 as double) end as duration from de)
+"""
+
+
+@query("declines", DECLINES + "\nfinal select *, depth / duration as velocity from dd", "close depth duration velocity")
+def _(s, d):
+    return magnets.declines(books.panel(per_day(s, d))).select("date", "symbol", "close", "depth", "duration", "velocity")
+
+
+@query("decline_book", DECLINES + """
+, sc as (select dd.*, p.ret, lag(-depth / duration) over (partition by dd.symbol order by date) as signal from dd join p using (date, symbol)),
+z as (select *, case when stddev_samp(signal) over w > 0 then (signal - avg(signal) over w) / stddev_samp(signal) over w end as z from sc window w as (partition by date))
+final select date, count(signal) as n, coalesce(sum(z * ret) / nullif(sum(abs(z)), 0), 0) as ret from z group by date""", "ret")
+def _(s, d):
+    p = magnets.declines(books.panel(per_day(s, d))).withColumn("signal", -F.col("velocity"))
+    z = books.zscore(magnets.lagged(p, "signal"))
+    return z.groupBy("date").agg(F.count("signal").alias("n"), F.coalesce(F.try_divide(F.sum(F.col("z") * F.col("ret")), F.nullif(F.sum(F.abs("z")), F.lit(0.0))), F.lit(0.0)).alias("ret"))
+
+
+@query("sideways_market", PANEL + """
+, m as (select date, avg(ret) as ret from p where ret is not null group by date),
+f as (select *, count(ret) over w >= 20 and abs(sum(ret) over w) < stddev_samp(ret) over w * sqrt(20) as flat from m window w as (order by date rows 19 preceding))
+final select date, ret, coalesce(lag(flat) over (order by date), false) as sideways from f""", "ret")
+def _(s, d):
+    return magnets.sideways(books.panel(per_day(s, d)).where("ret is not null").groupBy("date").agg(F.avg("ret").alias("ret")))
+
+
+@query("market_regression", PANEL + """
+, m as (select *, avg(ret) over (partition by date) as market from p where ret is not null),
+r as (select symbol, count(*) as n, regr_slope(ret, market) as beta, regr_intercept(ret, market) as alpha, regr_r2(ret, market) as r2, avg(market) as mx, var_pop(market) as vx, var_pop(ret) as vy from m group by symbol),
+e as (select *, n * vy * (1 - r2) as rss from r)
+final select symbol, n, alpha * 252 as alpha_a_year, beta, alpha / sqrt(rss / (n - 2) * (1.0 / n + mx * mx / (n * vx))) as t_alpha, r2, alpha / sqrt(rss / (n - 1)) * sqrt(252) as hedged_sharpe from e""", "alpha_a_year beta t_alpha r2 hedged_sharpe")
+def _(s, d):
+    from pyspark.sql import Window
+
+    p = books.panel(per_day(s, d)).where("ret is not null").withColumn("market", F.avg("ret").over(Window.partitionBy("date")))
+    return statistics.ols(p, ["symbol"], "ret", "market")
+
+
+@query("independent_series", PANEL + """
+, c as (select corr(x.ret, y.ret) as corr from p x join p y using (date) where x.symbol < y.symbol and x.ret is not null and y.ret is not null group by x.symbol, y.symbol),
+m as (select avg(corr) as mean_corr from c), n as (select count(distinct symbol) as k from p where ret is not null)
+final select k, mean_corr, greatest(1, least(k, k / (1 + (k - 1) * greatest(mean_corr, 0)))) as k_eff from n cross join m""", "mean_corr k_eff")
+def _(s, d):
+    return statistics.independent_series(books.panel(per_day(s, d)))
+
+
 @query("trend_filter", PANEL + """
 , m as (select *, case when count(close) over w >= 200 then avg(close) over w end as sma from p window w as (partition by symbol order by date rows 199 preceding))
 final select date, symbol, close, ret, sma, lag(close > sma) over (partition by symbol order by date) as risk_on from m""", "close ret sma")
