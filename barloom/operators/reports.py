@@ -105,6 +105,57 @@ def weekly_timing(bars: DataFrame) -> DataFrame:
     return w.groupBy(*SERIES, "dow").agg(F.avg((F.col("high_dow") > F.col("dow")).cast("double")).alias("high_ahead"), F.avg((F.col("low_dow") > F.col("dow")).cast("double")).alias("low_ahead"), F.count("*").alias("n"))
 
 
+def _week_of(ms: Column) -> Column:
+    """The Monday, at UTC+8, of the week of a time, in milliseconds."""
+    shift = 8 * 3_600_000
+    return F.unix_millis(F.date_trunc("week", F.timestamp_millis(ms + shift))) - shift
+
+
+def _move(move: Column, unit: Column) -> Column:
+    return F.when(F.abs(move) < unit, "small").when(F.abs(move) < 2 * unit, "medium").otherwise("large")
+
+
+def weekly_moves(bars: DataFrame) -> DataFrame:
+    """For each weekday and size of the week's move by its end (under one, two or more mean daily ranges): share of weeks, at
+    UTC+8, whose low, or high, was still ahead."""
+    unit = adr(bars).select(*SERIES, "adr_14")
+    w = weeks(bars, 8).select(*SERIES, "week", "day_open", "high_dow", "low_dow")
+    ts = _ts(8)
+    eod = bars.groupBy(*SERIES, F.to_date(F.date_trunc("week", ts)).alias("week"), (F.weekday(ts) + 1).alias("dow")).agg(F.max_by("close", "open_time").alias("eod"))
+    x = eod.join(w, [*SERIES, "week"]).join(unit, list(SERIES)).withColumn("move", _move(F.col("eod") / F.col("day_open") - 1, F.col("adr_14")))
+    ahead = lambda c: F.avg((F.col(c) > F.col("dow")).cast("double"))
+    return x.groupBy(*SERIES, "dow", "move").agg(F.count("*").alias("n"), ahead("low_dow").alias("low_ahead"), ahead("high_dow").alias("high_ahead"))
+
+
+def weekly_state(bars: DataFrame) -> DataFrame:
+    """Each series' newest week at UTC+8: its open, the newest close, the move between them and its size, and how often, after
+    such a day of such a week, the low or the high was still ahead."""
+    last = F.max("open_time").over(Window.partitionBy(*SERIES))
+    cur = bars.withColumn("_last", last).where(F.col("open_time") >= _week_of(F.col("_last")))
+    c = cur.groupBy(*SERIES).agg(F.min_by("open", "open_time").alias("week_open"), F.max_by("close", "open_time").alias("price"), F.max("open_time").alias("_t"))
+    c = c.join(adr(bars).select(*SERIES, "adr_14"), list(SERIES)).withColumn("move_pct", F.col("price") / F.col("week_open") - 1)
+    c = c.withColumns({"dow": F.weekday(F.timestamp_millis(F.col("_t") + 8 * 3_600_000)) + 1, "move": _move(F.col("move_pct"), F.col("adr_14"))})
+    return c.join(weekly_moves(bars), [*SERIES, "dow", "move"], "left").select(*SERIES, "dow", "week_open", "price", "move_pct", "move", "n", "low_ahead", "high_ahead")
+
+
+def first_wicks(bars: DataFrame, key: Column) -> DataFrame:
+    """Per period: the side of its first extreme and the wick there, over that bar's open; none where one bar is both."""
+    d = daily(bars, key).where("low_ts <> high_ts").select(*SERIES, "day", F.when(F.col("low_ts") < F.col("high_ts"), "low").otherwise("high").alias("first"), F.least("low_ts", "high_ts").alias("open_time"))
+    x = d.join(bars, [*SERIES, "open_time"]).where("open > 0")
+    wick = F.when(F.col("first") == "low", F.least("open", "close") - F.col("low")).otherwise(F.col("high") - F.greatest("open", "close"))
+    return x.select(*SERIES, "day", "first", (wick / F.col("open")).alias("wick"))
+
+
+def wick_percentile(bars: DataFrame) -> DataFrame:
+    """The wick of the newest week's first extreme in mean daily ranges, and the share of weeks with a longer one."""
+    unit = adr(bars).where("adr_14 > 0").select(*SERIES, "adr_14")
+    past = first_wicks(bars, F.to_date(F.date_trunc("week", _ts()))).select(*SERIES, F.col("wick").alias("h"))
+    last = F.max("open_time").over(Window.partitionBy(*SERIES))
+    cur = bars.withColumn("_last", last).where(F.col("open_time") >= _week_of(F.col("_last"))).drop("_last")
+    now = first_wicks(cur, F.lit(0)).join(unit, list(SERIES))
+    return past.join(now, list(SERIES)).groupBy(*SERIES, "first", (F.col("wick") / F.col("adr_14")).alias("wick_of_adr")).agg(F.avg((F.col("h") > F.col("wick")).cast("double")).alias("exceeded"), F.count("*").alias("n"))
+
+
 def pooled(avg: str, n: str = "closed_trades") -> Column:
     """Trade-weighted mean of a per-run average; both sums over the rows that have one."""
     return F.sum(F.col(avg) * F.col(n)) / F.nullif(F.sum(F.when(F.col(avg).isNotNull(), F.col(n))), F.lit(0))

@@ -888,6 +888,46 @@ def _(s, d):
     return reports.weekly_flip_risk(hourly(s, d))
 
 
+ADR14 = """
+, ak as (select *, (dh - dl) / o as r, row_number() over (partition by symbol order by day desc) as k from de where o > 0),
+au as (select symbol, avg(r) filter (k <= 14) as adr from ak group by symbol)
+"""
+MOVES = DAYS + ADR14 + WEEKS.format(28800000) + """
+, wo as (select symbol, week, first(open order by open_time) as wopen from wk group by all),
+eo_ as (select symbol, timeframe, week, isodow(make_timestamp((open_time + 28800000) * 1000)) as dow, last(close order by open_time) as eod from wk group by all),
+mj as (select e.symbol, e.timeframe, e.dow, eod / wopen - 1 as mv, adr, hd, ld from eo_ e join wo using (symbol, week) join wd using (symbol, week) join au using (symbol)),
+mb as (select *, case when abs(mv) < adr then 'small' when abs(mv) < 2 * adr then 'medium' else 'large' end as move from mj),
+mt as (select symbol, timeframe, cast(dow as integer) as dow, move, count(*) as n, avg(cast(ld > dow as integer)) as low_ahead, avg(cast(hd > dow as integer)) as high_ahead from mb group by all),
+nw as (select symbol, max(open_time) as t, epoch_ms(date_trunc('week', make_timestamp((max(open_time) + 28800000) * 1000))) - 28800000 as w0 from bars group by symbol)
+"""
+
+
+@query("weekly_moves", BARS_SQL + MOVES + "\nfinal select * from mt", "low_ahead high_ahead")
+def _(s, d):
+    return reports.weekly_moves(hourly(s, d))
+
+
+@query("weekly_state", BARS_SQL + MOVES + """
+, c as (select b.symbol, b.timeframe, first(open order by open_time) as week_open, last(close order by open_time) as price, cast(isodow(make_timestamp((any_value(t) + 28800000) * 1000)) as integer) as dow from b join nw using (symbol) where open_time >= w0 group by all),
+cm as (select c.*, price / week_open - 1 as move_pct, case when abs(price / week_open - 1) < adr then 'small' when abs(price / week_open - 1) < 2 * adr then 'medium' else 'large' end as move from c join au using (symbol))
+final select cm.symbol, cm.timeframe, cm.dow, week_open, price, move_pct, cm.move, n, low_ahead, high_ahead from cm left join mt on mt.symbol = cm.symbol and mt.dow = cm.dow and mt.move = cm.move""", "week_open price move_pct low_ahead high_ahead")
+def _(s, d):
+    return reports.weekly_state(hourly(s, d))
+
+
+FIRST_WICK = "select b.symbol, b.timeframe, case when lt < ht then 'low' else 'high' end as first, case when lt < ht then least(open, close) - low else high - greatest(open, close) end / open as wick from {} w join b on b.symbol = w.symbol and b.open_time = least(lt, ht) where lt <> ht and open > 0"
+
+
+@query("wick_percentile", BARS_SQL + MOVES.replace(WEEKS.format(28800000), WEEKS.format(0)).partition("\n, wo as")[0] + """
+, nw as (select symbol, epoch_ms(date_trunc('week', make_timestamp((max(open_time) + 28800000) * 1000))) - 28800000 as w0 from bars group by symbol),
+cb as (select bars.* from bars join nw using (symbol) where open_time >= w0), ce as (select symbol, max(high) as h, min(low) as l from cb group by symbol),
+cx as (select symbol, (select min(open_time) from cb where cb.symbol = ce.symbol and cb.high = ce.h) as ht, (select min(open_time) from cb where cb.symbol = ce.symbol and cb.low = ce.l) as lt from ce),
+""" + f"hw as ({FIRST_WICK.format('wx')}), cw as ({FIRST_WICK.format('cx')})" + """
+final select cw.symbol, cw.timeframe, cw.first, cw.wick / adr as wick_of_adr, avg(cast(hw.wick > cw.wick as integer)) as exceeded, count(*) as n from cw join au using (symbol) join hw on hw.symbol = cw.symbol group by cw.symbol, cw.timeframe, cw.first, cw.wick, adr""", "wick_of_adr exceeded")
+def _(s, d):
+    return reports.wick_percentile(hourly(s, d))
+
+
 # the outcome ledger
 
 ALERTS = PINS + """
