@@ -161,13 +161,15 @@ def residuals(p: DataFrame, window: int = 252) -> DataFrame:
 
 
 def beta_neutral(p: DataFrame, score: str = "signal", gross: float = 1.0) -> DataFrame:
-    """Adds ``weight``: the score demeaned and then made free of beta on each date, scaled to a gross exposure."""
+    """Adds ``weight``: the score demeaned and then made free of beta on each date, scaled to a gross exposure; nothing is held
+    where beta explains all of it, as with two symbols."""
     w = Window.partitionBy("date")
     p = p.where(F.col(score).isNotNull() & F.col("beta").isNotNull())
     p = p.withColumns({"_s": F.col(score) - F.avg(score).over(w), "_b": F.col("beta") - F.avg("beta").over(w)})
     slope = F.try_divide(F.sum(F.col("_s") * F.col("_b")).over(w), F.sum(F.col("_b") * F.col("_b")).over(w))
     p = p.withColumn("_raw", F.col("_s") - F.coalesce(slope, F.lit(0.0)) * F.col("_b"))
-    return p.withColumn("weight", F.coalesce(F.try_divide(F.col("_raw") * gross, F.sum(F.abs("_raw")).over(w)), F.lit(0.0))).drop("_s", "_b", "_raw")
+    all_ = F.sum(F.abs("_raw")).over(w)
+    return p.withColumn("weight", F.when(all_ > 1e-9 * F.sum(F.abs("_s")).over(w), F.col("_raw") * gross / all_).otherwise(0.0)).drop("_s", "_b", "_raw")
 
 
 def subperiods(rets: DataFrame, n: int = 4, days: float = 252.0) -> DataFrame:

@@ -1261,7 +1261,7 @@ def _(s, d):
 , sg as (select *, lag(close, 1) over w / lag(close, 21) over w - 1 as signal from rs window w as (partition by symbol order by date)),
 c as (select *, signal - avg(signal) over (partition by date) as sd, beta - avg(beta) over (partition by date) as bd from sg where signal is not null and beta is not null),
 r as (select *, sd - coalesce(sum(sd * bd) over (partition by date) / nullif(sum(bd * bd) over (partition by date), 0), 0) * bd as raw from c),
-k as (select *, coalesce(raw / nullif(sum(abs(raw)) over (partition by date), 0), 0) as weight from r)
+k as (select *, case when sum(abs(raw)) over (partition by date) > 1e-9 * sum(abs(sd)) over (partition by date) then raw / sum(abs(raw)) over (partition by date) else 0 end as weight from r)
 final select date, symbol, signal, beta, weight from k""", "signal beta weight")
 def _(s, d):
     return books.beta_neutral(books.momentum(books.residuals(books.panel(per_day(s, d)), 60), 21, 1)).select("date", "symbol", "signal", "beta", "weight")
