@@ -248,6 +248,14 @@ def audit(bars: DataFrame, detect, tp_rs: list[float], sl_pcts: list[float], sha
     return x.withColumn("pick", (F.row_number().over(w) == 1) & ~F.col("overfit"))
 
 
+def pooled_winner(rows: DataFrame, least: int = 30) -> DataFrame:
+    """Trades of several symbols pooled by strategy, timeframe and ``tp_r``, with ``pick``: the largest mean R of those with enough
+    trades, of equal ones the smaller target."""
+    p = rows.where("pnl_r is not null").groupBy("strategy", "timeframe", "tp_r").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"), F.avg("pnl_r").alias("avg_r"), F.avg((F.col("pnl_r") > 0).cast("double")).alias("win_rate"))
+    w = Window.partitionBy("strategy", "timeframe").orderBy(F.when(F.col("n") >= least, F.col("avg_r")).desc_nulls_last(), "tp_r")
+    return p.withColumn("pick", (F.row_number().over(w) == 1) & (F.col("n") >= least))
+
+
 def one_of_each(trades: DataFrame, keys: tuple[str, ...] = ORDER) -> DataFrame:
     """One trade per cell, signal time and direction: a closed one before an open one, then the earlier exit."""
     w = Window.partitionBy(*keys, "signal_time", "direction").orderBy(F.col("exit_time").isNull(), "exit_time", "entry")

@@ -61,6 +61,14 @@ def _(s, d):
     return tables.scan(hourly(s, d), "click", "1h", 1704500000000, 1705500000000)
 
 
+@query("close_at", BARS_SQL + """
+, a as (select distinct event_type as symbol, '1h' as timeframe, epoch_ms(date_trunc('day', ts)) as open_time from events)
+final select a.symbol, a.timeframe, a.open_time, b.close from a left join b on b.symbol = a.symbol and b.open_time = a.open_time""", "close")
+def _(s, d):
+    a = tables.table(s, d, "events").select(F.col("event_type").alias("symbol"), F.lit("1h").alias("timeframe"), F.unix_millis(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("open_time")).distinct()
+    return tables.close_at(a, hourly(s, d))
+
+
 @query("bars_coverage", BARS_SQL + "\nfinal select symbol, timeframe, min(open_time) as first_bar, max(open_time) as last_bar, count(*) as n_bars from bars group by all")
 def _(s, d):
     return tables.coverage(hourly(s, d))
@@ -602,6 +610,15 @@ HALVES = BARS_SQL.replace("\nb as (", "\nb0 as (") + """
 """
 
 
+@query("pooled_targets", BARS_SQL + SWEEP.partition("\nfinal ")[0] + """
+, pl as (select 'pin_bar' as strategy, timeframe, tp_r, count(*) as n, count(distinct symbol) as symbols, avg(r) as avg_r, avg(cast(r > 0 as integer)) as win_rate from tr where sl_pct = 0.05 group by timeframe, tp_r)
+final select *, row_number() over (order by case when n >= 30 then avg_r end desc nulls last, tp_r) = 1 and n >= 30 as pick from pl""", "tp_r avg_r win_rate")
+def _(s, d):
+    b = hourly(s, d)
+    e = simulate.entries(b, _pins(s, d).withColumn("sl_price", F.lit(None).cast("double"))).withColumn("tp_r", F.explode(F.array(*map(F.lit, (1.5, 2.0, 3.0)))))
+    return simulate.pooled_winner(simulate.exits(b, e, tp_r=F.col("tp_r"), sl_pct=F.lit(0.05)))
+
+
 @query("sweep_audit", HALVES + SWEEP.partition("\nfinal ")[0] + """
 , sc as (select split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2) as part, timeframe, strategy, tp_r, sl_pct, n, avg_r, case when n >= case split_part(symbol, '#', 2) when 'in' then 5 else 1 end and avg_r > 0 then avg_r * win_rate * sqrt(n) else 0 end as score from m),
 io as (select a.symbol, a.timeframe, a.strategy, a.tp_r, a.sl_pct, a.n as in_n, a.avg_r as in_avg_r, a.score as in_score, c.n as out_n, c.avg_r as out_avg_r, coalesce(c.score, 0) as out_score

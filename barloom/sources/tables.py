@@ -99,6 +99,21 @@ def scan(bars: DataFrame, symbol: str, timeframe: str, start: int, end: int) ->
     return bars.where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe) & F.col("open_time").between(start, end))
 
 
+def close_at(asks: DataFrame, bars: DataFrame) -> DataFrame:
+    """``asks(symbol, timeframe, open_time)`` with the close of exactly that bar; null where there is none."""
+    return asks.join(bars.select(*SERIES, "open_time", "close"), [*SERIES, "open_time"], "left")
+
+
+def history(signals: DataFrame, symbol: str, timeframe: str, start: int, end: int) -> DataFrame:
+    """A series' signals from start to end, newest first."""
+    return scan(signals, symbol, timeframe, start, end).orderBy(F.desc("open_time"), "direction")
+
+
+def complete(progress: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted symbols that are not marked as complete yet."""
+    return wanted.join(progress.select("symbol").distinct(), "symbol", "left_anti")
+
+
 def coverage(bars: DataFrame) -> DataFrame:
     """First and last bar and count of each series."""
     return bars.groupBy(*SERIES).agg(F.min("open_time").alias("first_bar"), F.max("open_time").alias("last_bar"), F.count("*").alias("n_bars"))
