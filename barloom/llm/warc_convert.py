@@ -149,9 +149,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, parse_warc, WARC_SCHEMA)
 
 
-def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
+def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", per_file: int = PER_FILE) -> None:
     """``pages(page_id, url, html)`` as ARC files, versions 1 and 2 in turn by partition; a null html is empty.
 
+    A file holds ``per_file`` records; readers hold a file whole, so long pages want fewer.
+
     The HTTP head carries the page's id. White space in a url is percent-encoded; a null url becomes ``page:<id>``.
     """
 
@@ -161,16 +163,16 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
         for b in batches:
             rows, size = [], 0
             for page, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").cast(pa.binary()).to_pylist(), strict=True):
-                if n % PER_FILE == 0:
+                if n % per_file == 0:
                     body = f"{version} 0 barloom\n{ARC_FIELDS[version]}\n".encode()
                     more = " 200 - - 0 - " if version == 2 else " "
-                    rows.append(f"filedesc://pages-{n // PER_FILE}.arc 0.0.0.0 {date} text/plain{more}{len(body)}\n".encode() + body)
+                    rows.append(f"filedesc://pages-{n // per_file}.arc 0.0.0.0 {date} text/plain{more}{len(body)}\n".encode() + body)
                     n += 1
                 html = html or b""
                 own = f"X-Page-Id: {page}\r\n" if page is not None else ""
                 body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(html)}\r\n\r\n".encode() + html
                 url = re.sub(r"\s", lambda m: "".join(f"%{x:02X}" for x in m[0].encode()), f"page:{page}" if url is None else url) or "-"
-                more = f" 200 {zlib.crc32(html):08x} - {n} pages-{n // PER_FILE}.arc " if version == 2 else " "
+                more = f" 200 {zlib.crc32(html):08x} - {n} pages-{n // per_file}.arc " if version == 2 else " "
                 rows.append(f"{url} 0.0.0.0 {date} text/html{more}{len(body)}\n".encode() + body)
                 n += 1
                 size += len(body)
@@ -181,14 +183,14 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     lines = pages.select("page_id", "url", "html").mapInArrow(run, "value binary")
-    lines.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    lines.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _field(head: str, name: str):
     return F.regexp_extract(F.col(head).cast("string"), rf"(?im)^{name}: *([^\r\n]*)", 1)
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, per_file: int = PER_FILE) -> None:
     """Convert every ARC record: identifiers, timestamps, types and digests are synthesised from what ARC says.
 
     ``filedesc`` becomes warcinfo, an HTTP message response, anything else resource. Of responses with equal payloads
@@ -248,10 +250,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         F.lit("\r\n"),
         block.cast("string"),
     )
-    both.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(warc_path)
+    both.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(warc_path)
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """Write pages as ARC, convert to WARC, read back: a row per page.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``, and the record's identifier, date and file.
@@ -260,8 +262,8 @@ def archived(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages, arc)
-    arc_to_warc(spark, arc, warc)
+    write_arc(pages, arc, per_file=per_file)
+    arc_to_warc(spark, arc, warc, per_file)
     got = read_warc(spark, warc).where("type in ('response', 'revisit')")
     told = F.col("type") == "revisit"
     return got.select(

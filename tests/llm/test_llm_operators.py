@@ -56,6 +56,7 @@ def test_repeated_pages_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", "é" * 60, "response", 1), (1, "u", "é" * 60, "x", 2), (2, "u", "é" * 60, "y", 3)], "page_id long, url string, html string, record_type string, id int")
     got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc_convert.archived(df).collect())
     assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc_convert.archived(df.coalesce(1), per_file=2).collect()) == got
 
 
 def test_jpeg_round_trip(docs, none):
