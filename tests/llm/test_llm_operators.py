@@ -450,6 +450,9 @@ def test_proximity(spark):
     p = spark.createDataFrame([(7, ["a", "b", "c"])], "item_id long, phrase array<string>")
     assert {(r.doc_id, r.start) for r in decontaminate.proximity_matches(d, p, 6).collect()} == {(1, 0), (2, 0)}
     assert {r.doc_id for r in decontaminate.proximity_matches(d, p, 3).collect()} == {2}
+    odd = p.union(spark.createDataFrame([(8, None), (None, ["a"]), (9, [])], "item_id long, phrase array<string>"))
+    assert {r.doc_id for r in decontaminate.proximity_matches(d, odd, 3).where("item_id = 7").collect()} == {2}
+    assert decontaminate.proximity_matches(d.limit(0), p, 3).count() == 0 and decontaminate.proximity_matches(d, p.limit(0), 3).count() == 0
 
 
 def test_budgets_fall_to_siblings_first(spark):
