@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from statistics import NormalDist
 
@@ -105,12 +106,13 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, d
     (key, cluster) aggregates and no resample is built.
     """
     g = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(cluster)).cast("binary")), 1, 8), 16, 10).cast("long")
-    u = (h + 0.5) / 2**32
     # fixed values: the distribution function of the Poisson law of mean 1
     steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    count = sum((u > x).cast("int") for x in steps)
-    d = g.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", count)
+    # four draws a digest, each by eight of its digits, which compare as the number they write
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "four", F.col(cluster)).cast("binary"))
+    parts = F.array(*(F.struct((F.col("four") * 4 + i + 1).alias("draw"), F.substring("_h", 8 * i + 1, 8).alias("u")) for i in range(4)))
+    d = g.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4)))).withColumn("_h", digest).withColumn("_x", F.explode(parts)).where(F.col("_x.draw") <= draws)
+    d = d.select(*keys, "s", "n", "_x.draw", sum((F.col("_x.u") >= f"{math.ceil(x * 2**32):08x}").cast("int") for x in steps).alias("w"))
     each = d.groupBy(*keys, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     ends = each.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     return g.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).join(ends, keys)
