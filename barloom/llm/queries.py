@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chain_dedup, decontaminate, jpeg_media, license_scan, main_text, mixture, pu_quality, signature_join, unigram_count, warc_convert
+from . import chain_dedup, decontaminate, importance, jpeg_media, license_scan, main_text, mixture, pivot_codes, pu_quality, signature_join, unigram_count, virtual_slots, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_slots.shard(_table(spark, sf_dir, "documents"))
+
+
+def op13_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -65,4 +77,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_signature_trees": signature_join.COMPONENTS_SQL,
         "op8_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
         "op9_mixture": mixture.MIX_SQL,
+        "op11_importance_resampling": importance.RESAMPLE_SQL,
+        "op12_virtual_slots": virtual_slots.SHARD_SQL,
+        "op13_pivot_codes": pivot_codes.COMPRESS_SQL,
     }
