@@ -82,7 +82,7 @@ def crc32(features: list[bytes]) -> np.ndarray:
     order = np.argsort(lengths, kind="stable")
     ends = np.flatnonzero(np.diff(lengths[order], append=-1)) + 1
     out = np.empty(len(features), np.int64)
-    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+    for lo, hi in zip([0, *ends[:-1]], ends, strict=False):
         rows = order[lo:hi]
         matrix = np.frombuffer(b"".join([features[i] for i in rows]), np.uint8).reshape(len(rows), -1)
         crc = _blockwise(matrix) if matrix.shape[1] > 4 * BLOCK else _columns(matrix, np.full(len(rows), 0xFFFFFFFF, np.uint32))
@@ -117,7 +117,8 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray,
         last: list[bytes] = []
         for piece in _pieces(text):
             if size and size + len(piece) > CHUNK:
-                yield group()
+                if spans:
+                    yield group()
                 words, spans, size = [], [], 0
             found = _WORD.findall(piece)
             if found:

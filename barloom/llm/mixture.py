@@ -45,7 +45,9 @@ def _shared(rows: DataFrame, parent: list[str], budget: str, weight: str, cap: s
 def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], fraction: float, epochs: int) -> DataFrame:
     """``leaves(domain, lang, source, tokens)`` with ``budget``, which sum to ``fraction`` of all tokens where they can.
 
-    ``weights`` holds a weight for names of each level (``domain``, ``lang``, ``source``); names not given weigh 1.
+    ``weights`` holds a weight for names of each level (``domain``, ``lang``, ``source``); names not given weigh 1. A name of
+    weight 0 or less gives nothing: leaves below it count as tokens of the whole but not as what its ancestors can give, so
+    none of them is promised more than its other children have.
     """
 
     def weight(level: str) -> Column:
@@ -55,7 +57,8 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], fracti
         return out
 
     levels = ["domain", "lang", "source"]
-    tree = leaves.select(*levels, "tokens", (F.col("tokens") * epochs).cast("double").alias("cap"))
+    alive = F.least(*[weight(level) for level in levels]) > 0
+    tree = leaves.select(*levels, "tokens", F.when(alive, F.col("tokens") * epochs).otherwise(0).cast("double").alias("cap"))
     budget = tree.groupBy().agg((F.sum("tokens") * float(fraction)).alias("all"))
     parent = F.broadcast(budget)  # one row
     node = tree

@@ -198,12 +198,14 @@ def encode(stored: DataFrame, books: list[np.ndarray], pivots: list[np.ndarray])
 def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:
     """``vec_id, code, error, label_error, codebooks_sha256``, a row for each vector that ``kept`` leaves.
 
-    ``label_error`` is the sum of errors over a label, null labels together; repeated rows are coded each. No vectors give no
+    ``label_error`` is the sum of errors over a label, null labels together, and null if it or one of them passes 64 bits;
+    repeated rows are coded each. No vectors give no
     rows. Other columns are left out.
     """
     stored, books, pivots = train(kept(vectors, parts), parts, entries, rounds)
     coded = staged(encode(stored, books, pivots), "codes")
-    by_label = coded.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error"))
+    total = F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long")
+    by_label = coded.groupBy(F.col("label").alias("l")).agg(F.when(F.count("*") == F.count("error"), total).alias("label_error"))
     return coded.join(by_label, F.col("label").eqNullSafe(F.col("l")), "left").select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
 
 

@@ -462,6 +462,58 @@ def test_budgets_fall_to_siblings_first(spark):
     assert got == {("a", "en", "s1"): 100, ("a", "en", "s2"): 412, ("a", "de", "s1"): 512, ("b", "en", "s1"): 50}
 
 
+def filled(budget, children):
+    """Shares of a budget by weight under caps: the level at which they sum to it, by bisection."""
+    caps = {k: c if w > 0 else 0.0 for k, w, c in children}
+    if sum(caps.values()) <= budget:
+        return caps
+    lo, hi = 0.0, 2 * max(c / w for _, w, c in children if w > 0) + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(caps[k], mid * w) for k, w, _ in children if w > 0) < budget else (lo, mid)
+    return {k: min(caps[k], lo * w) if w > 0 else 0.0 for k, w, _ in children}
+
+
+def brute_budgets(leaves, weights, fraction, epochs):
+    weigh = lambda level, name: weights.get(level, {}).get(name, 1.0)
+
+    def cap(path):
+        if any(weigh(level, n) <= 0 for level, n in zip(("domain", "lang", "source"), path, strict=False)):
+            return 0.0
+        return float(sum(t * epochs for *p, t in leaves if tuple(p[: len(path)]) == path and all(weigh(level, n) > 0 for level, n in zip(("domain", "lang", "source"), p, strict=True))))
+
+    budgets = {(): sum(t for *_, t in leaves) * fraction}
+    for i, level in enumerate(("domain", "lang", "source")):
+        below = {}
+        for path, budget in budgets.items():
+            own = sorted({tuple(p[: i + 1]) for *p, _ in leaves if tuple(p[:i]) == path})
+            below |= filled(budget, [(k, weigh(level, k[-1]), cap(k)) for k in own])
+        budgets = below
+    return budgets
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budgets_against_water_filling(spark, seed):
+    rng = np.random.default_rng(seed)
+    leaves = [(d, x, s, int(rng.choice([0, 3, 40, 1000, 5000]))) for d in "abc" for x in ("en", "de", "fr") for s in "stuv" if rng.random() < 0.7]
+    pick = lambda names: {n: float(rng.choice([0, 0, 0.5, 1, 3])) for n in names if rng.random() < 0.8}
+    weights = {"domain": pick("abc"), "lang": pick(("en", "de", "fr")), "source": pick("stuv")}
+    fraction, epochs = float(rng.choice([0.1, 0.4, 0.9])), int(rng.choice([1, 3]))
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixture.leaf_budgets(df, weights, fraction, epochs).collect()}
+    want = brute_budgets(leaves, weights, fraction, epochs)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1 for k in want), weights
+    can = sum(t * epochs for d, x, s, t in leaves if min(weights["domain"].get(d, 1), weights["lang"].get(x, 1), weights["source"].get(s, 1)) > 0)
+    assert sum(got.values()) >= min(can, fraction * sum(r[3] for r in leaves)) - len(leaves)
+
+
+def test_what_a_weightless_child_has_is_not_promised(spark):
+    df = spark.createDataFrame([("d0", "en", "s", 10), ("d0", "de", "s", 1000), ("d1", "en", "s", 1000)], "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.lang): r.budget for r in mixture.leaf_budgets(df, {"lang": {"de": 0.0}}, 0.4, 1).collect()}
+    assert got == {("d0", "en"): 10, ("d0", "de"): 0, ("d1", "en"): 794}
+    assert {r.budget for r in mixture.leaf_budgets(df, {"lang": {"de": 0.0, "en": 0.0}}, 0.4, 1).collect()} == {0}
+
+
 def test_mixture_prefixes_and_odd_rows(docs, none):
     out = mixture.mix(docs.withColumn("epoch", docs["key"]), mixture.WEIGHTS)
     assert len(set(out.columns)) == len(out.columns) and {"domain", "n_tokens", "epoch", "bits"} <= set(out.columns)
