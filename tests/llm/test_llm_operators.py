@@ -529,6 +529,86 @@ def test_templates_find_themselves_only(name):
             assert [h[0] for h in license_scan.scan_block(block)] == [name]
 
 
+def licenses(text):
+    return [h[0] for h in license_scan.scan_block(text)]
+
+
+def test_double_negated_and_short_statements():
+    assert licenses("Licensed under the BSD 3-Clause License and the MIT License.") == ["BSD-3-Clause", "MIT"]
+    assert licenses("SPDX-License-Identifier: MIT OR Apache-2.0\n") == ["MIT", "Apache-2.0"]
+    assert licenses("// SPDX-License-Identifier: Apache-2.0") == ["Apache-2.0"] and licenses("This project is MIT licensed.") == ["MIT"]
+    assert licenses("GNU General Public License v3.0 or later") == ["GPL-3.0"]
+    assert licenses("Not licensed under the MIT License. Ask us.") == []
+    assert licenses("It isn't released under the MIT License, but is licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert licenses("Do not ask. Released under the MIT License.") == ["MIT"]
+    assert licenses("Licensed under the MIT License. The Apache License 2.0 is another.") == ["MIT"]
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEXTS))
+def test_whole_texts_are_one_statement(name):
+    text = license_scan.TEXTS[name]
+    got = license_scan.scan_block("Copyright (c) 2020 A. Body\n\n" + textwrap.fill(text, 70, initial_indent=" * ", subsequent_indent=" * ") + "\n\nint main() {}")
+    assert [(h[0], h[4], h[3] - h[2]) for h in got] == [(name, 0, len(license_scan._words(text)))]
+
+
+def test_only_compression_brings_up_licenses(monkeypatch):
+    text = f"Licensed under the MIT License. {license_scan.TEXTS['ISC']}"
+    assert licenses(text) == ["MIT", "ISC"]
+    real = license_scan.savings
+    monkeypatch.setattr(license_scan, "savings", lambda b, level: [(0, 0.0, x) for _, _, x in real(b, level)])
+    assert licenses(text) == []
+
+
+def plain_statements(text):
+    """Statements by aligning every text of every license at every word, without compression: longest and closest first."""
+    words, hits = license_scan._words(text), []
+    for lic in license_scan._licenses():
+        for t in lic.texts:
+            n, slack = len(t.words), int(t.most)
+            for start in range(len(words)):
+                if words[start] not in t.words[: slack + 1]:
+                    continue
+                # fewest words missing or added when the template is aligned with what begins here, by its end
+                last = list(range(0, -n - 1, -1))
+                row = [-v for v in last]
+                best = None
+                for stop in range(start, min(start + n + slack, len(words))):
+                    w, up = words[stop], [row[0] + 1]
+                    for j, x in enumerate(t.words):
+                        up.append(min(row[j + 1] + 1, up[j] + 1, row[j] if x == w else 10**6))
+                    row = up
+                    if row[n] <= t.most and words[stop] in t.words and (best is None or row[n] < best[0]):
+                        best = (row[n], stop + 1)
+                if best is not None:
+                    part, need = words[start : best[1]], list(t.words)
+                    gone = [x for x in need if need.count(x) > part.count(x)] + [x for x in part if part.count(x) > need.count(x)]
+                    if not any(map(license_scan._tells, gone)):
+                        hits.append((best[1] - start - 3 * best[0], start, best[1], lic.name))
+    out = []
+    for _, start, stop, name in sorted(hits, reverse=True):
+        if all(stop <= o[1] or start >= o[2] for o in out):
+            out.append((name, start, stop))
+    return [o[0] for o in sorted(out, key=lambda o: o[1])]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_licenses_against_plain_alignment(seed):
+    rng = np.random.default_rng(seed)
+    names = [n for n in license_scan.TEMPLATES if n != "Unlicense"]
+    some = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(400)]
+    parts, planted = [" ".join(rng.choice(some, 40)) + "."], []
+    for _ in range(5):
+        name = str(rng.choice(names))
+        words = str(rng.choice([t for t in license_scan.statements_of(name) if len(t.split()) < 60])).split()
+        free = [i for i in range(1, len(words) - 1) if not any(map(license_scan._tells, license_scan._words(words[i])))]
+        for i in rng.permutation(free)[: int(0.12 * len(words))]:
+            words[i] = str(rng.choice(["", "foo", words[i] + " bar"]))
+        planted.append(name)
+        parts += ["\n".join(textwrap.wrap(" ".join(words), 50)), ". " + " ".join(rng.choice(some, int(rng.integers(5, 80)))) + "."]
+    text = " ".join(parts)
+    assert licenses(text) == plain_statements(text) and len(planted) - len(licenses(text)) <= 1  # a changed word may undo one
+
+
 @pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
 def test_templates_wrapped_twice_and_in_long_lines(name):
     ids = lambda text: [h[0] for h in license_scan.scan_block(text)]
