@@ -249,9 +249,12 @@ def _find(text: Text, words: list[str]) -> tuple[int, int, list[str], list[str]]
 
 
 def confirm(lic: License, words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
-    """Where the words state the license, by its longest text that is there."""
-    there = set(words)
-    return next((got for t in lic.texts if t.telling <= there and (got := _find(t, words))), None)
+    """Where the words state the license: the place of its longest text, less two words for each that differs."""
+    there, best, most = set(words), None, 0
+    for t in lic.texts:
+        if len(t.words) > most and t.telling <= there and (got := _find(t, words)) and (n := len(t.words) - 2 * len(got[2] + got[3])) > most:
+            best, most = got, n
+    return best
 
 
 @lru_cache(1)
