@@ -99,22 +99,41 @@ def correlations(panel: DataFrame) -> DataFrame:
     return a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n"))
 
 
-def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Cluster bootstrap of the mean per key: mean, 2.5% and 97.5%.
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows by the columns over as many tasks as shuffles have: few rows that make much work, which are not put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
-    Each draw weighs a cluster by a Poisson(1) count from a digest of seed, draw and cluster, so the work is sums over
-    (key, cluster) aggregates and no resample is built.
+
+# fixed values: the distribution function of the Poisson law of mean 1
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+
+
+def weighted_sums(rows: DataFrame, keys: list[str], unit: str, values: list[str], draws: int, seed: int) -> DataFrame:
+    """``keys, draw, values``: sums in which each draw weighs a unit by a Poisson(1) count from a digest of seed, draw and unit.
+
+    Four draws share a digest, each by eight of its digits, which compare as the number they write; their sums are kept side by
+    side, so a row is met once for four draws.
+    """
+    # a unit's rows go together, so that its digests and weights are worked out once for all of them
+    x = spread(rows.select(*keys, F.col(unit).alias("_unit"), *values), "_unit").groupBy("_unit").agg(F.collect_list(F.struct(*keys, *values)).alias("_rows"))
+    x = x.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
+    x = x.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "_four", "_unit").cast("binary")))
+    x = x.withColumns({f"_u{i}": F.substring("_h", 8 * i + 1, 8) for i in range(4)})
+    x = x.withColumns({f"_w{i}": sum((F.col(f"_u{i}") >= f"{math.ceil(p * 2**32):08x}").cast("int") for p in POISSON) for i in range(4)})
+    x = x.select("_four", *(f"_w{i}" for i in range(4)), F.inline("_rows"))
+    g = x.groupBy(*keys, "_four").agg(*(F.sum(F.col(f"_w{i}") * F.col(v)).alias(f"_{v}{i}") for v in values for i in range(4)))
+    each = F.array(*(F.struct((F.col("_four") * 4 + i + 1).alias("draw"), *(F.col(f"_{v}{i}").alias(v) for v in values)) for i in range(4)))
+    return g.select(*keys, F.inline(each)).where(F.col("draw") <= draws)
+
+
+def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, draws: int = 2000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """Cluster bootstrap of the mean per key: mean, its count, and the ends of the percentile interval.
+
+    Whole clusters are weighed, so the work is sums over (key, cluster) aggregates and no resample is built.
     """
     g = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    # fixed values: the distribution function of the Poisson law of mean 1
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    # four draws a digest, each by eight of its digits, which compare as the number they write
-    digest = F.md5(F.concat_ws("|", F.lit(seed), "four", F.col(cluster)).cast("binary"))
-    parts = F.array(*(F.struct((F.col("four") * 4 + i + 1).alias("draw"), F.substring("_h", 8 * i + 1, 8).alias("u")) for i in range(4)))
-    d = g.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4)))).withColumn("_h", digest).withColumn("_x", F.explode(parts)).where(F.col("_x.draw") <= draws)
-    d = d.select(*keys, "s", "n", "_x.draw", sum((F.col("_x.u") >= f"{math.ceil(x * 2**32):08x}").cast("int") for x in steps).alias("w"))
-    each = d.groupBy(*keys, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    ends = each.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    each = weighted_sums(g, keys, cluster, ["s", "n"], draws, seed).select(*keys, F.try_divide("s", "n").alias("m"))
+    ends = each.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
     return g.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).join(ends, keys)
 
 

@@ -1497,7 +1497,7 @@ def _(s, d):
 
 @query("bootstrap_mean", TRADES_SQL + """
 , g as (select strategy, entry_time as c, sum(pnl_r) as s, count(*) as n from t group by all),
-d as (select g.*, four * 4 + j + 1 as draw, substr(md5('7|' || four || '|' || c), 1 + 8 * j, 8) as u from g cross join (select cast(unnest(range(0, 50)) as integer) as four) cross join (select cast(unnest(range(0, 4)) as integer) as j)),
+d as (select g.*, four * 4 + j + 1 as draw, substr(md5('7|' || four || '|' || c), 1 + 8 * j, 8) as u from g cross join (select cast(unnest(range(0, 500)) as integer) as four) cross join (select cast(unnest(range(0, 4)) as integer) as j)),
 w as (select *, list_sum(list_transform(['5e2d58d4', 'bc5ab1a8', 'eb715e12', 'fb23978a', 'ff1025e8', 'ffd90f51'], lambda x: cast(u >= x as integer))) as w from d),
 e as (select strategy, draw, sum(w * s) / nullif(sum(w * n), 0) as m from w group by all),
 q as (select strategy, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from e group by all),
