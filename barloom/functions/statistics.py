@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
@@ -137,7 +136,7 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, d
     return g.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).join(ends, keys)
 
 
-def backtest_overfitting(points: DataFrame, trial: str, time: str, value: str, bins: int = 32, splits: int = 8) -> DataFrame:
+def backtest_overfitting(points: DataFrame, trial: str, time: str, value: str, bins: int = 56, splits: int = 14) -> DataFrame:
     """Probability of backtest overfitting of trials: R summed in equal time bins, then symmetric cross-validation.
 
     Bins go to ``splits`` blocks in order. For every choice of half the blocks, the trial best there is ranked in the other
@@ -147,9 +146,12 @@ def backtest_overfitting(points: DataFrame, trial: str, time: str, value: str, b
     span = points.agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
     b = F.least(F.floor((F.col(time) - F.col("t0")) * bins / F.greatest(F.col("t1") - F.col("t0"), F.lit(1))), F.lit(bins - 1))
     cells = points.crossJoin(F.broadcast(span)).groupBy(F.floor(b * splits / bins).cast("int").alias("block"), F.col(trial).alias("trial")).agg(F.sum(value).alias("r"))
-    wide = cells.groupBy("trial").agg(F.sum("r").alias("all_"), *(F.coalesce(F.sum(F.when(F.col("block") == i, F.col("r"))), F.lit(0.0)).alias(f"b{i}") for i in range(splits)))
-    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.round(sum((F.col(f"b{j}") for j in c), F.lit(0.0)), 9).alias("inside")) for i, c in enumerate(combinations(range(splits), splits // 2))))
-    rows = wide.select("trial", "all_", F.explode(choices).alias("x")).select("trial", "x.choice", "x.inside", F.round(F.col("all_") - F.col("x.inside"), 9).alias("outside"))
+    wide = cells.groupBy("trial").agg(F.sum("r").alias("all_"), F.map_from_entries(F.collect_list(F.struct("block", "r"))).alias("_b"))
+    wide = spread(wide.withColumn("_b", F.expr(f"transform(sequence(0, {splits - 1}), j -> coalesce(_b[j], 0D))")), "trial")
+    # a choice is a number whose bits tell the blocks inside
+    choices = F.expr(f"filter(sequence(0, {2**splits - 1}), m -> bit_count(m) = {splits // 2})")
+    inside = F.expr(f"round(aggregate(sequence(0, {splits - 1}), 0D, (a, j) -> a + if(getbit(choice, j) = 1, _b[j], 0D)), 9)")
+    rows = wide.withColumn("choice", F.explode(choices)).withColumn("inside", inside).select("trial", "choice", "inside", F.round(F.col("all_") - F.col("inside"), 9).alias("outside"))
     best = rows.groupBy("choice").agg(F.max("inside").alias("top"))
     first = rows.join(best, "choice").where("inside = top").groupBy("choice").agg(F.min_by("outside", "trial").alias("own"))
     ranks = rows.join(first, "choice").groupBy("choice").agg(F.count("*").alias("n"), (F.count_if(F.col("outside") < F.col("own")) + 0.5 * (F.count_if(F.col("outside") == F.col("own")) - 1) + 1).alias("rank"))

@@ -1216,10 +1216,10 @@ def _(s, d):
 # exponential weights as powers of the distance; deviations with weights are unbiased
 FORECAST = PANEL + f"""
 , k as (select *, row_number() over (partition by symbol order by date) as i from p),
-em as (select x.symbol, x.date, x.i, x.close, x.ret, {', '.join(WEIGHED.format(f'2.0 / {n + 1}', 'y.close') + f' as e{n}' for n in (8, 32, 16, 64))} from k x join k y on x.symbol = y.symbol and y.i <= x.i group by all),
+em as (select x.symbol, x.date, x.i, x.close, x.ret, {', '.join(WEIGHED.format(f'2.0 / {n + 1}', 'y.close') + f' as e{n}' for n in (8, 16, 32, 64, 128, 256))} from k x join k y on x.symbol = y.symbol and y.i <= x.i group by all),
 vs as (select x.symbol, x.i, sum(w) as sw, sum(w * w) as sww, sum(w * y.ret) as swr, sum(w * y.ret * y.ret) as swrr, count(*) as n from (select *, 1 as one from k) x join k y on x.symbol = y.symbol and y.i <= x.i and y.ret is not null cross join lateral (select pow(1 - 2.0 / 33, x.i - y.i) as w) group by all),
 vo as (select symbol, i + 1 as i, case when n >= 32 then sqrt((swrr / sw - pow(swr / sw, 2)) * sw * sw / (sw * sw - sww)) end as vol from vs),
-ft as (select em.symbol, em.date, em.close, em.ret, vol, greatest(-20, least(20, (greatest(-20, least(20, (e8 - e32) / (vol * close) * 5.3)) + greatest(-20, least(20, (e16 - e64) / (vol * close) * 3.75))) / 2 * 1.25)) as f0 from em left join vo using (symbol, i)),
+ft as (select em.symbol, em.date, em.close, em.ret, vol, greatest(-20, least(20, (greatest(-20, least(20, (e8 - e32) / (vol * close) * 5.3)) + greatest(-20, least(20, (e16 - e64) / (vol * close) * 3.75)) + greatest(-20, least(20, (e32 - e128) / (vol * close) * 2.65)) + greatest(-20, least(20, (e64 - e256) / (vol * close) * 1.91))) / 4 * 1.25)) as f0 from em left join vo using (symbol, i)),
 fc as (select * exclude (f0), case when vol is not null then f0 end as forecast from ft),
 sz as (select *, lag(forecast) over (partition by symbol order by date) / 10 * 0.2 / (vol * sqrt(252)) as leverage from fc),
 nt as (select *, leverage * ret as gross, abs(leverage - coalesce(lag(leverage) over (partition by symbol order by date), 0)) * 0.0003 as cost from sz)
@@ -1227,7 +1227,7 @@ nt as (select *, leverage * ret as gross, abs(leverage - coalesce(lag(leverage)
 
 
 def _forecasts(s, d):
-    return books.sized(books.forecasts(books.panel(per_day(s, d)), books.SPEEDS[:2]))
+    return books.sized(books.forecasts(books.panel(per_day(s, d)), books.SPEEDS))
 
 
 @query("forecast_positions", FORECAST + "\nfinal select *, gross - cost as net from nt", "close ret vol forecast leverage gross cost net")
@@ -1258,7 +1258,7 @@ def _(s, d):
 @query("cross_sectional_forecasts", FORECAST + """
 final select date, symbol, substr(symbol, 2) as status, forecast - avg(forecast) over (partition by date) as forecast, forecast - avg(forecast) over (partition by date, substr(symbol, 2)) as neutral from fc""", "forecast neutral")
 def _(s, d):
-    f = books.forecasts(books.panel(per_day(s, d)), books.SPEEDS[:2]).withColumn("status", F.substring("symbol", 2, 1)).withColumn("neutral", F.col("forecast"))
+    f = books.forecasts(books.panel(per_day(s, d)), books.SPEEDS).withColumn("status", F.substring("symbol", 2, 1)).withColumn("neutral", F.col("forecast"))
     return books.demeaned(books.demeaned(f), "neutral", ("status",)).select("date", "symbol", "status", "forecast", "neutral")
 
 
@@ -1509,8 +1509,8 @@ def _(s, d):
 
 @query("backtest_overfitting", TRADES_SQL + """
 , sp as (select min(entry_time) as t0, max(entry_time) as t1 from t),
-ce as (select symbol || '|' || strategy || '|' || timeframe as trial, cast(floor(least(floor((entry_time - t0) * 32.0::double / greatest(t1 - t0, 1)), 31) * 8 / 32) as integer) as block, sum(pnl_r) as r from t cross join sp group by all),
-ch as (select row_number() over (order by m) as choice, m from (select unnest(range(256)) as m) where bit_count(m) = 4),
+ce as (select symbol || '|' || strategy || '|' || timeframe as trial, cast(floor(least(floor((entry_time - t0) * 56.0::double / greatest(t1 - t0, 1)), 55) * 14 / 56) as integer) as block, sum(pnl_r) as r from t cross join sp group by all),
+ch as (select row_number() over (order by m) as choice, m from (select unnest(range(16384)) as m) where bit_count(m) = 7),
 x as (select choice, trial, round(coalesce(sum(r) filter ((m >> block) & 1 = 1), 0), 9) as inside, round(coalesce(sum(r) filter ((m >> block) & 1 = 0), 0), 9) as outside from ch cross join ce group by all),
 ow as (select choice, outside as own from x qualify row_number() over (partition by choice order by inside desc, trial) = 1),
 rk as (select choice, count(*) as n, count(*) filter (outside < own) + 0.5 * (count(*) filter (outside = own) - 1) + 1 as rank from x join ow using (choice) group by choice)
