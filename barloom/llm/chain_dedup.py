@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -416,13 +416,17 @@ def _stretches(links: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _merged(stretches: DataFrame) -> DataFrame:
-    """``doc, start, stop, srcs, same`` of stretches of a document that touch, or lie within three words."""
-    got = stretches.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "src", "same"))).alias("all"))
-    merge = """aggregate(all, cast(array() as array<struct<start:bigint,stop:bigint,srcs:array<bigint>,same:bigint>>),
-      (acc, s) -> if(size(acc) > 0 and s.start <= element_at(acc, -1).stop + 3,
-        concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, s.stop), 'srcs', array_union(element_at(acc, -1).srcs, array(s.src)), 'same', element_at(acc, -1).same + s.same))),
-        concat(acc, array(named_struct('start', s.start, 'stop', s.stop, 'srcs', array(s.src), 'same', s.same)))))"""
-    return got.select("doc", F.explode(F.expr(merge)).alias("p")).select("doc", "p.*")
+    """``doc, start, stop, srcs, same`` of stretches of a document that touch, or lie within three words.
+
+    A stretch begins a new one where it starts over three words behind the furthest end so far: one sort a document, and no
+    list of all its stretches. ``same`` is the most matching words that one of the stretches has.
+    """
+    up = Window.partitionBy("doc").orderBy("start", "stop", "src")
+    far = F.max("stop").over(up.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start") <= far + 3, 0).otherwise(1)
+    parts = stretches.withColumn("_new", new).withColumn("_part", F.sum("_new").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    got = parts.groupBy("doc", "_part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("src").alias("srcs"), F.max("same").alias("same"))
+    return got.select("doc", "start", "stop", "srcs", "same")
 
 
 def _rechained(stretches: DataFrame, posts: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -455,7 +459,8 @@ def passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Repeated passages: ``doc_id, start, stop, n_words, n_same, src_ids``, a row each, in word positions.
 
     Stretches of ``least`` words or more, each aligned with one earlier document; those that touch, or lie within three
-    words, are one passage. ``src_ids`` lists the documents, ``n_same`` sums the matching words. No repeats, no rows.
+    words, are one passage. ``src_ids`` lists the documents; ``n_same`` is how many words match in the stretch of it that has
+    most, so it is never above ``n_words``. No repeats, no rows.
     """
     posts = _posts(docs)
     got = repeats(docs, posts)
