@@ -71,3 +71,41 @@ def backtest_cross(low_bars: DataFrame, high: DataFrame, low: DataFrame, name: s
     """Metrics of trades on lower-timeframe signals that a higher one stands behind, on the lower one's bars."""
     x, y = alive(high, least), alive(low, least)
     return metrics(simulate(low_bars, cross_timeframe(x, y, window_ms).withColumn("strategy", F.lit(name)), rules))
+
+
+def live_cofire(bars: DataFrame, signals: DataFrame, lookup: DataFrame, window: int = 5, least: float = 0.0) -> DataFrame:
+    """For each bar and direction with signals, the best pair that one of them makes with another strategy's signal.
+
+    ``symbol, timeframe, direction, open_time, strategy, co_strategy, candles_ago, avg_r, closed_trades, win_rate``. The other stands at the
+    same bar or up to ``window`` bars before, in the same direction; ``lookup(symbol, timeframe, first, second, avg_r, closed_trades, win_rate)``
+    knows what a pair, by names in order, was worth, ``least`` or more. Of equal ones the most recent wins, then names. A signal
+    is put to the bars that it can still pair at, so partners meet by equal bar numbers.
+    """
+    at = bars.select(*SERIES, "open_time", F.row_number().over(Window.partitionBy(*SERIES).orderBy("open_time")).alias("idx"))
+    s = signals.select(*SERIES, "direction", "open_time", "strategy").distinct().join(at, [*SERIES, "open_time"])
+    past = s.select(*SERIES, "direction", F.col("strategy").alias("co_strategy"), F.col("idx").alias("_from"), F.explode(F.sequence("idx", F.col("idx") + window)).alias("idx"))
+    past = past.groupBy(*SERIES, "direction", "co_strategy", "idx").agg((F.col("idx") - F.max("_from")).cast("int").alias("candles_ago"))
+    both = s.join(past, [*SERIES, "direction", "idx"]).where("strategy <> co_strategy")
+    both = both.where("candles_ago > 0 or strategy < co_strategy")  # at one bar each pair stands once
+    pair = lookup.where(F.col("avg_r") >= least).select(*SERIES, "first", "second", "avg_r", "closed_trades", "win_rate")
+    both = both.withColumns({"first": F.least("strategy", "co_strategy"), "second": F.greatest("strategy", "co_strategy")}).join(pair, [*SERIES, "first", "second"])
+    best = F.min_by(F.struct("strategy", "co_strategy", "candles_ago", "avg_r", "closed_trades", "win_rate"), F.struct(-F.col("avg_r"), "candles_ago", "strategy", "co_strategy"))
+    return both.groupBy(*SERIES, "direction", "open_time").agg(best.alias("b")).select(*SERIES, "direction", "open_time", "b.*")
+
+
+def live_cross(low: DataFrame, high: DataFrame, lookup: DataFrame, window_ms: int, low_ms: int, least: float = 0.0) -> DataFrame:
+    """For each lower-timeframe time and direction, the best pair with a higher timeframe's signal in the ``window_ms`` up to it.
+
+    ``symbol, timeframe, direction, open_time, strategy, co_timeframe, co_strategy, candles_ago, avg_r, closed_trades, win_rate``, ``candles_ago`` in
+    bars of ``low_ms``. ``lookup(symbol, high, low, strategy_high, strategy_low, ...)`` has the worth of pairs. Only a strategy's
+    latest signal can count, so both sides are cut in buckets as wide as the window and meet in two of them.
+    """
+    h = high.select("symbol", F.col("timeframe").alias("co_timeframe"), "direction", F.col("strategy").alias("co_strategy"), F.col("open_time").alias("_at")).distinct()
+    h = h.withColumn("_bucket", F.expr(f"_at div {window_ms}"))
+    x = low.select(*SERIES, "direction", "open_time", "strategy").distinct().withColumn("_bucket", F.explode(F.expr(f"array(open_time div {window_ms}, open_time div {window_ms} - 1)")))
+    both = x.join(h, ["symbol", "direction", "_bucket"]).where(f"_at between open_time - {window_ms} and open_time")
+    both = both.groupBy(*SERIES, "direction", "open_time", "strategy", "co_timeframe", "co_strategy").agg(F.max("_at").alias("_at"))
+    pair = lookup.where(F.col("avg_r") >= least).select("symbol", F.col("high").alias("co_timeframe"), F.col("low").alias("timeframe"), F.col("strategy_high").alias("co_strategy"), F.col("strategy_low").alias("strategy"), "avg_r", "closed_trades", "win_rate")
+    both = both.join(pair, ["symbol", "timeframe", "co_timeframe", "strategy", "co_strategy"]).withColumn("candles_ago", F.expr(f"cast((open_time - _at) div {low_ms} as int)"))
+    best = F.min_by(F.struct("strategy", "co_timeframe", "co_strategy", "candles_ago", "avg_r", "closed_trades", "win_rate"), F.struct(-F.col("avg_r"), "candles_ago", "co_timeframe", "strategy", "co_strategy"))
+    return both.groupBy(*SERIES, "direction", "open_time").agg(best.alias("b")).select(*SERIES, "direction", "open_time", "b.*")

@@ -1,3 +1,3 @@
 """Registered queries: importing this package registers all of them."""
 
-from . import queries, research  # noqa: F401
+from . import events, queries, research  # noqa: F401
