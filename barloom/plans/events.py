@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import books, cohorts, confluence, detectors, quality
 from ..sources import calendar, tables
 from ..sources.tables import BARS_SQL, DAILY_SQL
+from ..streaming import bars as streams
+from ..streaming import catchup
 from .queries import ENGULFS, FORECAST, HIGHER, PINS, hourly, per_day, query
 
 # live confluence: three strategies on one clock, and what their signals were worth on the next bar
@@ -40,14 +42,14 @@ def _paired(a, b, keys, names):
 
 @query("live_cofire", BARS_SQL + THREE + """
 , pp as (select s.symbol, s.timeframe, s.direction, s.open_time, s.strategy, o.strategy as co_strategy, cast(s.i - max(o.i) as integer) as candles_ago from sg s join sg o on o.symbol = s.symbol and o.direction = s.direction and o.strategy <> s.strategy and o.i between s.i - 5 and s.i group by s.symbol, s.timeframe, s.direction, s.open_time, s.strategy, s.i, o.strategy),
-pl as (select pp.*, avg_r, closed_trades, win_rate from pp join lk on lk.symbol = pp.symbol and lk.first = least(pp.strategy, co_strategy) and lk.second = greatest(pp.strategy, co_strategy) where (candles_ago > 0 or pp.strategy < co_strategy) and avg_r >= -0.4)
+pl as (select pp.*, avg_r, closed_trades, win_rate from pp join lk on lk.symbol = pp.symbol and lk.first = least(pp.strategy, co_strategy) and lk.second = greatest(pp.strategy, co_strategy) where (candles_ago > 0 or pp.strategy < co_strategy) and avg_r >= -0.6)
 final select * from pl qualify row_number() over (partition by symbol, direction, open_time order by avg_r desc, candles_ago, strategy, co_strategy) = 1""", "avg_r win_rate")
 def _(s, d):
     b = hourly(s, d)
     signals = detectors.detect_all(b, ["pin_bar", "engulfing", "inside_bar"])
     worth = _worth(signals, b)
     lookup = _paired(worth, worth, ["symbol", "timeframe"], ("first", "second")).where("first < second")
-    return confluence.live_cofire(b, signals, lookup, least=-0.4)
+    return confluence.live_cofire(b, signals, lookup, least=-0.6)
 
 
 @query("live_cross_cofire", BARS_SQL + THREE + HIGHER + """
@@ -56,7 +58,7 @@ hw as (select hs.*, sign(n.close - c.close) * case direction when 'long' then 1.
 ho as (select symbol, avg(r) as avg_r, count(r) as n, count(*) filter (r > 0) as wins from hw group by symbol),
 pc as (select s.symbol, s.timeframe, s.direction, s.open_time, s.strategy, max(hs.open_time) as last_at from sg s join hs on hs.symbol = s.symbol and hs.direction = s.direction and hs.open_time between s.open_time - 43200000 and s.open_time group by all),
 pl as (select pc.* exclude (last_at), '4h' as co_timeframe, 'pin_bar' as co_strategy, cast((pc.open_time - last_at) // 3600000 as integer) as candles_ago, (ho.avg_r + wo.avg_r) / 2 as avg_r, ho.n + wo.n as closed_trades, (ho.wins + wo.wins) / (ho.n + wo.n) as win_rate
-  from pc join ho on ho.symbol = pc.symbol join wo on wo.symbol = pc.symbol and wo.strategy = pc.strategy where (ho.avg_r + wo.avg_r) / 2 >= -0.4)
+  from pc join ho on ho.symbol = pc.symbol join wo on wo.symbol = pc.symbol and wo.strategy = pc.strategy where (ho.avg_r + wo.avg_r) / 2 >= -0.6)
 final select * from pl qualify row_number() over (partition by symbol, direction, open_time order by avg_r desc, candles_ago, co_timeframe, strategy, co_strategy) = 1""", "avg_r win_rate")
 def _(s, d):
     b = hourly(s, d)
@@ -64,7 +66,7 @@ def _(s, d):
     low, high = detectors.detect_all(b, ["pin_bar", "engulfing", "inside_bar"]), detectors.detect_all(h4, ["pin_bar"])
     a, c = _worth(high, h4).withColumnRenamed("timeframe", "high"), _worth(low, b).withColumnRenamed("timeframe", "low")
     lookup = _paired(a, c, ["symbol"], ("strategy_high", "strategy_low"))
-    return confluence.live_cross(low, high, lookup, 12 * tables.HOUR_MS, tables.HOUR_MS, -0.4)
+    return confluence.live_cross(low, high, lookup, 12 * tables.HOUR_MS, tables.HOUR_MS, -0.6)
 
 
 # insiders: orders stand for filed trades, two days after them, in one of six names
@@ -200,3 +202,21 @@ def _(s, d):
     spans = h.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("z")).withColumn("date", F.explode(F.expr("sequence(a, z)")))
     open_ = calendar.days(o.agg(F.min("date").alias("first"), F.max("date").alias("last"))).where("session").select("date")
     return spans.join(open_, "date").select("symbol", "date").join(h, ["symbol", "date"], "left_anti")
+
+
+# closed bars as a stream, five days a batch: what is replayed, how, and the pin bars among it
+
+
+@query("stream_catch_up", BARS_SQL + PINS + """
+, ch as (select *, open_time // 432000000 as chunk, max(open_time) over (partition by symbol, open_time // 432000000) as latest, min(open_time // 432000000) over (partition by symbol) as cold from b)
+final select ch.symbol, ch.timeframe, ch.open_time, case when ch.open_time = latest or latest - ch.open_time <= 86400000 then 'alert' else 'backfill' end as status, cast(least(200, ch.i) as integer) as n_context, sig.direction
+from ch left join sig on sig.symbol = ch.symbol and sig.i = ch.i where chunk > cold or ch.open_time = latest""")
+def _(s, d):
+    path = streams.folder(s, "hourly")
+    b = hourly(s, d).withColumn("chunk", F.expr("open_time div 432000000"))
+    catchup.in_batches(b.withColumn("seen_ms", F.col("open_time") + tables.HOUR_MS), "chunk", path)
+    rows = s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    x = catchup.last_bar(streams.drain(catchup.catch_up(rows, max_age_hours=24.0), "replayed"))
+    body, up, down = F.abs(F.col("close") - F.col("open")), F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
+    direction = F.when((body != 0) & (down >= 2 * body) & (up <= body), "long").when((body != 0) & (up >= 2 * body) & (down <= body), "short")
+    return x.select("symbol", "timeframe", "open_time", "status", "n_context", direction.alias("direction"))
