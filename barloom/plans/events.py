@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import books, cohorts, confluence, detectors, quality
-from ..sources import calendar, tables
+from ..operators import books, calls, cohorts, confluence, detectors, quality, similar
+from ..sources import calendar, sync, tables
 from ..sources.tables import BARS_SQL, DAILY_SQL
 from ..streaming import bars as streams
 from ..streaming import catchup
-from .queries import ENGULFS, FORECAST, HIGHER, PINS, hourly, per_day, query
+from .queries import ENGULFS, FORECAST, HIGHER, OHLC, PINS, hourly, per_day, query
 
 # live confluence: three strategies on one clock, and what their signals were worth on the next bar
 
@@ -220,3 +220,99 @@ def _(s, d):
     body, up, down = F.abs(F.col("close") - F.col("open")), F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
     direction = F.when((body != 0) & (down >= 2 * body) & (up <= body), "long").when((body != 0) & (up >= 2 * body) & (down <= body), "short")
     return x.select("symbol", "timeframe", "open_time", "status", "n_context", direction.alias("direction"))
+
+
+# entries that already say what a claim says: documents for the benchmark's items
+
+SETS = r"""
+, {0}1 as (select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)https?://\S+', ' ', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}', ' ', 'g'), '(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:\d{{1,2}}(?:st|nd|rd|th)?,?\s+)?\d{{4}}\b', ' ', 'g'), '\d+(?:\.\d+)?\s*%', ' ', 'g') as t,
+  lower(regexp_replace(coalesce(text, ''), '(?i)https?://\S+', ' ', 'g')) as u from {1}),
+{0} as (select id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '\d[\d,]*(?:\.\d+)?(?:\s*[kK])?'), lambda x: case when x[-1] in ('k', 'K') then try_cast(regexp_replace(x, '[,\s]|[kK]', '', 'g') as double) * 1000
+    when regexp_matches(x, '[,.]') or try_cast(x as double) not between 1900 and 2099 then try_cast(regexp_replace(x, ',', '', 'g') as double) end), lambda v: v >= 100))) as lv,
+  list_filter(list_distinct(regexp_extract_all(u, '[a-z]{{4,}}')), lambda w: not list_contains(['also', 'been', 'from', 'have', 'into', 'here', 'just', 'more', 'much', 'only', 'over', 'same', 'such', 'than', 'that', 'them', 'then', 'they', 'this', 'very', 'were', 'what', 'when', 'which', 'will', 'with', 'your'], w)) as tm from {0}1)
+"""
+
+
+@query("similar_entries", "with e0 as (select 1)" + SETS.format("ca", "(select item_id as id, text from benchmark)") + SETS.format("en", "(select doc_id as id, text from documents)") + """
+, pr as (select ca.id as claim_id, en.id as entry_id, len(list_intersect(ca.lv, en.lv)) as n_levels, len(list_intersect(ca.tm, en.tm)) as n_terms, greatest(least(len(ca.tm), len(en.tm)), 8) as n from ca cross join en),
+sc as (select *, 3.0::double * n_levels + 10.0::double * n_terms / n as s from pr)
+final select claim_id, entry_id, cast(row_number() over (partition by claim_id order by s desc, entry_id) as integer) as rank, round(s, 3) as score, cast(n_levels as integer) as n_levels, cast(n_terms as integer) as n_terms from sc where s >= 3 qualify rank <= 3""", "score")
+def _(s, d):
+    claims = tables.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return similar.find_similar(claims, tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+# calls on pin bars, some at a level and some at the market, some without a stop or a target
+
+CALLS = BARS_SQL + PINS + """
+, nw as (select max(open_time) - 172800000 as now from b),
+cl as (select sig.symbol, sig.timeframe, sig.direction, sig.open_time + 5400000 as call_ms, cast(b.i as integer) as n, case b.i % 3 when 0 then null when 1 then b.close * case sig.direction when 'long' then 0.9::double else 1.1::double end else b.close end as entry,
+  case when b.i % 5 > 0 then b.close * case sig.direction when 'long' then 0.5::double else 1.5::double end end as stop, case when b.i % 7 > 0 then b.close * case sig.direction when 'long' then 1.6::double else 0.4::double end end as target, case when b.i % 2 = 0 then 86400000 else 432000000 end as window_ms
+  from sig join b on b.symbol = sig.symbol and b.i = sig.i),
+bb as (select b.*, lag(close) over (partition by symbol order by i) as prev, case when lag(close) over (partition by symbol order by i) is not null then greatest(high - low, abs(high - lag(close) over (partition by symbol order by i)), abs(low - lag(close) over (partition by symbol order by i))) end as tr from b, nw where open_time <= now),
+ba as (select *, avg(tr) over (partition by symbol order by i rows 13 preceding) as atr from bb),
+de as (select symbol, max(open_time) + 3600000 as data_end from ba group by symbol),
+f0 as (select cl.*, now, data_end, (select count(*) from ba where ba.symbol = cl.symbol and open_time + 3600000 <= call_ms) as refs,
+  (select min(ba.i) from ba where ba.symbol = cl.symbol and open_time >= call_ms and open_time <= least(call_ms + window_ms, now) and (entry is null or (low <= entry and entry <= high) or (prev < entry and entry < ba.open) or (ba.open < entry and entry < prev))) as fi from cl cross join nw left join de on de.symbol = cl.symbol),
+f1 as (select f0.*, f.open_time as fill_ms, case when entry is null or not (f.low <= entry and entry <= f.high) then f.open else entry end as fill, f.high as fh, f.low as fl, case direction when 'long' then 1.0::double else -1.0::double end as sg from f0 left join ba f on f.symbol = f0.symbol and f.i = f0.fi),
+f2 as (select f1.*, coalesce((stop - fill) * sg < 0, true) and coalesce((target - fill) * sg > 0, true) and coalesce((target - stop) * sg > 0, true) as sane,
+  (select min(ba.i) from ba where ba.symbol = f1.symbol and ba.i >= fi and open_time <= least(fill_ms + window_ms, now) and case direction when 'long' then coalesce(low <= stop, false) or coalesce(high >= target, false) else coalesce(high >= stop, false) or coalesce(low <= target, false) end) as ei from f1),
+f3 as (select f2.*, e.open_time as e_ms, case when e.i = fi then fill else e.open end as eo, e.high as eh, e.low as el, (select max(ba.i) from ba where ba.symbol = f2.symbol and open_time <= fill_ms + window_ms) as li from f2 left join ba e on e.symbol = f2.symbol and e.i = ei),
+f4 as (select f3.*, l.close as last, l.open_time as last_ms, case when e_ms is null then null when coalesce((eo - stop) * sg <= 0, false) then 'LOSS' when coalesce((eo - target) * sg >= 0, false) then 'WIN' when coalesce(case direction when 'long' then el <= stop else eh >= stop end, false) then 'LOSS' else 'WIN' end as es,
+  case when coalesce((eo - stop) * sg <= 0, false) or coalesce((eo - target) * sg >= 0, false) then eo when coalesce(case direction when 'long' then el <= stop else eh >= stop end, false) then stop else target end as ep from f3 left join ba l on l.symbol = f3.symbol and l.i = li),
+f5 as (select *, case when refs = 0 then 'UNRESOLVABLE' when fill_ms is null then case when call_ms + window_ms <= now and data_end >= call_ms + window_ms then 'NOT_TRIGGERED' when data_end < least(call_ms + window_ms, now) then 'STALE' else 'OPEN' end
+  when not sane then 'UNSCORED' when es is not null then es when fill_ms + window_ms <= now and data_end >= fill_ms + window_ms then case when (last - fill) * sg > 0 then 'WIN' else 'LOSS' end when data_end < least(fill_ms + window_ms, now) then 'STALE' else 'OPEN' end as state from f4),
+f6 as (select f5.* exclude (fill, fill_ms), case when state <> 'UNRESOLVABLE' then fill_ms end as fill_ms, case when state <> 'UNRESOLVABLE' and fill_ms is not null then fill end as fill, case when state in ('WIN', 'LOSS') then case when es is not null then ep else last end end as exit, case when state in ('WIN', 'LOSS') then case when es is not null then e_ms else last_ms end end as exit_ms from f5),
+sd as (select f6.symbol, f6.timeframe, direction, call_ms, n, entry, stop, target, window_ms, state, fill_ms, fill, exit_ms, exit, (exit - fill) * sg / nullif(abs(fill - stop), 0) as r, (exit - fill) * sg / nullif((select atr from ba where ba.symbol = f6.symbol and ba.open_time + 3600000 <= fill_ms order by open_time desc limit 1), 0) as atr_r from f6)
+"""
+
+
+def _scored(s, d):
+    b = hourly(s, d)
+    numbered = b.withColumn("n", F.row_number().over(Window.partitionBy("symbol", "timeframe").orderBy("open_time"))).select("symbol", "timeframe", "open_time", "close", "n")
+    x = detectors.pin_bar(b).select("symbol", "timeframe", "open_time", "direction").join(numbered, ["symbol", "timeframe", "open_time"])
+    side = lambda long, short: F.col("close") * F.when(F.col("direction") == "long", long).otherwise(short)
+    x = x.select(
+        "symbol", "timeframe", "direction", (F.col("open_time") + 5_400_000).alias("call_ms"), "n",
+        F.when(F.col("n") % 3 == 1, side(0.9, 1.1)).when(F.col("n") % 3 == 2, F.col("close")).alias("entry"),
+        F.when(F.col("n") % 5 > 0, side(0.5, 1.5)).alias("stop"), F.when(F.col("n") % 7 > 0, side(1.6, 0.4)).alias("target"),
+        F.when(F.col("n") % 2 == 0, 86_400_000).otherwise(432_000_000).cast("long").alias("window_ms"),
+    )
+    now = b.agg(F.max("open_time")).first()[0] or 0
+    return calls.score_calls(x, b, now - 172_800_000)
+
+
+@query("scored_calls", CALLS + "\nfinal select * from sd", "entry stop target fill exit r atr_r")
+def _(s, d):
+    return _scored(s, d)
+
+
+@query("call_cells", CALLS + """
+final select symbol, direction, count(*) as n, count(fill) as triggered, count(*) filter (state = 'OPEN') as open, count(*) filter (state in ('WIN', 'LOSS')) as resolved, count(*) filter (state = 'WIN') as wins, avg(r) filter (state in ('WIN', 'LOSS')) as avg_r, avg(atr_r) filter (state in ('WIN', 'LOSS')) as avg_atr_r,
+  count(*) filter (state = 'WIN') / nullif(count(*) filter (state in ('WIN', 'LOSS')), 0) as hit_rate, count(r) filter (state in ('WIN', 'LOSS')) / nullif(count(*) filter (state in ('WIN', 'LOSS')), 0) as r_coverage from sd group by all""", "avg_r avg_atr_r hit_rate r_coverage")
+def _(s, d):
+    return calls.call_cells(_scored(s, d), ["symbol", "direction"])
+
+
+# three pages of bars; the second finds one series on another basis, as after a split
+
+
+@query("restated_sync", BARS_SQL + """
+final select symbol, timeframe, open_time, open * m as open, high * m as high, low * m as low, close * m as close, volume from (select *, case when symbol = 'click' then 0.5::double else 1.0::double end as m from bars)""", OHLC)
+def _(s, d):
+    b = hourly(s, d)
+    half = F.when(F.col("symbol") == "click", 0.5).otherwise(1.0)
+    split = b.withColumns({c: F.col(c) * half for c in ("open", "high", "low", "close")})
+    first, last = b.agg(F.min("open_time"), F.max("open_time")).first()
+    ends = [first + (last - first) * k // 3 for k in (1, 2, 3)]
+    path = streams.folder(s, "synced")
+    forming = b.where(F.col("open_time") <= ends[0])
+    newest = F.max("open_time").over(Window.partitionBy("symbol", "timeframe"))  # the newest bar has not closed yet when fetched
+    forming = forming.withColumn("close", F.when(F.col("open_time") == newest, F.col("close") * 1.001).otherwise(F.col("close")))
+    sync.sync(s, path, forming.limit(0), b, 0)
+    done = sync.sync(s, path, forming, b, 1)
+    for k in (1, 2, 2):  # the last page is tried again
+        at = sync.newest(sync.stored(s, path, k + 1)).select("symbol", "timeframe", "latest")
+        page = split.join(at, ["symbol", "timeframe"]).where((F.col("open_time") >= F.col("latest")) & (F.col("open_time") <= ends[k])).drop("latest")
+        done = sync.sync(s, path, page, split, k + 1)
+    return done

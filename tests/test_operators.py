@@ -106,7 +106,7 @@ def test_overfit_odds(spark):
 
     def odds(matrix):
         rows = [(f"t{k:02d}", i, float(v)) for (i, k), v in np.ndenumerate(matrix)]
-        return statistics.backtest_overfitting(spark.createDataFrame(rows, "t string, at long, r double"), "t", "at", "r").first()
+        return statistics.backtest_overfitting(spark.createDataFrame(rows, "t string, at long, r double"), "t", "at", "r", bins=32, splits=8).first()
 
     def plain(matrix, parts):
         low = []
