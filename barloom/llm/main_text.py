@@ -4,6 +4,10 @@ A page is read as a row of tags and words. Words score by where they stand, tags
 finds the contiguous region with the largest sum. The weights come from labelled pages by logistic regression. Within
 the region, blocks that score below zero (an advert between paragraphs) are left out; all that stands inside one
 unwanted element counts at most ``FLOOR`` against a region, so that it doesn't cut an article in two.
+
+A name speaks against an element only where what it holds doesn't speak for it: an element that has the page's heading and most
+of its running text is no comment and no sidebar, whatever it is called, and words that mean little by themselves don't count
+against running text within an article.
 """
 
 from __future__ import annotations
@@ -36,10 +40,27 @@ NAMES = {
     "side": ("sidebar", "side", "aside", "widget", "widgets", "related", "recommended", "trending", "popular", "teaser", "rail", "complementary", "archive", "tags", "tagcloud"),
     "foot": ("footer", "foot", "copyright", "legal", "colophon", "contentinfo", "credits"),
     "head": ("header", "masthead", "head", "logo", "branding", "hero"),
-    "share": ("share", "sharing", "social", "follow", "subscribe", "newsletter", "signup", "login", "register", "search", "form", "byline", "author", "meta"),
+    "share": ("share", "sharing", "social", "follow", "subscribe", "newsletter", "signup", "login", "register", "search", "form", "byline", "author", "bio", "meta"),
     "body": ("article", "content", "post", "entry", "story", "main", "body", "text"),
 }
-_NAME = {w: k for k, ws in NAMES.items() for w in ws}
+# fixed values: the same in other languages
+NAMES_ABROAD = {
+    "ad": ("werbung", "anzeige", "publicite", "publicidad", "reklame"),
+    "comment": ("kommentar", "kommentare", "commentaire", "commentaires", "comentario", "comentarios"),
+    "side": ("seitenleiste", "barra", "randspalte"),
+    "foot": ("fusszeile", "pied", "impressum"),
+    "head": ("kopfzeile", "entete", "cabecera"),
+    "nav": ("navigationsleiste", "hauptmenu"),
+}
+# fixed values: those of the names that mean little by themselves
+WEAK = frozenset("reader discussion respond side archive tags popular head hero meta author form follow register search tabs credits legal foot overlay alert announcement skip barra pied".split())
+_NAME = {w: k for names in (NAMES, NAMES_ABROAD) for k, ws in names.items() for w in ws}
+# short lines that claim rights and stand in no article
+_RIGHTS = re.compile(r"^\W*(?:copyright|©|\(c\))\W*(?:©|\(c\))?\s*\d{4}", re.I)
+RIGHTS_WORDS = 25
+LINK_WORDS = 12  # of a block in no article and no heading that is nothing but links
+PROSE = 12  # words that make running text of an element within an article
+MOST = 0.5  # share of a page's running text that, with its heading, makes an element the main one
 FEATURES = [*(f"in {p}" for p in PARTS), *(f"named {k}" for k in NAMES), "header in article", "hidden", "word"]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 FLOOR = -3.0
@@ -56,20 +77,51 @@ class Weights:
     tag: float
 
 
-def _marks(tag: str, attrs: str, inside_article: bool) -> frozenset[int]:
+def _marks(tag: str, attrs: str, inside_article: bool) -> tuple[frozenset[int], list[tuple[int, bool]], bool]:
+    """Features of an element; those that its names speak of against it, with whether weakly; whether they speak for it as well."""
     found = {_AT[f"in {tag}"]} if tag in PARTS else set()
     if tag == "header" and inside_article:
         found = {_AT["header in article"]}
+    against: dict[int, bool] = {}
+    body = False
     if attrs:
         for k, a, b, c in _ATTR.findall(attrs):
             k, v = k.lower(), html.unescape(a or b or c).lower()
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
                 found.add(_AT["hidden"])
             elif k in ("class", "id", "role"):
-                kinds = {_NAME[w] for w in re.split(r"[^a-z]+", v) if w in _NAME}
-                # a wrapper such as "post-content" counts as body only if nothing else is said
-                found |= {_AT[f"named {x}"] for x in (kinds - {"body"} or kinds)}
-    return frozenset(found)
+                for w in re.split(r"[^a-z]+", v):
+                    if (kind := _NAME.get(w)) == "body":
+                        body = True
+                    elif kind:
+                        at = _AT[f"named {kind}"]
+                        against[at] = against.get(at, True) and w in WEAK
+    if body and not against:  # a wrapper such as "post-content" counts as body only if nothing else is said
+        found.add(_AT["named body"])
+    return frozenset(found), list(against.items()), body
+
+
+@dataclass
+class _Named:
+    """An element whose names speak against it, and what it holds."""
+
+    tag: str
+    within: bool  # an article or the main part
+    weak: bool
+    against: list[int]
+    body: bool
+    outer: list[int]  # numbers of such elements that it stands in
+    words: int = 0
+    linked: int = 0
+    prose: int = 0
+    heading: int = 0
+
+    def holds(self, prose: int, within: bool) -> bool:
+        """Whether the names stand, on a page with so many words of running text, or ``within`` a main element of another name."""
+        if self.heading and self.prose >= max(2 * PROSE, MOST * prose):
+            return False
+        short = self.tag in ("h1", "h2", "h3") or self.words >= PROSE and 3 * self.linked <= self.words
+        return not (self.weak and (self.within or within) and short)
 
 
 @dataclass(frozen=True)
@@ -91,6 +143,7 @@ def read(page: str) -> list[tuple]:
     takes the same time, however deep it stands.
     """
     out: list[tuple] = []
+    named: list[_Named] = []  # a mark over the number of features is one of these
     root = _Open("", frozenset([_AT["word"]]), 0, False, False, -1)
     stack: list[_Open] = []
     many: Counter = Counter()  # open elements by name
@@ -147,32 +200,67 @@ def read(page: str) -> list[tuple]:
         if m[3].endswith("/") and (top.skipped or tag in SKIPPED):
             continue  # elements of pictures and formulas may end in themselves
         counter += 1
-        own = _marks(tag, m[3], top.inside)
+        own, against, body = _marks(tag, m[3], top.inside)
+        if against:
+            own |= {len(FEATURES) + len(named)}
+            named.append(_Named(tag, top.inside or _AT["named body"] in top.marks, all(weak for _, weak in against), [at for at, _ in against], body, [x - len(FEATURES) for x in top.marks if x >= len(FEATURES)]))
         place = counter if own and tag not in ("p", "a", "li", "h1", "h2", "h3") else top.place
         stack.append(_Open(tag, top.marks | own if own else top.marks, place, top.inside or tag in ("article", "main"), top.skipped or tag in SKIPPED, len(stack) if tag in BLOCKS else top.block))
         many[tag] += 1
-    return out
+    return _decided(out, named) if named else out
+
+
+_UNWANTED = frozenset(_AT[f] for f in ("in nav", "in footer", "in aside", "in form", "in menu", "in dialog", "in search", "hidden"))
+
+
+def _decided(events: list[tuple], named: list[_Named]) -> list[tuple]:
+    """Events in which marks of named elements are the features that they stand for, or nothing where they don't hold."""
+    counts: Counter = Counter()
+    for e in events:
+        if e[0] == "text":
+            counts[e[2]] += len(e[1].split())
+    first, linked, par, heading = len(FEATURES), _AT["in a"], {_AT[f"in {p}"] for p in ("p", "blockquote", "pre")}, _AT["in h1"]
+    prose = 0
+    for marks, n in counts.items():
+        running = n if par & marks and linked not in marks and not _UNWANTED & marks else 0
+        prose += running
+        for x in marks:
+            if x >= first:
+                o = named[x - first]
+                o.words, o.linked, o.prose, o.heading = o.words + n, o.linked + n * (linked in marks), o.prose + running, o.heading + n * (heading in marks)
+    told: list[set[int]] = []
+    for o in named:
+        main = {_AT["named body"]} if o.body else set()
+        told.append(set(o.against) if o.holds(prose, any(_AT["named body"] in told[x] for x in o.outer)) else main)
+    become = {marks: frozenset().union(*(told[x - first] if x >= first else (x,) for x in marks)) for marks in counts}
+    return [(e[0], e[1], become[e[2]], e[3]) if e[0] == "text" else e for e in events]
 
 
 def blocks(events: list[tuple], w: Weights) -> list[tuple[str, float, float]]:
     """``(text, score, cost)``: each block's text, the score of its words and what the tags before it cost."""
-    found, parts, score, cost = [], [], 0.0, 0.0
+    found, parts, score, cost, within, linked = [], [], 0.0, 0.0, False, 0
+    article, heads, link = {_AT["in article"], _AT["in main"]}, {_AT[f"in h{i}"] for i in (1, 2, 3)}, _AT["in a"]
     spent: dict[int, float] = {}
     sums: dict[frozenset[int], float] = {}
 
     def close():
-        nonlocal parts, score, cost
+        nonlocal parts, score, cost, within, linked
         # the words of a block's only text are known by now; texts that meet may share a word
         t = " ".join(parts[0][1] if len(parts) == 1 else "".join(x for x, _ in parts).split())
         if t:
+            n = t.count(" ") + 1
+            if score > 0 and not within and (n <= RIGHTS_WORDS and _RIGHTS.search(t) or n <= LINK_WORDS and 5 * linked >= 4 * sum(any(map(str.isalnum, x)) for x in t.split()) > 0):
+                score = FLOOR
             found.append((t, score, cost))
             cost = 0.0
-        parts, score = [], 0.0
+        parts, score, within, linked = [], 0.0, False, 0
 
     for e in events:
         if e[0] == "text":
             words = e[1].split()
             parts.append((e[1], words))
+            within = within or not article.isdisjoint(e[2])
+            linked += len(words) if link in e[2] and heads.isdisjoint(e[2]) else 0
             if n := len(words):
                 if e[2] not in sums:
                     sums[e[2]] = sum(w.place[i] for i in e[2])

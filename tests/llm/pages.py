@@ -82,4 +82,38 @@ PLAIN = (
     """<html><body><h1>Notes on tides</h1><p>Tides follow the moon, and to a lesser degree the sun.</p><p>Twice a month, when both pull in one line, they are largest.</p><table><tr><td>Spring</td><td>large</td></tr></table><hr><address>Written by a sailor</address></body></html>""",
     ["Notes on tides", "Tides follow the moon, and to a lesser degree the sun.", "Twice a month, when both pull in one line, they are largest.", "Spring", "large"],
 )
-KINDS = {"news": NEWS, "blog": BLOG, "docs": DOCS, "broken": BROKEN, "plain": PLAIN}
+READER = (
+    """<html><body><div class="page has-sidebar cookie-banner-open"><div id="top"><a href=/>Home</a> <a href=/n>News</a></div><div class='reader-content'><h1>Flood in the valley</h1>
+<p>The river rose by two metres in one night and stood in the cellars of the old town by the morning.</p><p class="lead-meta">Nobody was hurt, but forty families had to leave their houses, the fire service said.</p>
+<p>It was the third flood in ten years, and the dam that was promised is still not built.</p></div><div class="comments"><p>They should have built that dam years ago, as everybody in this town knows very well.</p></div></div></body></html>""",
+    [
+        "Flood in the valley",
+        "The river rose by two metres in one night and stood in the cellars of the old town by the morning.",
+        "Nobody was hurt, but forty families had to leave their houses, the fire service said.",
+        "It was the third flood in ten years, and the dam that was promised is still not built.",
+    ],
+)
+NAMED = (
+    """<html><body><nav><a href=/>Start</a></nav><main><h1>How bread rises</h1><p class='text-tags'>Yeast eats the sugar in the flour and gives off gas, which the dough holds in small bubbles.</p>
+<section id='popular-science'><h2 class="hero">What gluten does</h2><p>Kneading lines up the proteins, and they stretch like a net around the gas, so that the loaf keeps its shape.</p></section>
+<div class='lead-meta'><p>A warm kitchen speeds this up, and a cold one makes the taste deeper, as bakers have long known.</p></div>
+<div class="tags"><a>bread</a> <a>yeast</a></div></main><div class="footer">Imprint</div></body></html>""",
+    [
+        "How bread rises",
+        "Yeast eats the sugar in the flour and gives off gas, which the dough holds in small bubbles.",
+        "What gluten does",
+        "Kneading lines up the proteins, and they stretch like a net around the gas, so that the loaf keeps its shape.",
+        "A warm kitchen speeds this up, and a cold one makes the taste deeper, as bakers have long known.",
+    ],
+)
+NAMELESS = (
+    """<html><body><p><a href=/>Home</a> | <a href=/a>About</a></p><h1>Old mills</h1><p>Three mills stood by the stream, and the last of them ground corn until the war.</p><p>All rights to the water were held by the abbey, and millers paid it in flour.</p>
+<p>Copyright 2024. All rights reserved.</p></body></html>""",
+    ["Old mills", "Three mills stood by the stream, and the last of them ground corn until the war.", "All rights to the water were held by the abbey, and millers paid it in flour."],
+)
+GERMAN = (
+    """<html><body><div class="kopfzeile">Die Zeitung</div><article><h1>Der neue Markt</h1><p>Am Samstag hat der neue Markt am Rathaus zum ersten Mal geöffnet, und viele Leute kamen.</p><p>All rights reserved.</p></article>
+<div class="seitenleiste"><h3>Mehr</h3><p>Lesen Sie auch, was sonst noch in der Stadt geschehen ist, jede Woche neu.</p></div><section class="kommentare"><p>Ich war dort und fand es sehr schön, nur der Kaffee war mir zu teuer.</p></section><div class="fusszeile">Impressum</div></body></html>""",
+    ["Der neue Markt", "Am Samstag hat der neue Markt am Rathaus zum ersten Mal geöffnet, und viele Leute kamen.", "All rights reserved."],
+)
+KINDS = {"reader": READER, "named": NAMED, "nameless": NAMELESS, "german": GERMAN, "news": NEWS, "blog": BLOG, "docs": DOCS, "broken": BROKEN, "plain": PLAIN}
