@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statistics import adjusted_p, bootstrap_mean, normal_cdf, spread, weighted_sums
+from .statistics import adjusted_p, backtest_overfitting, bootstrap_mean, normal_cdf, normal_quantile, spread, weighted_sums
 
 #: Draws that one row works out; a series' draws are spread over tasks in such rows.
 CHUNK = 100
@@ -183,3 +183,34 @@ def lift_interval(rows: DataFrame, keys: list[str], flag: str, row_id: str, valu
     ends = d.groupBy(*keys).agg(F.percentile("_d", alpha / 2).alias("_lo"), F.percentile("_d", 1 - alpha / 2).alias("_hi"))
     ok = (F.col("_n") >= 2) & (F.col("_all") - F.col("_n") >= 2)
     return both.join(ends, keys, "left").select(*keys, F.when(ok, F.col("lift")).alias("lift"), F.when(ok, F.col("_lo")).alias("lift_lo"), F.when(ok, F.col("_hi")).alias("lift_hi"))
+
+
+def commit_gate(points: DataFrame, trial: str, time: str, value: str, n_grid: int | None = None, splits: int = 14, odds: float = 0.95, overfit: float = 0.5, confidence: float = 0.95) -> DataFrame:
+    """The verdict on committing to each trial of a sweep: ``trial, n, trials, sharpe, dsr, pbo, min_n, decision, failed``.
+
+    ``points`` are all trials' results with their times. Odds of the Sharpe ratio are deflated by the best that as many trials, or
+    ``n_grid`` if the table is only the top of a larger grid, would give by chance; overfitting is that of the whole sweep, in
+    ``2 * splits`` bins of time; ``min_n`` is the least record for the ratio. ``COMMIT`` if all three pass, else ``DO_NOT_COMMIT``
+    with what ``failed``; ``INSUFFICIENT`` with fewer than two trials or than ``2 * splits`` results. A trial that doesn't vary has a
+    ratio of 0.
+    """
+    rows = points.where(F.col(value).isNotNull())
+    m = rows.groupBy(F.col(trial).alias("trial")).agg(F.count("*").alias("n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    m = m.withColumn("sharpe", F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd")).otherwise(0.0))
+    t = m.agg(F.count("*").alias("trials"), F.var_samp("sharpe").alias("_v"))
+    many = F.greatest(F.col("trials"), F.lit(n_grid or 0)).cast("double")
+    t = t.withColumns({"_a": 1 - 1 / many, "_b": 1 - 1 / (many * math.e)})
+    euler = 0.5772156649015329
+    t = t.withColumn("_floor", F.sqrt("_v") * ((1 - euler) * normal_quantile(F.col("_a")) + euler * normal_quantile(F.col("_b"))))
+    pbo = backtest_overfitting(rows, trial, time, value, 2 * splits, splits).select("pbo")
+    m = m.crossJoin(F.broadcast(t.select("trials", "_floor"))).crossJoin(F.broadcast(pbo))  # one row each
+    ok = (F.col("trials") >= 2) & (F.col("n") >= 2 * splits)
+    sr = F.col("sharpe")
+    z = (sr - F.col("_floor")) * F.sqrt(F.col("n") - 1) / F.sqrt(1 + 0.5 * sr * sr)
+    need = 1 + (1 + 0.5 * sr * sr) * F.pow(F.lit(NormalDist().inv_cdf(confidence)) / sr, F.lit(2))
+    m = m.withColumns({"dsr": F.when(ok, normal_cdf(z)), "pbo": F.when(ok, F.col("pbo")), "min_n": F.when(ok & (sr > 0), need)})
+    tests = {"dsr": F.col("dsr") < odds, "pbo": F.col("pbo") > overfit, "min_n": F.coalesce(F.col("n") < F.col("min_n"), F.lit(True))}
+    failed = F.concat_ws(",", *(F.when(ok & bad, F.lit(name)) for name, bad in tests.items()))
+    m = m.withColumn("failed", failed)
+    decision = F.when(~ok, "INSUFFICIENT").when(F.col("failed") == "", "COMMIT").otherwise("DO_NOT_COMMIT")
+    return m.select("trial", "n", "trials", "sharpe", "dsr", "pbo", "min_n", decision.alias("decision"), "failed")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import resampling, statistics
-from ..operators import books, candles, simulate
+from ..operators import books, candles, magnets, quality, simulate
 from ..sources import tables
-from ..sources.tables import BARS_SQL, TRADES_SQL
-from .queries import MOMENTS, PANEL, PINS, QUANTILE, SIMULATED, _pins, hourly, per_day, query
+from ..sources.tables import BARS_SQL, DAILY_SQL, TRADES_SQL
+from .queries import CDF, MOMENTS, PANEL, PINS, QUANTILE, SIMULATED, SWEEP, _pins, hourly, per_day, query
 
 # resampling of serially dependent returns: a book of all symbols and one of each line status
 
@@ -159,3 +160,100 @@ final select ad.*, case decision when 'ENABLE' then 'SUPPRESS-CANDIDATE' when 'D
 def _(s, d):
     t = simulate.simulate(hourly(s, d), _pins(s, d)).withColumn("id", F.concat_ws("|", "symbol", "signal_time", "direction"))
     return candles.warning_cells(t, hourly(s, d), "id")
+
+
+# verdicts on the cells of a sweep, and on strategies by the gates of a book and of a sleeve
+
+PBO = """
+, sp as (select min({t}) as t0, max({t}) as t1 from {0}),
+ce as (select trial, cast(floor(least(floor(({t} - t0) * {1}.0::double / greatest(t1 - t0, 1)), {1} - 1) * 14 / {1}) as integer) as block, sum({v}) as r from {0} cross join sp group by all),
+ch as (select row_number() over (order by m) as choice, m from (select unnest(range(16384)) as m) where bit_count(m) = 7),
+xx as (select choice, trial, round(coalesce(sum(r) filter ((m >> block) & 1 = 1), 0), 9) as inside, round(coalesce(sum(r) filter ((m >> block) & 1 = 0), 0), 9) as outside from ch cross join ce group by all),
+ow as (select choice, outside as own from xx qualify row_number() over (partition by choice order by inside desc, trial) = 1),
+rk as (select choice, count(*) as n, count(*) filter (outside < own) + 0.5 * (count(*) filter (outside = own) - 1) + 1 as rank from xx join ow using (choice) group by choice),
+pb as (select avg(case when rank / (n + 1) < 0.5 then 1.0 else 0.0 end) as pbo from rk)
+"""
+
+
+@query("sweep_verdicts", BARS_SQL + SWEEP.partition("\nfinal ")[0] + """
+, pt as (select symbol || '|' || tp_r || '|' || sl_pct as trial, entry_time, r as v from tr)""" + PBO.format("pt", 28, t="entry_time", v="v") + """
+, mm as (select trial, count(*) as n, case when stddev_samp(v) > 0 then avg(v) / stddev_samp(v) else 0 end as sharpe from pt group by trial),
+tt as (select count(*) as trials, var_samp(sharpe) as vs from mm),
+at_ as (select 'a' as name, 1 - 1.0::double / trials as p from tt union all select 'b', 1 - 1 / (trials * exp(1.0)) from tt)""" + QUANTILE + f"""
+, fl as (select trials, sqrt(vs) * ((1 - 0.5772156649015329) * (select z from qq where name = 'a') + 0.5772156649015329 * (select z from qq where name = 'b')) as floor from tt),
+zz as (select mm.*, trials, n >= 28 as ok, (sharpe - floor) * sqrt(n - 1) / sqrt(1 + 0.5 * sharpe * sharpe) as z from mm cross join fl),
+gg as (select trial, n, trials, sharpe, case when ok then {CDF.format('z')} end as dsr, case when ok then pbo end as pbo, case when ok and sharpe > 0 then 1 + (1 + 0.5 * sharpe * sharpe) * pow(1.6448536269514722 / sharpe, 2) end as min_n, ok from zz cross join pb),
+ff as (select *, concat_ws(',', case when ok and dsr < 0.95 then 'dsr' end, case when ok and pbo > 0.5 then 'pbo' end, case when ok and coalesce(n < min_n, true) then 'min_n' end) as failed from gg)
+final select trial, n, trials, sharpe, dsr, pbo, min_n, case when not ok then 'INSUFFICIENT' when failed = '' then 'COMMIT' else 'DO_NOT_COMMIT' end as decision, failed from ff""", "sharpe dsr pbo min_n")
+def _(s, d):
+    b = hourly(s, d)
+    e = simulate.entries(b, _pins(s, d).withColumn("sl_price", F.lit(None).cast("double")))
+    e = e.withColumn("tp_r", F.explode(F.array(*map(F.lit, (1.5, 2.0, 3.0))))).withColumn("sl_pct", F.explode(F.array(F.lit(0.05), F.lit(0.2))))
+    t = simulate.exits(b, e, tp_r=F.col("tp_r"), sl_pct=F.col("sl_pct")).withColumn("trial", F.concat_ws("|", "symbol", "tp_r", "sl_pct"))
+    return resampling.commit_gate(t, "trial", "entry_time", "pnl_r")
+
+
+@query("gate_verdicts", TRADES_SQL + MOMENTS.format("strategy") + """
+, pt as (select strategy as trial, entry_time, pnl_r as v from t)""" + PBO.format("pt", 56, t="entry_time", v="v") + """
+, tr as (select count(sr) as trials, var_samp(sr) as vs from mv),
+at_ as (select 'a' as name, 1 - 1.0::double / trials as p from tr union all select 'b', 1 - 1 / (trials * exp(1.0)) from tr)""" + QUANTILE + f"""
+, fl as (select sqrt(vs) * ((1 - 0.5772156649015329) * (select z from qq where name = 'a') + 0.5772156649015329 * (select z from qq where name = 'b')) as floor from tr),
+zz as (select mv.*, (sr - fl.floor) * sqrt(n - 1) / sqrt(v) as z from mv cross join fl),
+g as (select strategy, entry_time as c, sum(pnl_r) as s, count(*) as n from t group by all),
+du as (select g.*, four * 4 + j + 1 as draw, substr(md5('7|' || four || '|' || c), 1 + 8 * j, 8) as u from g cross join (select cast(unnest(range(0, 500)) as integer) as four) cross join (select cast(unnest(range(0, 4)) as integer) as j)),
+dm as (select strategy, draw, sum({WEIGHT} * s) / nullif(sum({WEIGHT} * n), 0) as m from du group by all),
+lo as (select strategy, quantile_cont(m, 0.025) as lo from dm group by all),
+vv as (select strategy, sr * sqrt(252) as sharpe, {CDF.format('z')} as dsr, pbo, lo from zz cross join pb join lo using (strategy))
+final select *, coalesce(dsr >= 0.95 and pbo <= 0.5 and lo > 0, false) as passes, coalesce(dsr >= 0.95 and pbo <= 0.5 and lo > 0 and sharpe >= 0.7, false) as passes_sleeve from vv""", "sharpe dsr pbo lo")
+def _(s, d):
+    t = tables.trades(s, d)
+    x = statistics.deflated_sharpe(t, ["strategy"], "pnl_r").select("strategy", (F.col("sr") * F.sqrt(F.lit(252.0))).alias("sharpe"), "dsr")
+    pbo = statistics.backtest_overfitting(t, "strategy", "entry_time", "pnl_r").select("pbo")
+    x = x.crossJoin(F.broadcast(pbo)).join(statistics.bootstrap_mean(t, ["strategy"], "entry_time", "pnl_r").select("strategy", "lo"), "strategy")  # pbo: one row
+    ask = [F.col(c) for c in ("dsr", "pbo", "lo")]
+    return x.withColumns({"passes": statistics.passes(*ask), "passes_sleeve": statistics.passes(*ask, F.col("sharpe"))})
+
+
+# small lookups
+
+@query("signals_history", BARS_SQL + PINS + "\nfinal select symbol, timeframe, open_time, direction, sl_price from sig where symbol = 'click' and open_time between 1704500000000 and 1705500000000", "sl_price")
+def _(s, d):
+    return tables.history(_pins(s, d).select("symbol", "timeframe", "open_time", "direction", "sl_price"), "click", "1h", 1704500000000, 1705500000000)
+
+
+@query("incomplete_symbols", BARS_SQL + "\nfinal select symbol from (select distinct symbol from bars union select 'absent') anti join (select symbol from bars group by symbol having count(*) >= 650 and symbol <> 'view') using (symbol)")
+def _(s, d):
+    b = hourly(s, d)
+    done = b.groupBy("symbol").agg(F.count("*").alias("n")).where("n >= 650 and symbol <> 'view'")
+    return tables.complete(done, b.select("symbol").distinct().union(s.createDataFrame([("absent",)], "symbol string")))
+
+
+@query("adr_thresholds", TRADES_SQL + "\nfinal select timeframe, strategy, threshold, count(*) as n from (select *, case when timeframe in ('1h', '4h') and strategy <> 'A' then adr_suppress_threshold end as threshold from r) group by all", "threshold")
+def _(s, d):
+    r = tables.runs(tables.trades(s, d))
+    t = simulate.effective_adr_threshold(F.col("adr_suppress_threshold"), F.col("timeframe"), F.col("strategy") == "A")
+    return r.groupBy("timeframe", "strategy", t.alias("threshold")).agg(F.count("*").alias("n"))
+
+
+@query("one_trade_each", BARS_SQL + SIMULATED + "\nfinal select strategy, timeframe, signal_time, direction, entry, exit_time, outcome from trades qualify row_number() over (partition by strategy, timeframe, signal_time, direction order by exit_time is null, exit_time, entry) = 1", "entry")
+def _(s, d):
+    t = simulate.simulate(hourly(s, d), _pins(s, d))
+    return simulate.one_of_each(t, ("strategy", "timeframe")).select("strategy", "timeframe", "signal_time", "direction", "entry", "exit_time", "outcome")
+
+
+@query("quote_disagrees", DAILY_SQL + """
+, q as (select symbol, open_time, close, lead(open) over (partition by symbol order by open_time) as quote from bars)
+final select symbol, count(*) as n, count(*) filter (abs(ln(close / quote)) > ln(1.25)) as n_off from q where quote is not null group by symbol""")
+def _(s, d):
+    b = per_day(s, d).withColumn("quote", F.lead("open").over(Window.partitionBy("symbol").orderBy("open_time"))).where("quote is not null")
+    return b.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(quality.disagrees(F.col("close"), F.col("quote"))).alias("n_off"))
+
+
+@query("reversal_scores", PANEL + """
+, m as (select *, case when count(ret) over w >= 20 then stddev_samp(ret) over w end as sigma from p window w as (partition by symbol order by date rows 19 preceding)),
+l as (select date, symbol, -ret / nullif(sigma, 0) as score from m)
+final select date, symbol, score, count(score) over (partition by date) as n from l""", "score")
+def _(s, d):
+    p = books.panel(per_day(s, d)).withColumn("sigma", books.full("ret", 20, F.stddev_samp))
+    p = p.withColumn("score", magnets.reversal(p)).select("date", "symbol", "score")
+    return p.join(magnets.eligible(p, "score"), "date")
