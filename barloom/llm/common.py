@@ -55,17 +55,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_CACHED = 1 << 19
-_hashes: dict[bytes, int] = {}
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words between ASCII white space, A-Z lowered."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(_hashes) > _CACHED:
-        _hashes.clear()
-    get, put = _hashes.get, _hashes.setdefault
-    return np.array([get(x) or put(x, xxhash.xxh3_64_intdigest(x) | 1) for x in w], np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(x) | 1 for x in (text or "").encode("utf-8", "surrogatepass").lower().split()], np.uint64)
 
 
 def rolling(a: np.ndarray, k: int) -> np.ndarray:
