@@ -64,17 +64,21 @@ def _hits(bars: DataFrame, start: int, stop: int, options: list[tuple[Column, st
     Options: formed, condition (SQL on x and the row), direction, further condition on the bar that was found, reason,
     stop. The search ends at the first hit, whether the further condition holds or not.
     """
-    ahead = F.collect_list(F.struct("open_time", "low", "high", "close", *([extra] if extra else []))).over(series().rowsBetween(start, stop))
-    rows = bars.withColumn("_ahead", ahead)
-    parts = []
-    for formed, condition, direction, further, reason, stop_at in options:
-        hit = F.expr(f"try_element_at(filter(_ahead, x -> {condition}), 1)")
-        part = rows.where(formed).select(*SERIES, F.col("open_time").alias("formed"), hit.alias("x"), F.lit(direction).alias("direction"), reason.alias("reason"), stop_at.alias("sl_price"))
-        parts.append(part.where("x is not null").where(further or "true"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _first_kept(out.select(*SERIES, "formed", F.col("x.open_time").alias("open_time"), "direction", "reason", "sl_price", F.lit(False).alias("low_volume"), F.lit(None).cast("double").alias("tp_price")))
+    w = series()
+    formed = [F.coalesce(o[0], F.lit(False)) for o in options]
+    rows = bars.withColumns({**{f"_f{i}": f for i, f in enumerate(formed)}, "_k": F.row_number().over(w)})
+    any_ = F.greatest(*(F.col(f"_f{i}") for i in range(len(options)))) if len(options) > 1 else F.col("_f0")
+    # bars that no formation looks at go before the formations' own are collected
+    rows = rows.withColumn("_any", any_).withColumn("_since", F.last(F.when(F.col("_any"), F.col("_k")), True).over(w)).where(F.col("_k") - F.col("_since") <= stop)
+    ahead = F.collect_list(F.struct("open_time", "low", "high", "close", *([extra] if extra else []))).over(w.rowsBetween(start, stop))
+    rows = rows.withColumn("_ahead", ahead).where("_any")
+    found = []
+    for i, (_, condition, direction, further, reason, stop_at) in enumerate(options):
+        rows = rows.withColumn(f"_x{i}", F.expr(f"if(_f{i}, try_element_at(filter(_ahead, x -> {condition}), 1), null)"))
+        kept = F.expr(f"transform(array(_x{i}), x -> {further or 'true'})[0]")
+        found.append(F.when(F.col(f"_x{i}").isNotNull() & kept, F.struct(F.col(f"_x{i}.open_time").alias("open_time"), F.lit(direction).alias("direction"), reason.alias("reason"), stop_at.alias("sl_price"))))
+    out = rows.select(*SERIES, F.col("open_time").alias("formed"), F.explode(F.array_compact(F.array(*found))).alias("o")).select(*SERIES, "formed", "o.*")
+    return _first_kept(out.select(*SERIES, "formed", "open_time", "direction", "reason", "sl_price", F.lit(False).alias("low_volume"), F.lit(None).cast("double").alias("tp_price")))
 
 
 def wick_fill(bars: DataFrame, ratio: float = 1.5, lookback: int = 20) -> DataFrame:

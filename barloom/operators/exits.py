@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import SERIES, series
@@ -27,31 +27,40 @@ class Policy:
             raise ValueError(f"bad policy {self}")
 
 
-def _after(bars: DataFrame, alerts: DataFrame, n: int) -> DataFrame:
-    """Alerts with the next ``n`` bars as ``_w``: bars that no alert needs go before the alerts' own are collected."""
+def behind(bars: DataFrame, alerts: DataFrame, n: int) -> DataFrame:
+    """``symbol, timeframe, open_time, _w``: the next ``n`` bars of each alert that stands at a bar.
+
+    Bars that no alert needs go before the alerts' own are collected.
+    """
     w = series()
     rows = bars.select(*SERIES, "open_time", F.struct("open_time", "high", "low", "close").alias("_bar"), F.row_number().over(w).alias("_k"))
     marks = alerts.select(*SERIES, "open_time").distinct().withColumn("_mark", F.lit(True))
     rows = rows.join(marks, [*SERIES, "open_time"], "left").withColumn("_since", F.last(F.when(F.col("_mark"), F.col("_k")), True).over(w))
     rows = rows.where(F.col("_k") - F.col("_since") <= n)  # none before the first alert
-    rows = rows.withColumn("_w", F.collect_list("_bar").over(w.rowsBetween(1, n))).where("_mark")
-    return alerts.join(rows.select(*SERIES, "open_time", "_w"), [*SERIES, "open_time"]).where("size(_w) > 0")
+    return rows.withColumn("_w", F.collect_list("_bar").over(w.rowsBetween(1, n))).where("_mark").select(*SERIES, "open_time", "_w")
 
 
-def replay(bars: DataFrame, alerts: DataFrame, policy: Policy, tp_r: Column | None = None) -> DataFrame:
-    """Alerts ``(symbol, timeframe, open_time, direction, entry, sl)`` with ``outcome, realized_r, exit_bar, partial_taken``.
+def _after(bars: DataFrame, alerts: DataFrame, n: int) -> DataFrame:
+    """Alerts with the next ``n`` bars as ``_w``; those without any are left out."""
+    return alerts.join(behind(bars, alerts, n), [*SERIES, "open_time"]).where("size(_w) > 0")
+
+
+def replay_all(bars: DataFrame, alerts: DataFrame, policies: list[Policy], tp_r: Column | None = None) -> DataFrame:
+    """Alerts ``(symbol, timeframe, open_time, direction, entry, sl)`` with ``policy, outcome, realized_r, exit_bar, partial_taken``, a row a policy.
 
     On one bar the stop comes first, then the part, then the target, then the time stop. Without an exit the last bar's close
     counts. ``exit_bar`` counts from 0 after the alert. Alerts without risk or without later bars give no row. ``tp_r`` as a
-    column stands for the policy's.
+    column stands for the policies'. The bars behind an alert are collected once, for the longest policy.
     """
-    a = _after(bars, alerts.withColumn("_tp", F.lit(policy.tp_r) if tp_r is None else tp_r), policy.hold)
+    table = F.array(*(F.struct(F.lit(p.name).alias("name"), F.lit(p.tp_r).cast("double").alias("tp_r"), F.lit(p.hold).alias("hold"), F.lit(p.breakeven_r).cast("double").alias("even"), F.lit(p.partial).cast("double").alias("part"), F.lit(p.partial_r).cast("double").alias("part_r")) for p in policies))
+    a = _after(bars, alerts.withColumn("_own", F.lit(None).cast("double") if tp_r is None else tp_r), max(p.hold for p in policies))
     a = a.withColumns({"_s": F.when(F.col("direction") == "long", 1.0).otherwise(-1.0), "_risk": F.abs(F.col("entry") - F.col("sl"))}).where("_risk > 0")
-    a = a.withColumn("_r", F.expr("transform(_w, (x, i) -> struct(if(_s > 0, x.high - entry, entry - x.low) / _risk as fav, if(_s > 0, x.low - entry, entry - x.high) / _risk as adv, (x.close - entry) * _s / _risk as c, i as i))"))
+    a = a.withColumn("_p", F.explode(table)).withColumn("_tp", F.coalesce("_own", "_p.tp_r"))
+    a = a.withColumn("_r", F.expr("transform(slice(_w, 1, _p.hold), (x, i) -> struct(if(_s > 0, x.high - entry, entry - x.low) / _risk as fav, if(_s > 0, x.low - entry, entry - x.high) / _risk as adv, (x.close - entry) * _s / _risk as c, i as i))"))
     eps = "1e-12D"
-    took = f"not a.part and x.fav >= {policy.partial_r!r}D - {eps}" if policy.partial else "false"
-    left, got = f"(a.left_ - if({took}, {policy.partial!r}D, 0D))", f"(a.got + if({took}, {policy.partial * policy.partial_r!r}D, 0D))"
-    stop = f"if(x.fav >= {policy.breakeven_r!r}D - {eps}, greatest(a.stop, 0D), a.stop)" if policy.breakeven_r is not None else "a.stop"
+    took = f"(_p.part > 0 and not a.part and x.fav >= _p.part_r - {eps})"
+    left, got = f"(a.left_ - if({took}, _p.part, 0D))", f"(a.got + if({took}, _p.part * _p.part_r, 0D))"
+    stop = f"if(_p.even is not null and x.fav >= _p.even - {eps}, greatest(a.stop, 0D), a.stop)"
 
     def state(stop_at: str, part: str, rest: str, sum_: str, out: str, bar: str) -> str:
         return f"named_struct('stop', {stop_at}, 'part', {part}, 'left_', {rest}, 'got', {sum_}, 'out', {out}, 'bar', {bar})"
@@ -63,17 +72,19 @@ def replay(bars: DataFrame, alerts: DataFrame, policy: Policy, tp_r: Column | No
       else {state(stop, f'(a.part or {took})', left, got, 'cast(null as string)', '-1')} end"""
     begin = state("-1D", "false", "1D", "0D", "cast(null as string)", "-1")
     a = a.withColumn("_x", F.expr(f"aggregate(_r, {begin}, (a, x) -> {step})"))
-    return a.select(*alerts.columns, F.lit(policy.name).alias("policy"), F.col("_x.out").alias("outcome"), F.col("_x.got").alias("realized_r"), F.col("_x.bar").alias("exit_bar"), F.col("_x.part").alias("partial_taken"))
+    return a.select(*alerts.columns, F.col("_p.name").alias("policy"), F.col("_x.out").alias("outcome"), F.col("_x.got").alias("realized_r"), F.col("_x.bar").alias("exit_bar"), F.col("_x.part").alias("partial_taken"))
+
+
+def replay(bars: DataFrame, alerts: DataFrame, policy: Policy, tp_r: Column | None = None) -> DataFrame:
+    """``replay_all`` under one policy."""
+    return replay_all(bars, alerts, [policy], tp_r)
 
 
 def compare(bars: DataFrame, alerts: DataFrame, policies: list[Policy], keys: list[str]) -> DataFrame:
     """Per policy and cell: trades, mean and deviation of R, share of gains, and the mean gain over the first policy."""
-    one = {p.name: replay(bars, alerts, p).select(*SERIES, "open_time", "direction", *(k for k in keys if k not in (*SERIES, "direction")), "policy", "realized_r") for p in policies}
-    base = one[policies[0].name].select(*SERIES, "open_time", "direction", F.col("realized_r").alias("_base"))
-    rows = None
-    for r in one.values():
-        rows = r if rows is None else rows.unionByName(r)
-    rows = rows.join(base, [*SERIES, "open_time", "direction"])
+    rows = replay_all(bars, alerts, policies).select(*SERIES, "open_time", "direction", *(k for k in keys if k not in (*SERIES, "direction")), "policy", "realized_r")
+    base = F.max(F.when(F.col("policy") == policies[0].name, F.col("realized_r"))).over(Window.partitionBy(*SERIES, "open_time", "direction"))
+    rows = rows.withColumn("_base", base)
     return rows.groupBy("policy", *keys).agg(F.count("*").alias("n"), F.avg("realized_r").alias("avg_r"), F.stddev_samp("realized_r").alias("sd_r"), F.avg((F.col("realized_r") > 0).cast("double")).alias("win_rate"), F.avg(F.col("realized_r") - F.col("_base")).alias("gain"))
 
 

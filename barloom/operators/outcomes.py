@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import SERIES, series
+from ..sources.tables import SERIES
+from .exits import behind
 
 
 def resolve(bars: DataFrame, alerts: DataFrame, max_hold: int = 48) -> DataFrame:
@@ -14,8 +15,7 @@ def resolve(bars: DataFrame, alerts: DataFrame, max_hold: int = 48) -> DataFrame
     The first bar after the alert's that touches a level decides, the stop first; after ``max_hold`` bars without a
     touch the alert is expired at the last close; with fewer bars it stays open (nulls).
     """
-    ahead = F.collect_list(F.struct("open_time", "high", "low", "close")).over(series().rowsBetween(1, max_hold))
-    a = alerts.join(bars.select(*SERIES, "open_time", ahead.alias("_ahead")), [*SERIES, "open_time"])
+    a = alerts.join(behind(bars, alerts, max_hold).withColumnRenamed("_w", "_ahead"), [*SERIES, "open_time"])
     a = a.withColumn("_long", F.col("direction") == "long")
     a = a.withColumn("_x", F.expr("try_element_at(filter(_ahead, x -> if(_long, x.low <= sl or x.high >= tp, x.high >= sl or x.low <= tp)), 1)"))
     stop = F.expr("if(_long, _x.low <= sl, _x.high >= sl)")

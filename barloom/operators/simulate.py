@@ -75,16 +75,19 @@ def volume_context(bars: DataFrame, window_days: float = 20.0) -> DataFrame:
 
     Null where the window holds too little: any positive volume, and two returns.
     """
-    out = None
-    for timeframe, a_day in (*BARS_A_DAY.items(), (None, 1.0)):
-        part = bars.where(F.col("timeframe") == timeframe if timeframe else ~F.col("timeframe").isin(*BARS_A_DAY))
-        n = max(2, round(window_days * a_day))
+    a_day = F.lit(1.0)
+    for timeframe, n in BARS_A_DAY.items():
+        a_day = F.when(F.col("timeframe") == timeframe, n).otherwise(a_day)
+    b = bars.withColumns({"_ret": F.try_divide("close", F.lag("close").over(series())) - 1, "_a_day": a_day})
+    # every width in one sort of the bars; a row takes those of its timeframe
+    dollars, own = F.col("close") * F.col("volume"), sorted({n for n in BARS_A_DAY.values()} | {1.0})
+    adv, many, sigma = F.lit(None).cast("double"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    for x in own:
+        n = max(2, round(window_days * x))
         w, r = series().rowsBetween(1 - n, 0), series().rowsBetween(2 - n, 0)
-        part = part.withColumn("_ret", F.try_divide("close", F.lag("close").over(series())) - 1)
-        adv = F.avg(F.col("close") * F.col("volume")).over(w) * a_day
-        part = part.withColumns({"adv": F.when(adv > 0, adv), "sigma": F.when(F.count("_ret").over(r) >= 2, F.stddev_pop("_ret").over(r) * F.sqrt(F.lit(a_day)))}).drop("_ret")
-        out = part if out is None else out.unionByName(part)
-    return out
+        adv, many, sigma = (F.when(F.col("_a_day") == x, new).otherwise(old) for new, old in ((F.avg(dollars).over(w), adv), (F.count("_ret").over(r), many), (F.stddev_pop("_ret").over(r), sigma)))
+    b = b.withColumns({"_adv": adv * F.col("_a_day"), "_many": many, "_sd": sigma})
+    return b.withColumns({"adv": F.when(F.col("_adv") > 0, F.col("_adv")), "sigma": F.when(F.col("_many") >= 2, F.col("_sd") * F.sqrt("_a_day"))}).drop("_ret", "_a_day", "_adv", "_many", "_sd")
 
 
 def entries(bars: DataFrame, signals: DataFrame, rules: Rules = Rules()) -> DataFrame:

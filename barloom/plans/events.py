@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import resampling
 from ..operators import books, calls, cohorts, confluence, detectors, quality, similar
 from ..sources import calendar, sync, tables
 from ..sources.tables import BARS_SQL, DAILY_SQL
 from ..streaming import bars as streams
 from ..streaming import catchup
 from .queries import ENGULFS, FORECAST, HIGHER, OHLC, PINS, hourly, per_day, query
+from .research import ARMS, BOOTSTRAP, BOOTSTRAP_NAMES, GEOMETRIC, SIX
 
 # live confluence: three strategies on one clock, and what their signals were worth on the next bar
 
@@ -120,6 +122,22 @@ def _(s, d):
     return cohorts.insider_book(_insiders(s, d), _liquid(s, d))
 
 
+@query("insider_paired", INSIDER + """
+, ss as (select date, row_number() over (order by date) as i from (select distinct date from pn)),
+wi as (select lg.*, i from lg join ss using (date)),
+bt as (select label, arm, symbol, i, sum(weight) as weight, sum(before) as before from (select label, arm, symbol, i, weight, 0 as before from wi union all select label, arm, symbol, i + 1, 0, weight from wi) group by all),
+bk as (select label, arm, ss.date, weight * coalesce(ret, 0) - greatest(-weight, 0) * 0.01 / 252
+  - abs(weight - before) * (case when adv >= 5e8 then 1 when adv >= 5e7 then 3 when adv >= 5e6 then 8 else 20 end / 10000.0::double + case when adv > 0 and sigma > 0 then sigma * sqrt(10000 / adv) else 0 end) as net
+  from bt join ss using (i) left join pn on pn.date = ss.date and pn.symbol = bt.symbol),
+ib as (select label, arm, date, sum(net) as net from bk group by all),
+arms as (select a.arm as arm, a.date as date, a.net - c.net as r from ib a join ib c on a.arm = c.arm and a.date = c.date where a.label = 'opportunistic' and c.label = 'routine')
+""" + BOOTSTRAP[len(ARMS):].format(runs=SIX.format("n / block::double"), drawn=GEOMETRIC, draws=10000, total="n", last="case when k = runs - 1 then free else least(free, drawn) end"), BOOTSTRAP_NAMES)
+def _(s, d):
+    b = cohorts.insider_book(_insiders(s, d), _liquid(s, d)).select("label", "arm", "date", "net")
+    both = b.where("label = 'opportunistic'").join(b.where("label = 'routine'").select("arm", "date", F.col("net").alias("other")), ["arm", "date"])
+    return resampling.block_bootstrap(both.select("arm", "date", (F.col("net") - F.col("other")).alias("r")), ["arm"], "date", "r")
+
+
 # earnings: a name's sales of a quarter, announced thirty days after it
 
 SURPRISE = FORECAST + """

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import resampling, statistics
-from ..operators import books, candles, magnets, quality, simulate
+from ..functions import indicators, resampling, statistics
+from ..operators import books, candles, magnets, overlay, quality, replays, simulate
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, TRADES_SQL
-from .queries import CDF, MOMENTS, PANEL, PINS, QUANTILE, SIMULATED, SWEEP, _pins, hourly, per_day, query
+from .queries import CDF, H4, MOMENTS, PANEL, PINS, QUANTILE, REGIME, SIMULATED, SWEEP, _pins, hourly, per_day, query
 
 # resampling of serially dependent returns: a book of all symbols and one of each line status
 
@@ -257,3 +259,65 @@ def _(s, d):
     p = books.panel(per_day(s, d)).withColumn("sigma", books.full("ret", 20, F.stddev_samp))
     p = p.withColumn("score", magnets.reversal(p)).select("date", "symbol", "score")
     return p.join(magnets.eligible(p, "score"), "date")
+
+
+# trades under the regime of their entry, and whether the gate is worth turning on
+
+AT_REGIME = BARS_SQL + SIMULATED + H4.replace(", h as", ", hi4 as").replace("from h)", "from hi4)") + REGIME.replace(" from b window", " from b4 window").replace(", tr as", ", tr4 as").replace("from tr x join tr y", "from tr4 x join tr4 y") + """
+, ae as (select tr.*, f.i as i4 from trades tr asof left join b4 f on f.symbol = tr.symbol and tr.entry_time >= f.open_time),
+an as (select ae.*, coalesce(reg.regime, 'unknown') as regime, coalesce(reg.regime, 'unknown') in ('high_vol') as suppressed from ae left join reg on reg.symbol = ae.symbol and reg.i = ae.i4 - 1)
+"""
+
+
+def _at_regime(s, d):
+    b = hourly(s, d)
+    t = replays.annotate_regime(simulate.simulate(b, _pins(s, d)), indicators.regime(quality.resample(b)).select("symbol", "open_time", "regime"))
+    return replays.annotate_suppression(t, {"high_vol": [], "trend": ["pin_bar"]})
+
+
+@query("suppressed_trades", AT_REGIME + "\nfinal select strategy, regime, suppressed, count(*) as n, avg(pnl_r) as avg_r, avg(cast(pnl_r > 0 as integer)) as win_rate from an where pnl_r is not null group by all", "avg_r win_rate")
+def _(s, d):
+    return replays.kept_and_dropped(_at_regime(s, d))
+
+
+@query("gate_flip", AT_REGIME + ", cl as (select strategy, suppressed as out, entry_time // 86400000 as day, pnl_r as r from an)" + AUDIT.format("strategy", CDF_Z, 500, WEIGHT) + """
+final select *, case when bool_or(decision in ('DISABLE', 'CONCENTRATE')) over () then 'DO NOT FLIP' when bool_or(decision = 'ENABLE') over () then 'FLIP justified' else 'HOLD' end as flip from ad""", AUDIT_NAMES)
+def _(s, d):
+    return replays.flip(_at_regime(s, d).withColumn("day", F.expr(f"entry_time div {tables.DAY_MS}")))
+
+
+# the overlay's arms, and its state at the last close
+
+OVERLAY = PANEL + """
+, om as (select *, case when count(close) over w >= 200 then avg(close) over w end as sma, case when count(ret) over v >= 20 then stddev_samp(ret) over v end as vol from p window w as (partition by symbol order by date rows 199 preceding), v as (partition by symbol order by date rows 19 preceding)),
+ol as (select *, lag(close > sma) over w as risk_on, lag(vol) over w as pv from om window w as (partition by symbol order by date)),
+oz as (select date, symbol, case when risk_on and pv is not null then least(0.1 / (pv * sqrt(252)), 1) else 0 end as weight, ret from ol),
+oa as (select symbol, 'held' as arm, date, ret, 1.0::double as weight from oz where ret is not null union all select symbol, 'overlay', date, weight * coalesce(ret, 0), weight from oz),
+ow as (select *, coalesce(abs(weight - lag(weight) over (partition by symbol, arm order by date)), 0) as step, exp(sum(ln(1 + ret)) over (partition by symbol, arm order by date rows unbounded preceding)) as wealth, row_number() over (partition by symbol, arm order by date) as k from oa),
+od as (select *, wealth / greatest(1, max(wealth) over (partition by symbol, arm order by date rows unbounded preceding)) - 1 as dd from ow),
+oe as (select *, coalesce(max(case when dd >= -1e-12 then k end) over (partition by symbol, arm order by date rows unbounded preceding), 0) as dry from od),
+og as (select symbol, arm, date_diff('day', min(date), max(date)) / 365.25::double as years, sum(ln(1 + ret)) as lg, avg(ret) as mean, stddev_samp(ret) as sd, sum(cast(step > 0 as integer)) as sw, avg(weight) as in_market, sum(step) as tu, sqrt(avg(dd * dd)) * 100 as ulcer, min(dd) as max_drawdown, cast(max(k - dry) as integer) as longest_under_water from oe group by all)
+"""
+
+
+@query("overlay_summaries", OVERLAY + "\nfinal select symbol, arm, years, exp(lg / years) - 1 as ann_return, sd * sqrt(252) as ann_vol, mean / nullif(sd, 0) * sqrt(252) as sharpe, ulcer, max_drawdown, longest_under_water, sw / years as switches_a_year, in_market, tu / years as turnover_a_year from og", "years ann_return ann_vol sharpe ulcer max_drawdown switches_a_year in_market turnover_a_year")
+def _(s, d):
+    v = books.vol_overlay(books.panel(per_day(s, d)))
+    held = v.where("ret is not null").select("symbol", F.lit("held").alias("arm"), "date", "ret", F.lit(1.0).alias("weight"))
+    return overlay.summaries(held.unionByName(v.select("symbol", F.lit("overlay").alias("arm"), "date", F.col("arm").alias("ret"), "weight")), ["symbol", "arm"])
+
+
+@query("overlay_state", PANEL + """
+, cl as (select symbol, date, close, ret, row_number() over (partition by symbol order by date) as n from p where date < (select max(date) from p)),
+st as (select *, avg(close) over (partition by symbol order by date rows 199 preceding) as sma, avg(close) over (partition by symbol order by date rows 198 preceding) as flip_level, stddev_samp(ret) over (partition by symbol order by date rows 19 preceding) as sd from cl),
+si as (select *, close > sma as ma_in from st where n >= 200),
+sn as (select *, max(case when chg then n end) over (partition by symbol order by date rows unbounded preceding) as since, max(n) over (partition by symbol) as newest from (select *, coalesce(lag(ma_in) over (partition by symbol order by date) <> ma_in, true) as chg from si))
+final select symbol, date as as_of, close, sma, ma_in, cast(n - since + 1 as integer) as sessions_in_state, flip_level, sd * sqrt(252) as sigma_ann, least(0.00709 / sd, 1) as vm_weight, case when ma_in then least(0.00709 / sd, 1) else 0 end as exposure from sn where n = newest""", "close sma flip_level sigma_ann vm_weight exposure")
+def _(s, d):
+    return overlay.state(overlay.completed(books.panel(per_day(s, d)).select("symbol", "date", "close"), _noon(s, d)))
+
+
+def _noon(s, d):
+    """Noon of the last day there is a bar of: that day's bars have not closed yet."""
+    last = per_day(s, d).agg(F.max("open_time")).first()[0] or 0
+    return datetime.datetime.fromtimestamp(last / 1000 + 43_200, datetime.UTC)

@@ -11,7 +11,7 @@ import pytest
 
 from barloom.functions import resampling
 from barloom.functions.statistics import spread
-from barloom.operators import calls, candles, cohorts, confluence, similar
+from barloom.operators import calls, candles, cohorts, confluence, overlay, replays, search, similar
 from barloom.sources import calendar, sync
 from barloom.streaming import bars as streams
 from barloom.streaming import catchup
@@ -370,3 +370,78 @@ def test_three_pages_and_a_split(spark, tmp_path):
     three = sync.sync(spark, path, make(range(6, 9), 0.504), make(range(9), 0.504), 3)  # within the tolerance: goes on
     assert {(r.symbol, r.open_time // HOUR): round(r.close, 6) for r in three.collect()} == {(s, t): round((10 + t) * (1.0 if s == "a" else 0.5 if t < 6 else 0.504), 6) for s in "ab" for t in range(9)}
     assert sync.stored(spark, f"{path}-none") is None
+
+
+# ---- replays and the overlay
+
+
+def test_trades_under_the_regime_of_their_entry(spark):
+    regimes = spark.createDataFrame([("a", t * 4 * HOUR, r) for t, r in enumerate(["range", "high_vol", "trend", None, "range"])], "symbol string, open_time long, regime string")
+    trades = spark.createDataFrame([("a", "p", t * HOUR, 1.0) for t in (1, 5, 9, 13, 17, 25)] + [("b", "p", 9 * HOUR, 1.0)], "symbol string, strategy string, entry_time long, pnl_r double")
+    x = replays.annotate_suppression(replays.annotate_regime(trades, regimes), {"high_vol": [], "trend": ["q"]})
+    got = {(r.symbol, r.entry_time // HOUR): (r.regime, r.suppressed) for r in x.collect()}
+    assert got == {("a", 1): ("unknown", False), ("a", 5): ("range", False), ("a", 9): ("high_vol", True), ("a", 13): ("trend", True), ("a", 17): ("unknown", False), ("a", 25): ("unknown", False), ("b", 9): ("unknown", False)}
+    assert {(r.regime, r.suppressed, r.n) for r in replays.kept_and_dropped(x).collect()} == {("unknown", False, 4), ("range", False, 1), ("high_vol", True, 1), ("trend", True, 1)}
+
+
+@pytest.mark.parametrize(("means", "want"), [((-1.0, 0.0), "FLIP justified"), ((-1.0, 1.0), "DO NOT FLIP"), ((0.0, 0.0), "HOLD")])
+def test_one_winning_cell_blocks_the_gate(spark, means, want):
+    rng = random.Random(8)
+    rows = [(f"s{k}", bool(i % 2), i // 2, (m if i % 2 else 0.1) + rng.gauss(0, 0.4)) for k, m in enumerate(means) for i in range(160)]
+    got = replays.flip(spark.createDataFrame(rows, "strategy string, suppressed boolean, day int, pnl_r double"), draws=200).collect()
+    assert len(got) == 2 and {r.flip for r in got} == {want}
+
+
+def test_overlay_state_and_gaps(spark):
+    dates = [day(i) for i in range(400) if day(i).weekday() < 5]
+    rng, close, rows = random.Random(9), 100.0, []
+    for d in dates:
+        close *= 1 + rng.gauss(0, 0.01)
+        rows.append(("m", d, close))
+    df = spark.createDataFrame([*rows, ("short", dates[0], 1.0)], "symbol string, date date, close double")
+    (r,) = overlay.state(df).collect()
+    c = np.array([x[2] for x in rows])
+    above = [c[i] > c[i - 199 : i + 1].mean() for i in range(199, len(c))]
+    held = next((k for k, x in enumerate(reversed(above)) if x != above[-1]), len(above))
+    sd = np.std(c[-20:] / c[-21:-1] - 1, ddof=1)
+    assert (r.symbol, r.as_of, r.ma_in, r.sessions_in_state) == ("m", dates[-1], above[-1], held)
+    assert np.allclose([r.sma, r.flip_level, r.sigma_ann, r.vm_weight], [c[-200:].mean(), c[-199:].mean(), sd * math.sqrt(252), min(0.00709 / sd, 1)]) and r.exposure == (r.vm_weight if r.ma_in else 0)
+    now = datetime.datetime.combine(dates[-1], datetime.time(12))
+    assert overlay.completed(df, now).agg({"date": "max"}).first()[0] == dates[-2] and overlay.completed(df, now.replace(hour=21)).count() == df.count()
+    s = spark.createDataFrame([("m", datetime.date(2024, 3, 27)), ("n", datetime.date(2024, 4, 2))], "symbol string, as_of date")
+    assert sorted((r.symbol, str(r.date)) for r in overlay.missing(s, datetime.datetime(2024, 4, 2, 12)).collect()) == [("m", "2024-03-28"), ("m", "2024-04-01")]
+
+
+def test_arms_are_summed_up(spark):
+    rows = [("k", day(i), r, w) for i, (r, w) in enumerate([(0.1, 1.0), (-0.5, 1.0), (0.2, 0.0), (0.0, 0.5), (None, 0.5)])]
+    (r,) = overlay.summaries(spark.createDataFrame(rows, "k string, date date, ret double, weight double"), ["k"]).collect()
+    years = 3 / 365.25
+    assert np.allclose([r.max_drawdown, r.turnover_a_year, r.in_market, r.switches_a_year], [-0.5, 1.5 / years, 0.625, 2 / years]) and r.longest_under_water == 3
+
+
+def test_sweep_verdicts(spark):
+    rng = random.Random(10)
+    rows = [(f"t{k}", i, (0.5 if k == 0 else 0.0) + rng.gauss(0, 1)) for k in range(8) for i in range(200)] + [("few", i, 1.0 + i) for i in range(5)] + [("flat", i, 1.0) for i in range(40)]
+    got = {r.trial: r for r in resampling.commit_gate(spark.createDataFrame(rows, "trial string, at long, r double"), "trial", "at", "r").collect()}
+    assert got["t0"].decision == "COMMIT" and got["t0"].failed == "" and got["few"].decision == "INSUFFICIENT" and got["few"].dsr is None
+    assert got["flat"].sharpe == 0 and "dsr" in got["flat"].failed and "min_n" in got["flat"].failed and {r.decision for k, r in got.items() if k in ("t1", "t2", "t3")} == {"DO_NOT_COMMIT"}
+    alone = resampling.commit_gate(spark.createDataFrame(rows[:200], "trial string, at long, r double"), "trial", "at", "r").collect()
+    assert [r.decision for r in alone] == ["INSUFFICIENT"]
+
+
+# ---- searches over large blocks
+
+
+def test_first_touch_over_gaps_and_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BARS_A_BLOCK", 3)
+    rng = random.Random(11)
+    times = sorted(rng.sample(range(0, 600), 160)) + list(range(5000, 5020))
+    bars = [(s, t, round(rng.uniform(90, 110), 1)) for s in ("a", "b") for t in times]
+    b = spark.createDataFrame([(s, "1h", t * HOUR, m, m + 1, m - 1, m, 1.0) for s, t, m in bars], BARS)
+    asks = [(s, rng.choice([-50, 0, 700, 4000, 6000, *times, *times]), rng.choice([None, 60.0, 85.0, 90.0]), rng.choice([None, 140.0, 113.0, 110.0])) for s in ("a", "b", "c") for _ in range(150)] + [("a", None, 90.0, 95.0)]
+    a = spark.createDataFrame([(i, s, "1h", None if t is None else t * HOUR, lo, hi) for i, (s, t, lo, hi) in enumerate(asks)], "id int, symbol string, timeframe string, st long, lo double, hi double")
+    got = {r.id: None if r.x is None else r.x.open_time // HOUR for r in search.first_touch(b, a, "st", "lo", "hi").collect()}
+    for i, (s, t, lo, hi) in enumerate(asks):
+        want = next((u for x, u, m in bars if t is not None and x == s and u >= t and (lo is not None and m - 1 <= lo or hi is not None and m + 1 >= hi)), None)
+        assert got[i] == want
+    assert len(got) == len(asks)
