@@ -421,7 +421,7 @@ def test_arms_are_summed_up(spark):
 
 def test_sweep_verdicts(spark):
     rng = random.Random(10)
-    rows = [(f"t{k}", i, (0.5 if k == 0 else 0.0) + rng.gauss(0, 1)) for k in range(8) for i in range(200)] + [("few", i, 1.0 + i) for i in range(5)] + [("flat", i, 1.0) for i in range(40)]
+    rows = [(f"t{k}", i, (0.5 if k == 0 else 0.0) + rng.gauss(0, 1)) for k in range(8) for i in range(200)] + [("few", i, i % 2 - 0.5) for i in range(4)] + [("flat", i, 0.0) for i in range(40)]
     got = {r.trial: r for r in resampling.commit_gate(spark.createDataFrame(rows, "trial string, at long, r double"), "trial", "at", "r").collect()}
     assert got["t0"].decision == "COMMIT" and got["t0"].failed == "" and got["few"].decision == "INSUFFICIENT" and got["few"].dsr is None
     assert got["flat"].sharpe == 0 and "dsr" in got["flat"].failed and "min_n" in got["flat"].failed and {r.decision for k, r in got.items() if k in ("t1", "t2", "t3")} == {"DO_NOT_COMMIT"}
