@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chain_dedup, decontaminate, importance, jpeg_media, license_scan, main_text, mixture, pivot_codes, pu_quality, signature_join, unigram_count, virtual_slots, warc_convert
+from . import chain_dedup, common, decontaminate, importance, jpeg_media, license_scan, main_text, mixture, pivot_codes, pu_quality, signature_join, unigram_count, virtual_slots, warc_convert
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg_media.features(jpeg_media.encode(_table(spark, sf_dir, "documents")))
+    return jpeg_media.features(common.staged(jpeg_media.encode(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
