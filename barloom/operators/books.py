@@ -133,17 +133,43 @@ def sized(f: DataFrame, target: float = 0.2, cost: float = 0.0003, days: float =
     return f.withColumn("net", F.col("gross") - F.col("cost"))
 
 
-def governed(s: DataFrame, target: float = 0.2, window: int = 64, least: float = 0.5, most: float = 1.5, days: float = 252.0) -> DataFrame:
-    """Per date: mean net return of the symbols that have one, and the same scaled to the volatility target by the book's own
-    trailing volatility up to the day before; nothing is held until that is known."""
-    b = s.groupBy("date").agg(F.coalesce(F.avg("net"), F.lit(0.0)).alias("pre"), F.count("net").alias("active"))
-    w = Window.orderBy("date")  # a row a date: one book
+def governed(s: DataFrame, target: float = 0.2, window: int = 64, least: float = 0.5, most: float = 1.5, days: float = 252.0, keys: tuple[str, ...] = (), total=F.avg) -> DataFrame:
+    """Per date: the ``total`` (mean or sum) of the net returns of the symbols that have one, and the same scaled to the volatility
+    target by the book's own trailing volatility up to the day before; nothing is held until that is known. ``keys`` tell books apart."""
+    b = s.groupBy(*keys, "date").agg(F.coalesce(total("net"), F.lit(0.0)).alias("pre"), F.count("net").alias("active"))
+    w = Window.partitionBy(*keys).orderBy("date")  # a row a date and book
     vol = F.when(F.count("pre").over(w.rowsBetween(1 - window, 0)) == window, F.stddev_samp("pre").over(w.rowsBetween(1 - window, 0)))
     b = b.withColumn("_vol", vol).withColumn("governor", F.greatest(F.least(F.try_divide(F.lit(target), F.lag("_vol").over(w) * F.sqrt(F.lit(days))), F.lit(most)), F.lit(least)))
     b = b.withColumn("governor", F.when(F.lag("_vol").over(w).isNotNull(), F.col("governor")))
     return b.withColumn("ret", F.coalesce(F.col("governor"), F.lit(0.0)) * F.col("pre")).drop("_vol")
 
 
+def cross_sectional(f: DataFrame, target: float = 0.2, cost: float = 0.0003, days: float = 252.0, neutral: bool = False) -> DataFrame:
+    """Forecasts as a long-short book: demeaned over the date's symbols, held from the day after, each sized to the volatility
+    target; ``neutral`` also centres the sizes, so that they sum to nothing on each date. Adds ``leverage, gross, cost, net``.
+
+    ``f`` has ``date, symbol, ret, vol, forecast``; what a symbol earns is ``ret``, whatever its forecast was made of.
+    """
+    x = sized(demeaned(f), target, cost, days)
+    if neutral:
+        w = Window.partitionBy("symbol").orderBy("date")
+        x = x.withColumn("leverage", F.col("leverage") - F.avg("leverage").over(Window.partitionBy("date")))
+        x = x.withColumns({"gross": F.col("leverage") * F.col("ret"), "cost": F.abs(F.col("leverage") - F.coalesce(F.lag("leverage").over(w), F.lit(0.0))) * cost})
+        x = x.withColumn("net", F.col("gross") - F.col("cost"))
+    return x
+
+
+def residual_closes(p: DataFrame, window: int = 252, least: int = 3, most: float = 0.99) -> DataFrame:
+    """``residuals`` with the price path that what the market doesn't explain would give as ``close``, and ``own``, the symbol's return.
+
+    Dates with residuals of fewer than ``least`` symbols are left out: of one or two, the market explains all. The path moves by
+    at most ``most`` a day, so that it stays above zero.
+    """
+    up = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    r = residuals(p, window).where("resid is not null").withColumn("_n", F.count("*").over(Window.partitionBy("date"))).where(F.col("_n") >= least)
+    return r.select("date", "symbol", F.exp(F.sum(F.log1p(F.greatest(F.least(F.col("resid"), F.lit(most)), F.lit(-most)))).over(up)).alias("close"), F.col("resid").alias("ret"), F.col("ret").alias("own"))
+
+
 def demeaned(f: DataFrame, value: str = "forecast", by: tuple[str, ...] = ()) -> DataFrame:
     """The value less its mean on the date, within groups such as sectors."""
     w = Window.partitionBy("date", *by)

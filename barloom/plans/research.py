@@ -11,7 +11,7 @@ from ..functions import indicators, resampling, statistics
 from ..operators import books, candles, magnets, overlay, quality, replays, simulate
 from ..sources import tables
 from ..sources.tables import BARS_SQL, DAILY_SQL, TRADES_SQL
-from .queries import CDF, H4, MOMENTS, PANEL, PINS, QUANTILE, REGIME, SIMULATED, SWEEP, _pins, hourly, per_day, query
+from .queries import CDF, FORECAST, H4, MOMENTS, PANEL, PINS, QUANTILE, REGIME, RESIDUAL, SIMULATED, SWEEP, _pins, hourly, per_day, query
 
 # resampling of serially dependent returns: a book of all symbols and one of each line status
 
@@ -321,3 +321,35 @@ def _noon(s, d):
     """Noon of the last day there is a bar of: that day's bars have not closed yet."""
     last = per_day(s, d).agg(F.max("open_time")).first()[0] or 0
     return datetime.datetime.fromtimestamp(last / 1000 + 43_200, datetime.UTC)
+
+
+# cross-sectional books, as they are and centred, on prices and on what the market doesn't explain
+
+XS = """
+, dm as (select fc.date, fc.symbol, {0} as ret, vol, forecast - avg(forecast) over (partition by fc.date) as forecast from fc{1}),
+x0 as (select *, lag(forecast) over (partition by symbol order by date) / 10 * 0.2 / (vol * sqrt(252)) as leverage from dm),
+x1 as (select false as neutral, * from x0 union all select true, * exclude (leverage), leverage - avg(leverage) over (partition by date) from x0),
+x2 as (select *, leverage * ret - abs(leverage - coalesce(lag(leverage) over (partition by neutral, symbol order by date), 0)) * 0.0003 as net from x1),
+g as (select neutral, date, coalesce(sum(net), 0) as pre, count(net) as active from x2 group by all),
+v as (select *, case when count(pre) over w = 64 then stddev_samp(pre) over w end as vol from g window w as (partition by neutral order by date rows 63 preceding)),
+gv as (select neutral, date, pre, active, case when lag(vol) over (partition by neutral order by date) is not null then greatest(0.5, least(1.5, 0.2 / (lag(vol) over (partition by neutral order by date) * sqrt(252)))) end as governor from v)
+final select *, coalesce(governor, 0) * pre as ret from gv"""
+
+
+def _xs(f):
+    both = None
+    for neutral in (False, True):
+        x = books.cross_sectional(f, neutral=neutral).withColumn("neutral", F.lit(neutral)).select("neutral", "date", "symbol", "net")
+        both = x if both is None else both.unionByName(x)
+    return books.governed(both, keys=("neutral",), total=F.sum)
+
+
+@query("cross_sectional_books", FORECAST + XS.format("ret", ""), "pre governor ret")
+def _(s, d):
+    return _xs(books.forecasts(books.panel(per_day(s, d))))
+
+
+@query("residual_books", RESIDUAL + ", rq as (select date, symbol, exp(sum(ln(1 + greatest(least(resid, 0.2), -0.2))) over (partition by symbol order by date rows unbounded preceding)) as close, ret as own from (select * from rs where resid is not null qualify count(*) over (partition by date) >= 3)), rp as (select *, close / lag(close) over (partition by symbol order by date) - 1 as ret from rq)" + FORECAST[len(PANEL):].replace(" as i from p)", " as i from rp)") + XS.format("rp.own", " join rp on rp.date = fc.date and rp.symbol = fc.symbol"), "pre governor ret")
+def _(s, d):
+    f = books.forecasts(books.residual_closes(books.panel(per_day(s, d)), 60, most=0.2))
+    return _xs(f.withColumn("ret", F.col("own")).drop("own"))
