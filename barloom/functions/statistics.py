@@ -158,17 +158,20 @@ def backtest_overfitting(points: DataFrame, trial: str, time: str, value: str, b
     return ranks.agg(F.max("n").alias("trials"), F.avg((F.col("rank") / (F.col("n") + 1) < 0.5).cast("double")).alias("pbo"))
 
 
-def adjusted_p(tests: DataFrame, p: str = "p", method: str = "holm") -> DataFrame:
-    """Adds ``p_adjusted`` for the number of tests: ``bonferroni``, ``holm`` or ``bhy`` (false discoveries under any dependence)."""
-    w = Window.orderBy(p)  # one row a trial: a table of tests, not of data
-    t = tests.withColumns({"_k": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy())})
+def adjusted_p(tests: DataFrame, p: str = "p", method: str = "holm", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``p_adjusted`` for the number of tests: ``bonferroni``, ``holm`` or ``bhy`` (false discoveries under any dependence).
+
+    ``by`` tells families apart; a row is a test, so a family is no large group.
+    """
+    w = Window.partitionBy(*by).orderBy(p)
+    t = tests.withColumns({"_k": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy(*by))})
     if method == "bonferroni":
         out = F.col(p) * F.col("_m")
     elif method == "holm":
         out = F.max(F.col(p) * (F.col("_m") - F.col("_k") + 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     elif method == "bhy":
         c = F.expr("aggregate(sequence(1, cast(_m as int)), 0D, (a, i) -> a + 1D / i)")
-        out = F.min(F.col(p) * F.col("_m") * c / F.col("_k")).over(Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+        out = F.min(F.col(p) * F.col("_m") * c / F.col("_k")).over(Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
     else:
         raise ValueError(f"no method {method}")
     return t.withColumn("p_adjusted", F.least(out, F.lit(1.0))).drop("_k", "_m")
