@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .places import exists
 from .tables import SERIES
 
 #: How far the close of the bar that two fetches share may move before its series is on another basis.
@@ -13,11 +14,6 @@ _BAR = ("open_time", "open", "high", "low", "close", "volume")
 _ROWS = "symbol string, timeframe string, open_time long, open double, high double, low double, close double, volume double, restated boolean, page int"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The bars at ``path``: of each series what the newest page that restated it began with, then the newest row of each bar.
 
