@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import exists
 from .common import new_path, staged
 from .importance import CRC_SQL, CRC_TABLE_SQL
 
@@ -83,8 +84,7 @@ def edit(held: dict[int, int], load: dict[int, int], shards: Iterable[int], slac
 
 def newest(spark: SparkSession, path: str) -> int:
     """The newest version stored at ``path``; 0 if there is none."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         return 0
     return load_map(spark, path).agg(F.max("version")).first()[0] or 0
 
