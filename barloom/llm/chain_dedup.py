@@ -40,16 +40,22 @@ PAIRS = 1024  # anchors of two documents from which each place points to one pla
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def window_minima(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the first smallest value in each run of ``window`` values, each once: minima of runs, twice as long at each step."""
+    at, n = np.arange(len(h)), 1
+    while n < window:
+        step = min(n, window - n)
+        later = h[step:] < h[:-step]
+        h, at, n = np.where(later, h[step:], h[:-step]), np.where(later, at[step:], at[:-step]), n + step
+    return at[np.append(True, at[1:] != at[:-1])]
+
+
 def minimisers(text: str | None, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each seed, once, and the word positions of all: those of seed i are ``at[cut[i] : cut[i + 1]]``."""
     h = rolling(word_hashes(text), k)
     if not len(h):
         return h, np.zeros(1, np.int64), np.zeros(0, np.int64)
-    if len(h) <= window:
-        at = np.array([int(h.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, window)
-        at = np.unique(view.argmin(1) + np.arange(len(view)))
+    at = window_minima(h, min(window, len(h)))
     order = np.argsort(h[at], kind="stable")
     seed, at = h[at][order], at[order]
     new = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))

@@ -47,8 +47,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words between ASCII white space, A-Z lowered."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(x) | 1 for x in (text or "").encode("utf-8", "surrogatepass").lower().split()], np.uint64)
+    digests = b"".join(map(xxhash.xxh3_64_digest, (text or "").encode("utf-8", "surrogatepass").lower().split()))
+    return np.frombuffer(digests, ">u8").astype(np.uint64) | np.uint64(1)
 
 
 def rolling(a: np.ndarray, k: int) -> np.ndarray:

@@ -365,6 +365,15 @@ def test_fuzzy_passages_are_found_and_nothing_else(spark):
     assert len(words & true) / len(true) > 0.93 and len(words & true) / len(words) > 0.99
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 16, 23])
+def test_window_minima_are_the_first_of_each_run(window):
+    rng = np.random.default_rng(window)
+    for n in (window, window + 1, 40, 300):
+        h = rng.integers(0, 12, n).astype(np.uint64)
+        if n >= window:
+            assert chain_dedup.window_minima(h, window).tolist() == sorted({i + int(h[i : i + window].argmin()) for i in range(n - window + 1)})
+
+
 def test_self_repeating_texts_need_few_chains():
     x, y = chain_dedup.anchors([(list(range(900)), list(range(200)))])
     kept = list(chain_dedup.needed(x, y, chain_dedup.chains(x, y)))
