@@ -110,6 +110,7 @@ _made: dict[int, Counting] = {}
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """``doc_id, n_tokens, score`` of every row's whole text; rows stay apart, other columns are left out.
 
+    Null and empty texts have no tokens and score 0; a null doc_id stays null; an empty table gives no rows.
     The vocabulary goes to the executors with the task: its size is that of a tokenizer's file, whatever the corpus.
     """
     key = hash(tuple(pieces))

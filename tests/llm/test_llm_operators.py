@@ -538,6 +538,12 @@ def test_templates_find_themselves_only(name):
             assert [h[0] for h in license_scan.scan_block(block)] == [name]
 
 
+def test_license_rows_without_id_and_with_clashing_columns(spark):
+    rows = [(None, "Released under the MIT License.", "x", 1), (None, "Released under the MIT License.", "x", 1), (3, "no statement, but a license", "y", 2)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, license string, line int"))
+    assert [(r.doc_id, r.license, r.line) for r in got.collect()] == [(None, "MIT", 0)] * 2 and len(set(got.columns)) == len(got.columns)
+
+
 def licenses(text):
     return [h[0] for h in license_scan.scan_block(text)]
 
