@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def duck():
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
