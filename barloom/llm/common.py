@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..sources.places import shared_dir
 
 _scratch: list[str] = []
+TIDY_S = 3.0
+_tidied = 0.0
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,10 +41,18 @@ def release(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffles behind it are not read again. Executors delete their files once the driver has collected the garbage that
+    refers to them, which it may not do for as long as its memory lasts; so it is asked to, at most once in ``TIDY_S`` seconds.
+    """
+    global _tidied
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if time.monotonic() - _tidied > TIDY_S:
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
