@@ -86,11 +86,11 @@ def structure_levels(bars: DataFrame, lookback: int = 100, n: int = 5, most: int
 def equal_pools(bars: DataFrame, lookback: int = 100, tolerance_pct: float = 0.003, n: int = 5, most: int = 10) -> DataFrame:
     """Pairs of equal swings, each swing in one pair, paired in order with the first free one; until the level is reached.
 
-    A fold over the few swings of a series, since each pair takes its swings out.
+    No price is equal to one of 0, as no share of it is. A fold over the few swings of a series, since each pair takes its swings out.
     """
     s = _swings(bars, lookback, n).select(*SERIES, "t", "side", F.struct("i", "p", "price").alias("swing"))
     s = s.groupBy(*SERIES, "t", "side").agg(F.array_sort(F.collect_list("swing")).alias("s"))
-    free = f"filter(sequence(0, size(s) - 1), k -> k > j and not array_contains(a.seen, k) and abs(s[j].price - s[k].price) / s[j].price < {tolerance_pct!r})"
+    free = f"filter(sequence(0, size(s) - 1), k -> k > j and not array_contains(a.seen, k) and try_divide(abs(s[j].price - s[k].price), s[j].price) < {tolerance_pct!r})"
     step = f"if(array_contains(a.seen, j), a, element_at(transform(array(try_element_at({free}, 1)), k -> if(k is null, a, named_struct('seen', a.seen || array(j, k), 'pairs', a.pairs || array(named_struct('j', j, 'k', k))))), 1))"
     pairs = F.expr(f"aggregate(sequence(0, size(s) - 1), named_struct('seen', cast(array() as array<int>), 'pairs', cast(array() as array<struct<j:int,k:int>>)), (a, j) -> {step}).pairs")
     x = s.withColumn("pair", F.explode(pairs)).withColumns({"one": F.expr("s[pair.j]"), "two": F.expr("s[pair.k]")})

@@ -156,6 +156,12 @@ def test_zones_of_empty_and_short_series(spark):
         assert f(few).count() == 0 and f(few.limit(0)).count() == 0
 
 
+def test_equal_pools_at_a_price_of_zero(spark):
+    lows = {8: 0.0, 20: 0.0, 32: 40.0, 44: 40.1}
+    got = zones.equal_pools(frame(spark, [(100, 101, lows.get(i, 90 + i * 0.01), 100, 1) for i in range(60)])).where("zone_type = 'eql'").collect()
+    assert [(r.start_ms // HOUR, r.zone_low, r.active) for r in got] == [(32, 40.05, True)]
+
+
 def test_structure_of_bars(spark):
     rng = np.random.default_rng(4)
     p = 100 + rng.normal(size=300).cumsum()
