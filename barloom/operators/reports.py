@@ -200,9 +200,12 @@ def consistency(runs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def recovery(runs: DataFrame, least: int = 5) -> DataFrame:
-    """Per strategy: mean and best recovery factor of the runs that recovered, with their drawdowns."""
+    """Per strategy: mean and best recovery factor of the runs that recovered, with their drawdowns.
+
+    Drawdowns are averaged as decimals: in doubles, a mean half way between two last places goes by the order of runs.
+    """
     r = runs.where((F.col("closed_trades") >= least) & (F.col("recovery_factor") > 0))
-    return r.groupBy("strategy").agg(F.avg("recovery_factor").alias("avg_rf"), F.max("recovery_factor").alias("best_rf"), F.avg("max_drawdown_r").alias("avg_max_dd_r"), pooled("avg_r").alias("avg_r"), F.sum("closed_trades").alias("trades"), F.count("*").alias("run_count"))
+    return r.groupBy("strategy").agg(F.avg("recovery_factor").alias("avg_rf"), F.max("recovery_factor").alias("best_rf"), F.avg(F.col("max_drawdown_r").cast("decimal(28,9)")).cast("double").alias("avg_max_dd_r"), pooled("avg_r").alias("avg_r"), F.sum("closed_trades").alias("trades"), F.count("*").alias("run_count"))
 
 
 def leaderboard(runs: DataFrame, keys: list[str], least: int = 3, top_n: int = 30) -> DataFrame:

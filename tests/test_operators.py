@@ -1,6 +1,7 @@
 """What SQL can't tell: greedy folds, exits, overfitting, streams, odd rows."""
 
 import itertools
+import random
 
 import numpy as np
 
@@ -162,6 +163,13 @@ def test_equal_pools_at_a_price_of_zero(spark):
     assert [(r.start_ms // HOUR, r.zone_low, r.active) for r in got] == [(32, 40.05, True)]
 
 
+def test_drawdowns_are_averaged_exactly(spark):
+    rng = random.Random(11)
+    fifths = [rng.randint(0, 9000) for _ in range(128)]  # of R; their mean lies half way between two sixth places
+    df = spark.createDataFrame([("s", 9, 0.1, x / 5, 1.0) for x in fifths], "strategy string, closed_trades long, avg_r double, max_drawdown_r double, recovery_factor double").coalesce(1)
+    assert reports.recovery(df).first().avg_max_dd_r == sum(fifths) / 640
+
+
 def test_structure_of_bars(spark):
     rng = np.random.default_rng(4)
     p = 100 + rng.normal(size=300).cumsum()
