@@ -191,12 +191,12 @@ def commit_gate(points: DataFrame, trial: str, time: str, value: str, n_grid: in
     ``points`` are all trials' results with their times. Odds of the Sharpe ratio are deflated by the best that as many trials, or
     ``n_grid`` if the table is only the top of a larger grid, would give by chance; overfitting is that of the whole sweep, in
     ``2 * splits`` bins of time; ``min_n`` is the least record for the ratio. ``COMMIT`` if all three pass, else ``DO_NOT_COMMIT``
-    with what ``failed``; ``INSUFFICIENT`` with fewer than two trials or than ``2 * splits`` results. A trial that doesn't vary has a
-    ratio of 0.
+    with what ``failed``; ``INSUFFICIENT`` with fewer than two trials or than ``2 * splits`` results. A trial that doesn't vary, but
+    for the rounding of its results, has a ratio of 0.
     """
     rows = points.where(F.col(value).isNotNull())
     m = rows.groupBy(F.col(trial).alias("trial")).agg(F.count("*").alias("n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
-    m = m.withColumn("sharpe", F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd")).otherwise(0.0))
+    m = m.withColumn("sharpe", F.when(F.col("_sd") > 1e-12, F.col("_mean") / F.col("_sd")).otherwise(0.0))
     t = m.agg(F.count("*").alias("trials"), F.var_samp("sharpe").alias("_v"))
     many = F.greatest(F.col("trials"), F.lit(n_grid or 0)).cast("double")
     t = t.withColumns({"_a": 1 - 1 / many, "_b": 1 - 1 / (many * math.e)})

@@ -429,6 +429,12 @@ def test_sweep_verdicts(spark):
     assert [r.decision for r in alone] == ["INSUFFICIENT"]
 
 
+def test_a_sweep_of_equal_results_has_no_ratio(spark):
+    rows = [("won", i, (2.0, 2.0000000000000004, 1.9999999999999998)[i % 3]) for i in range(60)] + [("t", i, i % 5 - 1.5) for i in range(60)]
+    got = {r.trial: r for r in resampling.commit_gate(spark.createDataFrame(rows, "trial string, at long, r double"), "trial", "at", "r").collect()}
+    assert got["won"].sharpe == 0 and got["t"].dsr > 0.5
+
+
 # ---- searches over large blocks
 
 
