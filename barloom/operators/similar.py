@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import stored
+
 LEVEL_WEIGHT, TERM_WEIGHT = 3.0, 10.0
 #: Words that a containment is measured against at least.
 FLOOR = 8
@@ -21,6 +23,8 @@ ADDRESS = r"(?i)https?://\S+"
 NO_LEVELS = (ADDRESS, r"\d{4}-\d{2}-\d{2}", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:\d{1,2}(?:st|nd|rd|th)?,?\s+)?\d{4}\b", r"\d+(?:\.\d+)?\s*%")
 NUMBER = r"\d[\d,]*(?:\.\d+)?(?:\s*[kK])?"
 TERM = "[a-z]{4,}"
+#: Begins a level among words.
+LEVEL = "#"
 
 
 def levels(text: Column) -> Column:
@@ -52,7 +56,7 @@ def _shared(a: str, b: str) -> Column:
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    n = F.greatest(F.least(F.size("a_terms"), F.size("b_terms")), F.lit(FLOOR))
+    n = F.greatest(F.least("a_size", "b_size"), F.lit(FLOOR))
     return pairs.withColumns({"n_levels": _shared("a_levels", "b_levels"), "n_terms": _shared("a_terms", "b_terms")}).withColumn("score", LEVEL_WEIGHT * F.col("n_levels") + TERM_WEIGHT * F.col("n_terms") / n)
 
 
@@ -67,48 +71,59 @@ def find_similar(claims: DataFrame, entries: DataFrame, top: int = TOP, least: f
     Both tables have ``id, text``. The score is 3 a shared level and 10 times the shared words over the smaller set's size, 8 at
     least; entries under ``least`` don't count, ties go to the smaller id.
 
-    Nothing is compared with everything. Claims and entries of the same levels and words are one. Pairs come from two indexes.
+    Nothing is compared with everything. Texts are read once: of an entry no more is kept than the levels and words that some
+    claim has, and its number of words; entries alike in these are one. Pairs come from two indexes of what is kept.
     Words: a pair without a shared level needs a share of the smaller set's words, so that set is only looked up by its rarest
-    words, as many as leave too few others. Levels: those that at most ``common`` entries hold are looked up first; what a claim
-    has found by then tells whether common levels can still bring it an entry among the best, and only such claims meet them.
+    words, as many as leave too few others; words that no claim has are the rarest. Levels: those that at most ``common``
+    entries hold are looked up first; what a claim has found by then tells whether common levels can still bring it an entry
+    among the best, and only such claims meet them.
     """
-    def sets(t: DataFrame) -> DataFrame:
-        return t.where("id is not null").select("id", levels(F.col("text")).alias("levels"), F.array_sort(terms(F.col("text"))).alias("terms")).where("size(levels) + size(terms) > 0")
-
-    a_rows, b_rows = sets(claims), sets(entries)
-    a = a_rows.groupBy("levels", "terms").agg(F.min("id").alias("a")).select("a", F.col("levels").alias("a_levels"), F.col("terms").alias("a_terms"))
-    b_own = b_rows.groupBy("levels", "terms").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    share = least / TERM_WEIGHT
+    need = lambda size: F.ceil(F.greatest(size, F.lit(FLOOR)) * share - 1e-9)
+    mark = lambda x: F.concat(F.lit(LEVEL), x.cast("string"))
+    is_level = lambda x: x.startswith(LEVEL)
+
+    a_rows = claims.where("id is not null").select("id", F.transform(levels(F.col("text")), mark).alias("levels"), F.array_sort(terms(F.col("text"))).alias("terms"))
+    a_rows = stored(a_rows.where("size(levels) + size(terms) > 0"), "claims")
+    a = a_rows.groupBy("levels", "terms").agg(F.min("id").alias("a")).select("a", F.size("terms").alias("a_size"), F.col("levels").alias("a_levels"), F.col("terms").alias("a_terms"))
+
+    asked = a.select(F.explode(F.concat("a_levels", "a_terms")).alias("item")).distinct()
+    rows = entries.where("id is not null").select("id", F.monotonically_increasing_id().alias("row"), F.transform(levels(F.col("text")), mark).alias("levels"), terms(F.col("text")).alias("terms"))
+    items = rows.select("id", "row", F.size("terms").alias("b_size"), F.explode(F.concat("levels", "terms")).alias("item")).join(asked, "item", "left_semi")
+    kept = items.groupBy("row", "id", "b_size").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    kept = kept.select("id", "b_size", F.filter("items", is_level).alias("b_levels"), F.filter("items", lambda x: ~is_level(x)).alias("b_terms"))
+    kept = kept.where((F.size("b_levels") > 0) | (F.size("b_terms") >= need(F.lit(0))))
     # of equal entries no more than the best can be among the best
-    b = b_own.select(F.col("ids")[0].alias("b"), F.slice("ids", 1, top).alias("b_ids"), F.col("levels").alias("b_levels"), F.col("terms").alias("b_terms"))
+    b = kept.groupBy("b_size", "b_levels", "b_terms").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    b = stored(b.select(F.col("ids")[0].alias("b"), F.slice("ids", 1, top).alias("b_ids"), "b_size", "b_levels", "b_terms"), "entries")
 
-    share = least / TERM_WEIGHT
     held = b.select(F.explode("b_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
 
     def rarest(t: DataFrame, key: str) -> DataFrame:
-        words = t.select(key, F.size(f"{key}_terms").alias("size"), F.explode(f"{key}_terms").alias("term")).join(held, "term", "left")
+        words = t.select(key, f"{key}_size", F.size(f"{key}_terms").alias("n"), F.explode(f"{key}_terms").alias("term")).join(held, "term", "left")
         at = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n_held", F.lit(0)), "term"))
-        need = F.ceil(F.greatest(F.col("size"), F.lit(FLOOR)) * share - 1e-9)
-        return words.withColumn("rare", at <= F.col("size") - need + 1).select(key, "size", "term", "rare")
+        return words.withColumn(f"{key}_rare", at <= F.col("n") - need(F.col(f"{key}_size")) + 1).select(key, f"{key}_size", "term", f"{key}_rare")
 
-    x, y = rarest(a, "a"), rarest(b, "b").withColumnRenamed("size", "b_size")
-    met = x.withColumnRenamed("rare", "a_rare").join(y.withColumnRenamed("rare", "b_rare"), "term").where("if(size <= b_size, a_rare, b_rare)")
-    by_terms = met.select("a", "b").distinct()
+    met = rarest(a, "a").join(rarest(b, "b"), "term").where("if(a_size <= b_size, a_rare, b_rare)").select("a", "b")
 
     a_level, b_level = a.select("a", F.explode("a_levels").alias("level")), b.select("b", F.explode("b_levels").alias("level"))
     n_level = b_level.groupBy("level").agg(F.count("*").alias("n_held"))
-    usual, rare = n_level.where(F.col("n_held") > common), n_level.where(F.col("n_held") <= common).select("level")
-    by_rare = a_level.join(rare, "level", "left_semi").join(b_level, "level").select("a", "b").distinct()
-    found = by_terms.union(by_rare).distinct()
-    whole = lambda pairs: _scored(pairs.join(a, "a").join(b, "b")).where(F.col("score") >= least)
-    first = whole(found).select("a", "b", "b_ids", "score", "n_levels", "n_terms")
+    usual, rare = n_level.where(F.col("n_held") > common).select("level"), n_level.where(F.col("n_held") <= common).select("level")
+    by_rare = a_level.join(rare, "level", "left_semi").join(b_level, "level").select("a", "b")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """The best of some pairs, each once; pairs go to their entries, whose sets then move no more."""
+        x = pairs.repartition("b").distinct().join(b, "b").join(a, "a")
+        return _best(_scored(x).where(F.col("score") >= least).select("a", "b", "b_ids", "score", "n_levels", "n_terms"), top)
+
+    first = stored(scored(met.union(by_rare)), "found")
 
     # what common levels alone can bring: their number, and fewer words than would have been found
-    third = _best(first, top).where(F.col("rank") == top).select("a", F.col("score").alias("bar"))
-    most = a_level.join(usual.select("level"), "level", "left_semi").groupBy("a").agg((F.count("*") * LEVEL_WEIGHT + least).alias("most"))
+    third = first.where(F.col("rank") == top).select("a", F.col("score").alias("bar"))
+    most = a_level.join(usual, "level", "left_semi").groupBy("a").agg((F.count("*") * LEVEL_WEIGHT + least).alias("most"))
     open_ = most.join(third, "a", "left").where("bar is null or bar < most").select("a")
-    late = a_level.join(open_, "a", "left_semi").join(usual.select("level"), "level", "left_semi").join(b_level, "level").select("a", "b").distinct()
-    late = whole(late.join(found, ["a", "b"], "left_anti")).select("a", "b", "b_ids", "score", "n_levels", "n_terms")
+    late = a_level.join(open_, "a", "left_semi").join(usual, "level", "left_semi").join(b_level, "level").select("a", "b")
 
-    pairs = first.union(late).withColumn("b", F.explode("b_ids")).drop("b_ids")
+    pairs = first.union(scored(late)).drop("rank").distinct().withColumn("b", F.explode("b_ids")).drop("b_ids")
     same = a_rows.groupBy("levels", "terms").agg(F.min("id").alias("a"), F.collect_list("id").alias("claim_ids")).select("a", "claim_ids")
     return _best(pairs, top).join(same, "a").select(F.explode("claim_ids").alias("claim_id"), F.col("b").alias("entry_id"), "rank", F.round("score", 3).alias("score"), "n_levels", "n_terms")

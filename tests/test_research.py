@@ -324,6 +324,19 @@ def test_similar_entries_against_all_pairs(spark, common):
     assert got == plain_similar([r[:3] for r in a], [r[:3] for r in b])
 
 
+def test_texts_of_entries_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, f"level 500{i % 7} alpha bravo charlie") for i in range(50)], "id long, text string")
+    assert similar.find_similar(df.where("id < 9"), df.mapInArrow(counted, df.schema), common=3).count() == 27
+    assert seen.value == 50
+
+
 def test_levels_and_words(spark):
     rows = ["buy 28k stop 1,982.10 by 2024-05-01, 5% off, 2024 or June 3, 2150 or 2,050.5 http://x/999 and 99", None, "With THIS Breakout that breakout is"]
     got = spark.createDataFrame([(r,) for r in rows], "t string").select(similar.levels(spark_col("t")).alias("l"), similar.terms(spark_col("t")).alias("w")).collect()
