@@ -264,20 +264,33 @@ def _reach(p: list[bytes], q: list[bytes]) -> tuple[tuple[int, int, int], tuple[
     a difference; places that lie more than ``DROP`` under the best one are left.
     """
     best, plain, front, d = (0.0, 0, 0, 0), None, {0: (0, 0)}, 0
+    m, n = len(p), len(q)
     while front:
         after: dict[int, tuple[int, int]] = {}
         for k, (x, same) in front.items():
             y = x - k
-            while x < len(p) and y < len(q) and p[x] == q[y]:
-                x, y, same = x + 1, y + 1, same + 1
-            plain = plain or (x, y, same)
+            if x < m and y < n and p[x] == q[y]:
+                begin, x, y = x, x + 1, y + 1
+                while x < m and y < n and p[x] == q[y]:
+                    x, y = x + 1, y + 1
+                same += x - begin
+            if plain is None:
+                plain = (x, y, same)
             score = (x + y) / 2 - (1 + MISS) * d
-            best = max(best, (score, x, y, same))
-            if score - MISS < best[0] - DROP:
+            if score >= best[0]:
+                best = max(best, (score, x, y, same))
+            elif score - MISS < best[0] - DROP:
                 continue
-            for at, ok, to in ((k, x < len(p) and y < len(q), x + 1), (k + 1, x < len(p), x + 1), (k - 1, y < len(q), x)):
-                if ok and (to, same) > after.get(at, (-1, 0)):
-                    after[at] = (to, same)
+            if x < m:
+                to = (x + 1, same)
+                if y < n and (k not in after or to > after[k]):
+                    after[k] = to
+                if k + 1 not in after or to > after[k + 1]:
+                    after[k + 1] = to
+            if y < n:
+                to = (x, same)
+                if k - 1 not in after or to > after[k - 1]:
+                    after[k - 1] = to
         front, d = after, d + 1
     return best[1:], plain
 
