@@ -31,6 +31,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
         _scratch.remove(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the stage table that ``df`` is, once nothing reads it any more."""
+    if files := df.inputFiles():
+        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch table made so far.
 
@@ -79,7 +85,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     each step is an aggregated minimum joined back to the edges. Nodes are 64-bit integers; null ends and self
     loops are dropped. No rows give no rows. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
     e = staged(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -99,7 +104,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         n = staged(small, "edges")
         now = n.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if e is not first:
-            drop_path(spark, e.inputFiles()[0].rsplit("/", 1)[0]) if e.inputFiles() else None
+            drop_staged(e)
         e = n
         if now == before:
             break

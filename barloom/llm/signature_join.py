@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, rolling, staged, word_hashes
+from .common import connected_components, drop_staged, rolling, staged, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -219,6 +219,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
+def _members(sets: DataFrame) -> DataFrame:
+    """``key, doc, hub`` of the groups of ``sets(doc_id, prefix)`` that share a token, groups of the same members once.
+
+    Prefix tokens are most of what this search moves, so they are dealt out once: what is left behind the window, the tokens
+    that two sets or more share, is small. ``hub`` is a group's smallest member.
+    """
+    posts = sets.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"))
+    same = Window.partitionBy("key")
+    # the digest is added behind the exchange, which then carries two numbers a token
+    met = posts.repartition("key").withColumn("x", F.xxhash64("doc"))
+    met = met.select("key", "doc", F.count("*").over(same).alias("c"), F.bit_xor("x").over(same).alias("x"), F.min("doc").over(same).alias("hub"))
+    met = staged(met.where("c > 1"), "met")
+    lists = met.where("doc = hub").groupBy("c", "x", "hub").agg(F.min("key").alias("key"))
+    members = staged(met.select("key", "doc").join(lists.select("key", "hub"), "key"), "members")
+    drop_staged(met)
+    return members
+
+
 def _by_size(placed: DataFrame, percent: int) -> DataFrame:
     """``placed(key, doc, comp, n)`` in the groups ``(key, g)`` that may hold links of two components, with size ``c``.
 
@@ -318,14 +336,14 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     share a doc_id pool their links.
     """
     own = sketches(docs, percent)
-    sets = own.where("n > 0 and doc_id is not null")
-    reps = staged(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")), "representatives")
-    copies = sets.select("doc_id", "f1", "f2", "n").join(reps.where("many > 1"), ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id")
-    sets = sets.join(staged(copies.distinct(), "copies"), "doc_id", "left_anti")
-    posts = sets.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("hub")).where("c > 1")
-    lists = staged(lists.groupBy("c", "x", "hub").agg(F.min("key").alias("key")).drop("x"), "lists")
-    members = staged(posts.join(lists.drop("c"), "key"), "members")
+    sizes = staged(own.select("doc_id", "n", "f1", "f2"), "sizes")
+    some = sizes.where("n > 0 and doc_id is not null")
+    reps = staged(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")), "representatives")
+    copies = some.join(reps.where("many > 1"), ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id")
+    every = own.where("n > 0 and doc_id is not null").join(staged(copies.distinct(), "copies"), "doc_id", "left_anti")
+    members = _members(every)
+    sets = staged(every.select("doc_id", "n", "bits"), "sets")
+    drop_staged(own)  # prefixes are the larger part of it
     tried = staged(members.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
     links = _confirmed(_possible(tried, sets, percent), docs, percent)
     first = staged(connected_components(links), "first").select(F.col("id").alias("doc"), "component")
@@ -338,7 +356,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not more.isEmpty():  # components so far stand for the links that made them
         both = tops.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)
         tops = staged(connected_components(both), "components").select(F.col("id").alias("rep"), "component")
-    known = own.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").join(tops, "rep", "left")
+    known = sizes.join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").join(tops, "rep", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
 

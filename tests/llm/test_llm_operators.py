@@ -188,6 +188,35 @@ def test_large_groups_are_cut_and_searched_whole(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_prefix_tokens_are_dealt_out_once_and_then_let_go(spark, monkeypatch):
+    rows = [(i, " ".join(f"t{i // 3}x{j}" for j in range(60)) + f" end{i % 3}" * (i % 4)) for i in range(40)] + [(90, "t0x0 " * 9), (91, None), (92, "t0x0 " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, real = [], signature_join.staged
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(signature_join, "staged", staged)
+    before = set(common._scratch)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables that are too large for it
+    try:
+        got = {r.doc_id: r.component_id for r in signature_join.components(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == brute_components(rows) and len(set(got.values())) < 30
+    assert sum(p.count("Generate explode(prefix") for p in plans) == 1
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in set(common._scratch) - before}
+    assert "sizes" in left and not left & {"sketches", "met"}
+
+
+def test_groups_of_the_same_members_are_one(spark):
+    sets = spark.createDataFrame([(1, [10, 11, 12, 5]), (2, [11, 10, 5]), (3, [5, 30]), (4, [40]), (7, [30, 50]), (9, [])], "doc_id long, prefix array<long>")
+    got = sorted(tuple(r) for r in signature_join._members(sets).select("key", "doc", "hub").collect())
+    assert got == [(5, 1, 1), (5, 2, 1), (5, 3, 1), (10, 1, 1), (10, 2, 1), (30, 3, 3), (30, 7, 3)]
+
+
 def test_frequent_tokens_go_last_and_lose_no_link(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(i, passage + " " + " ".join(f"q{i // 2}x{j}" for j in range(60 + i % 2))) for i in range(40)]
